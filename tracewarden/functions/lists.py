@@ -1,0 +1,60 @@
+"""Whole lists per group without ever holding an unbounded group in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+PAGE_SIZE = 10_000
+
+
+def paged_lists(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    order: Sequence[str],
+    bucket: Column,
+    totals: Mapping[str, Column],
+    list_name: str,
+    page_name: str,
+    page_size: int = PAGE_SIZE,
+) -> DataFrame:
+    """Sorted lists of ``value`` per ``keys``, cut into pages once they grow long.
+
+    ``rows`` holds each (keys, value) once, already aggregated. A group with at
+    most ``page_size`` values is one row with page 0. A larger one spreads over
+    several rows, in page order, so no value is dropped and no task gathers the
+    whole group. Page limits come from a per-group histogram over ``bucket``, a
+    column of bounded range that never contradicts ``order`` (second of day for
+    lists ordered by time of day, a hash range where the order is free). The
+    ``totals`` (sums over the rows) repeat on every page.
+    """
+    bucketed = rows.withColumn("_bucket", bucket)
+    histogram = bucketed.groupBy(*keys, "_bucket").agg(
+        F.count(value).alias("_n"), *[expr.alias(name) for name, expr in totals.items()]
+    )
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    pages = histogram.select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("_bucket").alias("_page_bucket"),
+        F.when(F.sum("_n").over(group) <= page_size, F.lit(0))
+        .otherwise(F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / page_size))
+        .cast("bigint")
+        .alias(page_name),
+        *[F.sum(name).over(group).alias(name) for name in totals],
+    )
+    same_bucket = F.col("_bucket").eqNullSafe(F.col("_page_bucket"))
+    for key in keys:
+        same_bucket = same_bucket & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    entry = F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value")))
+    return (
+        bucketed.select(*keys, "_bucket", *order, value)
+        .join(pages, same_bucket)
+        .groupBy(*keys, page_name, *totals)
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+        .select(*keys, *totals, F.col("_entries._value").alias(list_name), page_name)
+    )
