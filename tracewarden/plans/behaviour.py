@@ -105,7 +105,11 @@ def investigate_user_failures(failures: DataFrame, user_name: str, limit: int =
     )
 
 
+# The default format would cut microseconds.
+EXPORT_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def export_activity(activity: DataFrame, as_of: datetime, path: str, months: int = 1) -> None:
     """Write last month's activity as CSV with a header, replacing earlier files."""
     recent = activity.where(F.col("activity_date") >= date_months_before(as_of, months))
-    recent.write.mode("overwrite").option("header", True).csv(path)
+    recent.write.mode("overwrite").options(**EXPORT_OPTIONS).csv(path)
