@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden.functions.columns import computed_once
 from tracewarden.operators import agent_events as E
 from tracewarden.operators import evaluation as EV
 from tracewarden.operators import judges as J
@@ -130,7 +131,8 @@ def _judge(judge: str) -> Query:
     """Rule verdicts on all responses, taken apart."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        verdict = F.try_parse_json(J.RULES[judge](F.col("user_query"), F.col("agent_response")))
+        raw = J.rule_scorer(_judged(spark, sf_dir)).select("trace_id", J.raw_column(judge))
+        verdict = F.try_parse_json(J.raw_column(judge)).alias("v")
         columns = [
             "trace_id",
             F.try_variant_get("v", "$.score", "double").alias("score"),
@@ -139,7 +141,7 @@ def _judge(judge: str) -> Query:
         if judge in J.LISTS:
             found = F.try_variant_get("v", f"$.{J.LISTS[judge]}", "array<string>")
             columns.append(F.array_join(F.array_sort(found), "|").alias(J.LISTS[judge]))
-        return _judged(spark, sf_dir).select("trace_id", verdict.alias("v")).select(*columns)
+        return computed_once(raw, verdict).select(*columns)
 
     return run
 

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed_once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """``rows`` with costly columns that are evaluated exactly once per row.
+
+    As plain columns they would be copied into every filter and projection above
+    that mentions them (a JSON record parsed four times, a text upper-cased
+    eight times). The optimizer does not copy a generator's output; filters on
+    other columns still pass below it and reach the scan.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def ratio_pct(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part / whole * 100``; NULL where ``whole`` is 0."""
     return F.round(part.cast("double") / F.nullif(whole, F.lit(0)) * 100, digits)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 10_000
@@ -16,45 +15,51 @@ def paged_lists(
     keys: Sequence[str],
     value: str,
     order: Sequence[str],
-    bucket: Column,
     totals: Mapping[str, Column],
     list_name: str,
     page_name: str,
     page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """Sorted lists of ``value`` per ``keys``, cut into pages once they grow long.
+    """Lists of ``value`` per ``keys``, sorted by ``order`` and value, cut into pages.
 
     ``rows`` holds each (keys, value) once, already aggregated. A group with at
-    most ``page_size`` values is one row with page 0. A larger one spreads over
-    several rows, in page order, so no value is dropped and no task gathers the
-    whole group. Page limits come from a per-group histogram over ``bucket``, a
-    column of bounded range that never contradicts ``order`` (second of day for
-    lists ordered by time of day, a hash range where the order is free). The
-    ``totals`` (sums over the rows) repeat on every page.
+    most ``page_size`` values is one row with page 0. A larger one takes several
+    rows; page numbers grow in list order (gaps have no meaning), and ``totals``,
+    aggregates over the group's rows, repeat on each. No value is dropped and no
+    list is longer than ``page_size``.
+
+    Pages are cut from a range-partitioned sort, which spreads a large group, or
+    many values that share one ``order`` value, over as many tasks as it needs.
     """
-    bucketed = rows.withColumn("_bucket", bucket)
-    histogram = bucketed.groupBy(*keys, "_bucket").agg(
-        F.count(value).alias("_n"), *[expr.alias(name) for name, expr in totals.items()]
+    by_position = [*keys, *order, value]
+    # An entry is a whole row, so that both uses of the rows below need the same
+    # columns: Spark then sees one plan and computes and shuffles it once.
+    others = [c for c in rows.columns if c not in by_position]
+    entry = F.struct(*order, F.col(value).alias("_value"), *others)
+    numbered = (
+        rows.repartitionByRange(*by_position)
+        .sortWithinPartitions(*by_position)
+        .select(
+            *keys,
+            F.when(F.col(value).isNotNull(), entry).alias("_entry"),
+            F.floor(F.monotonically_increasing_id() / page_size).alias("_chunk"),
+        )
     )
-    group = W.partitionBy(*keys)
-    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    pages = histogram.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("_bucket").alias("_page_bucket"),
-        F.when(F.sum("_n").over(group) <= page_size, F.lit(0))
-        .otherwise(F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / page_size))
-        .cast("bigint")
-        .alias(page_name),
-        *[F.sum(name).over(group).alias(name) for name in totals],
+    groups = (
+        rows.groupBy(*keys)
+        .agg(
+            F.count(F.when(F.col(value).isNotNull(), entry)).alias("_size"),
+            *[expr.alias(name) for name, expr in totals.items()],
+        )
+        .withColumnsRenamed({k: f"_{k}" for k in keys})
     )
-    same_bucket = F.col("_bucket").eqNullSafe(F.col("_page_bucket"))
+    same_group = F.lit(True)
     for key in keys:
-        same_bucket = same_bucket & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    entry = F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_value")))
+        same_group = same_group & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    page = F.when(F.col("_size") <= page_size, F.lit(0)).otherwise(F.col("_chunk")).cast("bigint")
     return (
-        bucketed.select(*keys, "_bucket", *order, value)
-        .join(pages, same_bucket)
-        .groupBy(*keys, page_name, *totals)
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+        numbered.join(groups, same_group)
+        .groupBy(*keys, page.alias(page_name), *totals)
+        .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
         .select(*keys, *totals, F.col("_entries._value").alias(list_name), page_name)
     )

@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden import schemas
-from tracewarden.functions.columns import count_where, preview, ratio_pct
+from tracewarden.functions.columns import computed_once, count_where, preview, ratio_pct
 from tracewarden.functions.lists import PAGE_SIZE, paged_lists
 
 
 def _parsed(raw_events: DataFrame) -> DataFrame:
-    """Adds the record as a struct ``r``; text that is not JSON gives NULL fields.
-
-    Catalyst narrows the parsed schema to the fields a query uses.
-    """
-    return raw_events.withColumn("r", F.from_json("record", schemas.RECORD))
+    """Adds the record as a struct ``r``; text that is not JSON gives NULL fields."""
+    return computed_once(raw_events, F.from_json("record", schemas.RECORD).alias("r"))
 
 
 def _first_span(field: str) -> Column:
@@ -142,8 +139,8 @@ def agent_feedback_summary(events: DataFrame, page_size: int = PAGE_SIZE) -> Dat
     """Feedback counts, rates and distinct comments per agent and day.
 
     Comments are ordered by first appearance, then text. An agent-day with more
-    than ``page_size`` of them takes several rows (``comment_page`` 0, 1, ...)
-    that repeat the counts; all others are exactly one row.
+    than ``page_size`` of them takes several rows, in the order of
+    ``comment_page``, that repeat the counts; all others are exactly one row.
     """
     aggregates = [expr.alias(name) for name, expr in feedback_counts().items()]
     per_comment = (
@@ -151,13 +148,11 @@ def agent_feedback_summary(events: DataFrame, page_size: int = PAGE_SIZE) -> Dat
         .groupBy("agent_name", "event_date", "feedback_comment")
         .agg(*aggregates, F.min("event_timestamp").alias("first_seen"))
     )
-    seen = F.col("first_seen")
     summary = paged_lists(
         per_comment,
         keys=["agent_name", "event_date"],
         value="feedback_comment",
         order=["first_seen"],
-        bucket=F.hour(seen) * 3600 + F.minute(seen) * 60 + F.second(seen),
         totals={name: F.sum(name) for name in feedback_counts()},
         list_name="feedback_comments",
         page_name="comment_page",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewarden import fixed_values as V
 from tracewarden import schemas
 from tracewarden.functions.clock import dates_before, instant
-from tracewarden.functions.columns import preview
+from tracewarden.functions.columns import computed_once, preview
 from tracewarden.operators.judges import JUDGES, Scorer, raw_column
 
 SAMPLE_SIZE = 100
@@ -61,7 +61,7 @@ def evaluation_parsed(results: DataFrame) -> DataFrame:
     A verdict that is not JSON or has no score gives a NULL score, which counts
     as 0 in the composite and never passes a threshold.
     """
-    parsed = results.withColumns({f"_{judge}": F.try_parse_json(raw_column(judge)) for judge in JUDGES})
+    parsed = computed_once(results, *[F.try_parse_json(raw_column(judge)).alias(f"_{judge}") for judge in JUDGES])
 
     def part(judge: str, path: str, dtype: str) -> Column:
         return F.try_variant_get(f"_{judge}", path, dtype)

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden.functions.clock import days_before
-from tracewarden.functions.columns import active_hours, count_where, matches_any, preview, ratio_pct
+from tracewarden.functions.columns import active_hours, computed_once, count_where, matches_any, preview, ratio_pct
 
 HISTORY_DAYS = 90
 FAILURE_DAYS = 30
 
 
-def ai_function(query_text: Column) -> Column:
-    """Which AI function a query calls; the first listed one wins."""
-    text = F.upper(query_text)
+def ai_function(text: Column) -> Column:
+    """Which AI function an upper-case query calls; the first listed one wins."""
     found = None
     for marker, name in V.AI_FUNCTIONS:
         test = text.contains(marker)
@@ -27,14 +26,19 @@ def ai_function(query_text: Column) -> Column:
 
 def agent_query_history(query_log: DataFrame, as_of: datetime) -> DataFrame:
     """Recent queries that call an AI function or run on an agent warehouse."""
-    text = F.upper("query_text")
+    rows = computed_once(query_log, F.upper("query_text").alias("upper_text"))
+    text = F.col("upper_text")
     first, second = V.AI_QUERY_MARKERS
     relevant = (
         text.contains(first)
         | text.contains(second)
         | matches_any(F.col("warehouse_name"), V.AI_WAREHOUSE_PATTERNS)
     )
-    return query_log.where((F.col("start_time") >= days_before(as_of, HISTORY_DAYS)) & relevant).select(
+    rows = computed_once(
+        rows.where((F.col("start_time") >= days_before(as_of, HISTORY_DAYS)) & relevant),
+        ai_function(text).alias("cortex_function_used"),
+    )
+    return rows.select(
         "query_id",
         "user_name",
         "role_name",
@@ -49,7 +53,7 @@ def agent_query_history(query_log: DataFrame, as_of: datetime) -> DataFrame:
         (F.col("total_elapsed_time") / 1000).alias("elapsed_seconds"),
         "start_time",
         "end_time",
-        ai_function(F.col("query_text")).alias("cortex_function_used"),
+        "cortex_function_used",
     )
 
 

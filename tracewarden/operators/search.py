@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.functions.columns import ascending
+from tracewarden.functions.columns import ascending, computed_once
 from tracewarden.functions.text import tokens
 from tracewarden.operators.agent_events import _conversation_events
 
@@ -110,11 +110,11 @@ def search(
         raise ValueError("the query has no searchable term")
     names = [f"_tf{n}" for n in range(len(terms))]
     words = F.col("_words")
-    measured = corpus.withColumn("_words", tokens(F.col(text_column))).select(
-        *corpus.columns,
+    measured = computed_once(
+        computed_once(corpus, tokens(F.col(text_column)).alias("_words")),
         F.size(words).alias("_length"),
         *[_occurrences(words, term).alias(name) for name, term in zip(names, terms)],
-    )
+    ).drop("_words")
     # One row; Spark evaluates it once and hands it to every task as a constant.
     statistics = measured.agg(
         F.struct(

@@ -14,7 +14,6 @@ from tracewarden.functions.lists import PAGE_SIZE, paged_lists
 
 PERMISSION_DENIED = V.ERROR_CATEGORIES[0][1]
 SUNDAY, SATURDAY = 1, 7
-HASH_BUCKETS = 65_536
 
 
 def failures_by_category(failures: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
@@ -37,8 +36,8 @@ def permission_denials(
 ) -> DataFrame:
     """Denials per user, role and day with the distinct query beginnings.
 
-    Groups with more than ``page_size`` distinct samples take several rows
-    (``sample_page`` 0, 1, ...) that repeat the count.
+    Groups with more than ``page_size`` distinct samples take several rows, in
+    the order of ``sample_page``, that repeat the count.
     """
     denied = failures.where(
         (F.col("error_category") == PERMISSION_DENIED) & (F.col("failure_date") >= dates_before(as_of, days))
@@ -52,7 +51,6 @@ def permission_denials(
         keys=keys,
         value="query_sample",
         order=[],
-        bucket=F.pmod(F.xxhash64("query_sample"), F.lit(HASH_BUCKETS)),
         totals={"denial_count": F.sum("denials")},
         list_name="query_samples",
         page_name="sample_page",
