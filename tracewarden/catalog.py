@@ -227,7 +227,7 @@ def _search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes found through a stored index instead of a scan."""
     corpus = SR.notes_corpus(_notes(spark, sf_dir))
     path = new_folder(spark, "notes-index")
-    SR.write_index(corpus, "note_text", path, buckets=16, files_per_bucket=1)
+    SR.write_index(corpus, "note_text", path, buckets=16)
     return SR.search_postings(
         spark, path, corpus, NOTES_QUERY, ["auditor_name", "severity"], limit=10, buckets=16
     )

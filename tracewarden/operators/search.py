@@ -166,21 +166,14 @@ def corpus_statistics(corpus: DataFrame, text_column: str) -> DataFrame:
     )
 
 
-def write_index(
-    corpus: DataFrame, text_column: str, path: str, buckets: int = TERM_BUCKETS, files_per_bucket: int = 16
-) -> None:
+def write_index(corpus: DataFrame, text_column: str, path: str, buckets: int = TERM_BUCKETS) -> None:
     """Store postings, laid out by term, and the corpus statistics.
 
-    Rows are spread by term and document before the write, so that a term found
-    in a third of the documents is written by several tasks.
+    Rebalancing splits a bucket that is too large for one task, such as that of
+    a term found in a third of the documents.
     """
-    postings = build_postings(corpus, text_column, buckets)
-    (
-        postings.repartition("term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files_per_bucket)))
-        .write.mode("overwrite")
-        .partitionBy("term_bucket")
-        .parquet(f"{path}/postings")
-    )
+    postings = build_postings(corpus, text_column, buckets).hint("rebalance", "term_bucket")
+    postings.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
     corpus_statistics(corpus, text_column).write.mode("overwrite").parquet(f"{path}/statistics")
 
 

@@ -59,8 +59,11 @@ def read_query_log(
 
 
 def write_agent_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store flattened events by date; only the dates present are replaced."""
-    writer = events.write.mode(mode).partitionBy("event_date")
+    """Store flattened events by date; only the dates present are replaced.
+
+    Rebalancing gathers each date into few large files and splits busy dates.
+    """
+    writer = events.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -70,7 +73,7 @@ def read_agent_events(spark: SparkSession, path: str) -> DataFrame:
 
 def write_query_log(query_log: DataFrame, path: str, mode: str = "overwrite") -> None:
     dated = query_log.withColumn("start_date", F.to_date("start_time"))
-    writer = dated.write.mode(mode).partitionBy("start_date")
+    writer = dated.hint("rebalance", "start_date").write.mode(mode).partitionBy("start_date")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

@@ -41,8 +41,20 @@ def _numbered(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+def _spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A table in at least as many partitions as there are cores.
+
+    The small test files are a single row group each, which one core would have
+    to turn into JSON and parse alone. Larger inputs come in enough splits and
+    are left as they are.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _spread(spark, f"{sf_dir}/events.parquet", "event_id")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
@@ -148,7 +160,8 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # Collecting reduces nothing before the shuffle, so rows are spread by order first.
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey")
     line = F.col("l_linenumber")
 
     def columns(*names: str) -> Column:
