@@ -114,7 +114,7 @@ def _safety(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
 def _comprehensiveness(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
     """Distinct words of the response against three times those of the query."""
     asked, said = facts["asked"], F.size(facts["said"])
-    score = F.least(F.lit(1.0), _share(said, 3 * F.size(asked)))
+    score = F.when(F.size(asked) > 0, F.least(F.lit(1.0), _share(said, 3 * F.size(asked))))
     return score, F.concat(said.cast("string"), F.lit(" distinct words")), F.array_except(asked, facts["said"])
 
 

@@ -53,7 +53,7 @@ def read_query_log(
     """The query log; ``since`` prunes the date partitions :func:`write_query_log` made."""
     schema = schemas.QUERY_LOG
     if since is None:
-        return _read(spark, path, schema, file_format)
+        return _read(spark, path, schema, file_format).select(*schema.names)
     dated = T.StructType(schema.fields + [T.StructField("start_date", T.DateType())])
     return _read(spark, path, dated, file_format).where(F.col("start_date") >= F.lit(since)).drop("start_date")
 
