@@ -149,7 +149,7 @@ def test_lineage_is_outer_on_both_arrays(spark, as_of):
         ("Q2", "", ""),
     ]
     assert LN.data_access_lineage(queries, accesses, as_of, dedup=True).count() == 4
-    sources = LN.source_accesses(queries, accesses, as_of)
+    sources = LN.source_accesses(queries, accesses, as_of, with_columns=True)
     assert sources.selectExpr("sum(fanout)").head()[0] == lineage.count()
     columns = access.column_access(sources, as_of, "%.%").collect()
     assert {(r.source_table, r.column_accessed, r.access_count) for r in columns} == {

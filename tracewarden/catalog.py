@@ -15,7 +15,7 @@ from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
-from tracewarden.plans import access, activity, behaviour, jobs, quality, security
+from tracewarden.plans import access, activity, behaviour, jobs, quality, security, sql_views
 from tracewarden.plans import metric_model as M
 from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
@@ -61,6 +61,12 @@ def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _accesses_with_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LN.source_accesses(
+        sample_logs.query_log(spark, sf_dir), sample_logs.access_log(spark, sf_dir), AS_OF, with_columns=True
+    )
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.eval_conversations(sample_logs.raw_events(spark, sf_dir))
 
@@ -248,6 +254,16 @@ def _month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql(text: str) -> Query:
+    """SQL over the registered views and table functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql_views.register_views(spark, sample_logs.audit_logs(spark, sf_dir), AS_OF)
+        return spark.sql(text)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
     # relations
     "agent_events_flattened": _events,
@@ -281,7 +297,7 @@ QUERIES: dict[str, Query] = {
     # data access
     "top_accessed_tables": over(_accesses, access.top_accessed_tables, AS_OF),
     "sensitive_table_access": over(_accesses, access.sensitive_table_access),
-    "column_access": over(_accesses, access.column_access, AS_OF, TABLE_PATTERN),
+    "column_access": over(_accesses_with_columns, access.column_access, AS_OF, TABLE_PATTERN),
     "weekly_access_report": over(_accesses, access.weekly_access_report, AS_OF),
     "investigate_user_access": over(_accesses, access.investigate_user_access, SERVICE_USER),
     # users, roles and functions
@@ -329,6 +345,15 @@ QUERIES: dict[str, Query] = {
     "critical_issues": _critical_issues,
     "groundedness_issues": _groundedness_issues,
     "evaluation_trend": over(_parsed, quality.evaluation_trend),
+    # SQL
+    "sql_get_agent_events": sql(f"SELECT * FROM get_agent_events('{AGENT}')"),
+    "sql_get_feedback_summary": sql("SELECT * FROM get_feedback_summary(NULL, 30)"),
+    "sql_daily_conversations": sql(
+        """SELECT agent_name, event_date, count(DISTINCT thread_id) AS conversations,
+             count(DISTINCT user_name) AS unique_users, count(*) AS total_events
+           FROM agent_events_flattened WHERE event_date >= DATE '2024-01-31' - INTERVAL 30 DAY
+           GROUP BY agent_name, event_date ORDER BY event_date DESC, conversations DESC"""
+    ),
     # jobs and streams
     "weekly_evaluation": _weekly_evaluation,
     "critical_alert": _critical_alert,

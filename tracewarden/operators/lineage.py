@@ -12,8 +12,20 @@ from tracewarden.functions.clock import days_before
 from tracewarden.operators.query_log import HISTORY_DAYS
 
 
-def _accesses(query_log: DataFrame, access_log: DataFrame, as_of: datetime) -> DataFrame:
-    """Successful recent queries with their access record (both keyed by query).
+def _sources(with_columns: bool) -> Column:
+    """Source objects of a query as an array of just the fields in use.
+
+    Zipping field by field, unlike exploding the whole objects, lets the scan
+    leave out the nested fields that are not named (the column lists above all).
+    """
+    fields = {"objectName": "source_table", "objectDomain": "source_type"}
+    if with_columns:
+        fields["columns"] = "columns_accessed"
+    return F.arrays_zip(*[F.col(f"base_objects_accessed.{f}").alias(n) for f, n in fields.items()])
+
+
+def _accesses(query_log: DataFrame, accesses: DataFrame, as_of: datetime) -> DataFrame:
+    """Successful recent queries with what they accessed (both keyed by query).
 
     Both sides are cut down before the join. Neither is hinted: the logs grow
     with the platform, so the strategy is left to statistics and AQE, which also
@@ -30,41 +42,29 @@ def _accesses(query_log: DataFrame, access_log: DataFrame, as_of: datetime) -> D
         "rows_produced",
         "bytes_scanned",
     )
-    return queries.join(access_log, "query_id")
+    return queries.join(accesses, "query_id")
+
+
+QUERY_COLUMNS = ("query_id", "user_name", "role_name", "access_time", "rows_produced", "bytes_scanned")
 
 
-def source_accesses(query_log: DataFrame, access_log: DataFrame, as_of: datetime) -> DataFrame:
+def source_accesses(
+    query_log: DataFrame, access_log: DataFrame, as_of: datetime, with_columns: bool = False
+) -> DataFrame:
     """One row per query and source object, with the number of pairs it stands for.
 
     The lineage relation pairs every source object with every target object.
     Reports that never look at the target need only how many pairs there are, so
-    ``fanout`` carries that number instead of repeating the rows.
+    ``fanout`` carries that number instead of repeating the rows. The accessed
+    columns are read from storage only ``with_columns``.
     """
-    return (
-        _accesses(query_log, access_log, as_of)
-        .select(
-            "query_id",
-            "user_name",
-            "role_name",
-            "access_time",
-            "rows_produced",
-            "bytes_scanned",
-            F.greatest(F.size("direct_objects_accessed"), F.lit(1)).cast("bigint").alias("fanout"),
-            F.explode_outer("base_objects_accessed").alias("source"),
-        )
-        .select(
-            "query_id",
-            "user_name",
-            "role_name",
-            "access_time",
-            F.col("source.objectName").alias("source_table"),
-            F.col("source.objectDomain").alias("source_type"),
-            F.col("source.columns").alias("columns_accessed"),
-            "rows_produced",
-            "bytes_scanned",
-            "fanout",
-        )
+    targets = F.size("direct_objects_accessed.objectName")
+    accesses = access_log.select(
+        "query_id",
+        F.greatest(targets, F.lit(1)).cast("bigint").alias("fanout"),
+        _sources(with_columns).alias("sources"),
     )
+    return _accesses(query_log, accesses, as_of).select(*QUERY_COLUMNS, "fanout", F.inline_outer("sources"))
 
 
 def data_access_lineage(
@@ -76,24 +76,17 @@ def data_access_lineage(
     that counts and sums are not repeated per target.
     """
     if dedup:
-        return source_accesses(query_log, access_log, as_of).drop("fanout")
+        return source_accesses(query_log, access_log, as_of, with_columns=True).drop("fanout")
+    accesses = access_log.select(
+        "query_id",
+        _sources(with_columns=True).alias("sources"),
+        F.col("direct_objects_accessed.objectName").alias("targets"),
+    )
     return (
-        _accesses(query_log, access_log, as_of)
-        .withColumn("targets", F.col("direct_objects_accessed.objectName"))
-        .select("*", F.explode_outer("base_objects_accessed").alias("source"))
+        _accesses(query_log, accesses, as_of)
+        .select(*QUERY_COLUMNS, "targets", F.inline_outer("sources"))
         .select("*", F.explode_outer("targets").alias("target_object"))
-        .select(
-            "query_id",
-            "user_name",
-            "role_name",
-            "access_time",
-            F.col("source.objectName").alias("source_table"),
-            F.col("source.objectDomain").alias("source_type"),
-            F.col("source.columns").alias("columns_accessed"),
-            "target_object",
-            "rows_produced",
-            "bytes_scanned",
-        )
+        .drop("targets")
     )
 
 

@@ -187,7 +187,11 @@ def search_postings(
     limit: int = 10,
     buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
-    """Like :func:`search`, reading only the postings of the query's terms."""
+    """Like :func:`search`, reading only the postings of the query's terms.
+
+    Texts and attributes are fetched for the ``limit`` best documents only; a
+    filter looks at its own columns of the corpus and nothing else.
+    """
     terms = query_terms(query)
     if not terms:
         raise ValueError("the query has no searchable term")
@@ -212,13 +216,12 @@ def search_postings(
         .groupBy("doc_id")
         .agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
     )
-    return (
-        corpus.where(_matching(filter))
-        .join(scores, "doc_id")
-        .select("doc_id", *columns, "score")
-        .orderBy(F.col("score").desc(), ascending("doc_id"))
-        .limit(limit)
-    )
+    if filter:
+        scores = scores.join(corpus.where(_matching(filter)).select("doc_id"), "doc_id", "left_semi")
+    ranking = [F.col("score").desc(), ascending("doc_id")]
+    best = scores.orderBy(*ranking).limit(limit)
+    # At most ``limit`` rows are broadcast.
+    return corpus.join(F.broadcast(best), "doc_id").select("doc_id", *columns, "score").orderBy(*ranking)
 
 
 def search_policies(

@@ -853,3 +853,9 @@ STATEMENTS: dict[str, str] = {
         "parsed_all",
     ),
 }
+for _name, _same_as in (
+    ("sql_get_agent_events", "get_agent_events"),
+    ("sql_get_feedback_summary", "get_feedback_summary"),
+    ("sql_daily_conversations", "daily_conversations"),
+):
+    STATEMENTS[_name] = STATEMENTS[_same_as]

@@ -80,7 +80,8 @@ def groundedness_issues(parsed: DataFrame) -> DataFrame:
             "groundedness_flags",
             "event_timestamp",
         )
-        .orderBy(ascending("groundedness_score"))
+        # The time spreads the many rows that may share a score over the sort's tasks.
+        .orderBy(ascending("groundedness_score"), descending("event_timestamp"))
     )
 
 

@@ -39,8 +39,12 @@ def read_raw_events(spark: SparkSession, path: str, file_format: str = "parquet"
     return _read(spark, path, schemas.RAW_EVENTS, file_format)
 
 
-def stream_raw_events(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    return spark.readStream.format(file_format).schema(schemas.RAW_EVENTS).load(path)
+def stream_raw_events(
+    spark: SparkSession, path: str, file_format: str = "parquet", files_per_batch: int = 10_000
+) -> DataFrame:
+    """New telemetry files as a stream; a backlog is worked off in bounded batches."""
+    reader = spark.readStream.format(file_format).schema(schemas.RAW_EVENTS)
+    return reader.option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
 def read_access_log(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
