@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewarden import schemas
 from tracewarden.functions.columns import computed_once
 from tracewarden.operators import agent_events as E
 from tracewarden.operators import evaluation as EV
@@ -219,6 +220,26 @@ def _corpus_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/corpus")
 
 
+def _policy_corpus_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "policy-corpus")
+    _policies(spark, sf_dir).write.parquet(f"{folder}/policies")
+    arriving = spark.readStream.schema(schemas.POLICIES).parquet(f"{folder}/policies")
+    refresh.refresh_policy_corpus(
+        arriving, f"{folder}/corpus", f"{folder}/checkpoint", interval=None
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/corpus")
+
+
+def _notes_corpus_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "notes-corpus")
+    _notes(spark, sf_dir).write.parquet(f"{folder}/notes")
+    arriving = spark.readStream.schema(schemas.NOTES).parquet(f"{folder}/notes")
+    refresh.refresh_notes_corpus(
+        arriving, f"{folder}/corpus", f"{folder}/checkpoint", interval=None
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/corpus")
+
+
 def _agent_events_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily conversations out of events that a stream flattened and stored."""
     folder = new_folder(spark, "events")
@@ -359,5 +380,7 @@ QUERIES: dict[str, Query] = {
     "critical_alert": _critical_alert,
     "critical_alert_stream": _critical_alert_stream,
     "corpus_refresh": _corpus_refresh,
+    "policy_corpus_refresh": _policy_corpus_refresh,
+    "notes_corpus_refresh": _notes_corpus_refresh,
     "agent_events_refresh": _agent_events_refresh,
 }

@@ -854,6 +854,8 @@ STATEMENTS: dict[str, str] = {
     ),
 }
 for _name, _same_as in (
+    ("policy_corpus_refresh", "policy_corpus"),
+    ("notes_corpus_refresh", "notes_corpus"),
     ("sql_get_agent_events", "get_agent_events"),
     ("sql_get_feedback_summary", "get_feedback_summary"),
     ("sql_daily_conversations", "daily_conversations"),

@@ -1,4 +1,4 @@
-"""Keeps flattened events and the search corpus up to date with new telemetry.
+"""Keeps flattened events and the search corpora up to date with what arrives.
 
 The transformations are the batch ones; Structured Streaming adds which files
 are new. Each micro-batch is appended to the sink exactly once, by the checkpoint
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewarden.operators.agent_events import agent_events_flattened
-from tracewarden.operators.search import conversation_corpus
+from tracewarden.operators.search import conversation_corpus, notes_corpus, policy_corpus
 
 
 def _append(rows: DataFrame, path: str, checkpoint: str, interval: str | None, partitions: tuple[str, ...] = ()) -> StreamingQuery:
@@ -35,3 +35,17 @@ def refresh_conversation_corpus(
 ) -> StreamingQuery:
     """Append new conversations to the search corpus, hourly by default."""
     return _append(conversation_corpus(agent_events_flattened(raw_stream)), path, checkpoint, interval)
+
+
+def refresh_policy_corpus(
+    policy_stream: DataFrame, path: str, checkpoint: str, interval: str | None = "1 day"
+) -> StreamingQuery:
+    """Append new policies to the search corpus, daily by default."""
+    return _append(policy_corpus(policy_stream), path, checkpoint, interval)
+
+
+def refresh_notes_corpus(
+    note_stream: DataFrame, path: str, checkpoint: str, interval: str | None = "1 hour"
+) -> StreamingQuery:
+    """Append new audit notes to the search corpus, hourly by default."""
+    return _append(notes_corpus(note_stream), path, checkpoint, interval)
