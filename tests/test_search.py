@@ -71,14 +71,19 @@ def test_query_without_terms(corpus):
 
 def test_index_gives_the_same_ranking(spark, corpus):
     path = new_folder(spark, "index")
-    S.write_index(corpus, "body", path, buckets=4)
+    # Two batches, the second of which is written twice.
+    S.index_documents(corpus.where("parity = 'odd'"), "body", path, 0, buckets=4)
+    for _ in range(2):
+        S.index_documents(corpus.where("parity = 'even'"), "body", path, 1, buckets=4)
     for query in ("data access security", "denied", "unknown access"):
         assert found(S.search_postings(spark, path, corpus, query, [], limit=10, buckets=4)) == brute_force(query)
+    even = S.search_postings(spark, path, corpus, "data access", ["parity"], {"parity": "even"}, 10, buckets=4)
+    assert found(even) == brute_force("data access", lambda d: int(d[1]) % 2 == 0)
 
 
 def test_index_reads_only_the_buckets_of_the_terms(spark, corpus):
     path = new_folder(spark, "index")
-    S.write_index(corpus, "body", path, buckets=64)
+    S.index_documents(corpus, "body", path, buckets=64)
     plan = S.search_postings(spark, path, corpus, "denied", [], buckets=64)._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", plan)
 

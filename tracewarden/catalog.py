@@ -251,12 +251,17 @@ def _agent_events_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes found through a stored index instead of a scan."""
+    """Notes found through an index that a stream built, instead of a scan."""
+    folder = new_folder(spark, "notes-index")
     corpus = SR.notes_corpus(_notes(spark, sf_dir))
-    path = new_folder(spark, "notes-index")
-    SR.write_index(corpus, "note_text", path, buckets=16)
+    corpus.write.parquet(f"{folder}/corpus")
+    arriving = spark.readStream.schema(corpus.schema).parquet(f"{folder}/corpus")
+    refresh.refresh_index(
+        arriving, "note_text", f"{folder}/index", f"{folder}/checkpoint", interval=None, buckets=16
+    ).awaitTermination()
+    stored = spark.read.parquet(f"{folder}/corpus")
     return SR.search_postings(
-        spark, path, corpus, NOTES_QUERY, ["auditor_name", "severity"], limit=10, buckets=16
+        spark, f"{folder}/index", stored, NOTES_QUERY, ["auditor_name", "severity"], limit=10, buckets=16
     )
 
 

@@ -2,9 +2,9 @@
 
 Ranking is BM25 (Robertson & Zaragoza 2009). :func:`search` scores a corpus
 directly: no shuffle, since term counts and lengths are per row and the corpus
-statistics are one small aggregate. :func:`build_postings` and
-:func:`search_postings` serve repeated searches over a stored index that is read
-only for the terms asked for.
+statistics are one small aggregate. :func:`index_documents` and
+:func:`search_postings` serve repeated searches over a stored index, which grows
+by batches of new documents and is read only for the terms asked for.
 """
 
 from __future__ import annotations
@@ -159,22 +159,26 @@ def build_postings(corpus: DataFrame, text_column: str, buckets: int = TERM_BUCK
     )
 
 
-def corpus_statistics(corpus: DataFrame, text_column: str) -> DataFrame:
-    return corpus.agg(
-        F.count(F.lit(1)).alias("documents"),
-        F.avg(F.size(tokens(F.col(text_column)))).alias("mean_length"),
-    )
+def index_documents(
+    corpus: DataFrame, text_column: str, path: str, batch: int = 0, buckets: int = TERM_BUCKETS
+) -> None:
+    """Add documents to a stored index: postings laid out by term, and statistics.
 
+    A batch replaces what an earlier attempt at it wrote, so it can be repeated;
+    each document belongs to one batch. Rebalancing splits a bucket that is too
+    large for one task, such as that of a term found in a third of the documents.
+    """
+    postings = build_postings(corpus, text_column, buckets).withColumn("batch", F.lit(batch).cast("bigint"))
+    _replace_batch(postings.hint("rebalance", "term_bucket"), f"{path}/postings", "batch", "term_bucket")
+    statistics = corpus.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.size(tokens(F.col(text_column)))).alias("tokens")
+    ).withColumn("batch", F.lit(batch).cast("bigint"))
+    _replace_batch(statistics, f"{path}/statistics", "batch")
 
-def write_index(corpus: DataFrame, text_column: str, path: str, buckets: int = TERM_BUCKETS) -> None:
-    """Store postings, laid out by term, and the corpus statistics.
 
-    Rebalancing splits a bucket that is too large for one task, such as that of
-    a term found in a third of the documents.
-    """
-    postings = build_postings(corpus, text_column, buckets).hint("rebalance", "term_bucket")
-    postings.write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
-    corpus_statistics(corpus, text_column).write.mode("overwrite").parquet(f"{path}/statistics")
+def _replace_batch(rows: DataFrame, path: str, *partitions: str) -> None:
+    writer = rows.write.mode("overwrite").partitionBy(*partitions)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def search_postings(
@@ -200,9 +204,10 @@ def search_postings(
     for term in terms:
         in_buckets = (F.col("term_bucket") == _bucket(F.lit(term), buckets)) | in_buckets
     postings = spark.read.parquet(f"{path}/postings").where(in_buckets & asked)
+    # One row per batch, added up to one row in all.
     statistics = spark.read.parquet(f"{path}/statistics")
-    documents = statistics.select("documents").scalar()
-    mean_length = statistics.select("mean_length").scalar()
+    documents = statistics.agg(F.sum("documents")).scalar()
+    mean_length = statistics.agg(F.sum("tokens") / F.sum("documents")).scalar()
     # One row per query term, a handful, whatever the size of the corpus.
     containing = postings.groupBy("term").agg(F.count(F.lit(1)).alias("containing"))
     score = term_score(

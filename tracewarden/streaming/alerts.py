@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracewarden import fixed_values as V
 from tracewarden.operators.evaluation import evaluation_parsed
+from tracewarden.streaming.refresh import scheduled
 
 LATENESS = "1 hour"
 WINDOW = "1 hour"
@@ -60,9 +61,7 @@ def watch_critical(
             notify(changed.sparkSession.read.schema(changed.schema).parquet(folder))
 
     writer = critical_windows(result_stream).writeStream.outputMode("update").foreachBatch(record)
-    writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.start()
+    return scheduled(writer, checkpoint, interval).start()
 
 
 def recorded_alerts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,19 +8,31 @@ and the file sink's log.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tracewarden.operators.agent_events import agent_events_flattened
-from tracewarden.operators.search import conversation_corpus, notes_corpus, policy_corpus
+from tracewarden.operators.search import (
+    TERM_BUCKETS,
+    conversation_corpus,
+    index_documents,
+    notes_corpus,
+    policy_corpus,
+)
 
 
-def _append(rows: DataFrame, path: str, checkpoint: str, interval: str | None, partitions: tuple[str, ...] = ()) -> StreamingQuery:
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+def scheduled(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
+    """Without an interval: take in everything that has arrived, then stop."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+
+
+def _append(
+    rows: DataFrame, path: str, checkpoint: str, interval: str | None, partitions: tuple[str, ...] = ()
+) -> StreamingQuery:
+    writer = rows.writeStream.format("parquet").outputMode("append")
     if partitions:
         writer = writer.partitionBy(*partitions)
-    # Without an interval: take in everything that has arrived, then stop.
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.start(path)
+    return scheduled(writer, checkpoint, interval).start(path)
 
 
 def refresh_agent_events(
@@ -49,3 +61,19 @@ def refresh_notes_corpus(
 ) -> StreamingQuery:
     """Append new audit notes to the search corpus, hourly by default."""
     return _append(notes_corpus(note_stream), path, checkpoint, interval)
+
+
+def refresh_index(
+    corpus_stream: DataFrame,
+    text_column: str,
+    path: str,
+    checkpoint: str,
+    interval: str | None = "1 hour",
+    buckets: int = TERM_BUCKETS,
+) -> StreamingQuery:
+    """Add new documents to a stored search index, a batch of it per micro-batch."""
+
+    def add(documents: DataFrame, batch_id: int) -> None:
+        index_documents(documents, text_column, path, batch_id, buckets)
+
+    return scheduled(corpus_stream.writeStream.foreachBatch(add), checkpoint, interval).start()
