@@ -48,7 +48,7 @@ def agent_events_flattened(raw_events: DataFrame) -> DataFrame:
             _first_span("output").alias("span_output"),
             F.round(duration).cast("bigint").alias("span_duration_ms"),
             F.get_json_object("record", "$.spans").alias("all_spans"),
-            F.size("r.spans").cast("bigint").alias("span_count"),
+            F.array_size("r.spans").cast("bigint").alias("span_count"),
             positive.alias("feedback_positive"),
             F.col("r.feedback.comment").alias("feedback_comment"),
             F.when(is_feedback & positive, V.POSITIVE)

@@ -83,7 +83,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 def _groundedness(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
     """Share of the numbers in the response that its citation phrases could cover."""
-    cited, stated = facts["cited"], F.size(facts["claims"])
+    cited, stated = facts["cited"], F.array_size(facts["claims"])
     score = F.when(stated == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), _share(cited, stated)))
     reasoning = F.concat(cited.cast("string"), F.lit(" citations for "), stated.cast("string"), F.lit(" numbers"))
     flagged = F.when(cited < stated, F.array_distinct(facts["claims"])).otherwise(F.array().cast("array<string>"))
@@ -92,7 +92,7 @@ def _groundedness(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
 
 def _relevance(facts: Mapping[str, Column]) -> tuple[Column, Column, None]:
     """Share of the query's words that the response takes up."""
-    shared, asked = F.size(F.array_intersect(facts["asked"], facts["said"])), F.size(facts["asked"])
+    shared, asked = F.array_size(F.array_intersect(facts["asked"], facts["said"])), F.array_size(facts["asked"])
     reasoning = F.concat(shared.cast("string"), F.lit(" of "), asked.cast("string"), F.lit(" words taken up"))
     return _share(shared, asked), reasoning, None
 
@@ -108,13 +108,13 @@ def _safety(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
     for hit, deduction, _ in checks:
         score = score - F.when(hit, deduction).otherwise(0.0)
     issues = F.array_compact(F.array(*[F.when(hit, issue) for hit, _, issue in checks]))
-    return F.greatest(F.lit(0.0), score), F.concat(F.size(issues).cast("string"), F.lit(" issues found")), issues
+    return F.greatest(F.lit(0.0), score), F.concat(F.array_size(issues).cast("string"), F.lit(" issues found")), issues
 
 
 def _comprehensiveness(facts: Mapping[str, Column]) -> tuple[Column, Column, Column]:
     """Distinct words of the response against three times those of the query."""
-    asked, said = facts["asked"], F.size(facts["said"])
-    score = F.when(F.size(asked) > 0, F.least(F.lit(1.0), _share(said, 3 * F.size(asked))))
+    asked, said = facts["asked"], F.array_size(facts["said"])
+    score = F.when(F.array_size(asked) > 0, F.least(F.lit(1.0), _share(said, 3 * F.array_size(asked))))
     return score, F.concat(said.cast("string"), F.lit(" distinct words")), F.array_except(asked, facts["said"])
 
 

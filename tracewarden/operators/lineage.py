@@ -58,7 +58,7 @@ def source_accesses(
     ``fanout`` carries that number instead of repeating the rows. The accessed
     columns are read from storage only ``with_columns``.
     """
-    targets = F.size("direct_objects_accessed.objectName")
+    targets = F.array_size("direct_objects_accessed.objectName")
     accesses = access_log.select(
         "query_id",
         F.greatest(targets, F.lit(1)).cast("bigint").alias("fanout"),

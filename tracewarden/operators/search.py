@@ -82,7 +82,7 @@ def term_score(idf: Column, frequency: Column, length: Column, mean_length: Colu
 
 
 def _occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda word: word == F.lit(term)))
+    return F.array_size(F.filter(words, lambda word: word == F.lit(term)))
 
 
 def _matching(filters: Mapping[str, object] | None) -> Column:
@@ -112,7 +112,7 @@ def search(
     words = F.col("_words")
     measured = computed_once(
         computed_once(corpus, tokens(F.col(text_column)).alias("_words")),
-        F.size(words).alias("_length"),
+        F.array_size(words).alias("_length"),
         *[_occurrences(words, term).alias(name) for name, term in zip(names, terms)],
     ).drop("_words")
     # One row; Spark evaluates it once and hands it to every task as a constant.
@@ -152,7 +152,7 @@ def build_postings(corpus: DataFrame, text_column: str, buckets: int = TERM_BUCK
     """One row per document and term: term frequency and document length."""
     words = corpus.select("doc_id", tokens(F.col(text_column)).alias("_words"))
     return (
-        words.select("doc_id", F.size("_words").alias("doc_length"), F.explode("_words").alias("term"))
+        words.select("doc_id", F.array_size("_words").alias("doc_length"), F.explode("_words").alias("term"))
         .groupBy("doc_id", "doc_length", "term")
         .agg(F.count(F.lit(1)).alias("frequency"))
         .withColumn("term_bucket", _bucket(F.col("term"), buckets))
@@ -171,7 +171,7 @@ def index_documents(
     postings = build_postings(corpus, text_column, buckets).withColumn("batch", F.lit(batch).cast("bigint"))
     _replace_batch(postings.hint("rebalance", "term_bucket"), f"{path}/postings", "batch", "term_bucket")
     statistics = corpus.agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.size(tokens(F.col(text_column)))).alias("tokens")
+        F.count(F.lit(1)).alias("documents"), F.sum(F.array_size(tokens(F.col(text_column)))).alias("tokens")
     ).withColumn("batch", F.lit(batch).cast("bigint"))
     _replace_batch(statistics, f"{path}/statistics", "batch")
 

@@ -40,9 +40,10 @@ TABLE_FUNCTIONS = (
 )
 
 
-def audit_views(logs: AuditLogs, as_of: datetime) -> dict[str, DataFrame]:
-    """All audit relations by name."""
-    events = E.agent_events_flattened(logs.raw_events)
+def audit_views(logs: AuditLogs, as_of: datetime, events: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All audit relations by name, over stored flattened ``events`` if there are any."""
+    if events is None:
+        events = E.agent_events_flattened(logs.raw_events)
     return {
         "agent_events_flattened": events,
         "agent_conversations": E.agent_conversations(events),
@@ -56,9 +57,11 @@ def audit_views(logs: AuditLogs, as_of: datetime) -> dict[str, DataFrame]:
     }
 
 
-def register_views(spark: SparkSession, logs: AuditLogs, as_of: datetime) -> None:
+def register_views(
+    spark: SparkSession, logs: AuditLogs, as_of: datetime, events: DataFrame | None = None
+) -> None:
     """Make the relations and the two table functions available to ``spark.sql``."""
-    for name, relation in audit_views(logs, as_of).items():
+    for name, relation in audit_views(logs, as_of, events).items():
         relation.createOrReplaceTempView(name)
     for function in TABLE_FUNCTIONS:
         spark.sql(function.format(as_of=as_of.isoformat(sep=" ")))

@@ -30,7 +30,10 @@ def add_policies(policies: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def add_audit_notes(notes: DataFrame, as_of: datetime) -> DataFrame:
-    """New notes in the table's shape: generated id, severity INFO, dated ``as_of``."""
+    """New notes in the table's shape: generated id, severity INFO, dated ``as_of``.
+
+    Store the result before using it twice: ids are drawn anew in each plan.
+    """
     return _in_shape(
         notes,
         schemas.NOTES,
