@@ -32,6 +32,20 @@ ERROR_CODES = (1003, 2003, 3001, 2043, 2140, 100132, 100183, 100051, 100052, 604
 SOURCE_TABLES = ("DB.HEALTH.CLAIMS", "DB.HEALTH.PATIENT_MASTER", "DB.PHI.RECORDS", "DB.SALES.ORDERS", "DB.SALES.PARTS")
 NO_VERDICT = "I cannot judge this."
 
+# Columns used of the given tables.
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
+
 
 def _pick(values: tuple, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -41,26 +55,24 @@ def _numbered(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
-def _spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """A table in at least as many partitions as there are cores.
+def _spread(table: DataFrame, key: str) -> DataFrame:
+    """The table in at least as many partitions as there are cores.
 
     The small test files are a single row group each, which one core would have
     to turn into JSON and parse alone. Larger inputs come in enough splits and
     are left as they are.
     """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
+    cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _spread(spark, f"{sf_dir}/events.parquet", "event_id")
+    events = _spread(_table(spark, sf_dir, "events"), "event_id")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _first_turns(turns: DataFrame) -> DataFrame:
     """First user and first assistant text of each conversation."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
     def first(role: str) -> Column:
         said = F.col("role") == role
@@ -74,12 +86,12 @@ def _first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = _table(spark, sf_dir, "conversations")
     conversation_count = turns.agg(F.max("conv_id") + 1).scalar()
     events = (
         _events(spark, sf_dir)
         .withColumn("conv_id", i % conversation_count)
-        .join(_first_turns(spark, sf_dir), "conv_id", "left")
+        .join(_first_turns(turns), "conv_id", "left")
     )
     is_view, is_click, is_purchase = kind == "view", kind == "click", kind == "purchase"
     is_signup, is_error = kind == "signup", kind == "error"
@@ -159,9 +171,9 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = _table(spark, sf_dir, "orders")
     # Collecting reduces nothing before the shuffle, so rows are spread by order first.
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey")
+    lines = _table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     line = F.col("l_linenumber")
 
     def columns(*names: str) -> Column:
@@ -212,7 +224,7 @@ def recorded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
             fields.append(found.alias(list_name))
         return F.when(i % 13 == 0, NO_VERDICT).otherwise(F.to_json(F.struct(*fields)))
 
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return _table(spark, sf_dir, "events").select(
         _numbered("TR", i).alias("trace_id"),
         verdict(score(37, 60), "flagged_claims").alias("groundedness_raw"),
         verdict(F.when(i % 17 != 0, score(53, 60))).alias("relevance_raw"),
@@ -223,7 +235,7 @@ def recorded_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policies(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
     """Seed policies and one policy per document."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    documents = _table(spark, sf_dir, "documents").select(
         _numbered("DOC-", F.col("doc_id")).alias("policy_id"),
         F.col("source").alias("policy_name"),
         F.col("lang").alias("policy_category"),
@@ -236,9 +248,8 @@ def policies(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
     """One audit note per labelled document."""
     doc = F.col("doc_id")
-    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet").join(
-        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"
-    )
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = _table(spark, sf_dir, "labels").join(documents, "doc_id")
     return add_audit_notes(
         labelled.select(
             _numbered("N", doc).alias("note_id"),
