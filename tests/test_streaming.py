@@ -2,12 +2,21 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from tracewarden import schemas
 from tracewarden.operators.agent_events import agent_events_flattened
 from tracewarden.operators.search import conversation_corpus
 from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
-from tracewarden.sources.logs import read_agent_events, read_query_log, stream_raw_events, write_agent_events, write_query_log
+from tracewarden.sources.logs import (
+    read_agent_events,
+    read_query_log,
+    read_raw_events,
+    stream_raw_events,
+    write_agent_events,
+    write_query_log,
+)
 from tracewarden.streaming import alerts, refresh
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,7 +63,11 @@ def test_streamed_events_equal_batch_events(spark):
 def test_stored_events_prune_by_date(spark):
     folder = new_folder(spark, "events")
     events = agent_events_flattened(sample_logs.raw_events(spark, SF_DIR))
-    write_agent_events(events, folder)
+    write_agent_events(events, folder, mixed_dates=True)
+    files = {}
+    for path in read_agent_events(spark, folder).inputFiles():
+        files.setdefault(path.split("/")[-2], []).append(path)
+    assert len(files) == 30 and all(len(paths) == 1 for paths in files.values())
     write_agent_events(events.where("event_date = '2024-01-05'"), folder)  # replaces that day only
     stored = read_agent_events(spark, folder)
     same(stored, events)
@@ -62,6 +75,18 @@ def test_stored_events_prune_by_date(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan
 
 
+def test_logs_as_json_lines(spark, tmp_path):
+    (tmp_path / "events.json").write_text(
+        '{"timestamp": "2024-01-30T10:00:00", "record": {"agent_type": "CORTEX AGENT", "name": "N", "spans": []}}\n'
+        '{"timestamp": "2024-01-30T11:00:00", "record": null}\n'
+    )
+    raw = read_raw_events(spark, str(tmp_path), "json")
+    (row,) = agent_events_flattened(raw).collect()
+    assert (row.event_type, row.span_count, row.event_hour) == ("N", 0, 10)
+    with pytest.raises(ValueError, match="unknown log format"):
+        read_raw_events(spark, str(tmp_path), "xml")
+
+
 def test_stored_query_log_prunes_by_date(spark):
     folder = new_folder(spark, "queries")
     log = sample_logs.query_log(spark, SF_DIR)

@@ -62,23 +62,36 @@ def read_query_log(
     return _read(spark, path, dated, file_format).where(F.col("start_date") >= F.lit(since)).drop("start_date")
 
 
-def write_agent_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store flattened events by date; only the dates present are replaced.
+def _write_by_date(rows: DataFrame, path: str, date_column: str, mode: str, mixed_dates: bool) -> None:
+    """Replace (or append to) the dates present, and only those.
 
-    Rebalancing gathers each date into few large files and splits busy dates.
+    Log files arrive in time order, so a task holds few dates and writes them
+    without a shuffle. For input with ``mixed_dates``, rebalancing first gathers
+    each date into few large files and splits busy dates.
     """
-    writer = events.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date")
+    if mixed_dates:
+        rows = rows.hint("rebalance", date_column)
+    writer = rows.write.mode(mode).partitionBy(date_column)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_agent_events(
+    events: DataFrame, path: str, mode: str = "overwrite", mixed_dates: bool = False
+) -> None:
+    """Store flattened events by date."""
+    _write_by_date(events, path, "event_date", mode, mixed_dates)
+
+
 def read_agent_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_query_log(query_log: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_query_log(
+    query_log: DataFrame, path: str, mode: str = "overwrite", mixed_dates: bool = False
+) -> None:
+    """Store the query log by the date a query started."""
     dated = query_log.withColumn("start_date", F.to_date("start_time"))
-    writer = dated.hint("rebalance", "start_date").write.mode(mode).partitionBy("start_date")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    _write_by_date(dated, path, "start_date", mode, mixed_dates)
 
 
 def save_bucketed(log: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
