@@ -168,3 +168,6 @@ def test_response_times_ignore_missing_durations(spark, as_of):
     events = E.agent_events_flattened(raw(spark, took(1), took(2), took(2), took(10), event(agent_name="A")))
     (row,) = activity.response_times(events, as_of).collect()
     assert (row.responses, row.avg_response_ms, row.median_response_ms, row.max_response_ms) == (5, 3.75, 2.0, 10)
+    silent = E.agent_events_flattened(raw(spark, event(agent_name=None)))
+    (row,) = activity.response_times(silent, as_of).collect()
+    assert (row.agent_name, row.responses, row.median_response_ms) == (None, 1, None)

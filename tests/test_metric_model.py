@@ -24,7 +24,15 @@ def test_surface():
     }
 
 
-@pytest.mark.parametrize("table, base", [("agent_events", C._events), ("failed_queries", C._failures), ("user_activity", C._activity), ("data_access", C._accesses)])
+@pytest.mark.parametrize(
+    "table, base",
+    [
+        ("agent_events", C._events),
+        ("failed_queries", C._failures),
+        ("user_activity", C._activity),
+        ("data_access", C._accesses),
+    ],
+)
 def test_every_dimension_with_every_measure(spark, table, base):
     model, rows = M.TABLES[table], base(spark, SF_DIR)
     for dimension in [*model.dimensions, *model.time_dimensions]:
@@ -66,7 +74,14 @@ def test_questions_from_the_analysts(spark, events):
         C._failures(spark, SF_DIR), M.FAILED_QUERIES, ["failure_count"], ["failure_date", "error_category"]
     )
     assert trend.count() > 0
-    lowest = M.metrics(events, M.AGENT_EVENTS, ["positive_feedback_rate"], ["agent_name"], order_by=["positive_feedback_rate"], limit=1)
+    lowest = M.metrics(
+        events,
+        M.AGENT_EVENTS,
+        ["positive_feedback_rate"],
+        ["agent_name"],
+        order_by=["positive_feedback_rate"],
+        limit=1,
+    )
     assert lowest.count() == 1
     speed = M.metrics(events, M.AGENT_EVENTS, ["avg_response_time_ms"], ["agent_name"])
     assert speed.count() == 4

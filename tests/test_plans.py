@@ -10,7 +10,7 @@ from tracewarden import catalog as C
 from tracewarden.operators import agent_events as E
 from tracewarden.operators import lineage as LN
 from tracewarden.operators import query_log as Q
-from tracewarden.plans import access, activity, behaviour
+from tracewarden.plans import access, activity, behaviour, security
 from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
 from tracewarden.sources.logs import read_access_log, read_query_log, read_raw_events
@@ -22,6 +22,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def executed(df):
+    """The plan as it was run, after adaptive changes."""
+    df.collect()
+    text = plan(df)
+    return text[text.index("== Final Plan ==") : text.rindex("== Initial Plan ==")]
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     folder = new_folder(spark, "logs")
@@ -48,13 +55,22 @@ def test_no_query_pairs_rows_or_leaves_the_jvm(spark, name):
 
 def test_event_windows_reach_the_scan_and_json_is_parsed_once(stored, as_of):
     events = E.agent_events_flattened(stored[0])
-    for report in (activity.daily_conversations, activity.feedback_rates, activity.response_times):
+    for report in (activity.daily_conversations, activity.feedback_rates, activity.monthly_audit_summary):
         text = plan(report(events, as_of))
         assert "GreaterThanOrEqual(timestamp," in text
         assert text.count("from_json(") == 1
         assert "ReadSchema: struct<timestamp:timestamp_ntz,record:string>" in text
 
 
+def test_relations_used_several_times_are_computed_once(stored, as_of):
+    events = E.agent_events_flattened(stored[0])
+    for result in (activity.response_times(events, as_of), E.agent_feedback_summary(events)):
+        text = executed(result)
+        assert text.count("from_json(") == 1 and "ReusedExchange" in text
+    failures = Q.failed_queries_analysis(stored[1], as_of)
+    assert executed(security.permission_denials(failures, as_of)).count("FileScan") == 1
+
+
 def test_query_log_reports_read_only_their_columns(stored, as_of):
     text = plan(behaviour.user_activity(Q.user_activity_summary(stored[1], as_of), as_of))
     assert "GreaterThanOrEqual(start_time," in text

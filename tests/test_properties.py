@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 from datetime import datetime
 
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewarden import schemas
 from tracewarden.functions.columns import active_hours, exact_avg
 from tracewarden.functions.lists import paged_lists
+from tracewarden.functions.median import exact_medians
 from tracewarden.operators import lineage as LN
 from tracewarden.plans import metric_model as M
 
@@ -24,8 +26,9 @@ objects = st.one_of(st.none(), st.lists(names, max_size=4))
 def test_weighted_accesses_equal_the_multiplied_lineage(spark, as_of, rows):
     at = datetime(2024, 1, 30)
     blank = dict.fromkeys(schemas.QUERY_LOG.names)
+    same = {**blank, "execution_status": "SUCCESS", "start_time": at}
     queries = [
-        {**blank, "query_id": f"Q{n}", "user_name": f"U{n % 2}", "execution_status": "SUCCESS", "rows_produced": r, "bytes_scanned": n, "start_time": at}
+        {**same, "query_id": f"Q{n}", "user_name": f"U{n % 2}", "rows_produced": r, "bytes_scanned": n}
         for n, (_, _, r) in enumerate(rows)
     ]
     query_log = spark.createDataFrame([tuple(q[c] for c in schemas.QUERY_LOG.names) for q in queries], schemas.QUERY_LOG)
@@ -84,3 +87,20 @@ def test_pages_hold_every_value_once_and_in_order(spark, rows, page_size):
         assert all(p.total == len(expected) and 0 < len(p.vs) <= page_size for p in pages)
         if len(expected) <= page_size:
             assert [p.page for p in pages] == [0]
+
+
+@relaxed
+@given(
+    rows=st.lists(
+        st.tuples(st.one_of(st.none(), st.sampled_from("ab")), st.one_of(st.none(), st.integers(-30, 30))),
+        min_size=1,
+        max_size=40,
+    ),
+    width=st.sampled_from([1, 3, 1000]),
+)
+def test_medians_agree_with_sorting(spark, rows, width):
+    source = spark.createDataFrame(rows, "k string, v bigint")
+    histogram = source.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.k: r.median for r in exact_medians(histogram, ["k"], "v", "n", width).collect()}
+    values = {k: [v for key, v in rows if key == k and v is not None] for k, _ in rows}
+    assert found == {k: statistics.median(v) for k, v in values.items() if v}

@@ -15,7 +15,10 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -83,7 +86,8 @@ def main() -> int:
         except Exception as error:  # report and go on with the next query
             count, found = -1, [f"{type(error).__name__}: {str(error)[:600]}"]
         failures += bool(found)
-        print(f"{'FAIL' if found else 'ok  '} {name:32} {count:7} rows {time.time() - start:6.2f}s", *found, sep="\n" if found else " ", flush=True)
+        verdict = "FAIL" if found else "ok  "
+        print(f"{verdict} {name:32} {count:7} rows {time.time() - start:6.2f}s", *found, sep="\n", flush=True)
     print(f"{len(wanted) - failures} of {len(wanted)} agree")
     return failures
 

@@ -19,6 +19,7 @@ from tracewarden.functions.columns import (
     ratio_pct,
     weighted_pct,
 )
+from tracewarden.functions.median import exact_medians
 from tracewarden.operators.agent_events import (
     agent_conversations,
     agent_tool_usage,
@@ -61,8 +62,7 @@ def response_times(events: DataFrame, as_of: datetime, days: int = 30) -> DataFr
     """Count, mean, exact median and maximum response time per agent.
 
     Responses are first counted per (agent, millisecond), which spreads a busy
-    agent over all tasks. The second step holds an agent's distinct durations,
-    at most 3.6 million per hour that its slowest response took.
+    agent over all tasks; everything else is computed from these counts.
     """
     took, times = F.col("response_time_ms"), F.col("times")
     histogram = (
@@ -70,14 +70,22 @@ def response_times(events: DataFrame, as_of: datetime, days: int = 30) -> DataFr
         .groupBy("agent_name", "response_time_ms")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    timed = F.sum(F.when(took.isNotNull(), times))
+    totals = histogram.groupBy("agent_name").agg(
+        F.sum(times).alias("responses"),
+        F.round(F.sum(took * times) / F.sum(F.when(took.isNotNull(), times)), 2).alias("avg_response_ms"),
+        F.max(took).alias("max_response_ms"),
+    )
+    medians = exact_medians(histogram, ["agent_name"], "response_time_ms", "times").withColumnRenamed(
+        "agent_name", "of_agent"
+    )
     return (
-        histogram.groupBy("agent_name")
-        .agg(
-            F.sum(times).alias("responses"),
-            F.round(F.sum(took * times) / timed, 2).alias("avg_response_ms"),
-            F.round(F.percentile(took, F.lit(0.5), times), 2).alias("median_response_ms"),
-            F.max(took).alias("max_response_ms"),
+        totals.join(medians, F.col("agent_name").eqNullSafe(F.col("of_agent")), "left")
+        .select(
+            "agent_name",
+            "responses",
+            "avg_response_ms",
+            F.round("median", 2).alias("median_response_ms"),
+            "max_response_ms",
         )
         .orderBy(descending("avg_response_ms"))
     )

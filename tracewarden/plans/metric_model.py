@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden import fixed_values as V
 from tracewarden.functions.clock import dates_before, days_before
 from tracewarden.functions.columns import ascending, descending
 
@@ -46,7 +47,7 @@ def _where(condition: str) -> str:
     return f"sum(CASE WHEN {condition} THEN 1 ELSE 0 END)"
 
 
-_IS_POSITIVE = "feedback_sentiment = 'POSITIVE'"
+_IS_POSITIVE = f"feedback_sentiment = '{V.POSITIVE}'"
 _HAS_SENTIMENT = "feedback_sentiment IS NOT NULL"
 
 AGENT_EVENTS = LogicalTable(
@@ -67,13 +68,13 @@ AGENT_EVENTS = LogicalTable(
         "total_conversations": "count(DISTINCT thread_id)",
         "unique_users": "count(DISTINCT user_name)",
         "positive_feedback_count": _where(_IS_POSITIVE),
-        "negative_feedback_count": _where("feedback_sentiment = 'NEGATIVE'"),
+        "negative_feedback_count": _where(f"feedback_sentiment = '{V.NEGATIVE}'"),
         "total_feedback": _where(_HAS_SENTIMENT),
         "positive_feedback_rate": (
             f"round(CAST({_where(_IS_POSITIVE)} AS DOUBLE) * 100 / nullif({_where(_HAS_SENTIMENT)}, 0), 2)"
         ),
         "avg_response_time_ms": "avg(span_duration_ms)",
-        "tool_invocations": _where("event_type LIKE '%TOOL%'"),
+        "tool_invocations": _where(f"event_type LIKE '{V.TOOL_EVENT_PATTERN}'"),
     },
 )
 
@@ -85,7 +86,7 @@ FAILED_QUERIES = LogicalTable(
     measures={
         "failure_count": "count(1)",
         "unique_users_with_failures": "count(DISTINCT user_name)",
-        "permission_denied_count": _where("error_category = 'PERMISSION_DENIED'"),
+        "permission_denied_count": _where(f"error_category = '{V.ERROR_CATEGORIES[0][1]}'"),
     },
 )
 
