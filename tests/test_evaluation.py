@@ -33,7 +33,9 @@ def parsed(spark, *raws):
     """Parsed rows of (groundedness, relevance, safety, comprehensiveness) texts."""
     at = datetime(2024, 1, 30)
     rows = [("t", "u", "A", "q", "r", None, at.date(), at, f"TR{n}", *raw, at) for n, raw in enumerate(raws)]
-    return EV.evaluation_parsed(spark.createDataFrame(rows, schemas.EVALUATION_RESULTS)).orderBy("trace_id")
+    return EV.evaluation_parsed(spark.createDataFrame(rows, schemas.EVALUATION_RESULTS)).orderBy(
+        F.length("trace_id"), "trace_id"
+    )
 
 
 def test_sample_is_exact_and_repeatable(spark, as_of):
@@ -49,6 +51,17 @@ def test_sample_is_exact_and_repeatable(spark, as_of):
     assert len(drawn(source, sample_size=1000)) == 300
 
 
+def test_responses_without_a_key_are_drawn_by_content(spark, as_of):
+    source = conversations(spark, as_of).withColumn("user_query", F.concat("user_query", "trace_id"))
+    keyless = source.withColumn("trace_id", F.lit(None).cast("string"))
+
+    def drawn(rows):
+        return {r.user_query for r in EV.evaluation_dataset(rows, as_of, sample_size=30).collect()}
+
+    first = drawn(keyless)
+    assert len(first) == 30 and drawn(keyless.repartition(5)) == first
+
+
 def test_sample_conditions(spark, as_of):
     assert EV.evaluation_dataset(conversations(spark, as_of, 5, response="short"), as_of).count() == 0
     assert EV.evaluation_dataset(conversations(spark, as_of, 5, query="short"), as_of).count() == 0
@@ -96,8 +109,15 @@ def test_malformed_verdicts(spark):
         (json.dumps({"score": "high"}), good, good, good),
         ("[]", good, good, good),
         ("", good, good, good),
-    ).collect()
-    assert [r.groundedness_score for r in rows] == [None, None, None, 0.9, None, None, None]
+        ('{"score": "NaN"}', good, good, good),
+        ('{"score": 1} and more', good, good, good),
+        ('{"score": 1}, {"score": 1}', good, good, good),
+        ('{"score": 1}, null', good, good, good),
+        ('  {"score": 0.9}\n', good, good, good),
+    )
+    assert quality.evaluation_summary(rows).head().avg_groundedness == 0.9
+    rows = rows.collect()
+    assert [r.groundedness_score for r in rows] == [None, None, None, 0.9, *[None] * 7, 0.9]
     assert rows[2].groundedness_reasoning == "no score" and rows[3].groundedness_reasoning == "5"
     assert all(r.evaluation_status == "REVIEW" for r in rows if r.groundedness_score is None)
 
@@ -163,7 +183,7 @@ def test_prompt_texts(spark):
 def test_rules(spark, query, response, groundedness, relevance, safety, comprehensiveness):
     data = spark.createDataFrame([(query, response)], "user_query string, agent_response string")
     row = J.rule_scorer(data).head()
-    scores = [json.loads(row[J.raw_column(j)]).get("score") for j in J.JUDGES]
+    scores = [json.loads(row[J.raw_column(judge)]).get("score") for judge in J.JUDGES]
     assert scores == [groundedness, relevance, safety, comprehensiveness]
     q, r = F.col("user_query"), F.col("agent_response")
     single = data.select(

@@ -16,6 +16,7 @@ from tracewarden.operators.judges import JUDGES, Scorer, raw_column
 SAMPLE_SIZE = 100
 MIN_RESPONSE_CHARS = 50
 MIN_QUERY_CHARS = 10
+LARGEST_SCORE = 1e9
 
 
 def evaluation_candidates(
@@ -40,12 +41,14 @@ def evaluation_dataset(
 ) -> DataFrame:
     """Random sample of exactly ``sample_size`` responses (all, if there are fewer).
 
-    The order is that of a hash of the key, so a rerun draws the same rows and
-    another ``seed`` draws others; finding the first rows is a top-k, not a sort.
+    The order is that of a hash of the key (of the content, where there is no
+    key), so a rerun draws the same rows and another ``seed`` draws others;
+    finding the first rows is a top-k, not a sort.
     """
     candidates = evaluation_candidates(conversations, as_of, days, min_query_chars)
-    rank = F.md5(F.concat("trace_id", F.lit(seed)))
-    return candidates.orderBy(rank, F.col("trace_id")).limit(sample_size)
+    content = F.concat_ws("|", "thread_id", F.col("event_timestamp").cast("string"), "user_query", "agent_response")
+    key = F.coalesce("trace_id", content)
+    return candidates.orderBy(F.md5(F.concat(key, F.lit(seed))), key).limit(sample_size)
 
 
 def evaluation_results(dataset: DataFrame, scorer: Scorer, evaluated_at: datetime | Column) -> DataFrame:
@@ -55,18 +58,39 @@ def evaluation_results(dataset: DataFrame, scorer: Scorer, evaluated_at: datetim
     return scored.select(*[F.col(f.name).cast(f.dataType) for f in schemas.EVALUATION_RESULTS.fields])
 
 
+def _in_brackets(raw: str) -> Column:
+    """The text as a JSON list of one value.
+
+    Parsed alone, a text may go on after its first value (models like to add a
+    sentence); inside a list that is an error, as it should be.
+    """
+    return F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]")))
+
+
+def _only_element(values: str) -> Column:
+    second = F.try_variant_get(values, "$[1]", "variant")
+    return F.when(second.isNull(), F.try_variant_get(values, "$[0]", "variant"))
+
+
 def evaluation_parsed(results: DataFrame) -> DataFrame:
     """Scores, reasons and lists out of the raw verdicts, composite score and status.
 
-    A verdict that is not JSON or has no score gives a NULL score, which counts
-    as 0 in the composite and never passes a threshold.
+    A verdict that is not JSON or has no finite score gives a NULL score, which
+    counts as 0 in the composite and never passes a threshold.
     """
-    parsed = computed_once(results, *[F.try_parse_json(raw_column(judge)).alias(f"_{judge}") for judge in JUDGES])
+    parsed = computed_once(
+        computed_once(results, *[_in_brackets(raw_column(judge)).alias(f"_{judge}_list") for judge in JUDGES]),
+        *[_only_element(f"_{judge}_list").alias(f"_{judge}") for judge in JUDGES],
+    )
 
     def part(judge: str, path: str, dtype: str) -> Column:
         return F.try_variant_get(f"_{judge}", path, dtype)
 
-    scored = parsed.withColumns({f"{judge}_score": part(judge, "$.score", "double") for judge in JUDGES})
+    def score(judge: str) -> Column:
+        value = part(judge, "$.score", "double")
+        return F.when(F.abs(value) < LARGEST_SCORE, value)
+
+    scored = parsed.withColumns({f"{judge}_score": score(judge) for judge in JUDGES})
     composite = F.lit(0.0)
     for judge, weight in V.SCORE_WEIGHTS:
         composite = composite + F.coalesce(F.col(f"{judge}_score"), F.lit(0.0)) * weight

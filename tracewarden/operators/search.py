@@ -164,8 +164,8 @@ def index_documents(
 ) -> None:
     """Add documents to a stored index: postings laid out by term, and statistics.
 
-    A batch replaces what an earlier attempt at it wrote, so it can be repeated;
-    each document belongs to one batch. Rebalancing splits a bucket that is too
+    A batch replaces what an earlier attempt at it wrote, so it can be repeated.
+    Each document belongs to one batch and ``doc_id`` names it alone. Rebalancing splits a bucket that is too
     large for one task, such as that of a term found in a third of the documents.
     """
     postings = build_postings(corpus, text_column, buckets).withColumn("batch", F.lit(batch).cast("bigint"))
