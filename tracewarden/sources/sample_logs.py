@@ -248,7 +248,7 @@ def policies(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
 def notes(spark: SparkSession, sf_dir: str, as_of: datetime) -> DataFrame:
     """One audit note per labelled document."""
     doc = F.col("doc_id")
-    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     labelled = _table(spark, sf_dir, "labels").join(documents, "doc_id")
     return add_audit_notes(
         labelled.select(
