@@ -141,3 +141,46 @@ def test_a_hot_group_is_spread(spark, as_of):
         assert len({r.agent_name for r in rows}) == len(rows) - len(hot) + 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_hot_query_is_split_in_the_lineage_join(spark, as_of, tmp_path):
+    """A third of the access records name one query."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        keys = spark.range(0, 60_000, 1, 8)
+        queries = keys.where("id < 20000").selectExpr(
+            "concat('Q', id) AS query_id",
+            "'U' AS user_name",
+            "'R' AS role_name",
+            "'SUCCESS' AS execution_status",
+            "id AS rows_produced",
+            "id AS bytes_scanned",
+            "TIMESTAMP_NTZ '2024-01-30 09:00:00' AS start_time",
+        )
+        accesses = keys.selectExpr(
+            "if(id % 3 = 0, 'Q7', concat('Q', id % 20000)) AS query_id",
+            "array(named_struct('objectName', concat('T', id % 900), 'objectDomain', 'TABLE', "
+            "'columns', array(named_struct('columnName', 'C')))) AS base_objects_accessed",
+            "array(named_struct('objectName', 'V', 'objectDomain', 'VIEW', "
+            "'columns', array(named_struct('columnName', 'C')))) AS direct_objects_accessed",
+        )
+        queries.write.parquet(f"{tmp_path}/queries")
+        accesses.write.parquet(f"{tmp_path}/accesses")
+        sources = LN.source_accesses(
+            spark.read.parquet(f"{tmp_path}/queries"), spark.read.parquet(f"{tmp_path}/accesses"), as_of
+        )
+        report = access.top_accessed_tables(sources, as_of, limit=1000)
+        assert "skew=true" in executed(report)
+        assert sum(r.access_count for r in report.collect()) == 60_000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
