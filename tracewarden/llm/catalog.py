@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewarden.llm.language_id import op10_language_id
+from tracewarden.llm.outliers import op8_robust_outliers
 from tracewarden.llm.quality_ranking import op6_quality_ranking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_ranking": op6_quality_ranking,
+    "op8_robust_outliers": op8_robust_outliers,
     "op10_language_id": op10_language_id,
 }
 

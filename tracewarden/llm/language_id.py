@@ -173,15 +173,20 @@ def training_sample(
     rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_rows: int = MAX_ROWS
 ) -> DataFrame:
     """About ``rows_per_language`` labelled rows of each language, ``max_rows`` at most in all."""
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rate = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("_rate"))
-    return (
-        labelled.join(rate, "lang")
+    labelled = rows.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    known = labelled.select("doc_id", "lang")
+    rate = known.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("_rate"))
+    chosen = (
+        known.join(rate, "lang")
         .where(share("language sample", F.col("doc_id")) < F.col("_rate"))
-        .orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "lang", F.xxhash64("text"))
+        .orderBy(F.xxhash64(F.lit("order"), "doc_id"), "doc_id", "lang")
         .limit(max_rows)
-        .select("text", "lang")
+        .select("doc_id")
+        .distinct()
     )
+    # At most max_rows ids, so they can go to every executor and the texts stay where they are.
+    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    return sample.orderBy("doc_id", "lang", F.xxhash64("text")).limit(max_rows).select("text", "lang")
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
