@@ -32,9 +32,9 @@ CONSISTENCY = 0.73
 STEPS = 3
 SHRINKAGE = 0.25
 SMALLEST_GROUP = 100
-# Squared distance beyond which a row is rejected: far beyond the 0.999 quantile of
-# chi-square with six degrees of freedom (22.5), as clean texts have heavier tails.
-CUTOFF = 60.0
+# Squared distance beyond which a row is rejected: one in a million of chi-square with
+# six degrees of freedom, as clean texts have heavier tails than a normal sample.
+CUTOFF = 38.26
 
 # Transformed statistics, and the standard deviation that each is at least taken to have.
 FEATURES: dict[str, tuple[Column, float]] = {
