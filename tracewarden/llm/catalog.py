@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewarden.llm.language_id import op10_language_id
 from tracewarden.llm.mixing import op1_pivotal_mixing
 from tracewarden.llm.outliers import op8_robust_outliers
+from tracewarden.llm.packing import op4_bin_slack_packing
 from tracewarden.llm.quality_ranking import op6_quality_ranking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
+    "op4_bin_slack_packing": op4_bin_slack_packing,
     "op6_quality_ranking": op6_quality_ranking,
     "op8_robust_outliers": op8_robust_outliers,
     "op10_language_id": op10_language_id,
