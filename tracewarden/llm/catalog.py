@@ -11,9 +11,11 @@ from tracewarden.llm.mixing import op1_pivotal_mixing
 from tracewarden.llm.outliers import op8_robust_outliers
 from tracewarden.llm.packing import op4_bin_slack_packing
 from tracewarden.llm.quality_ranking import op6_quality_ranking
+from tracewarden.llm.warc_zip import op3_warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
+    "op3_warc_zip": op3_warc_zip,
     "op4_bin_slack_packing": op4_bin_slack_packing,
     "op6_quality_ranking": op6_quality_ranking,
     "op8_robust_outliers": op8_robust_outliers,
