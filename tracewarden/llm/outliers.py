@@ -181,7 +181,8 @@ def robust_distances(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFr
     fit = stored(start, "mcd")
     for _ in range(STEPS):
         near = rows.join(fit, "grp").withColumn("distance", _distance(n)).select("grp", "distance", *[f"x_{i}" for i in range(n)])
-        limits = near.groupBy("grp").agg(F.percentile_approx("distance", KEPT_SHARE, 2000).alias("_limit"))
+        # A row per group, so that the join sees how small it is and no hot group is shuffled.
+        limits = stored(near.groupBy("grp").agg(F.percentile_approx("distance", KEPT_SHARE, 2000).alias("_limit")), "mcd")
         fit = stored(_fitted(near.join(limits, "grp").where("distance <= _limit"), n, floors), "mcd")
     return rows.join(fit, "grp").withColumn("distance", _distance(n) * CONSISTENCY).drop(
         *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in _pairs(n)]
