@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewarden.llm import grid_join
 from tracewarden.llm.language_id import op10_language_id
 from tracewarden.llm.mixing import op1_pivotal_mixing
 from tracewarden.llm.outliers import op8_robust_outliers
@@ -15,6 +16,7 @@ from tracewarden.llm.warc_zip import op3_warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivotal_mixing": op1_pivotal_mixing,
+    "op2_grid_order_join": grid_join.op2_grid_order_join,
     "op3_warc_zip": op3_warc_zip,
     "op4_bin_slack_packing": op4_bin_slack_packing,
     "op6_quality_ranking": op6_quality_ranking,
@@ -22,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-STATEMENTS: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {
+    "op2_grid_order_join": grid_join.ORACLE,
+}
