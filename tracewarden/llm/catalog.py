@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import grid_join
+from tracewarden.llm import grid_join, super_kmers
 from tracewarden.llm.language_id import op10_language_id
 from tracewarden.llm.mixing import op1_pivotal_mixing
 from tracewarden.llm.outliers import op8_robust_outliers
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_grid_order_join": grid_join.op2_grid_order_join,
     "op3_warc_zip": op3_warc_zip,
     "op4_bin_slack_packing": op4_bin_slack_packing,
+    "op5_super_kmers": super_kmers.op5_super_kmers,
     "op6_quality_ranking": op6_quality_ranking,
     "op8_robust_outliers": op8_robust_outliers,
     "op10_language_id": op10_language_id,
@@ -26,4 +27,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 STATEMENTS: dict[str, str] = {
     "op2_grid_order_join": grid_join.ORACLE,
+    "op5_super_kmers": super_kmers.ORACLE,
 }
