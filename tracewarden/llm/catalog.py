@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewarden.llm import grid_join, super_kmers
+from tracewarden.llm import grid_join, jaccard_join, suffix_arrays, super_kmers
 from tracewarden.llm.language_id import op10_language_id
 from tracewarden.llm.mixing import op1_pivotal_mixing
 from tracewarden.llm.outliers import op8_robust_outliers
@@ -21,11 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bin_slack_packing": op4_bin_slack_packing,
     "op5_super_kmers": super_kmers.op5_super_kmers,
     "op6_quality_ranking": op6_quality_ranking,
+    "op7_suffix_arrays": suffix_arrays.op7_suffix_arrays,
     "op8_robust_outliers": op8_robust_outliers,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
 STATEMENTS: dict[str, str] = {
     "op2_grid_order_join": grid_join.ORACLE,
     "op5_super_kmers": super_kmers.ORACLE,
+    "op7_suffix_arrays": suffix_arrays.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }

@@ -13,15 +13,16 @@ document per window before the shuffle and joined with that, which Spark can spl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewarden.llm.tables import read_table, stored
+from tracewarden.llm.tables import read_table
 from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered
 
 WINDOW = 13
@@ -197,41 +198,42 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, bucket_windows:
     return found
 
 
-def without_repeats(documents: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row: words covered by repeated windows are gone.
+def without_repeats(documents: DataFrame, repeats: DataFrame, window: int, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, text, n_words, n_removed and kept_text of every row.
 
-    Kept words are joined by single spaces; a null text has none.
+    Words covered by a repeated window are gone from ``kept_text``, where words are
+    joined by single spaces; a null text has none. ``text`` is as it was.
     """
     lists = (
         repeats.groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-        .select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("_runs.start").alias("starts"), F.col("_runs.n").alias("counts"))
+        .select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("_runs.start").alias("_starts"), F.col("_runs.n").alias("_counts"))
     )
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    joined = rows.join(lists, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_hash") == F.col("_key")), "left")
+    rows = documents.select(*keep, "text")
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.xxhash64("text") == F.col("_key"))
+    joined = rows.join(lists, same, "left").select(*keep, "text", "_starts", "_counts")
+    width = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for text, starts, counts in zip(*(batch.column(k) for k in (1, 2, 3))):
-                words = text.as_py().encode().split()  # bytes split at ASCII spaces only
-                gone = 0
+            for text, starts, counts in zip(*(batch.column(width + k) for k in range(3))):
+                words = (text.as_py() or "").encode().split()  # bytes split at ASCII spaces only
+                stay = words
                 if starts.is_valid:
-                    mask = np.zeros(len(words) + 1, np.int64)
-                    a, n = starts.values.to_numpy(), counts.values.to_numpy()
-                    np.add.at(mask, a, 1)
-                    np.add.at(mask, a + n + window - 1, -1)
-                    stay = np.flatnonzero(np.cumsum(mask[:-1]) == 0)
-                    gone = len(words) - len(stay)
-                    kept.append(b" ".join([words[k] for k in stay]).decode())
-                else:
-                    kept.append(b" ".join(words).decode())
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    first, n = starts.values.to_numpy(), counts.values.to_numpy()
+                    np.add.at(edges, first, 1)
+                    np.add.at(edges, first + n + window - 1, -1)
+                    stay = [words[k] for k in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
                 sizes.append(len(words))
-                removed.append(gone)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text"])
+                removed.append(len(words) - len(stay))
+                kept.append(b" ".join(stay).decode())
+            columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], *columns], [*keep, "text", "n_words", "n_removed", "kept_text"])
 
-    return joined.select("doc_id", "text", "starts", "counts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    added = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    return joined.mapInArrow(cut, T.StructType(rows.schema.fields + added.fields))
 
 
 def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,17 +243,17 @@ def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-ORACLE = """
+_STATEMENT = """
 WITH d AS (
     SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w
     FROM documents
 ),
-places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
-windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM places),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - {last})) AS i FROM d WHERE len(w) > {last}),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {last}], ' ') AS s FROM places),
 firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING count(*) > 1),
 gone AS (
     SELECT DISTINCT doc_id, i + k AS i
-    FROM (SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.s = f.s AND w.doc_id > f.first), generate_series(0, 12) g(k)
+    FROM (SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.s = f.s AND w.doc_id > f.first), generate_series(0, {last}) g(k)
 ),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d),
 kept AS (
@@ -262,3 +264,11 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def repeats_oracle(window: int) -> str:
+    """DuckDB SQL for the words that repeated windows of this size cover."""
+    return _STATEMENT.format(last=window - 1)
+
+
+ORACLE = repeats_oracle(WINDOW)

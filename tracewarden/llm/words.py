@@ -85,6 +85,15 @@ class Texts:
     def word_hashes(self) -> np.ndarray:
         return RangeHashes(_BYTE_VALUES[self.data]).of(self.starts, self.ends)
 
+    def single_spaced(self) -> Texts:
+        """The same texts with one space between words and perhaps one at the end."""
+        word = ~SPACES[self.data]
+        after = np.concatenate([[False], word[:-1]]) if len(word) else word
+        after[self.offsets[:-1][self.offsets[:-1] < len(word)]] = False
+        keep = word | after
+        places = np.concatenate([[0], np.cumsum(keep)])
+        return Texts(np.where(word, self.data, 0x20).astype(np.uint8)[keep], places[self.offsets])
+
     def windows(self, size: int) -> np.ndarray:
         """Numbers of the words at which a window of ``size`` words of one text starts."""
         if len(self.starts) < size:
