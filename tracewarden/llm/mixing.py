@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm.tables import read_table, stored
@@ -132,11 +132,16 @@ def _round_level(rows: DataFrame, node: Column, step: int) -> DataFrame:
     return rows.groupBy(node.alias("_node")).applyInPandas(rounded, rows.schema)
 
 
+def row_seed(keys: Sequence[str]) -> Column:
+    """A hash of a row that its random numbers come from."""
+    return F.xxhash64(F.lit("mix"), *keys, "source", F.coalesce(F.col("text"), F.lit("")))
+
+
 def mixed(documents: DataFrame, keys: Sequence[str] = ("doc_id",), leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns ``keys``, source, size, source_size, target, copies (0 to 2) and taken
-    (copies * size), one row per row of ``documents``; equal rows are decided each for
+    Returns ``keys``, source, size, source_size, target, copies (0 to 2), taken
+    (copies * size) and seed (:func:`row_seed`), one row per row of ``documents``; equal rows are decided each for
     itself. Documents without words, and sources without, take part with size 0:
     they fill no target and are taken 0 times. Null ids and sources are values like others.
     Results depend on the rows alone, not on their partitions.
@@ -144,10 +149,7 @@ def mixed(documents: DataFrame, keys: Sequence[str] = ("doc_id",), leaf_rows: in
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = stored(
         documents.select(
-            *keys,
-            "source",
-            F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-            F.xxhash64(F.lit("mix"), *keys, "source", text).alias("seed"),
+            *keys, "source", F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), row_seed(keys).alias("seed")
         ),
         "sizes",
     )
@@ -178,10 +180,20 @@ def mixed(documents: DataFrame, keys: Sequence[str] = ("doc_id",), leaf_rows: in
     fixed = last.select("leaf", "row", F.col("p").alias("_p"))
     copies = (F.col("whole") + F.coalesce(F.col("_p"), F.col("p")).cast("int")).cast("int")
     return decided.join(fixed, ["leaf", "row"], "left").select(
-        *keys, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        *keys, "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "seed"
     )
 
 
+def repeated_by_mix(documents: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows (``columns``) as often as the mix takes them, up to twice each."""
+    taken = mixed(documents).groupBy("seed").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    rows = documents.select(*columns, row_seed(["doc_id"]).alias("seed")).join(taken, "seed")
+    # Rows that are equal in all else share their copies out among them.
+    number = F.row_number().over(Window.partitionBy("seed").orderBy("_copies"))
+    each = F.floor(F.col("_copies") / F.col("_rows")) + (number <= F.col("_copies") % F.col("_rows")).cast("int")
+    return rows.withColumn("_times", each.cast("int")).where("_times > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_k")).select(*columns)
+
+
 def _numbered_leaves(joined: DataFrame) -> DataFrame:
     """Numbers the rows of each leaf and rounds each of its sources."""
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden.llm.tables import fold, read_table, share
 from tracewarden.llm.words import RangeHashes, Texts, chunks
@@ -179,8 +180,8 @@ def learn(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
 
 def scored(documents: DataFrame, model: RankingModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and the score of each text; a null text is scored as an empty one."""
-    rows = documents.select(*keep, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+    rows = documents.select(*keep, F.col("text").alias("_scored"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def scored(documents: DataFrame, model: RankingModel, keep: tuple[str, ...] = ("
             score = pa.array(np.concatenate([np.zeros(0), *scores]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], score], [*keep, "score"])
 
-    return rows.mapInArrow(computed, f"{fields}, score double")
+    return rows.mapInArrow(computed, schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
