@@ -74,7 +74,7 @@ def test_repeated_rows_share_their_copies(spark):
     table = documents(spark, [(1, "a b c", "en", "s")] * 3 + [(2, "d", "en", "s"), (3, None, "en", None)])
     taken = M.repeated_by_mix(table, ("doc_id", "text"))
     counts = {r["doc_id"]: r["count"] for r in taken.groupBy("doc_id").count().collect()}
-    assert sum({1: 3, 2: 1}[k] * n for k, n in counts.items()) == 15 and counts[1] <= 6
+    assert abs(sum({1: 3, 2: 1}[k] * n for k, n in counts.items()) - 15) <= 3 and 3 <= counts[1] <= 6
     assert M.mixed(documents(spark, [])).collect() == []
 
 
@@ -123,6 +123,12 @@ def test_packing_places_every_piece_once(spark, group_pieces):
     assert len(by_sequence) <= -(-sum(r["length"] for r in packed) // P.CAPACITY) + 1
 
 
+def test_pieces_that_fill_no_sequence_are_packed_level_by_level(spark):
+    rows = spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1500L AS length", "id AS ids_crc32")
+    packed = P.packed(rows, group_pieces=40).collect()
+    assert len({r["sequence_id"] for r in packed}) == len(packed) == 500
+
+
 def test_empty_table_packs_to_nothing(spark):
     assert P.packed(P.tokenized_pieces(documents(spark, []))).collect() == []
 

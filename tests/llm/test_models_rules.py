@@ -133,7 +133,7 @@ def test_quality_of_odd_texts_and_labels(spark):
     labels = spark.createDataFrame([(k, int(k < 30)) for k in range(2, 60)] + [(None, 1), (3, None), (9999, 1), (4, 1)], "doc_id long, quality int")
     scores = by_id(Q.scored(table, Q.learn(table, labels)), "score")
     assert min(scores[k][0] for k in range(2, 30)) > 0.3 > max(scores[k][0] for k in range(30, 60))
-    assert all(0 <= s <= 1 for (s,) in scores.values()) and len(scores) == 67
+    assert all(0 <= s <= 1 for (s,) in scores.values()) and len(scores) == 66
     for some in (labels.where("quality = 1"), labels.limit(0)):
         assert {round(s, 6) for (s,) in by_id(Q.scored(table, Q.learn(table, some)), "score").values()} == {Q.CUT_SCORE}
     assert Q.scored(documents(spark, []), Q.learn(table, labels)).collect() == []

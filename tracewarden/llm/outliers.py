@@ -37,13 +37,13 @@ SMALLEST_GROUP = 100
 CUTOFF = 38.26
 
 # Transformed statistics, and the standard deviation that each is at least taken to have.
-FEATURES: dict[str, tuple[Column, float]] = {
-    "log_words": (F.log1p("n_words"), 0.5),
-    "word_length": (F.coalesce(F.log1p(F.col("word_chars") / F.nullif("n_words", F.lit(0))), F.lit(0.0)), 0.1),
-    "symbols": (F.coalesce(F.sqrt(F.col("n_symbols") / F.nullif("word_chars", F.lit(0))), F.lit(0.0)), 0.04),
-    "marks": (F.coalesce(F.sqrt(F.col("n_marks") / F.nullif("word_chars", F.lit(0))), F.lit(0.0)), 0.04),
-    "dup_lines": (F.log1p("n_dup_lines"), 0.3),
-    "repeats": (F.coalesce(F.sqrt(F.col("n_repeat_words") / F.nullif("n_words", F.lit(0))), F.lit(0.0)), 0.08),
+FEATURES: dict[str, tuple[str, float]] = {
+    "log_words": ("log1p(n_words)", 0.5),
+    "word_length": ("coalesce(log1p(word_chars / nullif(n_words, 0)), 0D)", 0.1),
+    "symbols": ("coalesce(sqrt(n_symbols / nullif(word_chars, 0)), 0D)", 0.04),
+    "marks": ("coalesce(sqrt(n_marks / nullif(word_chars, 0)), 0D)", 0.04),
+    "dup_lines": ("log1p(n_dup_lines)", 0.3),
+    "repeats": ("coalesce(sqrt(n_repeat_words / nullif(n_words, 0)), 0D)", 0.08),
 }
 
 
@@ -218,7 +218,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     names = list(FEATURES)
     x = stored(
         base.join(groups, same, "left").select(
-            *base.columns, "grp", *[FEATURES[name][0].alias(f"x_{i}") for i, name in enumerate(names)]
+            *base.columns, "grp", *[F.expr(FEATURES[name][0]).alias(f"x_{i}") for i, name in enumerate(names)]
         ),
         "features",
     )

@@ -2,8 +2,8 @@
 
 Per bin, a bitset subset-sum over the lengths that are left finds the fullest
 feasible combination, which is then removed. Pieces are packed in groups of bounded
-size; only full sequences of a group are final, the pieces of all others go on to the
-next level of a tree, where fewer groups hold them, until one group is left.
+size. The few emptiest sequences of a group, if they are not full, are opened again: their
+pieces go on to the next level of a tree, where fewer groups hold them, until one is left.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tracewarden.llm.tables import read_table, stored
 
 CAPACITY = 2048
 GROUP_PIECES = 8192
+# Sequences that a group passes on; the others of its sequences are as full as its lengths allow.
+OPEN_SEQUENCES = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END_ID = 0
 
@@ -147,26 +149,27 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROU
     values, so reruns agree. Sequence ids are unique numbers with gaps.
     """
     rest = stored(pieces.withColumn("_seed", F.xxhash64(*[F.col(c) for c in pieces.columns])), "pieces")
-    added = T.StructType().add("sequence_id", "long").add("offset", "long").add("_full", "boolean")
+    added = T.StructType().add("sequence_id", "long").add("offset", "long").add("_done", "boolean")
     schema = T.StructType(rest.schema.fields + added.fields)
     done: list[DataFrame] = []
-    level = 0
+    level, groups = 0, math.inf
     while True:
-        groups = max(1, math.ceil(rest.count() / group_pieces))
+        # At most half as many groups as before, so that the tree ends.
+        groups = max(1, min(math.ceil(rest.count() / group_pieces), math.ceil(groups / 2) if level else math.inf))
         group = F.pmod(F.col("_seed"), F.lit(groups))
         result = _pack_groups(rest, group, level, groups == 1, capacity, schema)
         if groups == 1:
             done.append(result)
             break
         result = stored(result, "packed")
-        done.append(result.where("_full"))
-        rest = result.where("NOT _full").drop("sequence_id", "offset", "_full")
+        done.append(result.where("_done"))
+        rest = result.where("NOT _done").drop("sequence_id", "offset", "_done")
         rest = rest.withColumn("_seed", F.xxhash64("_seed", F.lit(level)))
         level += 1
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
-    return whole.drop("_seed", "_full")
+    return whole.drop("_seed", "_done")
 
 
 def _pack_groups(rows: DataFrame, group: Column, level: int, last: bool, capacity: int, schema) -> DataFrame:
@@ -175,7 +178,9 @@ def _pack_groups(rows: DataFrame, group: Column, level: int, last: bool, capacit
         bins, offsets, fills = minimum_bin_slack(table["length"].to_numpy(), capacity)
         # Level and group have 6 and 33 bits, the sequence within its group 24.
         first = (level << 57) | (int(key[0]) << 24)
-        return table.assign(sequence_id=first + bins, offset=offsets, _full=last | (fills[bins] == capacity))
+        done = fills == capacity
+        done[np.argsort(fills, kind="stable")[OPEN_SEQUENCES:]] = True
+        return table.assign(sequence_id=first + bins, offset=offsets, _done=last | done[bins])
 
     return rows.groupBy(group.alias("_group")).applyInPandas(pack, schema)
 
