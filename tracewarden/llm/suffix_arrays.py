@@ -166,7 +166,14 @@ def hot_windows(rows: DataFrame, hot: bytes, passage: int, anchor: int, bits: in
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["value", "doc_id", "key", "start"])
 
     windows = rows.mapInArrow(listed, "value long, doc_id long, key long, start long")
-    firsts = windows.groupBy("value").agg(F.min("doc_id").alias("smallest"))
+    # Stored, so that the join knows its size and can split hot windows between tasks.
+    firsts = stored(
+        windows.groupBy("value")
+        .agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("last"))
+        .where("smallest < last")
+        .drop("last"),
+        "firsts",
+    )
     return windows.join(firsts, "value").where("doc_id > smallest").select("doc_id", "key", "start", F.lit(1).cast("long").alias("n"))
 
 

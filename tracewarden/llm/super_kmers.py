@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.tables import read_table
+from tracewarden.llm.tables import read_table, stored
 from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered
 
 WINDOW = 13
@@ -173,7 +173,14 @@ def hot_repeats(rows: DataFrame, plan: np.ndarray, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["value", "doc_id", "key", "start"])
 
     windows = rows.select("doc_id", "key", "text").mapInArrow(hot, "value long, doc_id long, key long, start long")
-    firsts = windows.groupBy("value").agg(F.min("doc_id").alias("smallest"))
+    # Stored, so that the join knows its size and can split hot windows between tasks.
+    firsts = stored(
+        windows.groupBy("value")
+        .agg(F.min("doc_id").alias("smallest"), F.max("doc_id").alias("last"))
+        .where("smallest < last")
+        .drop("last"),
+        "firsts",
+    )
     return windows.join(firsts, "value").where("doc_id > smallest").select("doc_id", "key", "start", F.lit(1).cast("long").alias("n"))
 
 
