@@ -124,7 +124,7 @@ def test_feedback_without_verdict_counts_in_the_total(spark, as_of):
     assert rates["silent"].positive_rate_pct == 0.0
 
 
-def test_comments_in_order_and_in_pages(spark):
+def test_comments_are_rows_of_their_own(spark):
     def told(comment, minute):
         record = event(agent_name="A", name="CORTEX_AGENT_FEEDBACK", feedback={"positive": True, "comment": comment})
         return raw(spark, record, at=datetime(2024, 1, 30, 9, minute))
@@ -132,20 +132,24 @@ def test_comments_in_order_and_in_pages(spark):
     events = told("late", 40).union(told("early", 1)).union(told("middle", 20)).union(told("early", 50))
     events = events.union(told(None, 5)).union(told("also middle", 20))
     flattened = E.agent_events_flattened(events)
-    expected = ["early", "also middle", "middle", "late"]
     (row,) = E.agent_feedback_summary(flattened).collect()
-    assert row.feedback_comments == expected
-    assert (row.total_feedback, row.positive_count, row.comment_page) == (6, 6, 0)
-    pages = E.agent_feedback_summary(flattened, page_size=2).orderBy("comment_page").collect()
-    assert [c for p in pages for c in p.feedback_comments] == expected
-    assert all(len(p.feedback_comments) <= 2 for p in pages)
-    assert {p.total_feedback for p in pages} == {6}
+    assert (row.total_feedback, row.positive_count, row.positive_rate_pct) == (6, 6, 100.0)
+    comments = E.feedback_comments(flattened).orderBy("first_seen", "feedback_comment").collect()
+    assert [(r.feedback_comment, r.first_seen.minute, r.times) for r in comments] == [
+        ("early", 1, 2),
+        ("also middle", 20, 1),
+        ("middle", 20, 1),
+        ("late", 40, 1),
+    ]
 
 
 def test_null_agents_keep_their_group(spark):
     told = event(name="CORTEX_AGENT_FEEDBACK", feedback={"positive": True, "comment": "c"})
-    (row,) = E.agent_feedback_summary(E.agent_events_flattened(raw(spark, told))).collect()
-    assert row.agent_name is None and row.feedback_comments == ["c"]
+    events = E.agent_events_flattened(raw(spark, told))
+    (row,) = E.agent_feedback_summary(events).collect()
+    (comment,) = E.feedback_comments(events).collect()
+    assert row.agent_name is None and row.total_feedback == 1
+    assert comment.agent_name is None and comment.feedback_comment == "c"
 
 
 def test_conversations_and_eval_conversations_differ(spark):
@@ -158,7 +162,8 @@ def test_conversations_and_eval_conversations_differ(spark):
     ]
     source = raw(spark, *records)
     assert E.agent_conversations(E.agent_events_flattened(source)).count() == 2
-    assert [r.trace_id for r in E.eval_conversations(source).collect()] == ["judged"]
+    judged = E.eval_conversations(E.agent_events_flattened(source))
+    assert [r.trace_id for r in judged.collect()] == ["judged"]
 
 
 def test_response_times_ignore_missing_durations(spark, as_of):

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tracewarden import schemas
 from tracewarden.functions.columns import active_hours, exact_avg
-from tracewarden.functions.lists import paged_lists
 from tracewarden.functions.median import exact_medians
 from tracewarden.operators import lineage as LN
 from tracewarden.plans import metric_model as M
@@ -72,23 +71,6 @@ def test_active_hours_is_a_distinct_count(spark, hours):
     assert rows.agg(active_hours(F.col("h"))).head()[0] == len(set(hours))
 
 
-@relaxed
-@given(
-    rows=st.sets(st.tuples(st.one_of(st.none(), st.sampled_from("ab")), st.integers(0, 40)), min_size=1, max_size=60),
-    page_size=st.integers(1, 12),
-)
-def test_pages_hold_every_value_once_and_in_order(spark, rows, page_size):
-    source = spark.createDataFrame([(k, f"{v:02}", v // 10, 1) for k, v in rows], "k string, v string, o int, n int")
-    result = paged_lists(source, ["k"], "v", ["o"], {"total": F.sum("n")}, "vs", "page", page_size).collect()
-    for key in {k for k, _ in rows}:
-        expected = sorted(f"{v:02}" for k, v in rows if k == key)
-        pages = sorted((r for r in result if r.k == key), key=lambda r: r.page)
-        assert [v for p in pages for v in p.vs] == expected
-        assert all(p.total == len(expected) and 0 < len(p.vs) <= page_size for p in pages)
-        if len(expected) <= page_size:
-            assert [p.page for p in pages] == [0]
-
-
 @relaxed
 @given(
     rows=st.lists(

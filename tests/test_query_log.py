@@ -101,16 +101,24 @@ def test_high_row_queries_break_ties_by_query(spark, as_of):
     assert [r.query_id for r in found] == ["Q2", "Q3"]
 
 
-def test_permission_denials_pages(spark, as_of):
+def test_denials_and_their_samples(spark, as_of):
     rows = [
         {"execution_status": "FAIL", "error_code": "1003", "query_text": f"SELECT {n % 7}"} for n in range(20)
     ]
     failures = Q.failed_queries_analysis(log(spark, *rows), as_of)
     (whole,) = security.permission_denials(failures, as_of).collect()
-    assert whole.denial_count == 20 and whole.query_samples == sorted(f"SELECT {n}" for n in range(7))
-    pages = security.permission_denials(failures, as_of, page_size=3).orderBy("sample_page").collect()
-    assert [s for p in pages for s in p.query_samples] == whole.query_samples
-    assert all(len(p.query_samples) <= 3 and p.denial_count == 20 for p in pages)
+    assert whole.denial_count == 20
+    samples = {r.query_sample: r.times for r in security.denial_samples(failures, as_of).collect()}
+    assert samples == {f"SELECT {n}": 3 if n < 6 else 2 for n in range(7)}
+
+
+def test_windows_end_at_the_reference_time(spark, as_of):
+    times = [as_of - timedelta(hours=1), as_of, as_of + timedelta(seconds=1), as_of + timedelta(days=3)]
+    rows = [{"start_time": t, "warehouse_name": "AGENT", "execution_status": "FAIL"} for t in times]
+    queries = log(spark, *rows)
+    assert Q.agent_query_history(queries, as_of).count() == 2
+    assert Q.failed_queries_analysis(queries, as_of).count() == 2
+    assert sum(r.total_queries for r in Q.user_activity_summary(queries, as_of).collect()) == 2
 
 
 def test_unreachable_label_needs_a_lower_threshold(spark, as_of):

@@ -69,11 +69,11 @@ def _accesses_with_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.eval_conversations(sample_logs.raw_events(spark, sf_dir))
+    return E.eval_conversations(_events(spark, sf_dir))
 
 
-def _recorded(spark: SparkSession, sf_dir: str) -> J.Scorer:
-    return J.recorded_scorer(sample_logs.recorded_verdicts(spark, sf_dir))
+def _recorded(spark: SparkSession, sf_dir: str, bounded: bool = True) -> J.Scorer:
+    return J.recorded_scorer(sample_logs.recorded_verdicts(spark, sf_dir), bounded=bounded)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,18 +115,10 @@ def _lineage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(lineage.withColumn("columns_accessed", F.col("columns_accessed.columnName")), "columns_accessed")
 
 
-def _feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(E.agent_feedback_summary(_events(spark, sf_dir)), "feedback_comments")
-
-
 def _failures_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(security.failures_by_category(_failures(spark, sf_dir), AS_OF), "error_codes")
 
 
-def _permission_denials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(security.permission_denials(_failures(spark, sf_dir), AS_OF), "query_samples")
-
-
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _activity(spark, sf_dir)
     path = new_folder(spark, "activity-export")
@@ -186,7 +178,7 @@ def _weekly_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every response with its recorded verdict, evaluated the moment it was given."""
     return EV.evaluation_results(
-        _judged(spark, sf_dir), _recorded(spark, sf_dir), F.col("event_timestamp")
+        _judged(spark, sf_dir), _recorded(spark, sf_dir, bounded=False), F.col("event_timestamp")
     )
 
 
@@ -295,7 +287,8 @@ QUERIES: dict[str, Query] = {
     "agent_events_flattened": _events,
     "agent_conversations": over(_events, E.agent_conversations),
     "agent_tool_usage": over(_events, E.agent_tool_usage),
-    "agent_feedback_summary": _feedback_summary,
+    "agent_feedback_summary": over(_events, E.agent_feedback_summary),
+    "feedback_comments": over(_events, E.feedback_comments),
     "agent_query_history": _history,
     "data_access_lineage": _lineage,
     "data_access_lineage_dedup": _lineage_dedup,
@@ -317,7 +310,8 @@ QUERIES: dict[str, Query] = {
     "investigate_thread": over(_events, activity.investigate_thread, THREAD),
     # security
     "failures_by_category": _failures_by_category,
-    "permission_denials": _permission_denials,
+    "permission_denials": over(_failures, security.permission_denials, AS_OF),
+    "denial_samples": over(_failures, security.denial_samples, AS_OF),
     "high_row_queries": over(_history, security.high_row_queries, AS_OF),
     "after_hours_activity": over(_history, security.after_hours_activity, AS_OF),
     # data access

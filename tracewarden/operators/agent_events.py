@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tracewarden import fixed_values as V
 from tracewarden import schemas
 from tracewarden.functions.columns import computed_once, count_where, preview, ratio_pct
-from tracewarden.functions.lists import PAGE_SIZE, paged_lists
 
 
 def _parsed(raw_events: DataFrame) -> DataFrame:
@@ -126,56 +125,40 @@ def _with_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def daily_feedback(events: DataFrame) -> DataFrame:
-    """Feedback counts and rates per agent and day, without the comments.
+def agent_feedback_summary(events: DataFrame) -> DataFrame:
+    """Feedback counts and rates, one row per agent and day.
 
-    Reports on rates start here: one aggregation and no comment text is read.
+    What was said is in :func:`feedback_comments`, a row per comment, as the comments of a
+    busy agent and day have no bound.
     """
     aggregates = [expr.alias(name) for name, expr in feedback_counts().items()]
     return _with_rates(feedback_events(events).groupBy("agent_name", "event_date").agg(*aggregates))
 
 
-def agent_feedback_summary(events: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Feedback counts, rates and distinct comments per agent and day.
-
-    Comments are ordered by first appearance, then text. An agent-day with more
-    than ``page_size`` of them takes several rows, in the order of
-    ``comment_page``, that repeat the counts; all others are exactly one row.
-    """
-    aggregates = [expr.alias(name) for name, expr in feedback_counts().items()]
-    per_comment = (
+def feedback_comments(events: DataFrame) -> DataFrame:
+    """Distinct comments per agent and day, with when each was first made and how often."""
+    return (
         feedback_events(events)
+        .where(F.col("feedback_comment").isNotNull())
         .groupBy("agent_name", "event_date", "feedback_comment")
-        .agg(*aggregates, F.min("event_timestamp").alias("first_seen"))
+        .agg(F.min("event_timestamp").alias("first_seen"), F.count(F.lit(1)).alias("times"))
     )
-    summary = paged_lists(
-        per_comment,
-        keys=["agent_name", "event_date"],
-        value="feedback_comment",
-        order=["first_seen"],
-        totals={name: F.sum(name) for name in feedback_counts()},
-        list_name="feedback_comments",
-        page_name="comment_page",
-        page_size=page_size,
-    )
-    return _with_rates(summary)
 
 
-def eval_conversations(raw_events: DataFrame) -> DataFrame:
-    """Responses to be judged. ``trace_id`` is carried along as their key."""
-    judged = (F.col("r.agent_type") == V.AGENT_TYPE) & (F.col("r.name") == V.EVENT_EVALUATED_RESPONSE)
-    return (
-        _parsed(raw_events)
-        .where(judged)
-        .select(
-            F.col("r.thread_id").alias("thread_id"),
-            F.col("r.user_name").alias("user_name"),
-            F.col("r.agent_name").alias("agent_name"),
-            _first_span("input").alias("user_query"),
-            _first_span("output").alias("agent_response"),
-            _first_span("tool_name").alias("tool_used"),
-            F.to_date("timestamp").alias("event_date"),
-            F.col("timestamp").alias("event_timestamp"),
-            F.col("r.trace_id").alias("trace_id"),
-        )
+def eval_conversations(events: DataFrame) -> DataFrame:
+    """Responses to be judged, out of flattened events. ``trace_id`` is carried along as their key.
+
+    Flattened events are of the agent type or of an agent's event name; a judged
+    response has a name of its own, so it is there by its type.
+    """
+    return events.where(F.col("event_type") == V.EVENT_EVALUATED_RESPONSE).select(
+        "thread_id",
+        "user_name",
+        "agent_name",
+        F.col("span_input").alias("user_query"),
+        F.col("span_output").alias("agent_response"),
+        "tool_used",
+        "event_date",
+        "event_timestamp",
+        "trace_id",
     )

@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden import schemas
-from tracewarden.functions.clock import dates_before, instant
+from tracewarden.functions.clock import dates_before, instant, today
 from tracewarden.functions.columns import computed_once, preview
 from tracewarden.operators.judges import JUDGES, Scorer, raw_column
 
 SAMPLE_SIZE = 100
 MIN_RESPONSE_CHARS = 50
 MIN_QUERY_CHARS = 10
-LARGEST_SCORE = 1e9
 
 
 def evaluation_candidates(
     conversations: DataFrame, as_of: datetime, days: int = 7, min_query_chars: int | None = MIN_QUERY_CHARS
 ) -> DataFrame:
     """Recent responses long enough to judge."""
-    kept = (F.col("event_date") >= dates_before(as_of, days)) & (
-        F.length("agent_response") > MIN_RESPONSE_CHARS
+    # Dates prune partitions; the time keeps a run for an earlier day from seeing what came after it.
+    kept = (
+        F.col("event_date").between(dates_before(as_of, days), today(as_of))
+        & (F.col("event_timestamp") <= instant(as_of))
+        & (F.length("agent_response") > MIN_RESPONSE_CHARS)
     )
     if min_query_chars is not None:
         kept = kept & (F.length("user_query") > min_query_chars)
@@ -88,7 +90,8 @@ def evaluation_parsed(results: DataFrame) -> DataFrame:
 
     def score(judge: str) -> Column:
         value = part(judge, "$.score", "double")
-        return F.when(F.abs(value) < LARGEST_SCORE, value)
+        # Texts such as "NaN" and "Infinity" parse as numbers, but are no scores.
+        return F.when(F.abs(value) < F.lit(float("inf")), value)
 
     scored = parsed.withColumns({f"{judge}_score": score(judge) for judge in JUDGES})
     composite = F.lit(0.0)

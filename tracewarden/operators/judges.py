@@ -158,12 +158,20 @@ def rule_scorer(dataset: DataFrame) -> DataFrame:
     return rows.withColumns({raw_column(judge): _verdict(judge, known) for judge in JUDGES}).drop("_facts")
 
 
-def recorded_scorer(recorded: DataFrame, key: str = "trace_id") -> Scorer:
-    """Scorer that looks stored outputs up by ``key`` (one stored row per key)."""
+def recorded_scorer(recorded: DataFrame, key: str = "trace_id", bounded: bool = False) -> Scorer:
+    """Scorer that looks stored outputs up by ``key`` (one stored row per key).
+
+    ``bounded`` says that the dataset is a sample of a fixed size, whose keys can go to
+    every executor, so that the outputs are not shuffled.
+    """
     raw = [raw_column(judge) for judge in JUDGES]
 
     def score(dataset: DataFrame) -> DataFrame:
-        return dataset.join(recorded.select(key, *raw), key, "left")
+        """With a ``bounded`` sample, its keys first cut the outputs down where they lie."""
+        wanted = recorded.select(key, *raw)
+        if bounded:
+            wanted = wanted.join(F.broadcast(dataset.select(key).distinct()), key, "left_semi")
+        return dataset.join(wanted, key, "left")
 
     return score
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import days_before
+from tracewarden.functions.clock import days_before, instant
 from tracewarden.operators.query_log import HISTORY_DAYS
 
 
@@ -32,7 +32,7 @@ def _accesses(query_log: DataFrame, accesses: DataFrame, as_of: datetime) -> Dat
     splits skewed partitions; bucketed logs join without a shuffle.
     """
     done = (F.col("execution_status") == V.STATUS_SUCCESS) & (
-        F.col("start_time") >= days_before(as_of, HISTORY_DAYS)
+        F.col("start_time").between(days_before(as_of, HISTORY_DAYS), instant(as_of))
     )
     queries = query_log.where(done).select(
         "query_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import days_before
+from tracewarden.functions.clock import days_before, instant
 from tracewarden.functions.columns import active_hours, computed_once, count_where, matches_any, preview, ratio_pct
 
 HISTORY_DAYS = 90
@@ -35,7 +35,7 @@ def agent_query_history(query_log: DataFrame, as_of: datetime) -> DataFrame:
         | matches_any(F.col("warehouse_name"), V.AI_WAREHOUSE_PATTERNS)
     )
     rows = computed_once(
-        rows.where((F.col("start_time") >= days_before(as_of, HISTORY_DAYS)) & relevant),
+        rows.where((F.col("start_time").between(days_before(as_of, HISTORY_DAYS), instant(as_of))) & relevant),
         ai_function(text).alias("cortex_function_used"),
     )
     return rows.select(
@@ -69,7 +69,7 @@ def error_category(error_code: Column, error_message: Column) -> Column:
 
 def failed_queries_analysis(query_log: DataFrame, as_of: datetime) -> DataFrame:
     """Recent failures with a category and a short text preview."""
-    recent = F.col("start_time") >= days_before(as_of, FAILURE_DAYS)
+    recent = F.col("start_time").between(days_before(as_of, FAILURE_DAYS), instant(as_of))
     return query_log.where((F.col("execution_status") == V.STATUS_FAIL) & recent).select(
         "query_id",
         "user_name",
@@ -90,7 +90,7 @@ def user_activity_summary(query_log: DataFrame, as_of: datetime) -> DataFrame:
     status = F.col("execution_status")
     start = F.col("start_time")
     return (
-        query_log.where(start >= days_before(as_of, HISTORY_DAYS))
+        query_log.where(start.between(days_before(as_of, HISTORY_DAYS), instant(as_of)))
         .groupBy("user_name", F.to_date(start).alias("activity_date"))
         .agg(
             F.count(F.lit(1)).alias("total_queries"),

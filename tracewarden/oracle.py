@@ -187,7 +187,7 @@ relation(
            WHEN contains(upper(query_text), 'CORTEX.SENTIMENT') THEN 'SENTIMENT'
            WHEN contains(upper(query_text), 'CORTEX_ANALYST') THEN 'CORTEX_ANALYST'
            WHEN contains(upper(query_text), 'CORTEX_SEARCH') THEN 'CORTEX_SEARCH' END AS cortex_function_used
-    FROM ql WHERE start_time >= {AS_OF} - INTERVAL 90 DAY
+    FROM ql WHERE start_time BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF}
       AND (contains(upper(query_text), 'CORTEX.') OR contains(upper(query_text), 'CORTEX_')
            OR warehouse_name LIKE '%AGENT%' OR warehouse_name LIKE '%CORTEX%')""",
 )
@@ -203,7 +203,7 @@ relation(
            WHEN error_message ILIKE '%timeout%' THEN 'TIMEOUT' ELSE 'OTHER' END AS error_category,
       left(query_text, 1000) AS query_preview, start_time, CAST(start_time AS DATE) AS failure_date,
       CAST(hour(start_time) AS INTEGER) AS failure_hour
-    FROM ql WHERE execution_status = 'FAIL' AND start_time >= {AS_OF} - INTERVAL 30 DAY""",
+    FROM ql WHERE execution_status = 'FAIL' AND start_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF}""",
 )
 relation(
     "act",
@@ -217,7 +217,7 @@ relation(
       CAST(sum(rows_produced) AS BIGINT) AS total_rows_produced, CAST(sum(bytes_scanned) AS BIGINT) AS total_bytes_scanned,
       avg(total_elapsed_time) / 1000 AS avg_query_seconds, min(start_time) AS first_query,
       max(start_time) AS last_query, count(DISTINCT hour(start_time)) AS active_hours
-    FROM ql WHERE start_time >= {AS_OF} - INTERVAL 90 DAY GROUP BY 1, 2""",
+    FROM ql WHERE start_time BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF} GROUP BY 1, 2""",
 )
 relation(
     "base",
@@ -243,7 +243,7 @@ relation(
     SELECT query_id, user_name, role_name, start_time AS access_time, source_table, source_type, columns_accessed,
       rows_produced, bytes_scanned, o_orderkey, line
     FROM ql JOIN orders ON query_id = 'Q' || o_orderkey LEFT JOIN base ON l_orderkey = o_orderkey
-    WHERE start_time >= {AS_OF} - INTERVAL 90 DAY AND execution_status = 'SUCCESS'""",
+    WHERE start_time BETWEEN {AS_OF} - INTERVAL 90 DAY AND {AS_OF} AND execution_status = 'SUCCESS'""",
 )
 relation(
     "dal",
@@ -266,7 +266,7 @@ relation(
     "candidates",
     "evc",
     sql=f"""
-    SELECT * FROM evc WHERE event_date >= {TODAY} - INTERVAL 7 DAY
+    SELECT * FROM evc WHERE event_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY} AND event_timestamp <= {AS_OF}
       AND length(agent_response) > 50 AND length(user_query) > 10""",
 )
 relation("sample", "candidates", sql="SELECT * FROM candidates ORDER BY md5(trace_id), trace_id LIMIT 100")
@@ -446,7 +446,7 @@ def _prompt(judge: str) -> str:
 
 
 def _run(today: str) -> str:
-    return f"""(SELECT * FROM evc WHERE event_date >= {today} - INTERVAL 7 DAY AND length(agent_response) > 50
+    return f"""(SELECT * FROM evc WHERE event_date BETWEEN {today} - INTERVAL 7 DAY AND {today} AND event_timestamp <= {today} AND length(agent_response) > 50
       ORDER BY md5(trace_id), trace_id LIMIT 100)"""
 
 
@@ -458,7 +458,7 @@ def _run_rows(today: str) -> str:
 
 _DAILY = f"""SELECT agent_name, event_date, count(DISTINCT thread_id) AS conversations,
       count(DISTINCT user_name) AS unique_users, count(*) AS total_events
-    FROM ae WHERE event_date >= {TODAY} - INTERVAL 30 DAY GROUP BY 1, 2"""
+    FROM ae WHERE event_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1, 2"""
 _POSITIVE = "CAST(sum(CASE WHEN feedback_sentiment = 'POSITIVE' THEN 1 ELSE 0 END) AS BIGINT)"
 _NEGATIVE = "CAST(sum(CASE WHEN feedback_sentiment = 'NEGATIVE' THEN 1 ELSE 0 END) AS BIGINT)"
 _RATED = "CAST(sum(CASE WHEN feedback_sentiment IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT)"
@@ -466,8 +466,8 @@ _POSITIVE_RATE = f"round(CAST({_POSITIVE} AS DOUBLE) * 100 / nullif({_RATED}, 0)
 
 
 def _avg3(column: str) -> str:
-    """Mean of values with at most six decimals, from their exact integer sum."""
-    return f"round(CAST(sum(CAST(round({column} * 1000000) AS BIGINT)) AS DOUBLE) / (count({column}) * 1000000), 3)"
+    """Mean rounded to three decimals; by way of nine, where sums in another order do not differ."""
+    return f"CAST(round(CAST(avg({column}) AS DECIMAL(28, 9)), 3) AS DOUBLE)"
 
 
 def _status_count(status: str) -> str:
@@ -481,13 +481,12 @@ STATEMENTS: dict[str, str] = {
     "agent_conversations": statement("SELECT * FROM conv", "conv"),
     "agent_tool_usage": statement("SELECT * FROM tool", "tool"),
     "agent_feedback_summary": statement(
-        """SELECT fb.*, coalesce(comments, '') AS feedback_comments, CAST(0 AS BIGINT) AS comment_page
-        FROM fb LEFT JOIN (
-          SELECT agent_name, event_date, string_agg(feedback_comment, '|' ORDER BY seen, feedback_comment) AS comments
-          FROM (SELECT agent_name, event_date, feedback_comment, min(event_timestamp) AS seen FROM ae
-                WHERE event_type = 'CORTEX_AGENT_FEEDBACK' AND feedback_comment IS NOT NULL GROUP BY 1, 2, 3)
-          GROUP BY 1, 2) USING (agent_name, event_date)""",
+        "SELECT * FROM fb",
         "fb",
+    ),
+    "feedback_comments": statement(
+        """SELECT agent_name, event_date, feedback_comment, min(event_timestamp) AS first_seen, count(*) AS times
+        FROM ae WHERE event_type = 'CORTEX_AGENT_FEEDBACK' AND feedback_comment IS NOT NULL GROUP BY 1, 2, 3""",
         "ae",
     ),
     "agent_query_history": statement("SELECT * FROM hist", "hist"),
@@ -505,33 +504,33 @@ STATEMENTS: dict[str, str] = {
     "tool_usage_distribution": statement(
         f"""SELECT agent_name, tool_used, count(*) AS usage_count,
           round(CAST(count(*) AS DOUBLE) * 100 / sum(count(*)) OVER (PARTITION BY agent_name), 2) AS pct_of_agent
-        FROM tool WHERE event_date >= {TODAY} - INTERVAL 30 DAY AND tool_used IS NOT NULL GROUP BY 1, 2""",
+        FROM tool WHERE event_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} AND tool_used IS NOT NULL GROUP BY 1, 2""",
         "tool",
     ),
     "response_times": statement(
         f"""SELECT agent_name, count(*) AS responses, round(avg(response_time_ms), 2) AS avg_response_ms,
           round(median(response_time_ms), 2) AS median_response_ms, max(response_time_ms) AS max_response_ms
-        FROM conv WHERE event_date >= {TODAY} - INTERVAL 30 DAY GROUP BY 1""",
+        FROM conv WHERE event_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1""",
         "conv",
     ),
     "feedback_rates": statement(
         f"""SELECT agent_name, CAST(sum(total_feedback) AS BIGINT) AS total_feedback,
           CAST(sum(positive_count) AS BIGINT) AS positive, CAST(sum(negative_count) AS BIGINT) AS negative,
           round(CAST(sum(positive_count) AS DOUBLE) * 100 / nullif(sum(total_feedback), 0), 2) AS positive_rate_pct
-        FROM fb WHERE event_date >= {TODAY} - INTERVAL 30 DAY GROUP BY 1""",
+        FROM fb WHERE event_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1""",
         "fb",
     ),
     "negative_feedback_alerts": statement(
         f"""SELECT event_date, agent_name, negative_count, total_feedback, negative_rate_pct,
           CASE WHEN negative_rate_pct > 20 THEN '⚠️ HIGH' WHEN negative_rate_pct > 10 THEN '⚡ ELEVATED'
                ELSE '✅ NORMAL' END AS alert_level
-        FROM fb WHERE event_date >= {TODAY} - INTERVAL 14 DAY AND total_feedback >= 5""",
+        FROM fb WHERE event_date BETWEEN {TODAY} - INTERVAL 14 DAY AND {TODAY} AND total_feedback >= 5""",
         "fb",
     ),
     "negative_conversations": statement(
         f"""SELECT agent_name, user_name, thread_id, event_timestamp, left(user_query, 200) AS user_query_preview,
           left(agent_response, 200) AS agent_response_preview, feedback_comment
-        FROM conv WHERE feedback_sentiment = 'NEGATIVE' AND event_date >= {TODAY} - INTERVAL 7 DAY
+        FROM conv WHERE feedback_sentiment = 'NEGATIVE' AND event_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY}
         ORDER BY event_timestamp DESC NULLS FIRST, thread_id NULLS LAST, agent_name NULLS LAST,
           feedback_comment NULLS LAST LIMIT 20""",
         "conv",
@@ -540,18 +539,18 @@ STATEMENTS: dict[str, str] = {
         f"""SELECT CAST(date_trunc('month', event_date) AS DATE) AS audit_month, agent_name,
           count(DISTINCT thread_id) AS total_conversations, count(DISTINCT user_name) AS unique_users,
           {_POSITIVE} AS positive_feedback, {_NEGATIVE} AS negative_feedback
-        FROM ae WHERE event_date >= {TODAY} - INTERVAL 3 MONTH GROUP BY 1, 2""",
+        FROM ae WHERE event_date BETWEEN {TODAY} - INTERVAL 3 MONTH AND {TODAY} GROUP BY 1, 2""",
         "ae",
     ),
     "get_agent_events": statement(
         f"""SELECT event_type, user_name, thread_id, tool_used, feedback_sentiment, event_timestamp FROM ae
-        WHERE agent_name = '{C.AGENT}' AND event_timestamp >= {AS_OF} - INTERVAL 7 DAY""",
+        WHERE agent_name = '{C.AGENT}' AND event_timestamp BETWEEN {AS_OF} - INTERVAL 7 DAY AND {AS_OF}""",
         "ae",
     ),
     "get_feedback_summary": statement(
         f"""SELECT agent_name, count(*) AS total_feedback, {_POSITIVE} AS positive_count,
           {_NEGATIVE} AS negative_count, round(CAST({_POSITIVE} AS DOUBLE) / count(*) * 100, 2) AS positive_rate
-        FROM ae WHERE event_type = 'CORTEX_AGENT_FEEDBACK' AND event_timestamp >= {AS_OF} - INTERVAL 30 DAY
+        FROM ae WHERE event_type = 'CORTEX_AGENT_FEEDBACK' AND event_timestamp BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF}
         GROUP BY 1""",
         "ae",
     ),
@@ -563,19 +562,25 @@ STATEMENTS: dict[str, str] = {
     "failures_by_category": statement(
         f"""SELECT error_category, count(*) AS failure_count, count(DISTINCT user_name) AS affected_users,
           string_agg(DISTINCT error_code, '|' ORDER BY error_code) AS error_codes
-        FROM failed WHERE failure_date >= {TODAY} - INTERVAL 7 DAY GROUP BY 1""",
+        FROM failed WHERE failure_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY} GROUP BY 1""",
         "failed",
     ),
     "permission_denials": statement(
-        f"""SELECT user_name, role_name, failure_date, count(*) AS denial_count,
-          string_agg(DISTINCT sample, '|' ORDER BY sample) AS query_samples, CAST(0 AS BIGINT) AS sample_page
-        FROM (SELECT *, left(query_preview, 100) AS sample FROM failed)
-        WHERE error_category = 'PERMISSION_DENIED' AND failure_date >= {TODAY} - INTERVAL 7 DAY GROUP BY 1, 2, 3""",
+        f"""SELECT user_name, role_name, failure_date, count(*) AS denial_count
+        FROM failed
+        WHERE error_category = 'PERMISSION_DENIED' AND failure_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY} GROUP BY 1, 2, 3""",
+        "failed",
+    ),
+    "denial_samples": statement(
+        f"""SELECT user_name, role_name, failure_date, left(query_preview, 100) AS query_sample, count(*) AS times
+        FROM failed
+        WHERE error_category = 'PERMISSION_DENIED' AND failure_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY}
+          AND query_preview IS NOT NULL GROUP BY 1, 2, 3, 4""",
         "failed",
     ),
     "high_row_queries": statement(
         f"""SELECT user_name, query_id, rows_produced, left(query_text, 300) AS query_preview, start_time FROM hist
-        WHERE rows_produced > 10000 AND start_time >= {AS_OF} - INTERVAL 7 DAY
+        WHERE rows_produced > 10000 AND start_time BETWEEN {AS_OF} - INTERVAL 7 DAY AND {AS_OF}
         ORDER BY rows_produced DESC NULLS FIRST, query_id LIMIT 20""",
         "hist",
     ),
@@ -583,13 +588,13 @@ STATEMENTS: dict[str, str] = {
         f"""SELECT user_name, CAST(start_time AS DATE) AS activity_date, CAST(hour(start_time) AS INTEGER) AS activity_hour,
           count(*) AS query_count
         FROM hist WHERE hour(start_time) NOT BETWEEN 8 AND 18 AND dayofweek(start_time) NOT IN (0, 6)
-          AND start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2, 3 HAVING count(*) > 5""",
+          AND start_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1, 2, 3 HAVING count(*) > 5""",
         "hist",
     ),
     "top_accessed_tables": statement(
         f"""SELECT source_table, count(*) AS access_count, count(DISTINCT user_name) AS unique_users,
           CAST(sum(rows_produced) AS BIGINT) AS total_rows_returned
-        FROM dal WHERE access_time >= {AS_OF} - INTERVAL 30 DAY AND source_table IS NOT NULL GROUP BY 1
+        FROM dal WHERE access_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} AND source_table IS NOT NULL GROUP BY 1
         ORDER BY access_count DESC, source_table LIMIT 20""",
         "dal",
     ),
@@ -604,14 +609,14 @@ STATEMENTS: dict[str, str] = {
         f"""SELECT source_table, column_accessed, count(*) AS access_count
         FROM dal LEFT JOIN (VALUES (1, 'ID'), (1, 'NAME'), (2, 'ID'), (4, 'ID'), (4, 'AMOUNT'), (4, 'DOB'))
           AS cols(kind, column_accessed) ON kind = least(line, 4)
-        WHERE source_table ILIKE '{C.TABLE_PATTERN}' AND access_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2""",
+        WHERE source_table ILIKE '{C.TABLE_PATTERN}' AND access_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1, 2""",
         "dal",
     ),
     "weekly_access_report": statement(
         f"""SELECT CAST(date_trunc('week', access_time) AS DATE) AS report_week,
           count(DISTINCT user_name) AS users_with_access, count(DISTINCT source_table) AS tables_accessed,
           CAST(sum(rows_produced) AS BIGINT) AS total_rows_retrieved, count(*) AS total_queries
-        FROM dal WHERE access_time >= {AS_OF} - INTERVAL 1 MONTH GROUP BY 1""",
+        FROM dal WHERE access_time BETWEEN {AS_OF} - INTERVAL 1 MONTH AND {AS_OF} GROUP BY 1""",
         "dal",
     ),
     "investigate_user_access": statement(
@@ -624,32 +629,32 @@ STATEMENTS: dict[str, str] = {
           round(CAST(sum(CAST(round(failure_rate_pct * 100) AS BIGINT)) AS DOUBLE)
             / (count(failure_rate_pct) * 100), 2) AS avg_failure_rate,
           CAST(sum(total_rows_produced) AS BIGINT) AS total_rows
-        FROM act WHERE activity_date >= {TODAY} - INTERVAL 30 DAY GROUP BY 1""",
+        FROM act WHERE activity_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1""",
         "act",
     ),
     "high_failure_users": statement(
         f"""SELECT user_name, activity_date, total_queries, failed_queries, failure_rate_pct,
           CASE WHEN failure_rate_pct > 20 THEN '⚠️ INVESTIGATE' WHEN failure_rate_pct > 10 THEN '⚡ MONITOR'
                ELSE '✅ NORMAL' END AS status
-        FROM act WHERE activity_date >= {TODAY} - INTERVAL 7 DAY AND total_queries >= 10 AND failure_rate_pct > 10""",
+        FROM act WHERE activity_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY} AND total_queries >= 10 AND failure_rate_pct > 10""",
         "act",
     ),
     "role_usage": statement(
         f"""SELECT role_name, count(DISTINCT user_name) AS unique_users, count(*) AS total_queries,
           CAST(sum(rows_produced) AS BIGINT) AS total_rows
-        FROM hist WHERE start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1""",
+        FROM hist WHERE start_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1""",
         "hist",
     ),
     "function_usage": statement(
         f"""SELECT cortex_function_used, count(*) AS call_count, count(DISTINCT user_name) AS unique_users,
           round(CAST(sum(CAST(round(elapsed_seconds * 1000) AS BIGINT)) AS DOUBLE) / (count(elapsed_seconds) * 1000), 2)
             AS avg_seconds
-        FROM hist WHERE cortex_function_used IS NOT NULL AND start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1""",
+        FROM hist WHERE cortex_function_used IS NOT NULL AND start_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1""",
         "hist",
     ),
     "function_daily_trend": statement(
         f"""SELECT CAST(start_time AS DATE) AS usage_date, cortex_function_used, count(*) AS calls
-        FROM hist WHERE cortex_function_used IS NOT NULL AND start_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1, 2""",
+        FROM hist WHERE cortex_function_used IS NOT NULL AND start_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1, 2""",
         "hist",
     ),
     "investigate_user_activity": statement(
@@ -661,7 +666,7 @@ STATEMENTS: dict[str, str] = {
         "failed",
     ),
     "export_activity": statement(
-        f"SELECT * FROM act WHERE activity_date >= {TODAY} - INTERVAL 1 MONTH", "act"
+        f"SELECT * FROM act WHERE activity_date BETWEEN {TODAY} - INTERVAL 1 MONTH AND {TODAY}", "act"
     ),
     "metrics_agent_events": statement(
         f"""SELECT agent_name, count(*) AS total_events, count(DISTINCT thread_id) AS total_conversations,
@@ -704,7 +709,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "vq_conversations_last_week": statement(
         f"""SELECT agent_name, count(DISTINCT thread_id) AS conversations FROM ae
-        WHERE event_date >= {TODAY} - INTERVAL 7 DAY GROUP BY 1""",
+        WHERE event_date BETWEEN {TODAY} - INTERVAL 7 DAY AND {TODAY} GROUP BY 1""",
         "ae",
     ),
     "vq_positive_rate": statement(
@@ -715,13 +720,13 @@ STATEMENTS: dict[str, str] = {
     "vq_highest_failure_users": statement(
         f"""SELECT user_name, CAST(sum(total_queries) AS BIGINT) AS queries, CAST(sum(failed_queries) AS BIGINT) AS failures,
           round(CAST(sum(failed_queries) AS DOUBLE) * 100 / nullif(sum(total_queries), 0), 2) AS failure_rate
-        FROM act WHERE activity_date >= {TODAY} - INTERVAL 30 DAY GROUP BY 1 HAVING sum(total_queries) >= 10
+        FROM act WHERE activity_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1 HAVING sum(total_queries) >= 10
         ORDER BY failure_rate DESC NULLS FIRST, user_name LIMIT 10""",
         "act",
     ),
     "vq_most_accessed_tables": statement(
         f"""SELECT source_table, count(*) AS access_count, count(DISTINCT user_name) AS unique_users
-        FROM dal WHERE access_time >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1
+        FROM dal WHERE access_time BETWEEN {AS_OF} - INTERVAL 30 DAY AND {AS_OF} GROUP BY 1
         ORDER BY access_count DESC, source_table NULLS LAST LIMIT 20""",
         "dal",
     ),
@@ -843,7 +848,7 @@ STATEMENTS: dict[str, str] = {
     "critical_alert": statement(
         f"""SELECT count(*) > 0 AS fired, count(*) AS critical_count, min(evaluated_at) AS first_evaluated_at,
           max(evaluated_at) AS last_evaluated_at
-        FROM parsed_all WHERE evaluation_status = 'CRITICAL' AND evaluated_at >= {AS_OF} - INTERVAL 25 HOUR""",
+        FROM parsed_all WHERE evaluation_status = 'CRITICAL' AND evaluated_at BETWEEN {AS_OF} - INTERVAL 25 HOUR AND {AS_OF} - INTERVAL 1 HOUR""",
         "parsed_all",
     ),
     "critical_alert_stream": statement(

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import days_before, months_before
+from tracewarden.functions.clock import days_before, instant, months_before
 from tracewarden.functions.columns import ascending, descending, matches_any
 from tracewarden.operators.lineage import pair_count, pair_sum
 
 
 def _since(accesses: DataFrame, as_of: datetime, days: int) -> DataFrame:
-    return accesses.where(F.col("access_time") >= days_before(as_of, days))
+    return accesses.where(F.col("access_time").between(days_before(as_of, days), instant(as_of)))
 
 
 def top_accessed_tables(accesses: DataFrame, as_of: datetime, days: int = 30, limit: int = 20) -> DataFrame:
@@ -68,7 +68,7 @@ def column_access(accesses: DataFrame, as_of: datetime, pattern: str, days: int
 def weekly_access_report(accesses: DataFrame, as_of: datetime, months: int = 1) -> DataFrame:
     """Users, tables, rows and pairs per week (weeks start on Monday)."""
     return (
-        accesses.where(F.col("access_time") >= months_before(as_of, months))
+        accesses.where(F.col("access_time").between(months_before(as_of, months), instant(as_of)))
         .groupBy(F.trunc(F.to_date("access_time"), "week").alias("report_week"))
         .agg(
             F.count_distinct("user_name").alias("users_with_access"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import date_months_before, dates_before, days_before
+from tracewarden.functions.clock import date_months_before, dates_before, days_before, instant, today
 from tracewarden.functions.columns import (
     ascending,
     count_where,
@@ -22,15 +22,15 @@ from tracewarden.functions.columns import (
 from tracewarden.functions.median import exact_medians
 from tracewarden.operators.agent_events import (
     agent_conversations,
+    agent_feedback_summary,
     agent_tool_usage,
-    daily_feedback,
     feedback_counts,
     feedback_events,
 )
 
 
 def _since(rows: DataFrame, as_of: datetime, days: int) -> DataFrame:
-    return rows.where(F.col("event_date") >= dates_before(as_of, days))
+    return rows.where(F.col("event_date").between(dates_before(as_of, days), today(as_of)))
 
 
 def daily_conversations(events: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
@@ -43,7 +43,7 @@ def daily_conversations(events: DataFrame, as_of: datetime, days: int = 30) -> D
             F.count_distinct("user_name").alias("unique_users"),
             F.count(F.lit(1)).alias("total_events"),
         )
-        .orderBy(descending("event_date"), descending("conversations"))
+        .orderBy(descending("event_date"), descending("conversations"), ascending("agent_name"))
     )
 
 
@@ -87,13 +87,13 @@ def response_times(events: DataFrame, as_of: datetime, days: int = 30) -> DataFr
             F.round("median", 2).alias("median_response_ms"),
             "max_response_ms",
         )
-        .orderBy(descending("avg_response_ms"))
+        .orderBy(descending("avg_response_ms"), ascending("agent_name"))
     )
 
 
 def feedback_rates(events: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Feedback totals and positive rate per agent, worst first."""
-    daily = _since(daily_feedback(events), as_of, days)
+    daily = _since(agent_feedback_summary(events), as_of, days)
     return (
         daily.groupBy("agent_name")
         .agg(
@@ -102,7 +102,7 @@ def feedback_rates(events: DataFrame, as_of: datetime, days: int = 30) -> DataFr
             F.sum("negative_count").alias("negative"),
         )
         .withColumn("positive_rate_pct", weighted_pct(F.col("positive"), F.col("total_feedback")))
-        .orderBy(ascending("positive_rate_pct"))
+        .orderBy(ascending("positive_rate_pct"), ascending("agent_name"))
     )
 
 
@@ -112,7 +112,7 @@ def negative_feedback_alerts(
     """Alert level per agent and day from the share of negative feedback."""
     rate = F.col("negative_rate_pct")
     return (
-        _since(daily_feedback(events), as_of, days)
+        _since(agent_feedback_summary(events), as_of, days)
         .where(F.col("total_feedback") >= min_feedback)
         .select(
             "event_date",
@@ -122,7 +122,7 @@ def negative_feedback_alerts(
             "negative_rate_pct",
             level(rate, V.FEEDBACK_ALERT_LEVELS, V.NORMAL_LEVEL).alias("alert_level"),
         )
-        .orderBy(descending("event_date"), descending("negative_rate_pct"))
+        .orderBy(descending("event_date"), descending("negative_rate_pct"), ascending("agent_name"))
     )
 
 
@@ -154,7 +154,7 @@ def monthly_audit_summary(events: DataFrame, as_of: datetime, months: int = 3) -
     """Threads, users and feedback per month and agent."""
     sentiment = F.col("feedback_sentiment")
     return (
-        events.where(F.col("event_date") >= date_months_before(as_of, months))
+        events.where(F.col("event_date").between(date_months_before(as_of, months), today(as_of)))
         .groupBy(F.trunc("event_date", "month").alias("audit_month"), "agent_name")
         .agg(
             F.count_distinct("thread_id").alias("total_conversations"),
@@ -166,23 +166,37 @@ def monthly_audit_summary(events: DataFrame, as_of: datetime, months: int = 3) -
     )
 
 
+def _recent(events: DataFrame, as_of: datetime, days_back: int) -> DataFrame:
+    """A window counted from now; the dates that it touches prune stored events."""
+    return _since(events, as_of, days_back).where(
+        F.col("event_timestamp").between(days_before(as_of, days_back), instant(as_of))
+    )
+
+
 def get_agent_events(
     events: DataFrame, as_of: datetime, agent_name: str | None = None, days_back: int = 7
 ) -> DataFrame:
     """Events of one agent (or of all), newest first."""
-    recent = events.where(F.col("event_timestamp") >= days_before(as_of, days_back))
+    recent = _recent(events, as_of, days_back)
     if agent_name is not None:
         recent = recent.where(F.col("agent_name") == agent_name)
     return recent.select(
         "event_type", "user_name", "thread_id", "tool_used", "feedback_sentiment", "event_timestamp"
-    ).orderBy(descending("event_timestamp"))
+    ).orderBy(
+        descending("event_timestamp"),
+        ascending("thread_id"),
+        ascending("user_name"),
+        ascending("event_type"),
+        ascending("tool_used"),
+        ascending("feedback_sentiment"),
+    )
 
 
 def get_feedback_summary(
     events: DataFrame, as_of: datetime, agent_name: str | None = None, days_back: int = 30
 ) -> DataFrame:
     """Feedback totals of one agent (or of each), over a window counted from now."""
-    recent = feedback_events(events).where(F.col("event_timestamp") >= days_before(as_of, days_back))
+    recent = _recent(feedback_events(events), as_of, days_back)
     if agent_name is not None:
         recent = recent.where(F.col("agent_name") == agent_name)
     aggregates = [expr.alias(name) for name, expr in feedback_counts().items()]
@@ -198,5 +212,5 @@ def investigate_thread(events: DataFrame, thread_id: str) -> DataFrame:
     return (
         events.where(F.col("thread_id") == thread_id)
         .select("event_timestamp", "event_type", "tool_used", "span_input", "span_output", "feedback_sentiment")
-        .orderBy(ascending("event_timestamp"))
+        .orderBy(*[ascending(c) for c in ("event_timestamp", "event_type", "tool_used", "span_input", "span_output", "feedback_sentiment")])
     )

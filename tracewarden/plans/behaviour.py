@@ -8,24 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import date_months_before, dates_before, days_before
+from tracewarden.functions.clock import date_months_before, dates_before, days_before, instant, today
 from tracewarden.functions.columns import ascending, descending, exact_avg, level
 
 
 def user_activity(activity: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     """Totals per user and the mean of the daily failure rates."""
     return (
-        activity.where(F.col("activity_date") >= dates_before(as_of, days))
+        activity.where(F.col("activity_date").between(dates_before(as_of, days), today(as_of)))
         .groupBy("user_name")
         .agg(
-            # The summary has one row per user and day, so counting is enough.
-            F.count("activity_date").alias("active_days"),
+            F.count_distinct("activity_date").alias("active_days"),
             F.sum("total_queries").alias("total_queries"),
             F.sum("failed_queries").alias("total_failures"),
             F.round(exact_avg(F.col("failure_rate_pct"), 2), 2).alias("avg_failure_rate"),
             F.sum("total_rows_produced").alias("total_rows"),
         )
-        .orderBy(descending("total_queries"))
+        .orderBy(descending("total_queries"), ascending("user_name"))
     )
 
 
@@ -35,7 +34,7 @@ def high_failure_users(
     rate = F.col("failure_rate_pct")
     return (
         activity.where(
-            (F.col("activity_date") >= dates_before(as_of, days))
+            (F.col("activity_date").between(dates_before(as_of, days), today(as_of)))
             & (F.col("total_queries") >= min_queries)
             & (rate > min_rate)
         )
@@ -47,13 +46,13 @@ def high_failure_users(
             "failure_rate_pct",
             level(rate, V.FAILURE_ALERT_LEVELS, V.NORMAL_LEVEL).alias("status"),
         )
-        .orderBy(descending("failure_rate_pct"))
+        .orderBy(descending("failure_rate_pct"), ascending("user_name"), ascending("activity_date"))
     )
 
 
 def role_usage(history: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     return (
-        history.where(F.col("start_time") >= days_before(as_of, days))
+        history.where(F.col("start_time").between(days_before(as_of, days), instant(as_of)))
         .groupBy("role_name")
         .agg(
             F.count_distinct("user_name").alias("unique_users"),
@@ -66,7 +65,7 @@ def role_usage(history: DataFrame, as_of: datetime, days: int = 30) -> DataFrame
 
 def _function_calls(history: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return history.where(
-        F.col("cortex_function_used").isNotNull() & (F.col("start_time") >= days_before(as_of, days))
+        F.col("cortex_function_used").isNotNull() & (F.col("start_time").between(days_before(as_of, days), instant(as_of)))
     )
 
 
@@ -111,5 +110,5 @@ EXPORT_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.S
 
 def export_activity(activity: DataFrame, as_of: datetime, path: str, months: int = 1) -> None:
     """Write last month's activity as CSV with a header, replacing earlier files."""
-    recent = activity.where(F.col("activity_date") >= date_months_before(as_of, months))
+    recent = activity.where(F.col("activity_date").between(date_months_before(as_of, months), today(as_of)))
     recent.write.mode("overwrite").options(**EXPORT_OPTIONS).csv(path)

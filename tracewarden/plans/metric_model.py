@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import dates_before, days_before
+from tracewarden.functions.clock import dates_before, days_before, instant, today
 from tracewarden.functions.columns import ascending, descending
 
 
@@ -158,7 +158,7 @@ def conversations_last_week(events: DataFrame, as_of: datetime) -> DataFrame:
         AGENT_EVENTS,
         ["total_conversations"],
         ["agent_name"],
-        where=F.col("event_date") >= dates_before(as_of, 7),
+        where=F.col("event_date").between(dates_before(as_of, 7), today(as_of)),
         order_by=[descending("total_conversations")],
     ).withColumnRenamed("total_conversations", "conversations")
 
@@ -190,7 +190,7 @@ def highest_failure_users(
         USER_ACTIVITY,
         ["total_queries", "failed_queries", "failure_rate_pct"],
         ["user_name"],
-        where=F.col("activity_date") >= dates_before(as_of, 30),
+        where=F.col("activity_date").between(dates_before(as_of, 30), today(as_of)),
         having=F.col("total_queries") >= min_queries,
         order_by=[descending("failure_rate_pct"), ascending("user_name")],
         limit=limit,
@@ -207,7 +207,7 @@ def most_accessed_tables(accesses: DataFrame, as_of: datetime, limit: int = 20)
         DATA_ACCESS,
         ["access_count", "unique_users"],
         ["source_table"],
-        where=F.col("access_time") >= days_before(as_of, 30),
+        where=F.col("access_time").between(days_before(as_of, 30), instant(as_of)),
         order_by=[descending("access_count"), ascending("source_table")],
         limit=limit,
     )

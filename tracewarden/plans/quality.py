@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
-from tracewarden.functions.clock import hours_before
-from tracewarden.functions.columns import ascending, count_where, descending, exact_avg, weighted_pct
+from tracewarden.functions.clock import hours_before, instant
+from tracewarden.functions.columns import ascending, count_where, descending, weighted_pct
 
 STATUS = "evaluation_status"
 
 
 def _mean(name: str) -> Column:
-    return F.round(exact_avg(F.col(f"{name}_score"), 6), 3).alias(f"avg_{name}")
+    """Mean score to three decimals.
+
+    Sums of doubles differ in their last bits with the order of rows. Nine decimals do not, so
+    a mean that lies halfway is rounded from them and comes out alike on every run.
+    """
+    mean = F.avg(f"{name}_score")
+    steady = F.round(mean.try_cast("decimal(38,9)"), 3).cast("double")
+    return F.coalesce(steady, F.round(mean, 3)).alias(f"avg_{name}")
 
 
 def _pass_rate() -> Column:
@@ -48,7 +55,7 @@ def evaluation_by_agent(parsed: DataFrame) -> DataFrame:
             _mean("composite"),
             _pass_rate(),
         )
-        .orderBy(descending("avg_composite"))
+        .orderBy(descending("avg_composite"), ascending("agent_name"))
     )
 
 
@@ -64,7 +71,13 @@ def critical_issues(parsed: DataFrame) -> DataFrame:
             "safety_issues",
             "event_timestamp",
         )
-        .orderBy(ascending("safety_score"), descending("event_timestamp"))
+        .orderBy(
+            ascending("safety_score"),
+            descending("event_timestamp"),
+            ascending("agent_name"),
+            ascending("query_preview"),
+            ascending("response_preview"),
+        )
     )
 
 
@@ -80,8 +93,14 @@ def groundedness_issues(parsed: DataFrame) -> DataFrame:
             "groundedness_flags",
             "event_timestamp",
         )
-        # The time spreads the many rows that may share a score over the sort's tasks.
-        .orderBy(ascending("groundedness_score"), descending("event_timestamp"))
+        # Time and texts spread the many rows that may share a score over the sort's tasks.
+        .orderBy(
+            ascending("groundedness_score"),
+            descending("event_timestamp"),
+            ascending("agent_name"),
+            ascending("query_preview"),
+            ascending("response_preview"),
+        )
     )
 
 
@@ -99,7 +118,7 @@ def evaluation_trend(parsed: DataFrame) -> DataFrame:
 
 def critical_alert(parsed: DataFrame, as_of: datetime, hours: int = 1) -> DataFrame:
     """One row: did a critical result arrive in the last hours, how many and when."""
-    recent = (F.col(STATUS) == V.STATUS_CRITICAL) & (F.col("evaluated_at") >= hours_before(as_of, hours))
+    recent = (F.col(STATUS) == V.STATUS_CRITICAL) & (F.col("evaluated_at").between(hours_before(as_of, hours), instant(as_of)))
     return parsed.where(recent).agg(
         (F.count(F.lit(1)) > 0).alias("fired"),
         F.count(F.lit(1)).alias("critical_count"),

@@ -19,8 +19,11 @@ TABLE_FUNCTIONS = (
     RETURN SELECT event_type, user_name, thread_id, tool_used, feedback_sentiment, event_timestamp
            FROM agent_events_flattened
            WHERE (p_agent_name IS NULL OR agent_name = p_agent_name)
-             AND event_timestamp >= TIMESTAMP_NTZ '{as_of}' - make_dt_interval(p_days_back)
-           ORDER BY event_timestamp DESC NULLS FIRST
+             AND event_date BETWEEN date_sub(DATE '{today}', p_days_back) AND DATE '{today}'
+             AND event_timestamp BETWEEN TIMESTAMP_NTZ '{as_of}' - make_dt_interval(p_days_back)
+                                     AND TIMESTAMP_NTZ '{as_of}'
+           ORDER BY event_timestamp DESC NULLS FIRST, thread_id NULLS LAST, user_name NULLS LAST,
+                    event_type NULLS LAST, tool_used NULLS LAST, feedback_sentiment NULLS LAST
     """,
     """
     CREATE OR REPLACE TEMPORARY FUNCTION get_feedback_summary(p_agent_name STRING, p_days_back INT DEFAULT 30)
@@ -34,7 +37,9 @@ TABLE_FUNCTIONS = (
                  FROM agent_events_flattened
                  WHERE event_type = 'CORTEX_AGENT_FEEDBACK'
                    AND (p_agent_name IS NULL OR agent_name = p_agent_name)
-                   AND event_timestamp >= TIMESTAMP_NTZ '{as_of}' - make_dt_interval(p_days_back)
+                   AND event_date BETWEEN date_sub(DATE '{today}', p_days_back) AND DATE '{today}'
+                   AND event_timestamp BETWEEN TIMESTAMP_NTZ '{as_of}' - make_dt_interval(p_days_back)
+                                           AND TIMESTAMP_NTZ '{as_of}'
                  GROUP BY agent_name)
     """,
 )
@@ -49,11 +54,12 @@ def audit_views(logs: AuditLogs, as_of: datetime, events: DataFrame | None = Non
         "agent_conversations": E.agent_conversations(events),
         "agent_tool_usage": E.agent_tool_usage(events),
         "agent_feedback_summary": E.agent_feedback_summary(events),
+        "feedback_comments": E.feedback_comments(events),
         "agent_query_history": Q.agent_query_history(logs.query_log, as_of),
         "data_access_lineage": LN.data_access_lineage(logs.query_log, logs.access_log, as_of),
         "failed_queries_analysis": Q.failed_queries_analysis(logs.query_log, as_of),
         "user_activity_summary": Q.user_activity_summary(logs.query_log, as_of),
-        "eval_conversations": E.eval_conversations(logs.raw_events),
+        "eval_conversations": E.eval_conversations(events),
     }
 
 
@@ -64,4 +70,4 @@ def register_views(
     for name, relation in audit_views(logs, as_of, events).items():
         relation.createOrReplaceTempView(name)
     for function in TABLE_FUNCTIONS:
-        spark.sql(function.format(as_of=as_of.isoformat(sep=" ")))
+        spark.sql(function.format(as_of=as_of.isoformat(sep=" "), today=as_of.date().isoformat()))

@@ -56,14 +56,12 @@ def _numbered(prefix: str, number: Column) -> Column:
 
 
 def _spread(table: DataFrame, key: str) -> DataFrame:
-    """The table in at least as many partitions as there are cores.
+    """The table dealt out by its key.
 
     The small test files are a single row group each, which one core would have
-    to turn into JSON and parse alone. Larger inputs come in enough splits and
-    are left as they are.
+    to turn into JSON and parse alone.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+    return table.repartition(key)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,24 +12,16 @@ from tracewarden import fixed_values as V
 from tracewarden.operators.evaluation import evaluation_parsed
 from tracewarden.streaming.refresh import scheduled
 
-LATENESS = "1 hour"
 WINDOW = "1 hour"
 
 
 def critical_windows(results: DataFrame) -> DataFrame:
-    """Critical results per hour of evaluation; works on batch and stream.
-
-    On a stream, the state of an hour is dropped once results are one hour past
-    it, and results later than that are not counted. The watermark needs
-    a zoned timestamp; sessions run in UTC, so the values do not shift.
-    """
+    """Critical results per hour of evaluation."""
     critical = (
         evaluation_parsed(results)
         .where(F.col("evaluation_status") == V.STATUS_CRITICAL)
         .select(F.col("evaluated_at").cast("timestamp").alias("evaluated_at"))
     )
-    if critical.isStreaming:
-        critical = critical.withWatermark("evaluated_at", LATENESS)
     return (
         critical.groupBy(F.window("evaluated_at", WINDOW).alias("hour"))
         .agg(F.count(F.lit(1)).alias("critical_count"))
@@ -48,28 +40,29 @@ def watch_critical(
     notify: Callable[[DataFrame], None] | None = None,
     interval: str | None = "60 minutes",
 ) -> StreamingQuery:
-    """Record each hour with critical results as soon as, and whenever, it changes.
+    """Record each micro-batch's critical results per hour, however late they come.
 
-    A micro-batch overwrites its own folder, so a repeated one leaves no
-    duplicates. ``notify`` gets the changed hours (to send mail, say).
+    Counts add up, so a batch needs no state: it writes its own counts to its own
+    folder, and a repeated one overwrites that. ``notify`` gets the hours
+    of the batch with the batch's counts (to send mail, say).
     """
 
-    def record(changed: DataFrame, batch_id: int) -> None:
+    def record(arrived: DataFrame, batch_id: int) -> None:
         folder = f"{path}/batch_id={batch_id}"
-        changed.write.mode("overwrite").parquet(folder)
+        hours = critical_windows(arrived)
+        hours.write.mode("overwrite").parquet(folder)
         if notify is not None:
-            notify(changed.sparkSession.read.schema(changed.schema).parquet(folder))
+            notify(arrived.sparkSession.read.schema(hours.schema).parquet(folder))
 
-    writer = critical_windows(result_stream).writeStream.outputMode("update").foreachBatch(record)
-    return scheduled(writer, checkpoint, interval).start()
+    return scheduled(result_stream.writeStream.foreachBatch(record), checkpoint, interval).start()
 
 
 def recorded_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The last recorded count of each hour (counts only grow)."""
+    """Critical results per hour over all recorded batches."""
     schema = "window_start timestamp_ntz, window_end timestamp_ntz, critical_count bigint, batch_id bigint"
     return (
         spark.read.schema(schema)
         .parquet(path)
         .groupBy("window_start", "window_end")
-        .agg(F.max("critical_count").alias("critical_count"))
+        .agg(F.sum("critical_count").alias("critical_count"))
     )
