@@ -215,6 +215,7 @@ def candidate_texts(documents: DataFrame, wanted: bytes, bits: int) -> DataFrame
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, pack = np.frombuffer(wanted, np.uint8), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
+            # Texts that are not wanted go before any is turned into a Python object.
             value = batch.column(3).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.flatnonzero(has_bit(bitmap, bit_places(value, bits)))))
             data = pa.array([pack(x.encode()) for x in batch.column(2).to_pylist()], pa.binary())

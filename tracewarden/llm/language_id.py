@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.llm.tables import fold, read_table, share
+from tracewarden.llm.words import row_ranges
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -215,17 +215,6 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     return rest.mapInArrow(predicted, schema).select(*columns, "text", "lang_pred", "score", "rejected")
 
 
-def row_ranges(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of about ``limit`` bytes."""
-    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    places = np.concatenate([[0], np.cumsum(sizes)])
-    row = 0
-    while row < len(sizes):
-        end = max(row + 1, int(np.searchsorted(places, places[row] + limit, "right")) - 1)
-        yield row, end
-        row = end
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside fold 0."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.llm.tables import read_table, stored
-from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered
+from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, row_ranges
 
 WINDOW = 13
 MINIMISER_WORDS = 3
@@ -222,7 +222,8 @@ def without_repeats(documents: DataFrame, repeats: DataFrame, window: int, keep:
     width = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, (row, end) in ((b, part) for b in batches for part in row_ranges(b.column(width))):
+            batch = batch.slice(row, end - row)
             sizes, removed, kept = [], [], []
             for text, starts, counts in zip(*(batch.column(width + k) for k in range(3))):
                 words = (text.as_py() or "").encode().split()  # bytes split at ASCII spaces only

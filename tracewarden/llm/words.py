@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -13,12 +14,14 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
-CHUNK_BYTES = 2 << 20
+# Numpy work on a chunk takes some hundred bytes per byte of text at its peak.
+CHUNK_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20_011).integers(1, 1 << 64, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LARGEST_KEPT = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -33,17 +36,19 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(size).bit_length())
-    if size not in _powers:
-        steps = np.full(size, _BASE, np.uint64)
-        steps[0] = 1
-        back = np.full(size, _INVERSE, np.uint64)
-        back[0] = 1
-        tables = np.cumprod(steps), np.cumprod(back)
-        if size > 1 << 24:
-            return tables
-        _powers[size] = tables
-    return _powers[size]
+    """The first powers of the base and its inverse; one pair of tables serves all smaller sizes."""
+    if size <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size = 1 << int(size).bit_length()
+    tables = []
+    for factor in (_BASE, _INVERSE):
+        table = np.full(size, factor, np.uint64)
+        table[0] = 1
+        np.cumprod(table, out=table)
+        tables.append(table)
+    if size <= _LARGEST_KEPT:
+        _powers[:] = tables
+    return tables[0], tables[1]
 
 
 class RangeHashes:
@@ -128,6 +133,17 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[slice,
         row = end
 
 
+def row_ranges(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``limit`` bytes."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    places = np.concatenate([[0], np.cumsum(sizes)])
+    row = 0
+    while row < len(sizes):
+        end = max(row + 1, int(np.searchsorted(places, places[row] + limit, "right")) - 1)
+        yield row, end
+        row = end
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The given ranges of ``data`` one after the other, and the place of each in the result."""
     lengths = ends - starts
