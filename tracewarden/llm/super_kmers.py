@@ -93,7 +93,7 @@ def packed_super_kmers(rows: DataFrame, plan: np.ndarray, window: int) -> DataFr
     """Per batch and bucket one row: documents, places and compressed strings of its super-k-mers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
