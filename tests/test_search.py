@@ -6,6 +6,7 @@ import re
 import pytest
 
 from tracewarden.operators import search as S
+from tracewarden.operators import search_index as SX
 from tracewarden.session import new_folder
 
 DOCUMENTS = {
@@ -71,21 +72,56 @@ def test_query_without_terms(corpus):
 
 def test_index_gives_the_same_ranking(spark, corpus):
     path = new_folder(spark, "index")
-    # Two batches, the second of which is written twice.
-    S.index_documents(corpus.where("parity = 'odd'"), "body", path, 0, buckets=4)
+    # Two batches, the second of which is written twice; its number of buckets is not asked for again.
+    SX.index_documents(corpus.where("parity = 'odd'"), "body", path, 0, buckets=4)
     for _ in range(2):
-        S.index_documents(corpus.where("parity = 'even'"), "body", path, 1, buckets=4)
-    for query in ("data access security", "denied", "unknown access"):
-        assert found(S.search_postings(spark, path, corpus, query, [], limit=10, buckets=4)) == brute_force(query)
-    even = S.search_postings(spark, path, corpus, "data access", ["parity"], {"parity": "even"}, 10, buckets=4)
+        SX.index_documents(corpus.where("parity = 'even'"), "body", path, 1)
+    for query in ("data access security", "denied", "unknown access", "nowhere"):
+        assert found(SX.search_index(spark, path, query, [], limit=10)) == brute_force(query)
+    even = SX.search_index(spark, path, "data access", ["parity"], {"parity": "even"}, 10)
     assert found(even) == brute_force("data access", lambda d: int(d[1]) % 2 == 0)
 
 
-def test_index_reads_only_the_buckets_of_the_terms(spark, corpus):
+def test_index_follows_redelivered_changed_and_withdrawn_documents(spark, corpus):
     path = new_folder(spark, "index")
-    S.index_documents(corpus, "body", path, buckets=64)
-    plan = S.search_postings(spark, path, corpus, "denied", [], buckets=64)._jdf.queryExecution().toString()
+    early = corpus.selectExpr("doc_id", "if(doc_id IN ('d1', 'd3'), 'access denied, denied', body) AS body", "parity")
+    gone = spark.createDataFrame([("d9", "data data denied", "odd")], corpus.schema)
+    SX.index_documents(early.union(gone), "body", path, 0, buckets=4)
+    changed = corpus.where("doc_id IN ('d1', 'd3', 'd4')")
+    SX.index_documents(changed.union(changed), "body", path, 1, withdrawn=gone)
+    SX.index_documents(corpus.where("doc_id = 'd1'"), "body", path, 2)
+    for _ in range(2):
+        for query in ("data access security", "denied"):
+            assert found(SX.search_index(spark, path, query, [], limit=10)) == brute_force(query)
+        SX.compact_index(spark, path)
+    assert SX.Index(spark, path).generation == 2 and len(SX.Index(spark, path).commits()) == 1
+
+
+def test_a_batch_without_its_commit_is_not_seen(spark, corpus, monkeypatch):
+    path = new_folder(spark, "index")
+    SX.index_documents(corpus, "body", path, 0)
+    write = SX.Index.write
+
+    def stopped(self, rows, name, *partitions):
+        if name == "commits":
+            raise RuntimeError("lost")
+        write(self, rows, name, *partitions)
+
+    monkeypatch.setattr(SX.Index, "write", stopped)
+    with pytest.raises(RuntimeError):
+        SX.index_documents(corpus.selectExpr("concat(doc_id, 'x') AS doc_id", "body", "parity"), "body", path, 1)
+    assert found(SX.search_index(spark, path, "data access", [], limit=10)) == brute_force("data access")
+
+
+def test_index_reads_only_the_buckets_it_needs(spark, corpus):
+    path = new_folder(spark, "index")
+    SX.index_documents(corpus, "body", path, buckets=64)
+    index = SX.Index(spark, path)
+    assert index.term_buckets == 64
+    plan = SX.postings_of(index, ["denied"], index.commits())._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", plan)
+    plan = SX.search_index(spark, path, "denied", [])._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*doc_bucket", plan)
 
 
 def test_search_neither_shuffles_nor_pairs_documents(corpus):

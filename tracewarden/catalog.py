@@ -16,6 +16,7 @@ from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
+from tracewarden.operators import search_index as SX
 from tracewarden.plans import access, activity, behaviour, jobs, quality, security, sql_views
 from tracewarden.plans import metric_model as M
 from tracewarden.session import new_folder
@@ -242,8 +243,35 @@ def _agent_events_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.daily_conversations(read_agent_events(spark, f"{folder}/events"), AS_OF)
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(name: str, corpus: Query, text_column: str) -> Callable[[SparkSession, str], str]:
+    """The stored index of a corpus, built at the first search of a session."""
+
+    def path(spark: SparkSession, sf_dir: str) -> str:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _indexes:
+            folder = f"{new_folder(spark, name)}/index"
+            SX.index_documents(corpus(spark, sf_dir), text_column, folder, buckets=16)
+            _indexes[key] = folder
+        return _indexes[key]
+
+    return path
+
+
+_policy_index = _index("policy-index", over(_policies, SR.policy_corpus), "policy_text")
+_notes_index = _index("notes-index", over(_notes, SR.notes_corpus), "note_text")
+_conversation_index = _index("conversation-index", over(_events, SR.conversation_corpus), "conversation_text")
+
+
+def indexed(base: Query, index: Callable[[SparkSession, str], str], operator: Callable[..., DataFrame], *args: object) -> Query:
+    """A search over a base relation through its stored index."""
+    return lambda spark, sf_dir: operator(base(spark, sf_dir), *args, index=index(spark, sf_dir))
+
+
 def _search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes found through an index that a stream built, instead of a scan."""
+    """Notes found through an index that a stream built."""
     folder = new_folder(spark, "notes-index")
     corpus = SR.notes_corpus(_notes(spark, sf_dir))
     corpus.write.parquet(f"{folder}/corpus")
@@ -251,10 +279,23 @@ def _search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     refresh.refresh_index(
         arriving, "note_text", f"{folder}/index", f"{folder}/checkpoint", interval=None, buckets=16
     ).awaitTermination()
-    stored = spark.read.parquet(f"{folder}/corpus")
-    return SR.search_postings(
-        spark, f"{folder}/index", stored, NOTES_QUERY, ["auditor_name", "severity"], limit=10, buckets=16
-    )
+    return SX.search_index(spark, f"{folder}/index", NOTES_QUERY, ["auditor_name", "severity"], limit=10)
+
+
+def _search_changed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after every third note was another text at first, some came twice and one was withdrawn."""
+    folder = f"{new_folder(spark, 'notes-index')}/index"
+    corpus = SR.notes_corpus(_notes(spark, sf_dir))
+    third = F.pmod(F.crc32("doc_id"), F.lit(3)) == 0
+    stale = F.when(third, F.lit(NOTES_QUERY)).otherwise(F.col("note_text")).alias("note_text")
+    others = [c for c in corpus.columns if c != "note_text"]
+    first = corpus.select("doc_id", stale, *[c for c in others if c != "doc_id"])
+    withdrawn = first.limit(1).select(F.lit("GONE").alias("doc_id"), *[c for c in first.columns if c != "doc_id"])
+    SX.index_documents(first.union(withdrawn), "note_text", folder, 0, buckets=16)
+    again = corpus.where(third).select(*first.columns)
+    SX.index_documents(again.union(again), "note_text", folder, 1, withdrawn=withdrawn)
+    SX.compact_index(spark, folder)
+    return SX.search_index(spark, folder, NOTES_QUERY, ["auditor_name", "severity"], limit=10)
 
 
 def _metrics(base: Query, table: M.LogicalTable, *dimensions: str) -> Query:
@@ -343,13 +384,16 @@ QUERIES: dict[str, Query] = {
     "conversation_corpus": over(_events, SR.conversation_corpus),
     "policy_corpus": over(_policies, SR.policy_corpus),
     "notes_corpus": over(_notes, SR.notes_corpus),
-    "search_policies": over(_policies, SR.search_policies),
-    "search_conversations": over(_events, SR.search_conversations, CONVERSATION_QUERY),
-    "search_negative_conversations": over(
-        _events, SR.search_conversations, CONVERSATION_QUERY, {"feedback_sentiment": "NEGATIVE"}, 10
+    "search_policies": indexed(_policies, _policy_index, SR.search_policies),
+    "search_conversations": indexed(_events, _conversation_index, SR.search_conversations, CONVERSATION_QUERY),
+    "search_conversations_default": indexed(_events, _conversation_index, SR.search_conversations),
+    "search_conversations_scan": over(_events, SR.search_conversations, CONVERSATION_QUERY),
+    "search_negative_conversations": indexed(
+        _events, _conversation_index, SR.search_conversations, CONVERSATION_QUERY, {"feedback_sentiment": "NEGATIVE"}, 10
     ),
-    "search_notes": over(_notes, SR.search_notes, NOTES_QUERY, {"agent_name": AGENT}),
+    "search_notes": indexed(_notes, _notes_index, SR.search_notes, NOTES_QUERY, {"agent_name": AGENT}),
     "search_notes_index": _search_index,
+    "search_notes_changed": _search_changed_index,
     # evaluation
     "evaluation_dataset": over(_judged, EV.evaluation_dataset, AS_OF),
     "judge_prompts": over(_judged, J.judge_prompts),

@@ -2,16 +2,15 @@
 
 Ranking is BM25 (Robertson & Zaragoza 2009). :func:`search` scores a corpus
 directly: no shuffle, since term counts and lengths are per row and the corpus
-statistics are one small aggregate. :func:`index_documents` and
-:func:`search_postings` serve repeated searches over a stored index, which grows
-by batches of new documents and is read only for the terms asked for.
+statistics are one small aggregate. Repeated searches go through a stored index
+(``search_index.py``), which is read only for the terms asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.functions.columns import ascending, computed_once
@@ -85,7 +84,7 @@ def _occurrences(words: Column, term: str) -> Column:
     return F.array_size(F.filter(words, lambda word: word == F.lit(term)))
 
 
-def _matching(filters: Mapping[str, object] | None) -> Column:
+def matching(filters: Mapping[str, object] | None) -> Column:
     condition = F.lit(True)
     for name, value in (filters or {}).items():
         condition = condition & (F.col(name) == F.lit(value))
@@ -136,7 +135,7 @@ def search(
         idf = inverse_document_frequency(F.col("_all.documents"), F.col(f"_all.{name}"))
         score = score + term_score(idf, F.col(name), F.col("_length"), F.col("_all.mean_length"))
     return (
-        measured.where(_matching(filter) & candidate & found)
+        measured.where(matching(filter) & candidate & found)
         .withColumn("_all", statistics)
         .select("doc_id", *columns, F.round(score, SCORE_DIGITS).alias("score"))
         .orderBy(F.col("score").desc(), ascending("doc_id"))
@@ -144,97 +143,32 @@ def search(
     )
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets))
-
-
-def build_postings(corpus: DataFrame, text_column: str, buckets: int = TERM_BUCKETS) -> DataFrame:
-    """One row per document and term: term frequency and document length."""
-    words = corpus.select("doc_id", tokens(F.col(text_column)).alias("_words"))
-    return (
-        words.select("doc_id", F.array_size("_words").alias("doc_length"), F.explode("_words").alias("term"))
-        .groupBy("doc_id", "doc_length", "term")
-        .agg(F.count(F.lit(1)).alias("frequency"))
-        .withColumn("term_bucket", _bucket(F.col("term"), buckets))
-    )
-
-
-def index_documents(
-    corpus: DataFrame, text_column: str, path: str, batch: int = 0, buckets: int = TERM_BUCKETS
-) -> None:
-    """Add documents to a stored index: postings laid out by term, and statistics.
-
-    A batch replaces what an earlier attempt at it wrote, so it can be repeated.
-    Each document belongs to one batch and ``doc_id`` names it alone. Rebalancing splits a bucket that is too
-    large for one task, such as that of a term found in a third of the documents.
-    """
-    postings = build_postings(corpus, text_column, buckets).withColumn("batch", F.lit(batch).cast("bigint"))
-    _replace_batch(postings.hint("rebalance", "term_bucket"), f"{path}/postings", "batch", "term_bucket")
-    statistics = corpus.agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.array_size(tokens(F.col(text_column)))).alias("tokens")
-    ).withColumn("batch", F.lit(batch).cast("bigint"))
-    _replace_batch(statistics, f"{path}/statistics", "batch")
-
-
-def _replace_batch(rows: DataFrame, path: str, *partitions: str) -> None:
-    writer = rows.write.mode("overwrite").partitionBy(*partitions)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
-def search_postings(
-    spark: SparkSession,
-    path: str,
+def _found(
     corpus: DataFrame,
+    text_column: str,
     query: str,
     columns: Sequence[str],
-    filter: Mapping[str, object] | None = None,
-    limit: int = 10,
-    buckets: int = TERM_BUCKETS,
+    filter: Mapping[str, object] | None,
+    limit: int,
+    index: str | None,
 ) -> DataFrame:
-    """Like :func:`search`, reading only the postings of the query's terms.
+    """By the stored index at the path ``index``, or by a scan of the corpus."""
+    if index is None:
+        return search(corpus, text_column, query, columns, filter, limit)
+    from tracewarden.operators.search_index import search_index
 
-    Texts and attributes are fetched for the ``limit`` best documents only; a
-    filter looks at its own columns of the corpus and nothing else.
-    """
-    terms = query_terms(query)
-    if not terms:
-        raise ValueError("the query has no searchable term")
-    asked = F.col("term").isin(terms)
-    in_buckets = False
-    for term in terms:
-        in_buckets = (F.col("term_bucket") == _bucket(F.lit(term), buckets)) | in_buckets
-    postings = spark.read.parquet(f"{path}/postings").where(in_buckets & asked)
-    # One row per batch, added up to one row in all.
-    statistics = spark.read.parquet(f"{path}/statistics")
-    documents = statistics.agg(F.sum("documents")).scalar()
-    mean_length = statistics.agg(F.sum("tokens") / F.sum("documents")).scalar()
-    # One row per query term, a handful, whatever the size of the corpus.
-    containing = postings.groupBy("term").agg(F.count(F.lit(1)).alias("containing"))
-    score = term_score(
-        inverse_document_frequency(documents, F.col("containing")),
-        F.col("frequency"),
-        F.col("doc_length"),
-        mean_length,
-    )
-    scores = (
-        postings.join(F.broadcast(containing), "term")
-        .groupBy("doc_id")
-        .agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
-    )
-    if filter:
-        scores = scores.join(corpus.where(_matching(filter)).select("doc_id"), "doc_id", "left_semi")
-    ranking = [F.col("score").desc(), ascending("doc_id")]
-    best = scores.orderBy(*ranking).limit(limit)
-    # At most ``limit`` rows are broadcast.
-    return corpus.join(F.broadcast(best), "doc_id").select("doc_id", *columns, "score").orderBy(*ranking)
+    return search_index(corpus.sparkSession, index, query, columns, filter, limit)
 
 
 def search_policies(
-    policies: DataFrame, query: str = "data access security", limit: int = 3, preview_chars: int = 200
+    policies: DataFrame,
+    query: str = "data access security",
+    limit: int = 3,
+    preview_chars: int = 200,
+    index: str | None = None,
 ) -> DataFrame:
-    found = search(
-        policy_corpus(policies), "policy_text", query, ["policy_name", "policy_category", "policy_text"], limit=limit
-    )
+    columns = ["policy_name", "policy_category", "policy_text"]
+    found = _found(policy_corpus(policies), "policy_text", query, columns, None, limit, index)
     return found.select(
         "doc_id",
         "policy_name",
@@ -250,15 +184,10 @@ def search_conversations(
     filter: Mapping[str, object] | None = None,
     limit: int = 5,
     preview_chars: int = 200,
+    index: str | None = None,
 ) -> DataFrame:
-    found = search(
-        conversation_corpus(events),
-        "conversation_text",
-        query,
-        ["agent_name", "user_name", "thread_id", "feedback_sentiment", "conversation_text"],
-        filter=filter,
-        limit=limit,
-    )
+    columns = ["agent_name", "user_name", "thread_id", "feedback_sentiment", "conversation_text"]
+    found = _found(conversation_corpus(events), "conversation_text", query, columns, filter, limit, index)
     return found.select(
         "doc_id",
         "agent_name",
@@ -276,15 +205,10 @@ def search_notes(
     filter: Mapping[str, object] | None = None,
     limit: int = 10,
     preview_chars: int = 200,
+    index: str | None = None,
 ) -> DataFrame:
-    found = search(
-        notes_corpus(notes),
-        "note_text",
-        query,
-        ["auditor_name", "investigation_id", "agent_name", "severity", "created_date", "note_text"],
-        filter=filter,
-        limit=limit,
-    )
+    columns = ["auditor_name", "investigation_id", "agent_name", "severity", "created_date", "note_text"]
+    found = _found(notes_corpus(notes), "note_text", query, columns, filter, limit, index)
     return found.select(
         "doc_id",
         "auditor_name",

@@ -748,6 +748,13 @@ STATEMENTS: dict[str, str] = {
         "agent_name, user_name, thread_id, feedback_sentiment, left(conversation_text, 200) AS conversation_preview",
         5,
     ),
+    "search_conversations_default": _ranked(
+        "conv_corpus",
+        "conversation_text",
+        "access denied",
+        "agent_name, user_name, thread_id, feedback_sentiment, left(conversation_text, 200) AS conversation_preview",
+        5,
+    ),
     "search_negative_conversations": _ranked(
         "conv_corpus",
         "conversation_text",
@@ -859,6 +866,8 @@ STATEMENTS: dict[str, str] = {
     ),
 }
 for _name, _same_as in (
+    ("search_conversations_scan", "search_conversations"),
+    ("search_notes_changed", "search_notes_index"),
     ("policy_corpus_refresh", "policy_corpus"),
     ("notes_corpus_refresh", "notes_corpus"),
     ("sql_get_agent_events", "get_agent_events"),

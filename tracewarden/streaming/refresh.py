@@ -11,13 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tracewarden.operators.agent_events import agent_events_flattened
-from tracewarden.operators.search import (
-    TERM_BUCKETS,
-    conversation_corpus,
-    index_documents,
-    notes_corpus,
-    policy_corpus,
-)
+from tracewarden.operators.search import TERM_BUCKETS, conversation_corpus, notes_corpus, policy_corpus
+from tracewarden.operators.search_index import index_documents
 
 
 def scheduled(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
@@ -71,7 +66,10 @@ def refresh_index(
     interval: str | None = "1 hour",
     buckets: int = TERM_BUCKETS,
 ) -> StreamingQuery:
-    """Add new documents to a stored search index, a batch of it per micro-batch."""
+    """Add new and changed documents to a stored search index, a batch of it per micro-batch.
+
+    A document that comes again replaces its earlier version. Run ``compact_index`` now and then.
+    """
 
     def add(documents: DataFrame, batch_id: int) -> None:
         index_documents(documents, text_column, path, batch_id, buckets)
