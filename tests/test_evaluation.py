@@ -209,6 +209,14 @@ def test_external_scorer(spark, as_of):
     assert EV.evaluation_parsed(fine).where("evaluation_status = 'PASS'").count() == 5
     broken = EV.evaluation_results(conversations(spark, as_of, 5, query="boom"), scorer, as_of).collect()
     assert len(broken) == 5 and all(r.safety_raw is None for r in broken)
+    assert {r.safety_error for r in broken} == {"RuntimeError: no answer"}
+    mixed = conversations(spark, as_of, 40).union(conversations(spark, as_of, 3, query="boom"))
+    few = EV.evaluation_results(mixed, J.external_scorer(complete, partitions=1, chunk_rows=4), as_of)
+    counts = J.failed_calls(few).head()
+    # Only the chunks that hold a failing prompt are lost.
+    assert 3 <= counts.safety_failures <= 12 and counts.safety_failures == counts.relevance_failures
+    short = EV.evaluation_results(conversations(spark, as_of, 2), J.external_scorer(lambda prompts: [], 1), as_of)
+    assert {r.safety_error for r in short.collect()} == {"ValueError: 0 answers to 2 prompts"}
     silent = EV.evaluation_results(conversations(spark, as_of, 5, query=None), scorer, as_of).collect()
     assert len(silent) == 5 and all(r.safety_raw is None for r in silent)
 

@@ -95,3 +95,30 @@ def test_shares_and_totals_are_consistent(spark, events):
     model = M.metrics(events, M.AGENT_EVENTS, ["positive_feedback_count"], ["agent_name"]).collect()
     report = activity.feedback_rates(events, C.AS_OF).collect()
     assert {(r.agent_name, r.positive) for r in report} == {(r.agent_name, r.positive_feedback_count) for r in model}
+
+
+def test_sums_beyond_64_bits(spark, as_of):
+    accesses = spark.range(3).selectExpr(
+        "'u' AS user_name", "'r' AS role_name", "'t' AS source_table", "'TABLE' AS source_type",
+        "TIMESTAMP_NTZ '2024-01-30 00:00:00' AS access_time", "4000000000000000000 AS rows_produced",
+        "4000000000000000000 AS bytes_scanned", "2L AS fanout",
+    )
+    row = M.metrics(accesses, M.DATA_ACCESS, list(M.DATA_ACCESS.measures)).head()
+    assert int(row.total_bytes_scanned) == int(row.total_rows_returned) == 24 * 10**18
+    days = spark.range(3).selectExpr(
+        "'u' AS user_name", "date_add(DATE '2024-01-28', CAST(id AS INT)) AS activity_date", "1L AS total_queries",
+        "1L AS successful_queries", "0L AS failed_queries", "0.0D AS failure_rate_pct",
+        "9000000000000000000BD AS total_rows_produced", "CAST(4000000000000000000 AS DECIMAL(38, 0)) AS total_bytes_scanned",
+    )
+    row = M.metrics(days, M.USER_ACTIVITY, list(M.USER_ACTIVITY.measures)).head()
+    assert int(row.total_rows_produced) == 27 * 10**18 and int(row.total_bytes_scanned) == 12 * 10**18
+
+
+def test_profile_equals_single_dimensions(events):
+    profile = M.profile(events, M.AGENT_EVENTS)
+    measures = list(M.AGENT_EVENTS.measures)
+    for name in ("tool_used", "event_hour"):
+        alone = M.metrics(events, M.AGENT_EVENTS, measures, [name])
+        alone = alone.withColumn(name, F.col(name).cast("string"))
+        mine = profile.where(F.col("dimension") == name).select(F.col("value").alias(name), *measures)
+        assert sorted(map(repr, mine.collect())) == sorted(map(repr, alone.collect()))

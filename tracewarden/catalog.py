@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewarden import schemas
 from tracewarden.functions.columns import computed_once
@@ -94,6 +95,17 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_logs.notes(spark, sf_dir, AS_OF)
 
 
+def in_64_bits(query: Query) -> Query:
+    """Whole-number sums are DECIMAL(38, 0); the test tables' fit 64 bits, the type that checks compare."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir)
+        wide = [f.name for f in rows.schema.fields if f.dataType == T.DecimalType(38, 0)]
+        return rows.withColumns({name: F.col(name).cast("bigint") for name in wide})
+
+    return run
+
+
 def over(base: Query, operator: Callable[..., DataFrame], *args: object, **kwargs: object) -> Query:
     """Query that applies an operator to a base relation."""
     return lambda spark, sf_dir: operator(base(spark, sf_dir), *args, **kwargs)
@@ -188,6 +200,12 @@ def _critical_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.critical_alert(EV.evaluation_parsed(_all_results(spark, sf_dir)), alert_time, hours=24)
 
 
+def _critical_alert_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hour, as the alert looks by itself."""
+    alert_time = AS_OF - timedelta(hours=1)
+    return quality.critical_alert(EV.evaluation_parsed(_all_results(spark, sf_dir)), alert_time)
+
+
 def _critical_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "alerts")
     results = _all_results(spark, sf_dir)
@@ -317,7 +335,9 @@ def sql(text: str) -> Query:
     """SQL over the registered views and table functions."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql_views.register_views(spark, sample_logs.audit_logs(spark, sf_dir), AS_OF)
+        logs = sample_logs.audit_logs(spark, sf_dir)
+        more = {"policies": _policies(spark, sf_dir), "notes": _notes(spark, sf_dir), "results": _results(spark, sf_dir)}
+        sql_views.register_views(spark, logs, AS_OF, **more)
         return spark.sql(text)
 
     return run
@@ -375,6 +395,10 @@ QUERIES: dict[str, Query] = {
     "metrics_failed_queries": _metrics(_failures, M.FAILED_QUERIES, "error_category"),
     "metrics_user_activity": _metrics(_activity, M.USER_ACTIVITY, "user_name"),
     "metrics_data_access": _metrics(_accesses, M.DATA_ACCESS, "source_table", "source_type"),
+    "metrics_agent_events_profile": over(_events, M.profile, M.AGENT_EVENTS),
+    "metrics_failed_queries_profile": over(_failures, M.profile, M.FAILED_QUERIES),
+    "metrics_user_activity_profile": over(_activity, M.profile, M.USER_ACTIVITY),
+    "metrics_data_access_profile": over(_accesses, M.profile, M.DATA_ACCESS),
     "metrics_month_over_month": _month_over_month,
     "vq_conversations_last_week": over(_events, M.conversations_last_week, AS_OF),
     "vq_positive_rate": over(_events, M.positive_rate),
@@ -418,12 +442,34 @@ QUERIES: dict[str, Query] = {
            FROM agent_events_flattened WHERE event_date >= DATE '2024-01-31' - INTERVAL 30 DAY
            GROUP BY agent_name, event_date ORDER BY event_date DESC, conversations DESC"""
     ),
+    "sql_search_policies": sql(
+        """SELECT doc_id, policy_name, policy_category, left(policy_text, 200) AS policy_preview, score
+           FROM search_policy_corpus('data access security') ORDER BY score DESC, doc_id LIMIT 3"""
+    ),
+    "sql_search_notes": sql(
+        f"""SELECT doc_id, auditor_name, investigation_id, agent_name, severity, created_date,
+             left(note_text, 200) AS note_preview, score
+           FROM search_notes_corpus('{NOTES_QUERY}') WHERE agent_name = '{AGENT}' ORDER BY score DESC, doc_id LIMIT 10"""
+    ),
+    "sql_compliance_policies": sql("SELECT * FROM compliance_policies"),
+    "sql_audit_notes": sql("SELECT * FROM audit_notes"),
+    "sql_notes_corpus": sql("SELECT * FROM notes_corpus"),
+    "sql_evaluation_dataset": sql("SELECT * FROM evaluation_dataset"),
+    "sql_evaluation_results": sql("SELECT * FROM evaluation_results"),
+    "sql_evaluation_trend": sql(
+        """SELECT to_date(event_timestamp) AS event_date, count(*) AS samples,
+             CAST(round(CAST(avg(composite_score) AS DECIMAL(28, 9)), 3) AS DOUBLE) AS avg_composite,
+             sum(CASE WHEN evaluation_status = 'CRITICAL' THEN 1 ELSE 0 END) AS critical_count
+           FROM evaluation_parsed GROUP BY 1"""
+    ),
     # jobs and streams
     "weekly_evaluation": _weekly_evaluation,
     "critical_alert": _critical_alert,
+    "critical_alert_default": _critical_alert_default,
     "critical_alert_stream": _critical_alert_stream,
     "corpus_refresh": _corpus_refresh,
     "policy_corpus_refresh": _policy_corpus_refresh,
     "notes_corpus_refresh": _notes_corpus_refresh,
     "agent_events_refresh": _agent_events_refresh,
 }
+QUERIES = {name: in_64_bits(query) for name, query in QUERIES.items()}

@@ -45,6 +45,11 @@ def exact_avg(value: Column, scale: int) -> Column:
     return F.sum(scaled) / (F.count(value) * unit)
 
 
+def large_sum(value: Column) -> Column:
+    """Sum of whole numbers that may leave the range of 64 bits (bytes and rows of large scans)."""
+    return F.sum(value.cast("decimal(38,0)"))
+
+
 def preview(text: Column, length: int) -> Column:
     return F.left(text, F.lit(length))
 

@@ -11,7 +11,7 @@ from tracewarden import fixed_values as V
 from tracewarden import schemas
 from tracewarden.functions.clock import dates_before, instant, today
 from tracewarden.functions.columns import computed_once, preview
-from tracewarden.operators.judges import JUDGES, Scorer, raw_column
+from tracewarden.operators.judges import JUDGES, Scorer, error_column, raw_column
 
 SAMPLE_SIZE = 100
 MIN_RESPONSE_CHARS = 50
@@ -54,10 +54,14 @@ def evaluation_dataset(
 
 
 def evaluation_results(dataset: DataFrame, scorer: Scorer, evaluated_at: datetime | Column) -> DataFrame:
-    """Responses with the four raw verdicts, in the fixed schema of the history."""
+    """Responses with the four raw verdicts, in the fixed schema of the history.
+
+    Error columns follow if the scorer has them.
+    """
     stamp = instant(evaluated_at) if isinstance(evaluated_at, datetime) else evaluated_at
     scored = scorer(dataset).withColumn("evaluated_at", stamp)
-    return scored.select(*[F.col(f.name).cast(f.dataType) for f in schemas.EVALUATION_RESULTS.fields])
+    errors = [error_column(judge) for judge in JUDGES if error_column(judge) in scored.columns]
+    return scored.select(*[F.col(f.name).cast(f.dataType) for f in schemas.EVALUATION_RESULTS.fields], *errors)
 
 
 def _in_brackets(raw: str) -> Column:

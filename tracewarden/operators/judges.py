@@ -176,39 +176,57 @@ def recorded_scorer(recorded: DataFrame, key: str = "trace_id", bounded: bool =
     return score
 
 
-def external_scorer(complete: Callable[[list[str]], Sequence[str | None]], partitions: int) -> Scorer:
+def error_column(judge: str) -> str:
+    return f"{judge}_error"
+
+
+def external_scorer(
+    complete: Callable[[list[str]], Sequence[str | None]], partitions: int, chunk_rows: int = 32
+) -> Scorer:
     """Scorer that sends the prompts to a user's callable from the executors.
 
-    ``complete`` gets a list of prompts and returns as many texts. Retries and
-    time limits belong inside it; a call that raises leaves its batch NULL. Write
-    the result to a table before using it twice: a model may answer differently
-    when Spark recomputes a lost partition.
+    ``complete`` gets a list of at most ``chunk_rows`` prompts and returns as many texts. Retries and
+    time limits belong inside it. A call that raises, or returns another number of texts,
+    leaves its chunk's verdicts NULL and says why in the judge's error column, which
+    :func:`failed_calls` counts. Write the result to a table before using it twice: a model may
+    answer differently when Spark recomputes a lost partition.
     """
 
+    def answered(prompts: list[str]) -> tuple[Sequence[str | None], list[str | None]]:
+        try:
+            replies = list(complete(prompts))
+            if len(replies) != len(prompts):
+                raise ValueError(f"{len(replies)} answers to {len(prompts)} prompts")
+            return replies, [None] * len(prompts)
+        except Exception as error:  # whatever a user's callable raises becomes a row's error text
+            return [None] * len(prompts), [f"{type(error).__name__}: {error}"[:500]] * len(prompts)
+
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for judge in JUDGES:
                 prompts = batch.pop(f"_{judge}_prompt")
                 answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+                errors = answers.copy()
                 asked = prompts[prompts.notna()]
-                if len(asked):
-                    try:
-                        replies = list(complete(list(asked)))
-                        if len(replies) == len(asked):
-                            answers[asked.index] = replies
-                    except Exception:  # the callable failed: no verdict for this batch
-                        pass
-                batch[raw_column(judge)] = answers
+                for at in range(0, len(asked), chunk_rows):
+                    chunk = asked.iloc[at : at + chunk_rows]
+                    answers[chunk.index], errors[chunk.index] = answered(list(chunk))
+                batch[raw_column(judge)], batch[error_column(judge)] = answers, errors
             yield batch
 
     def score(dataset: DataFrame) -> DataFrame:
         query, response = F.col("user_query"), F.col("agent_response")
-        raw = [T.StructField(raw_column(judge), T.StringType()) for judge in JUDGES]
+        names = [name for judge in JUDGES for name in (raw_column(judge), error_column(judge))]
         prompts = {f"_{judge}_prompt": prompt(judge, query, response) for judge in JUDGES}
         return (
             dataset.repartition(partitions)
             .withColumns(prompts)
-            .mapInPandas(judged, T.StructType(dataset.schema.fields + raw))
+            .mapInPandas(judged, T.StructType(dataset.schema.fields + [T.StructField(n, T.StringType()) for n in names]))
         )
 
     return score
+
+
+def failed_calls(results: DataFrame) -> DataFrame:
+    """How many responses each judge failed to answer, from results that kept the errors."""
+    return results.agg(*[F.count(error_column(judge)).alias(f"{judge}_failures") for judge in JUDGES])

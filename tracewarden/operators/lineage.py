@@ -97,4 +97,4 @@ def pair_count() -> Column:
 
 def pair_sum(column: str) -> Column:
     """SUM(column) of the lineage relation, over source accesses."""
-    return F.sum(F.col(column) * F.col("fanout"))
+    return F.sum((F.col(column).cast("decimal(38,0)") * F.col("fanout").cast("decimal(38,0)")).cast("decimal(38,0)"))

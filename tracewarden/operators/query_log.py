@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden.functions.clock import days_before, instant
-from tracewarden.functions.columns import active_hours, computed_once, count_where, matches_any, preview, ratio_pct
+from tracewarden.functions.columns import active_hours, computed_once, count_where, large_sum, matches_any, preview, ratio_pct
 
 HISTORY_DAYS = 90
 FAILURE_DAYS = 30
@@ -96,8 +96,8 @@ def user_activity_summary(query_log: DataFrame, as_of: datetime) -> DataFrame:
             F.count(F.lit(1)).alias("total_queries"),
             count_where(status == V.STATUS_SUCCESS).alias("successful_queries"),
             count_where(status == V.STATUS_FAIL).alias("failed_queries"),
-            F.sum("rows_produced").alias("total_rows_produced"),
-            F.sum("bytes_scanned").alias("total_bytes_scanned"),
+            large_sum(F.col("rows_produced")).alias("total_rows_produced"),
+            large_sum(F.col("bytes_scanned")).alias("total_bytes_scanned"),
             (F.avg("total_elapsed_time") / 1000).alias("avg_query_seconds"),
             F.min(start).alias("first_query"),
             F.max(start).alias("last_query"),

@@ -456,6 +456,13 @@ def _run_rows(today: str) -> str:
       FROM {_run(today)} JOIN verdicts USING (i)"""
 
 
+def _profile(base: str, measures: str, dimensions: str, time_dimensions: str = "") -> str:
+    values = {d: f"CAST({d} AS VARCHAR)" for d in dimensions.split()}
+    values |= {d: f"strftime({d}, '%Y-%m-%d %H:%M:%S.%f')" for d in time_dimensions.split()}
+    parts = [f"SELECT '{d}' AS dimension, {v} AS value, {measures} FROM {base} GROUP BY 2" for d, v in values.items()]
+    return statement(" UNION ALL ".join(parts), base)
+
+
 _DAILY = f"""SELECT agent_name, event_date, count(DISTINCT thread_id) AS conversations,
       count(DISTINCT user_name) AS unique_users, count(*) AS total_events
     FROM ae WHERE event_date BETWEEN {TODAY} - INTERVAL 30 DAY AND {TODAY} GROUP BY 1, 2"""
@@ -476,6 +483,23 @@ def _status_count(status: str) -> str:
 
 _PASS_RATE = f"round(CAST({_status_count('PASS')} AS DOUBLE) * 100 / nullif(count(*), 0), 1)"
 
+_EVENT_MEASURES = f"""count(*) AS total_events, count(DISTINCT thread_id) AS total_conversations,
+          count(DISTINCT user_name) AS unique_users, {_POSITIVE} AS positive_feedback_count,
+          {_NEGATIVE} AS negative_feedback_count, {_RATED} AS total_feedback,
+          {_POSITIVE_RATE} AS positive_feedback_rate, avg(span_duration_ms) AS avg_response_time_ms,
+          CAST(sum(CASE WHEN event_type LIKE '%TOOL%' THEN 1 ELSE 0 END) AS BIGINT) AS tool_invocations"""
+_FAILURE_MEASURES = """count(*) AS failure_count, count(DISTINCT user_name) AS unique_users_with_failures,
+          CAST(sum(CASE WHEN error_category = 'PERMISSION_DENIED' THEN 1 ELSE 0 END) AS BIGINT) AS permission_denied_count"""
+_ACTIVITY_MEASURES = """CAST(sum(act.total_queries) AS BIGINT) AS total_queries,
+          CAST(sum(act.successful_queries) AS BIGINT) AS successful_queries,
+          CAST(sum(act.failed_queries) AS BIGINT) AS failed_queries,
+          round(CAST(sum(act.failed_queries) AS DOUBLE) * 100 / nullif(sum(act.total_queries), 0), 2) AS failure_rate_pct,
+          CAST(sum(act.total_rows_produced) AS BIGINT) AS total_rows_produced,
+          CAST(sum(act.total_bytes_scanned) AS BIGINT) AS total_bytes_scanned,
+          count(DISTINCT user_name) AS active_users, count(DISTINCT activity_date) AS active_days"""
+_ACCESS_MEASURES = """count(*) AS access_count,
+          count(DISTINCT source_table) AS unique_tables_accessed, count(DISTINCT user_name) AS unique_users,
+          CAST(sum(rows_produced) AS BIGINT) AS total_rows_returned, CAST(sum(bytes_scanned) AS BIGINT) AS total_bytes_scanned"""
 STATEMENTS: dict[str, str] = {
     "agent_events_flattened": statement("SELECT * FROM ae", "ae"),
     "agent_conversations": statement("SELECT * FROM conv", "conv"),
@@ -669,38 +693,34 @@ STATEMENTS: dict[str, str] = {
         f"SELECT * FROM act WHERE activity_date BETWEEN {TODAY} - INTERVAL 1 MONTH AND {TODAY}", "act"
     ),
     "metrics_agent_events": statement(
-        f"""SELECT agent_name, count(*) AS total_events, count(DISTINCT thread_id) AS total_conversations,
-          count(DISTINCT user_name) AS unique_users, {_POSITIVE} AS positive_feedback_count,
-          {_NEGATIVE} AS negative_feedback_count, {_RATED} AS total_feedback,
-          {_POSITIVE_RATE} AS positive_feedback_rate, avg(span_duration_ms) AS avg_response_time_ms,
-          CAST(sum(CASE WHEN event_type LIKE '%TOOL%' THEN 1 ELSE 0 END) AS BIGINT) AS tool_invocations
-        FROM ae GROUP BY 1""",
+        f"SELECT agent_name, {_EVENT_MEASURES} FROM ae GROUP BY 1",
         "ae",
     ),
     "metrics_failed_queries": statement(
-        """SELECT error_category, count(*) AS failure_count, count(DISTINCT user_name) AS unique_users_with_failures,
-          CAST(sum(CASE WHEN error_category = 'PERMISSION_DENIED' THEN 1 ELSE 0 END) AS BIGINT) AS permission_denied_count
-        FROM failed GROUP BY 1""",
+        f"SELECT error_category, {_FAILURE_MEASURES} FROM failed GROUP BY 1",
         "failed",
     ),
     "metrics_user_activity": statement(
-        """SELECT user_name, CAST(sum(act.total_queries) AS BIGINT) AS total_queries,
-          CAST(sum(act.successful_queries) AS BIGINT) AS successful_queries,
-          CAST(sum(act.failed_queries) AS BIGINT) AS failed_queries,
-          round(CAST(sum(act.failed_queries) AS DOUBLE) * 100 / nullif(sum(act.total_queries), 0), 2) AS failure_rate_pct,
-          CAST(sum(act.total_rows_produced) AS BIGINT) AS total_rows_produced,
-          CAST(sum(act.total_bytes_scanned) AS BIGINT) AS total_bytes_scanned,
-          count(DISTINCT user_name) AS active_users, count(DISTINCT activity_date) AS active_days
-        FROM act GROUP BY 1""",
+        f"SELECT user_name, {_ACTIVITY_MEASURES} FROM act GROUP BY 1",
         "act",
     ),
     "metrics_data_access": statement(
-        """SELECT source_table, source_type, count(*) AS access_count,
-          count(DISTINCT source_table) AS unique_tables_accessed, count(DISTINCT user_name) AS unique_users,
-          CAST(sum(rows_produced) AS BIGINT) AS total_rows_returned, CAST(sum(bytes_scanned) AS BIGINT) AS total_bytes_scanned
-        FROM dal GROUP BY 1, 2""",
+        f"SELECT source_table, source_type, {_ACCESS_MEASURES} FROM dal GROUP BY 1, 2",
         "dal",
     ),
+    "metrics_agent_events_profile": _profile(
+        "ae",
+        _EVENT_MEASURES,
+        "agent_name user_name event_type tool_used feedback_sentiment thread_id event_date event_hour",
+        "event_timestamp",
+    ),
+    "metrics_failed_queries_profile": _profile(
+        "failed", _FAILURE_MEASURES, "user_name role_name error_category error_code failure_date failure_hour"
+    ),
+    "metrics_user_activity_profile": _profile("act", _ACTIVITY_MEASURES, "user_name activity_date"),
+    "metrics_data_access_profile": _profile(
+        "dal", _ACCESS_MEASURES, "user_name role_name source_table source_type", "access_time"
+    ),
     "metrics_month_over_month": statement(
         """SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, agent_name, count(*) AS total_events,
           count(DISTINCT thread_id) AS total_conversations, count(DISTINCT user_name) AS unique_users
@@ -858,6 +878,13 @@ STATEMENTS: dict[str, str] = {
         FROM parsed_all WHERE evaluation_status = 'CRITICAL' AND evaluated_at BETWEEN {AS_OF} - INTERVAL 25 HOUR AND {AS_OF} - INTERVAL 1 HOUR""",
         "parsed_all",
     ),
+    "critical_alert_default": statement(
+        f"""SELECT count(*) > 0 AS fired, count(*) AS critical_count, min(evaluated_at) AS first_evaluated_at,
+          max(evaluated_at) AS last_evaluated_at
+        FROM parsed_all WHERE evaluation_status = 'CRITICAL'
+          AND evaluated_at BETWEEN {AS_OF} - INTERVAL 2 HOUR AND {AS_OF} - INTERVAL 1 HOUR""",
+        "parsed_all",
+    ),
     "critical_alert_stream": statement(
         """SELECT date_trunc('hour', evaluated_at) AS window_start,
           date_trunc('hour', evaluated_at) + INTERVAL 1 HOUR AS window_end, count(*) AS critical_count
@@ -871,6 +898,14 @@ for _name, _same_as in (
     ("policy_corpus_refresh", "policy_corpus"),
     ("notes_corpus_refresh", "notes_corpus"),
     ("sql_get_agent_events", "get_agent_events"),
+    ("sql_search_policies", "search_policies"),
+    ("sql_search_notes", "search_notes"),
+    ("sql_compliance_policies", "compliance_policies"),
+    ("sql_audit_notes", "audit_notes"),
+    ("sql_notes_corpus", "notes_corpus"),
+    ("sql_evaluation_dataset", "evaluation_dataset"),
+    ("sql_evaluation_results", "evaluation_results"),
+    ("sql_evaluation_trend", "evaluation_trend"),
     ("sql_get_feedback_summary", "get_feedback_summary"),
     ("sql_daily_conversations", "daily_conversations"),
 ):

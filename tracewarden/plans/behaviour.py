@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden.functions.clock import date_months_before, dates_before, days_before, instant, today
-from tracewarden.functions.columns import ascending, descending, exact_avg, level
+from tracewarden.functions.columns import ascending, descending, exact_avg, large_sum, level
 
 
 def user_activity(activity: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
@@ -22,7 +22,7 @@ def user_activity(activity: DataFrame, as_of: datetime, days: int = 30) -> DataF
             F.sum("total_queries").alias("total_queries"),
             F.sum("failed_queries").alias("total_failures"),
             F.round(exact_avg(F.col("failure_rate_pct"), 2), 2).alias("avg_failure_rate"),
-            F.sum("total_rows_produced").alias("total_rows"),
+            F.sum("total_rows_produced").cast("decimal(38,0)").alias("total_rows"),
         )
         .orderBy(descending("total_queries"), ascending("user_name"))
     )
@@ -57,7 +57,7 @@ def role_usage(history: DataFrame, as_of: datetime, days: int = 30) -> DataFrame
         .agg(
             F.count_distinct("user_name").alias("unique_users"),
             F.count(F.lit(1)).alias("total_queries"),
-            F.sum("rows_produced").alias("total_rows"),
+            large_sum(F.col("rows_produced")).alias("total_rows"),
         )
         .orderBy(descending("total_queries"))
     )

@@ -47,6 +47,12 @@ def _where(condition: str) -> str:
     return f"sum(CASE WHEN {condition} THEN 1 ELSE 0 END)"
 
 
+def _large_sum(product: str) -> str:
+    """Sum of a product of 64-bit numbers, which may leave their range."""
+    wide = " * ".join(f"CAST({name} AS DECIMAL(38, 0))" for name in product.split(" * "))
+    return f"sum(CAST({wide} AS DECIMAL(38, 0)))"
+
+
 _IS_POSITIVE = f"feedback_sentiment = '{V.POSITIVE}'"
 _HAS_SENTIMENT = "feedback_sentiment IS NOT NULL"
 
@@ -100,8 +106,8 @@ USER_ACTIVITY = LogicalTable(
         "failure_rate_pct": (
             "round(CAST(sum(failed_queries) AS DOUBLE) * 100 / nullif(sum(total_queries), 0), 2)"
         ),
-        "total_rows_produced": "sum(total_rows_produced)",
-        "total_bytes_scanned": "sum(total_bytes_scanned)",
+        "total_rows_produced": "CAST(sum(total_rows_produced) AS DECIMAL(38, 0))",
+        "total_bytes_scanned": "CAST(sum(total_bytes_scanned) AS DECIMAL(38, 0))",
         "active_users": "count(DISTINCT user_name)",
         "active_days": "count(DISTINCT activity_date)",
     },
@@ -117,8 +123,8 @@ DATA_ACCESS = LogicalTable(
         "access_count": "coalesce(sum(fanout), 0)",
         "unique_tables_accessed": "count(DISTINCT source_table)",
         "unique_users": "count(DISTINCT user_name)",
-        "total_rows_returned": "sum(rows_produced * fanout)",
-        "total_bytes_scanned": "sum(bytes_scanned * fanout)",
+        "total_rows_returned": _large_sum("rows_produced * fanout"),
+        "total_bytes_scanned": _large_sum("bytes_scanned * fanout"),
     },
 )
 
@@ -151,6 +157,23 @@ def metrics(
     return result if limit is None else result.limit(limit)
 
 
+def profile(base: DataFrame, table: LogicalTable) -> DataFrame:
+    """All measures by each dimension in turn: a row per dimension and value, from one scan.
+
+    Values are texts; instants have microseconds.
+    """
+
+    def value(name: str) -> Column:
+        if name in table.time_dimensions:
+            return F.date_format(table.dimension(name), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return table.dimension(name).cast("string")
+
+    names = [*table.dimensions, *table.time_dimensions]
+    pairs = [F.struct(F.lit(name).alias("dimension"), value(name).alias("value")) for name in names]
+    rows = base.select("*", F.inline(F.array(*pairs)))
+    return rows.groupBy("dimension", "value").agg(*[table.measure(m) for m in table.measures])
+
+
 def conversations_last_week(events: DataFrame, as_of: datetime) -> DataFrame:
     """How many conversations did each agent have last week?"""
     return metrics(
