@@ -331,13 +331,19 @@ def _month_over_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_registered: list[tuple[str, str]] = []
+
+
 def sql(text: str) -> Query:
-    """SQL over the registered views and table functions."""
+    """SQL over the registered views and table functions, registered once per session and folder."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = sample_logs.audit_logs(spark, sf_dir)
-        more = {"policies": _policies(spark, sf_dir), "notes": _notes(spark, sf_dir), "results": _results(spark, sf_dir)}
-        sql_views.register_views(spark, logs, AS_OF, **more)
+        key = (spark._jsparkSession.sessionUUID(), sf_dir)
+        if _registered != [key]:
+            logs = sample_logs.audit_logs(spark, sf_dir)
+            more = {"policies": _policies(spark, sf_dir), "notes": _notes(spark, sf_dir), "results": _results(spark, sf_dir)}
+            sql_views.register_views(spark, logs, AS_OF, **more)
+            _registered[:] = [key]
         return spark.sql(text)
 
     return run
