@@ -144,3 +144,17 @@ def test_rank_file_gives_the_tokenizer_files_ids(spark):
     encode = P.encoding(P.VOCABULARY).encode_ordinary
     for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert encode(text) == want.ids
+
+
+def test_pieces_have_the_tokenizer_files_ids_of_special_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n z<|endoftext|", "plain", "<|endoftext|>a " * 3000]
+    found = P.tokenized_pieces(documents(spark, list(enumerate(texts)))).collect()
+    rows = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    want = []
+    for k, ids in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        want += [(k, n, *piece) for n, piece in enumerate(P.pieces_of(np.array([*ids.ids, 0], "<u4"), P.CAPACITY))]
+    assert rows == want and 50256 in tokenizer.encode(texts[0]).ids
