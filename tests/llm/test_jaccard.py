@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -81,6 +82,20 @@ def test_posterior_bound():
     assert J.least_matches(1, 0.8, 0.039) == 0 and J.least_matches(1, 0.8, 0.041) == 1
 
 
+@pytest.mark.parametrize("similarity, most", [(0.8, 1.1e-8), (0.81, 3.1e-9), (0.82, 9e-10)])
+def test_pruning_loss_over_all_looks(similarity, most):
+    alive, lost = {0: 1.0}, 0.0  # probability of each number of equal values among those compared
+    for n in range(J.STEP, J.BANDS * J.BAND_ROWS + 1, J.STEP):
+        reached = {}
+        for m, p in alive.items():
+            for k in range(J.STEP + 1):
+                reached[m + k] = reached.get(m + k, 0.0) + p * comb(J.STEP, k) * similarity**k * (1 - similarity) ** (J.STEP - k)
+        bound = J.least_matches(n, 0.8, J.TOLERANCE)
+        lost += sum(p for m, p in reached.items() if m < bound)
+        alive = {m: p for m, p in reached.items() if m >= bound}
+    assert lost <= most
+
+
 def test_both_ways_of_counting_agree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 900, rng.integers(1, 700)).astype(np.uint64)) for _ in range(24)]

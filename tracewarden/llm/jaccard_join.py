@@ -32,7 +32,8 @@ SIMILARITY = (4, 5)
 # A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
 BANDS, BAND_ROWS = 24, 4
 STEP = 8
-TOLERANCE = 1e-6
+# Bounds the posterior at each look; over all 12 looks a pair at the threshold is pruned with probability 1.0e-8.
+TOLERANCE = 1e-9
 BLOCK_DOCUMENTS = 1024
 BLOCK_SHINGLES = 2_000_000
 FILTER_BITS = 26
