@@ -139,6 +139,30 @@ def test_quality_of_odd_texts_and_labels(spark):
     assert Q.scored(documents(spark, []), Q.learn(table, labels)).collect() == []
 
 
+def test_quality_cut_covers_all_labelled_rows(spark):
+    rng = random.Random(6)
+    # Good and bad words in any share, so that scores spread and labels overlap.
+    rows = []
+    for k in range(1200):
+        good = rng.random()
+        text = " ".join("fine" if rng.random() < good else "#junk" for _ in range(rng.randrange(20, 60)))
+        rows.append((k, text, int(rng.random() < good**2)))
+    table = documents(spark, [r[:2] for r in rows])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    model = Q.learn(table, labels, rows_per_class=40)
+    scores = sorted(s for (s,) in by_id(Q.scored(table, model), "score").values())
+    bad = sum(1 - y for _, _, y in rows)
+    assert scores[bad - 1] <= Q.CUT_SCORE + 1e-9 and scores[bad] >= Q.CUT_SCORE - 1e-9
+
+
+def test_quantile_cut_is_exact(spark):
+    rng = random.Random(7)
+    values = [rng.choice([rng.gauss(0, 1), 1e6 * rng.random(), 0.25, -3.0]) for _ in range(2000)]
+    rows = [(int(k >= 700), v) for k, v in enumerate(values)]
+    in_order = sorted(values)
+    assert Q.quantile_cut(spark.createDataFrame(rows, "label int, utility double")) == (in_order[699] + in_order[700]) / 2
+
+
 def test_features_of_a_text_do_not_depend_on_its_neighbours():
     def of(texts):
         data = [t.encode() for t in texts]

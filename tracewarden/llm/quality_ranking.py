@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewarden.llm.tables import fold, read_table, share
+from tracewarden.llm.bitmaps import bit_places, bitmap_of, has_bit
+from tracewarden.llm.tables import fold, read_table, share, stored
 from tracewarden.llm.words import RangeHashes, Texts, chunks
 
 ROWS_PER_CLASS = 2_000
 HASHED = 256
 # Where the cut lies on the score's scale.
 CUT_SCORE = 0.3
+# Bins of each histogram that narrows the cut down.
+CUT_BINS = 4096
+FILTER_BITS = 26
 EPOCHS = 12
 BATCH = 256
 
@@ -100,21 +104,38 @@ class RankingModel:
         return 1 / (1 + np.exp(-np.clip(self.utility(x) - self.cut + offset, -500, 500)))
 
 
-def weighted_quantile(values: np.ndarray, weights: np.ndarray, share_below: float) -> float:
-    """Midway between the values around the place below which ``share_below`` of the weight lies."""
-    order = np.argsort(values, kind="stable")
-    reached = np.cumsum(weights[order]) / weights.sum()
-    k = int(np.searchsorted(reached, share_below - 1e-9))
-    k = min(k, len(values) - 1)
-    return float((values[order[k]] + values[order[min(k + 1, len(values) - 1)]]) / 2)
+def quantile_cut(values: DataFrame) -> float | None:
+    """Midway between the values around the place below which the share of label 0 lies.
 
-
-def train(x: np.ndarray, label: np.ndarray, class_rows: tuple[int, int], seed: int = 11) -> RankingModel:
+    ``values`` has label and utility, one row per labelled text. Histograms, each of the bin of the
+    one before that has the place, find the exact value; a few thousand counts reach the driver.
+    """
+    u = F.col("utility")
+    whole = values.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("below"), F.min(u).alias("low"), F.max(u).alias("high")
+    ).first()
+    if not 0 < whole["below"] < whole["n"]:
+        return None
+
+    def ranked(rank: int) -> float:
+        low, high = whole["low"], whole["high"]
+        while low < high:
+            place = F.least(F.floor((u - low) / (high - low) * CUT_BINS), F.lit(CUT_BINS - 1)).alias("bin")
+            bins = values.where(u.between(low, high)).groupBy(place)
+            for part in sorted(bins.agg(F.count(F.lit(1)).alias("n"), F.min(u).alias("low"), F.max(u).alias("high")).collect()):
+                if rank < part["n"]:
+                    low, high = part["low"], part["high"]
+                    break
+                rank -= part["n"]
+        return low
+
+    return (ranked(whole["below"] - 1) + ranked(whole["below"])) / 2
+
+
+def train(x: np.ndarray, label: np.ndarray, seed: int = 11) -> RankingModel:
     """Bradley-Terry by stochastic gradient descent on pairs of a preferred and another text.
 
-    ``class_rows`` are the corpus' counts of label 0 and 1; the cut is the score
-    quantile at the share of label 0, as the sample, weighted by them, has it.
-    Without both labels all utilities are 0 and every score is ``CUT_SCORE``.
+    The cut is left at 0. Without both labels all utilities are 0 and every score is ``CUT_SCORE``.
     """
     rng = np.random.default_rng(seed)
     width = x.shape[1]
@@ -139,8 +160,6 @@ def train(x: np.ndarray, label: np.ndarray, class_rows: tuple[int, int], seed: i
             second = 0.99 * second + 0.01 * gradient**2
             rate = 0.05 * (1 - epoch / EPOCHS)
             model.weights -= rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-8)
-    weights = np.where(label == 1, class_rows[1] / len(good), class_rows[0] / len(bad))
-    model.cut = weighted_quantile(model.utility(x), weights, class_rows[0] / sum(class_rows))
     return model
 
 
@@ -157,11 +176,12 @@ def text_features(rows: DataFrame) -> DataFrame:
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> RankingModel:
-    """A model from about ``rows_per_class`` labelled documents of either label, chosen by hashed id.
+    """A model fitted on about ``rows_per_class`` labelled documents of either label, chosen by hashed id.
 
     ``labels`` has doc_id and quality; null qualities and ids do not count. The
     sample (at most four times ``rows_per_class`` rows) is what reaches the driver, as
-    feature rows.
+    feature rows. Only the fit rests on it: the cut is the quantile, at the share of label 0, of
+    the utilities of all labelled documents.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -175,7 +195,29 @@ def learn(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
     width = features(Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64))).shape[1]
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), width)
     order = np.lexsort((*x.T[:6], rows["label"].to_numpy(int)))  # reruns meet the rows in one order
-    return train(x[order], rows["label"].to_numpy(int)[order], (totals.get(0, 0), totals.get(1, 0)))
+    model = train(x[order], rows["label"].to_numpy(int)[order])
+    if model.weights.any():
+        wanted = bitmap_of(known.select(F.xxhash64(F.col("doc_id").cast("long")).alias("value")), FILTER_BITS)
+        utilities = wanted_utilities(documents, model, wanted).join(known.select(F.col("doc_id").cast("long").alias("doc_id"), "label"), "doc_id")
+        model.cut = quantile_cut(stored(utilities.select("label", "utility"), "utilities")) or 0.0
+    return model
+
+
+def wanted_utilities(documents: DataFrame, model: RankingModel, wanted: bytes) -> DataFrame:
+    """(doc_id, utility) of the documents whose id may be wanted; texts stay where they are read."""
+    rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("value", F.xxhash64("doc_id"))
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(wanted, np.uint8)
+        for batch in batches:
+            value = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.flatnonzero(has_bit(bitmap, bit_places(value, FILTER_BITS)))))
+            for part, texts in chunks(batch.column(1)):
+                utility = pa.array(model.utility(features(texts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), utility], ["doc_id", "utility"])
+
+    return rows.mapInArrow(computed, "doc_id long, utility double")
 
 
 def scored(documents: DataFrame, model: RankingModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
