@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, WORD, documents, prose
 from tracewarden.llm import mixing as M
@@ -59,6 +60,26 @@ def test_mix_meets_its_targets(spark, leaf_rows):
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
+def test_many_sources_do_not_meet_in_one_task(spark, monkeypatch):
+    most, write = [], M.stored
+
+    def spy(rows, purpose):
+        if purpose == "level":
+            sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            most.append((max(sizes), sum(sizes)))
+        return write(rows, purpose)
+
+    monkeypatch.setattr(M, "stored", spy)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = documents(spark, [(k, prose(random.Random(k), 1 + k % 7), "en", f"host{k % 1500}") for k in range(3000)])
+        assert len(M.mixed(table, leaf_rows=60).collect()) == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    largest, all_rows = most[-1]  # the root
+    assert all_rows > 400 and largest < all_rows * 0.7
+
+
 def test_pivotal_rounding_keeps_mass_and_expectation():
     rng = np.random.default_rng(0)
     size, p = np.array([5.0, 1, 3, 8, 2, 2, 9]), np.array([0.3, 0.5, 0.9, 0.25, 0.0, 1.0, 0.6])

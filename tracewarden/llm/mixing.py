@@ -27,6 +27,8 @@ BUDGET = 1.5
 MOST_COPIES = 2
 LEAF_ROWS = 4096
 FAN_IN = 32
+# A source has at most FAN_IN undecided rows in a node, so a group has about as many rows as a leaf.
+GROUP_SOURCES = 128
 # A probability this near to 0 or 1 counts as decided.
 EXACT = 1e-12
 
@@ -118,8 +120,11 @@ def _ordered(table: pd.DataFrame, more: list[str]) -> pd.DataFrame:
     return table.sort_values(by, ascending=[False, *[True] * (len(by) - 1)], kind="stable").reset_index(drop=True)
 
 
-def _round_level(rows: DataFrame, node: Column, step: int) -> DataFrame:
-    """Rounds each source within each node of the tree; adds nothing to the columns."""
+def _round_level(rows: DataFrame, node: Column, step: int, parts: int) -> DataFrame:
+    """Rounds each source within each node of the tree; adds nothing to the columns.
+
+    A node's sources are dealt over ``parts`` groups, so that no group grows with their number.
+    """
 
     def rounded(table: pd.DataFrame) -> pd.DataFrame:
         table = _ordered(table, ["leaf", "row"])
@@ -129,7 +134,8 @@ def _round_level(rows: DataFrame, node: Column, step: int) -> DataFrame:
             p[at] = pivotal(table["size"].to_numpy(float)[at], p[at], draws[at])
         return table.assign(p=p)
 
-    return rows.groupBy(node.alias("_node")).applyInPandas(rounded, rows.schema)
+    part = F.pmod(F.xxhash64("source"), F.lit(parts))
+    return rows.groupBy(node.alias("_node"), part.alias("_part")).applyInPandas(rounded, rows.schema)
 
 
 def row_seed(keys: Sequence[str]) -> Column:
@@ -165,11 +171,12 @@ def mixed(documents: DataFrame, keys: Sequence[str] = ("doc_id",), leaf_rows: in
     decided = _numbered_leaves(joined)
     decided = stored(decided, "leaves")
     open_rows = decided.where("p > 0 AND p < 1").select("leaf", "row", "source", "size", "seed", "p")
+    parts = max(1, math.ceil(goals.count() / GROUP_SOURCES))
     settled, step, nodes = [], 1, leaves
     while nodes > 1:
         nodes = math.ceil(nodes / FAN_IN)
         node = F.floor(F.col("leaf") / FAN_IN**step)
-        level = stored(_round_level(open_rows, node, step), "level")
+        level = stored(_round_level(open_rows, node, step, parts), "level")
         settled.append(level.where("p = 0 OR p = 1"))
         open_rows = level.where("p > 0 AND p < 1")
         step += 1
