@@ -11,7 +11,7 @@ import os
 import re
 import time
 
-from tracewarden.catalog import QUERIES
+from tracewarden.catalog import INDEXES, QUERIES
 from tracewarden.session import build_session
 
 
@@ -39,13 +39,13 @@ def main() -> None:
         # The noop sink computes every row and column and keeps nothing.
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
-    # Start the JVM's compilers before timing, and build the search indexes that later searches
-    # find stored; the build itself is timed as part of search_notes_index and search_notes_changed.
-    warm = ("feedback_rates", "top_accessed_tables", "evaluation_by_agent")
-    searches = ("search_policies", "search_notes", "search_conversations")
-    for name in (*warm, *[s for s in searches if s in names]):
+    # Start the JVM's compilers before timing.
+    for name in ("feedback_rates", "top_accessed_tables", "evaluation_by_agent"):
         run(name)
-    seconds = {name: timed(lambda: run(name)) for name in names}
+    # The searches find the indexes stored; each build is an entry of its own.
+    searched = any(name.startswith("search_") for name in names)
+    seconds = {name: timed(lambda: build(spark, sf_dir)) for name, build in INDEXES.items() if searched}
+    seconds |= {name: timed(lambda: run(name)) for name in names}
     scale = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

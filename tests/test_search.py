@@ -135,3 +135,18 @@ def test_terms_are_cut_like_tokens(spark):
     text = "Ünder_score ÉTÉ 42x ١٢ a-b"
     row = spark.createDataFrame([(text,)], "t string").select(S.tokens(S.F.col("t"))).head()[0]
     assert S.query_terms(text) == list(dict.fromkeys(row))
+
+
+def test_stored_index_is_built_again_once_its_table_changes(spark, tmp_path):
+    from tracewarden import catalog
+
+    def corpus(spark, sf_dir):
+        return spark.read.parquet(f"{sf_dir}/texts.parquet")
+
+    index = catalog._index("changing-index", corpus, "body")
+    for text in ("old words", "new words, and more"):
+        rows = spark.createDataFrame([("d1", text)], "doc_id string, body string")
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/texts.parquet")
+        path = index(spark, str(tmp_path))
+        assert index(spark, str(tmp_path)) == path
+        assert [r.body for r in SX.search_index(spark, path, "words", ["body"]).collect()] == [text]
