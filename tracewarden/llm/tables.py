@@ -46,9 +46,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 5; a null id counts as the empty text (fold 0)."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5))
+def fold(doc_id: Column, folds: int = 5) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text (fold 0)."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
 def share(seed: str, *columns: Column) -> Column:
