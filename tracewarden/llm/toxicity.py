@@ -127,7 +127,7 @@ class Forms:
         follows = np.zeros(len(data), bool)
         follows[:-1] = _SIGN[data[:-1]] & (letter[1:] | _SIGN[data[1:]] & (data[1:] != data[:-1]))
         signs = np.concatenate([[0], np.cumsum(follows)])
-        self.signed = (signs[texts.ends] > signs[texts.starts]) & (self.sizes > 0)
+        self.signed = (signs[texts.ends - 1] > signs[texts.starts]) & (self.sizes > 0)
         alike = np.zeros(len(data), bool)
         alike[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & (data[2:] < 0x80)
         stretched = np.concatenate([[0], np.cumsum(alike)])
@@ -224,7 +224,7 @@ def features(texts: Texts, lowered: Texts, lexicon: Lexicon) -> np.ndarray:
     mark = _MARK[data]
     again = mark.copy()
     again[1:] &= mark[:-1]
-    again[:1] = False
+    again[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = False
     total = counts + 10.0
     hits = per_text(hit)
     columns = [
