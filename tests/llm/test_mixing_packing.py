@@ -179,3 +179,25 @@ def test_pieces_have_the_tokenizer_files_ids_of_special_tokens(spark):
     for k, ids in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
         want += [(k, n, *piece) for n, piece in enumerate(P.pieces_of(np.array([*ids.ids, 0], "<u4"), P.CAPACITY))]
     assert rows == want and 50256 in tokenizer.encode(texts[0]).ids
+
+
+def test_very_long_runs_have_the_tokenizer_files_ids(spark):
+    """A million white-space characters in a row are more than the rank file's pattern takes."""
+    long = 2_000_000
+    texts = [" " * long, "\n" * long, "\t" * long + "word", "x y" + " " * long + "<|endoftext|> z", "a" * long, "!" * long, "\u3000" * 1_200_000]
+    found = P.tokenized_pieces(documents(spark, list(enumerate(texts))).repartition(7)).collect()
+    rows = sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found)
+    want = []
+    for k, text in enumerate(texts):
+        ids = P.tokenizer(P.TOKENIZER_FILE).encode(text, add_special_tokens=False).ids
+        want += [(k, n, *piece) for n, piece in enumerate(P.pieces_of(np.array([*ids, 0], "<u4"), P.CAPACITY))]
+    assert rows == want
+
+
+def test_many_equal_rows_spread_over_groups(spark):
+    rows = spark.range(3000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "700L AS length", "5L AS ids_crc32")
+    packed = P.packed(rows, group_pieces=100)
+    found = [r.asDict() for r in packed.collect()]
+    assert len(found) == 3000 and len({(r["sequence_id"], r["offset"]) for r in found}) == 3000
+    groups = {r["sequence_id"] >> 24 for r in found}
+    assert len(groups) >= 25 and len({r["sequence_id"] for r in found}) <= 3000 // 2 + 1

@@ -28,7 +28,9 @@ GROUP_PIECES = 8192
 # Sequences that a group passes on; the others of its sequences are as full as its lengths allow.
 OPEN_SEQUENCES = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# The added tokens of byte_bpe_50k.json, which the rank file does not have.
+# The same vocabulary as a tokenizer file: defines the ids, and takes texts that the rank file's reader cannot split.
+TOKENIZER_FILE = "byte_bpe_50k.json"
+# The added tokens of the tokenizer file, which the rank file does not have.
 SPECIAL_TOKENS = {"<|endoftext|>": 50256}
 END_ID = 0
 
@@ -47,6 +49,28 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL_TOKENS)
 
 
+@cache
+def tokenizer(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def ids_of(text: str, vocabulary: str = VOCABULARY, tokenizer_file: str = TOKENIZER_FILE) -> list[int]:
+    """The ids of a text. Special tokens in it are those tokens.
+
+    The pattern that splits a text for the rank file gives up on very long runs of white space
+    (about a million). Such a text is encoded with the tokenizer file, which has no such limit.
+    """
+    try:
+        return encoding(vocabulary).encode(text, allowed_special="all")
+    except ValueError as error:
+        if "Regex error" not in str(error):
+            raise
+        return tokenizer(tokenizer_file).encode(text, add_special_tokens=False).ids
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of a document's pieces; only the first may be shorter than a sequence."""
     if len(ids) <= capacity:
@@ -59,21 +83,25 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
 
 
 def tokenized_pieces(
-    documents: DataFrame, keys: Sequence[str] = ("doc_id",), capacity: int = CAPACITY, vocabulary: str = VOCABULARY
+    documents: DataFrame,
+    keys: Sequence[str] = ("doc_id",),
+    capacity: int = CAPACITY,
+    vocabulary: str = VOCABULARY,
+    tokenizer_file: str = TOKENIZER_FILE,
 ) -> DataFrame:
     """Rows (keys, piece, start, length, ids_crc32) of each document: its ids, then id 0.
 
-    A null or empty text is the one id 0. Strings of special tokens are those tokens, as the tokenizer file has them.
+    A null or empty text is the one id 0. Strings of special tokens are those tokens, as the
+    tokenizer file has them; the two files must hold one vocabulary.
     """
     rows = documents.select(*keys, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode
         for batch in batches:
             owner, found = [], []
             for row, text in enumerate(batch.column(len(keys))):
-                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), END_ID], "<u4")
+                ids = np.array([*ids_of(text.as_py() or "", vocabulary, tokenizer_file), END_ID], "<u4")
                 for number, piece in enumerate(pieces_of(ids, capacity)):
                     owner.append(row)
                     found.append((number, *piece))
@@ -150,10 +178,14 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np
 def packed(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
 
-    Equal rows are packed each for itself. Which group a row joins depends on its
-    values, so reruns agree. Sequence ids are unique numbers with gaps.
+    Equal rows are packed each for itself; they are counted first and numbered, so that many of
+    them spread over groups. Which group a row joins depends on its values and number, so reruns
+    agree. Sequence ids are unique numbers with gaps.
     """
-    rest = stored(pieces.withColumn("_seed", F.xxhash64(*[F.col(c) for c in pieces.columns])), "pieces")
+    columns = pieces.columns
+    copies = pieces.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    numbered = copies.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    rest = stored(numbered.select(*columns, F.xxhash64(*columns, "_copy").alias("_seed")), "pieces")
     added = T.StructType().add("sequence_id", "long").add("offset", "long").add("_done", "boolean")
     schema = T.StructType(rest.schema.fields + added.fields)
     done: list[DataFrame] = []
