@@ -185,13 +185,28 @@ def test_rules(spark, query, response, groundedness, relevance, safety, comprehe
     row = J.rule_scorer(data).head()
     scores = [json.loads(row[J.raw_column(judge)]).get("score") for judge in J.JUDGES]
     assert scores == [groundedness, relevance, safety, comprehensiveness]
-    q, r = F.col("user_query"), F.col("agent_response")
     single = data.select(
-        J.judge_groundedness(q, r), J.judge_relevance(q, r), J.judge_safety(q, r), J.judge_comprehensiveness(q, r)
+        J.judge_groundedness(), J.judge_relevance(), J.judge_safety(), J.judge_comprehensiveness()
     ).head()
     assert list(single) == [row[J.raw_column(j)] for j in J.JUDGES]
 
 
+def test_judges_as_sql_functions(spark):
+    for judge in J.JUDGES:
+        spark.sql(J.judge_function(judge))
+    data = spark.createDataFrame(
+        [("a sum, please", "The sum is 12% according to SSN 123-45-6789"), (None, "r"), ("q", None), ("", ""), ("it's \\ \"x\"", "Bob's is a fraud 5")],
+        "user_query string, agent_response string",
+    )
+    data.createOrReplaceTempView("judged_texts")
+    calls = ", ".join(f"judge_{judge}(user_query, agent_response) AS {J.raw_column(judge)}" for judge in J.JUDGES)
+    found = spark.sql(f"SELECT *, {calls} FROM judged_texts")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, J.rule_scorer(data).select(*found.columns).collect()))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    literal = spark.sql("SELECT judge_safety('who', 'Jo committed fraud') AS v").head().v
+    assert json.loads(literal) == {"score": 0.7, "reasoning": "1 issues found", "issues_found": ["assertion of guilt"]}
+
+
 def test_rules_need_both_texts(spark):
     data = spark.createDataFrame([(None, "r"), ("q", None)], "user_query string, agent_response string")
     for row in J.rule_scorer(data).collect():

@@ -362,6 +362,17 @@ def sql(text: str) -> Query:
     return run
 
 
+def _sql_judge(judge: str) -> Query:
+    """A judge called as a SQL function on all responses, its verdict taken apart."""
+    listed = ""
+    if judge in J.LISTS:
+        listed = f", array_join(array_sort(try_variant_get(v, '$.{J.LISTS[judge]}', 'array<string>')), '|') AS {J.LISTS[judge]}"
+    return sql(
+        f"""SELECT trace_id, try_variant_get(v, '$.score', 'double') AS score, try_variant_get(v, '$.reasoning', 'string') AS reasoning{listed}
+            FROM (SELECT trace_id, try_parse_json(judge_{judge}(user_query, agent_response)) AS v FROM eval_conversations)"""
+    )
+
+
 QUERIES: dict[str, Query] = {
     # relations
     "agent_events_flattened": _events,
@@ -481,6 +492,7 @@ QUERIES: dict[str, Query] = {
              sum(CASE WHEN evaluation_status = 'CRITICAL' THEN 1 ELSE 0 END) AS critical_count
            FROM evaluation_parsed GROUP BY 1"""
     ),
+    **{f"sql_judge_{judge}": _sql_judge(judge) for judge in J.JUDGES},
     # jobs and streams
     "weekly_evaluation": _weekly_evaluation,
     "critical_alert": _critical_alert,

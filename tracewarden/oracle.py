@@ -908,5 +908,9 @@ for _name, _same_as in (
     ("sql_evaluation_trend", "evaluation_trend"),
     ("sql_get_feedback_summary", "get_feedback_summary"),
     ("sql_daily_conversations", "daily_conversations"),
+    ("sql_judge_groundedness", "judge_groundedness"),
+    ("sql_judge_relevance", "judge_relevance"),
+    ("sql_judge_safety", "judge_safety"),
+    ("sql_judge_comprehensiveness", "judge_comprehensiveness"),
 ):
     STATEMENTS[_name] = STATEMENTS[_same_as]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewarden.functions.text import TOKEN_PATTERN
 from tracewarden.operators import agent_events as E
 from tracewarden.operators import evaluation as EV
+from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
@@ -93,11 +94,13 @@ def audit_views(
 def register_views(
     spark: SparkSession, logs: AuditLogs, as_of: datetime, events: DataFrame | None = None, **tables: DataFrame | None
 ) -> None:
-    """Make the relations and the table functions available to ``spark.sql`` (see :func:`audit_views`)."""
+    """Make the relations, the judges and the table functions available to ``spark.sql`` (see :func:`audit_views`)."""
     for name, relation in audit_views(logs, as_of, events, **tables).items():
         relation.createOrReplaceTempView(name)
     for function in TABLE_FUNCTIONS:
         spark.sql(function.format(as_of=as_of.isoformat(sep=" "), today=as_of.date().isoformat()))
+    for judge in J.JUDGES:
+        spark.sql(J.judge_function(judge))
     for corpus, text_column, attributes in SEARCHES:
         if tables.get("notes" if corpus == "notes_corpus" else "policies") is not None or corpus == "conversation_corpus":
             spark.sql(search_function(corpus, text_column, attributes))

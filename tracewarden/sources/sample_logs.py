@@ -59,9 +59,10 @@ def _spread(table: DataFrame, key: str) -> DataFrame:
     """The table dealt out by its key.
 
     The small test files are a single row group each, which one core would have
-    to turn into JSON and parse alone.
+    to turn into JSON and parse alone. A number of partitions that is named is not
+    coalesced, small as they are.
     """
-    return table.repartition(key)
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
