@@ -24,6 +24,7 @@ from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
 from tracewarden.sources.logs import read_agent_events, stream_raw_events
 from tracewarden.streaming import alerts, refresh
+from tracewarden.streaming import lineage as lineage_refresh
 
 AS_OF = datetime(2024, 1, 31)
 WEEK = timedelta(days=7)
@@ -261,6 +262,69 @@ def _agent_events_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.daily_conversations(read_agent_events(spark, f"{folder}/events"), AS_OF)
 
 
+def _in_turn(first: list[tuple[DataFrame, str]], then: list[tuple[DataFrame, str]], run: Callable[[], None]) -> None:
+    """Rows arrive in two deliveries, and the stream stops and starts between them."""
+    for delivery in (first, then):
+        for rows, path in delivery:
+            rows.write.mode("append").parquet(path)
+        run()
+
+
+def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same when a third of the events comes twice at once and again after a restart."""
+    folder = new_folder(spark, "events")
+    raw = sample_logs.raw_events(spark, sf_dir)
+    early, third = F.col("timestamp") < "2024-01-20", F.pmod(F.crc32("record"), F.lit(3)) == 0
+    first, again = raw.where(early), raw.where(early & third)
+
+    def run() -> None:
+        arriving = stream_raw_events(spark, f"{folder}/raw")
+        refresh.refresh_agent_events(arriving, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+
+    deliveries = [(first.union(again), f"{folder}/raw")], [(raw.where(~early).union(again), f"{folder}/raw")]
+    _in_turn(*deliveries, run)
+    return activity.daily_conversations(read_agent_events(spark, f"{folder}/events"), AS_OF)
+
+
+def _lineage_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage out of two streams of which the accesses lag ten days behind and the joining one restarts."""
+    folder = new_folder(spark, "lineage")
+    queries = sample_logs.query_log(spark, sf_dir)
+    accesses = sample_logs.access_stream_log(spark, sf_dir)
+    began, logged = F.col("start_time") < "2024-01-20", F.col("query_start_time") < "2024-01-10"
+
+    def run() -> None:
+        arriving = [
+            spark.readStream.schema(schema).parquet(f"{folder}/{name}")
+            for schema, name in ((schemas.QUERY_LOG, "queries"), (schemas.ACCESS_STREAM, "accesses"))
+        ]
+        lineage_refresh.refresh_lineage(*arriving, f"{folder}/lineage", f"{folder}/checkpoint").awaitTermination()
+
+    _in_turn(
+        [(queries.where(began), f"{folder}/queries"), (accesses.where(logged), f"{folder}/accesses")],
+        [(queries.where(~began), f"{folder}/queries"), (accesses.where(~logged), f"{folder}/accesses")],
+        run,
+    )
+    rows = lineage_refresh.read_lineage(spark, f"{folder}/lineage", AS_OF)
+    return joined(rows.withColumn("columns_accessed", F.col("columns_accessed.columnName")), "columns_accessed")
+
+
+def _critical_alert_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert per critical response, though a third of the results comes again after a restart."""
+    folder = new_folder(spark, "alerts")
+    results = _all_results(spark, sf_dir)
+    early, third = F.col("evaluated_at") < "2024-01-20", F.pmod(F.crc32("trace_id"), F.lit(3)) == 0
+
+    def run() -> None:
+        arriving = spark.readStream.schema(results.schema).parquet(f"{folder}/results")
+        alerts.alert_once(arriving, f"{folder}/alerts", f"{folder}/checkpoint", interval=None).awaitTermination()
+
+    again = results.where(early & third)
+    _in_turn([(results.where(early), f"{folder}/results")], [(results.where(~early).union(again), f"{folder}/results")], run)
+    found = spark.read.parquet(f"{folder}/alerts")
+    return found.select("trace_id", "agent_name", F.col("evaluated_at").cast("timestamp_ntz").alias("evaluated_at"), "safety_score")
+
+
 _indexes: dict[tuple, str] = {}
 
 
@@ -502,5 +566,8 @@ QUERIES: dict[str, Query] = {
     "policy_corpus_refresh": _policy_corpus_refresh,
     "notes_corpus_refresh": _notes_corpus_refresh,
     "agent_events_refresh": _agent_events_refresh,
+    "agent_events_redelivered": _redelivered,
+    "lineage_refresh": _lineage_refresh,
+    "critical_alert_once": _critical_alert_once,
 }
 QUERIES = {name: in_64_bits(query) for name, query in QUERIES.items()}

@@ -24,17 +24,9 @@ def _sources(with_columns: bool) -> Column:
     return F.arrays_zip(*[F.col(f"base_objects_accessed.{f}").alias(n) for f, n in fields.items()])
 
 
-def _accesses(query_log: DataFrame, accesses: DataFrame, as_of: datetime) -> DataFrame:
-    """Successful recent queries with what they accessed (both keyed by query).
-
-    Both sides are cut down before the join. Neither is hinted: the logs grow
-    with the platform, so the strategy is left to statistics and AQE, which also
-    splits skewed partitions; bucketed logs join without a shuffle.
-    """
-    done = (F.col("execution_status") == V.STATUS_SUCCESS) & (
-        F.col("start_time").between(days_before(as_of, HISTORY_DAYS), instant(as_of))
-    )
-    queries = query_log.where(done).select(
+def successful_queries(query_log: DataFrame) -> DataFrame:
+    """What lineage keeps of the queries that succeeded."""
+    return query_log.where(F.col("execution_status") == V.STATUS_SUCCESS).select(
         "query_id",
         "user_name",
         "role_name",
@@ -42,7 +34,17 @@ def _accesses(query_log: DataFrame, accesses: DataFrame, as_of: datetime) -> Dat
         "rows_produced",
         "bytes_scanned",
     )
-    return queries.join(accesses, "query_id")
+
+
+def _accesses(query_log: DataFrame, accesses: DataFrame, as_of: datetime) -> DataFrame:
+    """Successful recent queries with what they accessed (both keyed by query).
+
+    Both sides are cut down before the join. Neither is hinted: the logs grow
+    with the platform, so the strategy is left to statistics and AQE, which also
+    splits skewed partitions; bucketed logs join without a shuffle.
+    """
+    recent = F.col("start_time").between(days_before(as_of, HISTORY_DAYS), instant(as_of))
+    return successful_queries(query_log.where(recent)).join(accesses, "query_id")
 
 
 QUERY_COLUMNS = ("query_id", "user_name", "role_name", "access_time", "rows_produced", "bytes_scanned")
@@ -77,14 +79,23 @@ def data_access_lineage(
     """
     if dedup:
         return source_accesses(query_log, access_log, as_of, with_columns=True).drop("fanout")
-    accesses = access_log.select(
+    return lineage_rows(_accesses(query_log, accessed_objects(access_log), as_of))
+
+
+def accessed_objects(access_log: DataFrame, *more: str) -> DataFrame:
+    """Source objects and target names of each query, as arrays, and ``more`` columns of the log."""
+    return access_log.select(
         "query_id",
+        *more,
         _sources(with_columns=True).alias("sources"),
         F.col("direct_objects_accessed.objectName").alias("targets"),
     )
+
+
+def lineage_rows(joined: DataFrame) -> DataFrame:
+    """A row per source and target object of queries joined with :func:`accessed_objects`."""
     return (
-        _accesses(query_log, accesses, as_of)
-        .select(*QUERY_COLUMNS, "targets", F.inline_outer("sources"))
+        joined.select(*QUERY_COLUMNS, "targets", F.inline_outer("sources"))
         .select("*", F.explode_outer("targets").alias("target_object"))
         .drop("targets")
     )

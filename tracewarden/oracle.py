@@ -885,6 +885,10 @@ STATEMENTS: dict[str, str] = {
           AND evaluated_at BETWEEN {AS_OF} - INTERVAL 2 HOUR AND {AS_OF} - INTERVAL 1 HOUR""",
         "parsed_all",
     ),
+    "critical_alert_once": statement(
+        """SELECT trace_id, agent_name, evaluated_at, safety_score FROM parsed_all WHERE evaluation_status = 'CRITICAL'""",
+        "parsed_all",
+    ),
     "critical_alert_stream": statement(
         """SELECT date_trunc('hour', evaluated_at) AS window_start,
           date_trunc('hour', evaluated_at) + INTERVAL 1 HOUR AS window_end, count(*) AS critical_count
@@ -908,6 +912,8 @@ for _name, _same_as in (
     ("sql_evaluation_trend", "evaluation_trend"),
     ("sql_get_feedback_summary", "get_feedback_summary"),
     ("sql_daily_conversations", "daily_conversations"),
+    ("agent_events_redelivered", "daily_conversations"),
+    ("lineage_refresh", "data_access_lineage"),
     ("sql_judge_groundedness", "judge_groundedness"),
     ("sql_judge_relevance", "judge_relevance"),
     ("sql_judge_safety", "judge_safety"),

@@ -61,6 +61,9 @@ ACCESS_LOG = _struct(
     direct_objects_accessed=T.ArrayType(ACCESSED_OBJECT),
 )
 
+# As it streams: with the time that the query began, by which the two logs are matched.
+ACCESS_STREAM = T.StructType([*ACCESS_LOG.fields, T.StructField("query_start_time", NTZ)])
+
 POLICIES = _struct(
     policy_id=S,
     policy_name=S,

@@ -205,6 +205,12 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def access_stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access log with the time that each query began; null for orders without an event."""
+    began = query_log(spark, sf_dir).select("query_id", F.col("start_time").alias("query_start_time"))
+    return access_log(spark, sf_dir).join(began, "query_id", "left")
+
+
 def audit_logs(spark: SparkSession, sf_dir: str) -> AuditLogs:
     return AuditLogs(raw_events(spark, sf_dir), query_log(spark, sf_dir), access_log(spark, sf_dir))
 

@@ -7,7 +7,10 @@ and the file sink's log.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tracewarden.operators.agent_events import agent_events_flattened
@@ -15,6 +18,10 @@ from tracewarden.operators.search import TERM_BUCKETS, conversation_corpus, note
 from tracewarden.operators.search_index import index_documents
 
 
+# How long an event that was stored is remembered, in event time.
+REPEATS_WITHIN = "7 days"
+
+
 def scheduled(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
     """Without an interval: take in everything that has arrived, then stop."""
     writer = writer.option("checkpointLocation", checkpoint)
@@ -30,18 +37,60 @@ def _append(
     return scheduled(writer, checkpoint, interval).start(path)
 
 
+def without_redelivered(events: DataFrame, within: str = REPEATS_WITHIN) -> DataFrame:
+    """A stream of flattened events in which each one appears once, however often its producer sent it.
+
+    Events are the same if trace, time and record are. Spark remembers each until the
+    watermark, ``within`` behind the newest event, has passed it; what arrives later than that is left out
+    (counted by :func:`late_rows`), so a repetition is not stored twice at any distance. Events without
+    a time are not remembered beyond their batch.
+    """
+    rows = events.withColumns({"_at": F.col("event_timestamp").cast("timestamp"), "_content": F.xxhash64("raw_record")})
+    once = rows.withWatermark("_at", within).dropDuplicatesWithinWatermark(["trace_id", "event_timestamp", "_content"])
+    return once.drop("_at", "_content")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query left out because they came after the watermark, in the batches it still reports."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in map(_as_dict, query.recentProgress)
+        for operator in progress["stateOperators"]
+    )
+
+
+def _as_dict(progress) -> dict:
+    return progress if isinstance(progress, dict) else json.loads(progress.json)
+
+
+def _arrived(raw_stream: DataFrame, repeats_within: str | None) -> DataFrame:
+    events = agent_events_flattened(raw_stream)
+    return events if repeats_within is None else without_redelivered(events, repeats_within)
+
+
 def refresh_agent_events(
-    raw_stream: DataFrame, path: str, checkpoint: str, interval: str | None = None
+    raw_stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = None,
+    repeats_within: str | None = REPEATS_WITHIN,
 ) -> StreamingQuery:
-    """Append new telemetry to the flattened events, stored by date."""
-    return _append(agent_events_flattened(raw_stream), path, checkpoint, interval, ("event_date",))
+    """Append new telemetry to the flattened events, stored by date.
+
+    Redelivered events are stored once; ``repeats_within=None`` stores all that comes, without state.
+    """
+    return _append(_arrived(raw_stream, repeats_within), path, checkpoint, interval, ("event_date",))
 
 
 def refresh_conversation_corpus(
-    raw_stream: DataFrame, path: str, checkpoint: str, interval: str | None = "1 hour"
+    raw_stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str | None = "1 hour",
+    repeats_within: str | None = REPEATS_WITHIN,
 ) -> StreamingQuery:
-    """Append new conversations to the search corpus, hourly by default."""
-    return _append(conversation_corpus(agent_events_flattened(raw_stream)), path, checkpoint, interval)
+    """Append new conversations to the search corpus, hourly by default, redelivered ones once."""
+    return _append(conversation_corpus(_arrived(raw_stream, repeats_within)), path, checkpoint, interval)
 
 
 def refresh_policy_corpus(
