@@ -12,17 +12,18 @@ from pyspark.sql import types as T
 from tracewarden import schemas
 from tracewarden.functions.columns import computed_once
 from tracewarden.operators import agent_events as E
+from tracewarden.operators import daily
 from tracewarden.operators import evaluation as EV
 from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
 from tracewarden.operators import search_index as SX
-from tracewarden.plans import access, activity, behaviour, jobs, quality, security, sql_views
+from tracewarden.plans import access, activity, behaviour, jobs, quality, security, sql_views, stored_days
 from tracewarden.plans import metric_model as M
 from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
-from tracewarden.sources.logs import read_agent_events, stream_raw_events
+from tracewarden.sources.logs import read_agent_events, read_user_activity, stream_raw_events, write_user_activity
 from tracewarden.streaming import alerts, refresh
 from tracewarden.streaming import lineage as lineage_refresh
 
@@ -338,26 +339,59 @@ def _versions(rows: DataFrame) -> tuple:
     return tuple(sorted(found))
 
 
-def _index(name: str, corpus: Query, text_column: str) -> Callable[[SparkSession, str], str]:
-    """The stored index of a corpus, built at the first search of a session and again once its tables' files change."""
+def _kept(name: str, base: Query, build: Callable[[DataFrame, str], None]) -> Callable[[SparkSession, str], str]:
+    """Folder of what ``build`` stores of a relation, at its first use of a session and again once its tables' files change."""
 
     def path(spark: SparkSession, sf_dir: str) -> str:
-        rows = corpus(spark, sf_dir)
+        rows = base(spark, sf_dir)
         key = (spark.sparkContext.applicationId, sf_dir, name, _versions(rows))
         if key not in _indexes:
             folder = f"{new_folder(spark, name)}/index"
-            SX.index_documents(rows, text_column, folder, buckets=16)
+            build(rows, folder)
             _indexes[key] = folder
         return _indexes[key]
 
     return path
 
 
+def _index(name: str, corpus: Query, text_column: str) -> Callable[[SparkSession, str], str]:
+    """The stored index of a corpus."""
+    return _kept(name, corpus, lambda rows, folder: SX.index_documents(rows, text_column, folder, buckets=16))
+
+
+def _store_days(events: DataFrame, folder: str) -> None:
+    """Twenty days at first, then the last ten of them again and what came after."""
+    daily.refresh_days(events.where("event_date < DATE '2024-01-20'"), folder)
+    daily.refresh_days(events.where("event_date >= DATE '2024-01-10'"), folder)
+
+
+_days = _kept("days", _events, _store_days)
+
+
+def of_days(report: Callable[..., DataFrame], *args: object) -> Query:
+    """A report out of stored days."""
+    return lambda spark, sf_dir: report(daily.read_days(spark, _days(spark, sf_dir)), *args)
+
+
+def _user_activity_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User activity out of stored days, of which a refresh replaced some."""
+    folder = new_folder(spark, "activity")
+    rows = _activity(spark, sf_dir)
+    write_user_activity(rows.where("activity_date < DATE '2024-01-20'"), folder)
+    write_user_activity(rows.where("activity_date >= DATE '2024-01-15'"), folder)
+    return behaviour.user_activity(read_user_activity(spark, folder), AS_OF)
+
+
+def _metrics_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = daily.read_days(spark, _days(spark, sf_dir))
+    return M.metrics(_events(spark, sf_dir), M.AGENT_EVENTS, list(M.AGENT_EVENTS.measures), ["agent_name"], stored=days)
+
+
 _policy_index = _index("policy-index", over(_policies, SR.policy_corpus), "policy_text")
 _notes_index = _index("notes-index", over(_notes, SR.notes_corpus), "note_text")
 _conversation_index = _index("conversation-index", over(_events, SR.conversation_corpus), "conversation_text")
 # What bench.py times as the builds of the indexes.
-INDEXES = {"index_policies": _policy_index, "index_notes": _notes_index, "index_conversations": _conversation_index}
+INDEXES = {"index_policies": _policy_index, "index_notes": _notes_index, "index_conversations": _conversation_index, "store_days": _days}
 
 
 def indexed(base: Query, index: Callable[[SparkSession, str], str], operator: Callable[..., DataFrame], *args: object) -> Query:
@@ -498,6 +532,13 @@ QUERIES: dict[str, Query] = {
     "vq_positive_rate": over(_events, M.positive_rate),
     "vq_highest_failure_users": over(_activity, M.highest_failure_users, AS_OF),
     "vq_most_accessed_tables": over(_accesses, M.most_accessed_tables, AS_OF),
+    # stored days
+    "daily_conversations_stored": of_days(stored_days.daily_conversations, AS_OF),
+    "monthly_audit_summary_stored": of_days(stored_days.monthly_audit_summary, AS_OF),
+    "feedback_rates_stored": of_days(stored_days.feedback_rates, AS_OF),
+    "distinct_windows": of_days(stored_days.distinct_windows, AS_OF),
+    "metrics_agent_events_stored": _metrics_stored,
+    "user_activity_stored": _user_activity_stored,
     # search
     "conversation_corpus": over(_events, SR.conversation_corpus),
     "policy_corpus": over(_policies, SR.policy_corpus),

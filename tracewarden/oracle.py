@@ -885,6 +885,13 @@ STATEMENTS: dict[str, str] = {
           AND evaluated_at BETWEEN {AS_OF} - INTERVAL 2 HOUR AND {AS_OF} - INTERVAL 1 HOUR""",
         "parsed_all",
     ),
+    "distinct_windows": statement(
+        f"""SELECT agent_name, CAST(days AS INTEGER) AS window_days, count(DISTINCT thread_id) AS conversations,
+          count(DISTINCT user_name) AS unique_users
+        FROM ae, (VALUES (7), (30), (90)) windows(days)
+        WHERE event_date BETWEEN {TODAY} - to_days(days) AND {TODAY} GROUP BY 1, 2""",
+        "ae",
+    ),
     "critical_alert_once": statement(
         """SELECT trace_id, agent_name, evaluated_at, safety_score FROM parsed_all WHERE evaluation_status = 'CRITICAL'""",
         "parsed_all",
@@ -913,6 +920,11 @@ for _name, _same_as in (
     ("sql_get_feedback_summary", "get_feedback_summary"),
     ("sql_daily_conversations", "daily_conversations"),
     ("agent_events_redelivered", "daily_conversations"),
+    ("daily_conversations_stored", "daily_conversations"),
+    ("monthly_audit_summary_stored", "monthly_audit_summary"),
+    ("feedback_rates_stored", "feedback_rates"),
+    ("metrics_agent_events_stored", "metrics_agent_events"),
+    ("user_activity_stored", "user_activity"),
     ("lineage_refresh", "data_access_lineage"),
     ("sql_judge_groundedness", "judge_groundedness"),
     ("sql_judge_relevance", "judge_relevance"),

@@ -10,22 +10,30 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden import fixed_values as V
 from tracewarden.functions.clock import dates_before, days_before, instant, today
 from tracewarden.functions.columns import ascending, descending
+from tracewarden.operators.daily import StoredDays, distinct_counts
 
 
 @dataclass(frozen=True)
 class LogicalTable:
-    """Dimensions and measures as SQL expressions over a base relation."""
+    """Dimensions and measures as SQL expressions over a base relation.
+
+    ``stored_measures`` are the same measures over the partials of stored days, and
+    ``stored_sets`` names the sets that distinct counts come from.
+    """
 
     name: str
     dimensions: Mapping[str, str]
     measures: Mapping[str, str]
     time_dimensions: Mapping[str, str] = field(default_factory=dict)
+    stored_measures: Mapping[str, str] = field(default_factory=dict)
+    stored_sets: Mapping[str, str] = field(default_factory=dict)
 
     def dimension(self, name: str) -> Column:
         known = {**self.dimensions, **self.time_dimensions}
@@ -43,8 +51,8 @@ def _same(*names: str) -> dict[str, str]:
     return {name: name for name in names}
 
 
-def _where(condition: str) -> str:
-    return f"sum(CASE WHEN {condition} THEN 1 ELSE 0 END)"
+def _where(condition: str, times: str = "1") -> str:
+    return f"sum(CASE WHEN {condition} THEN {times} ELSE 0 END)"
 
 
 def _large_sum(product: str) -> str:
@@ -82,6 +90,18 @@ AGENT_EVENTS = LogicalTable(
         "avg_response_time_ms": "avg(span_duration_ms)",
         "tool_invocations": _where(f"event_type LIKE '{V.TOOL_EVENT_PATTERN}'"),
     },
+    stored_measures={
+        "total_events": "sum(events)",
+        "positive_feedback_count": _where(_IS_POSITIVE, "events"),
+        "negative_feedback_count": _where(f"feedback_sentiment = '{V.NEGATIVE}'", "events"),
+        "total_feedback": _where(_HAS_SENTIMENT, "events"),
+        "positive_feedback_rate": (
+            f"round(CAST({_where(_IS_POSITIVE, 'events')} AS DOUBLE) * 100 / nullif({_where(_HAS_SENTIMENT, 'events')}, 0), 2)"
+        ),
+        "avg_response_time_ms": "CAST(sum(duration_sum) AS DOUBLE) / nullif(sum(durations), 0)",
+        "tool_invocations": _where(f"event_type LIKE '{V.TOOL_EVENT_PATTERN}'", "events"),
+    },
+    stored_sets={"total_conversations": "threads", "unique_users": "users"},
 )
 
 FAILED_QUERIES = LogicalTable(
@@ -140,16 +160,20 @@ def metrics(
     having: Column | str | None = None,
     order_by: Sequence[Column | str] = (),
     limit: int | None = None,
+    stored: StoredDays | None = None,
 ) -> DataFrame:
     """Compute measures by dimensions.
 
     A dimension is a name of the table or an aliased column over the base
     (``F.trunc("event_date", "month").alias("month")``). ``where`` filters base
-    rows; ``having`` and ``order_by`` use the result's names.
+    rows; ``having`` and ``order_by`` use the result's names. With ``stored`` days the base is
+    read only if they do not hold what is asked for.
     """
-    rows = base if where is None else base.where(where)
     groups = [table.dimension(d) if isinstance(d, str) else d for d in dimensions]
-    result = rows.groupBy(*groups).agg(*[table.measure(m) for m in measures])
+    result = None if stored is None else from_stored(stored, table, measures, groups, where)
+    if result is None:
+        rows = base if where is None else base.where(where)
+        result = rows.groupBy(*groups).agg(*[table.measure(m) for m in measures])
     if having is not None:
         result = result.where(having)
     if order_by:
@@ -157,6 +181,31 @@ def metrics(
     return result if limit is None else result.limit(limit)
 
 
+def from_stored(
+    days: StoredDays, table: LogicalTable, measures: Sequence[str], groups: Sequence[Column], where: Column | str | None
+) -> DataFrame | None:
+    """The measures out of stored days; None if these lack one, or a column that groups or filter."""
+    if not {*measures} <= {*table.stored_measures, *table.stored_sets}:
+        return None
+    distinct = [m for m in measures if m in table.stored_sets]
+    try:
+        partials, sets = (rows if where is None else rows.where(where) for rows in (days.partials, days.sets))
+        sums = [F.expr(table.stored_measures[m]).alias(m) for m in measures if m not in distinct]
+        added = partials.groupBy(*groups).agg(*sums, F.lit(1).alias("_all"))
+        names = added.columns[: len(groups)]
+        if not distinct:
+            return added.drop("_all")
+        counts = distinct_counts(sets, [*groups]).select(*[F.col(n).alias(f"_{n}") for n in names], F.lit(1).alias("_one"), *table.stored_sets.values())
+    except AnalysisException:
+        return None
+    same = F.col("_all") == F.col("_one")
+    for name in names:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    # A group of values that are all null has no set, and counts 0.
+    found = {m: F.coalesce(F.col(table.stored_sets[m]), F.lit(0)) if m in distinct else F.col(m) for m in measures}
+    return added.join(counts, same, "left").select(*names, *[value.alias(m) for m, value in found.items()])
+
+
 def profile(base: DataFrame, table: LogicalTable) -> DataFrame:
     """All measures by each dimension in turn: a row per dimension and value, from one scan.
 

@@ -94,6 +94,15 @@ def write_query_log(
     _write_by_date(dated, path, "start_date", mode, mixed_dates)
 
 
+def write_user_activity(activity: DataFrame, path: str) -> None:
+    """Store the activity of users by day in place of what was stored of these days."""
+    _write_by_date(activity, path, "activity_date", "overwrite", mixed_dates=False)
+
+
+def read_user_activity(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def save_bucketed(log: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
     """Save a log as a table bucketed by ``query_id``.
 
