@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import random
 import statistics
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewarden import schemas
 from tracewarden.functions.columns import active_hours, exact_avg
-from tracewarden.functions.median import exact_medians
+from tracewarden.functions.median import exact_medians, part_of
 from tracewarden.operators import lineage as LN
 from tracewarden.plans import metric_model as M
 
@@ -74,15 +76,37 @@ def test_active_hours_is_a_distinct_count(spark, hours):
 @relaxed
 @given(
     rows=st.lists(
-        st.tuples(st.one_of(st.none(), st.sampled_from("ab")), st.one_of(st.none(), st.integers(-30, 30))),
+        st.tuples(
+            st.one_of(st.none(), st.sampled_from("ab")),
+            st.one_of(st.none(), st.integers(-30, 30), st.integers(-(10**15), 10**15), st.integers(0, 50).map(lambda n: 1 << n)),
+        ),
         min_size=1,
         max_size=40,
     ),
-    width=st.sampled_from([1, 3, 1000]),
+    parts=st.sampled_from([(1, 1), (2, 3), (16, 2), (4096, 65_536)]),
 )
-def test_medians_agree_with_sorting(spark, rows, width):
+def test_medians_agree_with_sorting(spark, rows, parts):
     source = spark.createDataFrame(rows, "k string, v bigint")
     histogram = source.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    found = {r.k: r.median for r in exact_medians(histogram, ["k"], "v", "n", width).collect()}
+    found = {r.k: r.median for r in exact_medians(histogram, ["k"], "v", "n", *parts).collect()}
     values = {k: [v for key, v in rows if key == k and v is not None] for k, _ in rows}
     assert found == {k: statistics.median(v) for k, v in values.items() if v}
+
+
+@pytest.mark.parametrize("parts", [1, 8, 4096])
+def test_parts_keep_the_order_of_values(spark, parts):
+    edge = (1 << 63) - 1
+    values = sorted({*range(-40, 40), *[s * (1 << n) + d for n in range(3, 62) for d in (-1, 0, 1) for s in (-1, 1)], edge, -edge, -edge - 1})
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v bigint").coalesce(1).select(part_of(F.col("v"), parts)).collect()]
+    assert found == sorted(found) and max(found) <= 64 * parts
+    assert all(a == b for a, b in zip(found, values) if abs(b) <= parts)
+
+
+def test_median_of_values_spread_over_fifteen_digits(spark):
+    """A window sees parts, of which there are few, and never all values of a group."""
+    rng = random.Random(3)
+    rows = [("a", int(10 ** rng.uniform(0, 15))) for _ in range(4000)] + [("b", rng.randrange(10**15)) for _ in range(3001)]
+    source = spark.createDataFrame(rows, "k string, v bigint").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = {r.k: r.median for r in exact_medians(source, ["k"], "v", "n", parts=8, smaller_parts=16).collect()}
+    assert found == {k: statistics.median(v for key, v in rows if key == k) for k in "ab"}
+    assert source.select(part_of(F.col("v"), 8)).distinct().count() <= 8 * 50
