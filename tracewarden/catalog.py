@@ -16,6 +16,7 @@ from tracewarden.operators import daily
 from tracewarden.operators import evaluation as EV
 from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
+from tracewarden.operators import open_records, pattern_table, stored_sample
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
 from tracewarden.operators import search_index as SX
@@ -23,7 +24,7 @@ from tracewarden.plans import access, activity, behaviour, jobs, quality, securi
 from tracewarden.plans import metric_model as M
 from tracewarden.session import new_folder
 from tracewarden.sources import sample_logs
-from tracewarden.sources.logs import read_agent_events, read_user_activity, stream_raw_events, write_user_activity
+from tracewarden.sources.logs import read_agent_events, read_user_activity, stream_raw_events, write_agent_events, write_user_activity
 from tracewarden.streaming import alerts, refresh
 from tracewarden.streaming import lineage as lineage_refresh
 
@@ -160,6 +161,43 @@ def _judge(judge: str) -> Query:
     return run
 
 
+def _sample_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly sample out of samples kept per day, into which responses came in two overlapping deliveries."""
+    folder = new_folder(spark, "samples")
+    rows = _judged(spark, sf_dir)
+    odd = F.pmod(F.crc32("trace_id"), F.lit(3))
+    for delivery in (odd < 2, odd > 0):
+        stored_sample.add_to_samples(rows.where(delivery), folder)
+    return stored_sample.sample_of_days(spark, folder, AS_OF)
+
+
+def _usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by agent and model, fields that the declared schema lacks, out of stored records."""
+    folder = new_folder(spark, "open-events")
+    raw = sample_logs.raw_events_with_usage(spark, sf_dir)
+    write_agent_events(open_records.open_agent_events(raw), folder)
+    rows = open_records.at_paths(
+        read_agent_events(spark, folder),
+        {"model": "$.usage.model", "tokens": ("$.usage.tokens", "bigint"), "second_span": "$.spans[1].name", "wrong": ("$.usage.model", "int")},
+    )
+    return rows.groupBy("agent_name", "model").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum("tokens").alias("tokens"),
+        F.count("second_span").alias("with_second_span"),
+        F.count("wrong").alias("wrong_type"),
+    )
+
+
+def _watched_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses to tables by watch list, each of which has thousands of patterns."""
+    patterns = sample_logs.watch_patterns(spark, sf_dir)
+    accesses = _accesses(spark, sf_dir)
+    found = pattern_table.matched_patterns(accesses, "source_table", patterns)
+    listed = found.groupBy("source_table", "watch_list").agg(F.count(F.lit(1)).alias("patterns"))
+    counts = accesses.groupBy("source_table").agg(LN.pair_count().alias("access_count"))
+    return counts.join(listed, "source_table")
+
+
 def _rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule scores of every candidate response, summarised per agent."""
     candidates = EV.evaluation_candidates(_judged(spark, sf_dir), AS_OF)
@@ -532,6 +570,9 @@ QUERIES: dict[str, Query] = {
     "vq_positive_rate": over(_events, M.positive_rate),
     "vq_highest_failure_users": over(_activity, M.highest_failure_users, AS_OF),
     "vq_most_accessed_tables": over(_accesses, M.most_accessed_tables, AS_OF),
+    # paths and patterns
+    "usage_by_model": _usage_by_model,
+    "watched_tables": _watched_tables,
     # stored days
     "daily_conversations_stored": of_days(stored_days.daily_conversations, AS_OF),
     "monthly_audit_summary_stored": of_days(stored_days.monthly_audit_summary, AS_OF),
@@ -555,6 +596,7 @@ QUERIES: dict[str, Query] = {
     "search_notes_changed": _search_changed_index,
     # evaluation
     "evaluation_dataset": over(_judged, EV.evaluation_dataset, AS_OF),
+    "evaluation_dataset_stored": _sample_stored,
     "judge_prompts": over(_judged, J.judge_prompts),
     "judge_groundedness": _judge("groundedness"),
     "judge_relevance": _judge("relevance"),

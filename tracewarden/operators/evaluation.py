@@ -23,14 +23,22 @@ def evaluation_candidates(
 ) -> DataFrame:
     """Recent responses long enough to judge."""
     # Dates prune partitions; the time keeps a run for an earlier day from seeing what came after it.
-    kept = (
-        F.col("event_date").between(dates_before(as_of, days), today(as_of))
-        & (F.col("event_timestamp") <= instant(as_of))
-        & (F.length("agent_response") > MIN_RESPONSE_CHARS)
+    recent = F.col("event_date").between(dates_before(as_of, days), today(as_of)) & (
+        F.col("event_timestamp") <= instant(as_of)
     )
-    if min_query_chars is not None:
-        kept = kept & (F.length("user_query") > min_query_chars)
-    return conversations.where(kept)
+    return conversations.where(recent & long_enough(min_query_chars))
+
+
+def long_enough(min_query_chars: int | None = MIN_QUERY_CHARS) -> Column:
+    kept = F.length("agent_response") > MIN_RESPONSE_CHARS
+    return kept if min_query_chars is None else kept & (F.length("user_query") > min_query_chars)
+
+
+def sample_order(seed: str = "") -> tuple[Column, Column]:
+    """Hash and key that responses are drawn by; the content is the key where there is none."""
+    content = F.concat_ws("|", "thread_id", F.col("event_timestamp").cast("string"), "user_query", "agent_response")
+    key = F.coalesce("trace_id", content)
+    return F.md5(F.concat(key, F.lit(seed))), key
 
 
 def evaluation_dataset(
@@ -48,9 +56,7 @@ def evaluation_dataset(
     finding the first rows is a top-k, not a sort.
     """
     candidates = evaluation_candidates(conversations, as_of, days, min_query_chars)
-    content = F.concat_ws("|", "thread_id", F.col("event_timestamp").cast("string"), "user_query", "agent_response")
-    key = F.coalesce("trace_id", content)
-    return candidates.orderBy(F.md5(F.concat(key, F.lit(seed))), key).limit(sample_size)
+    return candidates.orderBy(*sample_order(seed)).limit(sample_size)
 
 
 def evaluation_results(dataset: DataFrame, scorer: Scorer, evaluated_at: datetime | Column) -> DataFrame:

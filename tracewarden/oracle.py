@@ -254,6 +254,16 @@ relation(
       rows_produced, bytes_scanned, line
     FROM access LEFT JOIN direct USING (o_orderkey)""",
 )
+relation(
+    "watched",
+    sql="""
+    SELECT * FROM (
+      SELECT DISTINCT 'L' || (o_orderkey % 7) AS watch_list,
+        replace(['%{}%', '%claims{}%', 'db.%.rec_rds{}', '%Patient\\_M%{}', '_B.SALES.%{}', '%S%{}'][1 + o_orderkey % 6],
+                '{}', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END) AS pattern
+      FROM orders)
+    WHERE pattern <> '%%' AND (pattern <> '%S%' OR watch_list = 'L0')""",
+)
 relation(
     "evc",
     "obs",
@@ -892,6 +902,21 @@ STATEMENTS: dict[str, str] = {
         WHERE event_date BETWEEN {TODAY} - to_days(days) AND {TODAY} GROUP BY 1, 2""",
         "ae",
     ),
+    "usage_by_model": statement(
+        """SELECT agent_name, CASE WHEN i % 3 > 0 THEN 'm' || (i % 4) END AS model, count(*) AS events,
+          CAST(sum(CASE WHEN i % 3 > 0 THEN (i * 7) % 1000 END) AS BIGINT) AS tokens,
+          count(CASE WHEN span_count > 1 THEN 1 END) AS with_second_span, CAST(0 AS BIGINT) AS wrong_type
+        FROM (SELECT *, CAST(substr(trace_id, 3) AS BIGINT) AS i FROM ae) GROUP BY 1, 2""",
+        "ae",
+    ),
+    "watched_tables": statement(
+        """SELECT source_table, access_count, watch_list, count(*) AS patterns
+        FROM (SELECT source_table, count(*) AS access_count FROM dal WHERE source_table IS NOT NULL GROUP BY 1)
+          JOIN watched ON source_table ILIKE pattern ESCAPE '\\'
+        GROUP BY ALL""",
+        "dal",
+        "watched",
+    ),
     "critical_alert_once": statement(
         """SELECT trace_id, agent_name, evaluated_at, safety_score FROM parsed_all WHERE evaluation_status = 'CRITICAL'""",
         "parsed_all",
@@ -921,6 +946,7 @@ for _name, _same_as in (
     ("sql_daily_conversations", "daily_conversations"),
     ("agent_events_redelivered", "daily_conversations"),
     ("daily_conversations_stored", "daily_conversations"),
+    ("evaluation_dataset_stored", "evaluation_dataset"),
     ("monthly_audit_summary_stored", "monthly_audit_summary"),
     ("feedback_rates_stored", "feedback_rates"),
     ("metrics_agent_events_stored", "metrics_agent_events"),

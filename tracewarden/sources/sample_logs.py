@@ -145,6 +145,26 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("ts").alias("timestamp"), F.to_json(record).alias("record"))
 
 
+def raw_events_with_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a part of the record that the declared schema does not have; a third of the records lack it."""
+    number = F.regexp_extract("record", r'"trace_id":"TR([0-9]+)"', 1).cast("bigint")
+    usage = F.struct(_numbered("m", number % 4).alias("model"), ((number * 7) % 1000).alias("tokens"))
+    more = F.concat(F.expr("left(record, length(record) - 1)"), F.lit(',"usage":'), F.to_json(usage), F.lit("}"))
+    return raw_events(spark, sf_dir).withColumn("record", F.when(number % 3 > 0, more).otherwise(F.col("record")))
+
+
+def watch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(watch_list, pattern): one pattern per order, most of which no table is like."""
+    n = F.col("o_orderkey")
+    forms = ("%{}%", "%claims{}%", "db.%.rec_rds{}", "%Patient\\_M%{}", "_B.SALES.%{}", "%S%{}")
+    suffix = F.when(n % 5 == 0, "").otherwise(n.cast("string"))
+    choices = [F.concat(F.lit(form.split("{}")[0]), suffix, F.lit(form.split("{}")[1])) for form in forms]
+    pattern = F.element_at(F.array(*choices), (1 + n % 6).cast("int"))
+    # One list's patterns without literals would be like every table.
+    rows = _table(spark, sf_dir, "orders").select(_numbered("L", n % 7).alias("watch_list"), pattern.alias("pattern"))
+    return rows.where("pattern <> '%%' AND (pattern <> '%S%' OR watch_list = 'L0')").distinct()
+
+
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, u, k = F.col("event_id"), F.col("user_id"), F.col("k")
     failed = F.col("event_type") == "error"
