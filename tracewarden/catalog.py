@@ -16,7 +16,7 @@ from tracewarden.operators import daily
 from tracewarden.operators import evaluation as EV
 from tracewarden.operators import judges as J
 from tracewarden.operators import lineage as LN
-from tracewarden.operators import open_records, pattern_table, stored_sample
+from tracewarden.operators import open_records, pattern_table, stored_sample, verdict_store
 from tracewarden.operators import query_log as Q
 from tracewarden.operators import search as SR
 from tracewarden.operators import search_index as SX
@@ -206,6 +206,21 @@ def _rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompt_lengths(prompts: list[str]) -> list[str]:
+    """Stands in for a model: a verdict that follows from the prompt."""
+    return [f'{{"score": {len(p) % 100 / 100}, "reasoning": "{len(p)}"}}' for p in prompts]
+
+
+def _verdicts_bought(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores out of stored verdicts, of which a first run bought a third."""
+    folder = new_folder(spark, "verdicts")
+    rows = _judged(spark, sf_dir)
+    scorer = verdict_store.stored_scorer(prompt_lengths, folder, partitions=4, chunk_rows=64)
+    scorer(rows.where(F.pmod(F.crc32("trace_id"), F.lit(3)) == 0))
+    parsed = EV.evaluation_parsed(EV.evaluation_results(rows, scorer, AS_OF))
+    return parsed.select("trace_id", *[f"{judge}_score" for judge in J.JUDGES], "groundedness_reasoning")
+
+
 def _parsed_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = joined(_parsed(spark, sf_dir), "groundedness_flags", "safety_issues", "missing_aspects")
     return flat.withColumn("composite_score", F.round("composite_score", 6))
@@ -597,6 +612,7 @@ QUERIES: dict[str, Query] = {
     # evaluation
     "evaluation_dataset": over(_judged, EV.evaluation_dataset, AS_OF),
     "evaluation_dataset_stored": _sample_stored,
+    "evaluation_verdicts_stored": _verdicts_bought,
     "judge_prompts": over(_judged, J.judge_prompts),
     "judge_groundedness": _judge("groundedness"),
     "judge_relevance": _judge("relevance"),

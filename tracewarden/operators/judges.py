@@ -203,6 +203,19 @@ def error_column(judge: str) -> str:
     return f"{judge}_error"
 
 
+def answered(
+    complete: Callable[[list[str]], Sequence[str | None]], prompts: list[str]
+) -> tuple[Sequence[str | None], list[str | None]]:
+    """A callable's texts, or the reason why there are none, for each of some prompts."""
+    try:
+        replies = list(complete(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} answers to {len(prompts)} prompts")
+        return replies, [None] * len(prompts)
+    except Exception as error:  # whatever a user's callable raises becomes a row's error text
+        return [None] * len(prompts), [f"{type(error).__name__}: {error}"[:500]] * len(prompts)
+
+
 def external_scorer(
     complete: Callable[[list[str]], Sequence[str | None]], partitions: int, chunk_rows: int = 32
 ) -> Scorer:
@@ -212,18 +225,9 @@ def external_scorer(
     time limits belong inside it. A call that raises, or returns another number of texts,
     leaves its chunk's verdicts NULL and says why in the judge's error column, which
     :func:`failed_calls` counts. Write the result to a table before using it twice: a model may
-    answer differently when Spark recomputes a lost partition.
+    answer differently when Spark recomputes a lost partition. ``verdict_store.stored_scorer`` asks once.
     """
 
-    def answered(prompts: list[str]) -> tuple[Sequence[str | None], list[str | None]]:
-        try:
-            replies = list(complete(prompts))
-            if len(replies) != len(prompts):
-                raise ValueError(f"{len(replies)} answers to {len(prompts)} prompts")
-            return replies, [None] * len(prompts)
-        except Exception as error:  # whatever a user's callable raises becomes a row's error text
-            return [None] * len(prompts), [f"{type(error).__name__}: {error}"[:500]] * len(prompts)
-
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for judge in JUDGES:
@@ -233,7 +237,7 @@ def external_scorer(
                 asked = prompts[prompts.notna()]
                 for at in range(0, len(asked), chunk_rows):
                     chunk = asked.iloc[at : at + chunk_rows]
-                    answers[chunk.index], errors[chunk.index] = answered(list(chunk))
+                    answers[chunk.index], errors[chunk.index] = answered(complete, list(chunk))
                 batch[raw_column(judge)], batch[error_column(judge)] = answers, errors
             yield batch
 

@@ -902,6 +902,12 @@ STATEMENTS: dict[str, str] = {
         WHERE event_date BETWEEN {TODAY} - to_days(days) AND {TODAY} GROUP BY 1, 2""",
         "ae",
     ),
+    "evaluation_verdicts_stored": statement(
+        f"""SELECT trace_id, {", ".join(f"length({j}_prompt) % 100 / 100.0::DOUBLE AS {j}_score" for j in V.PROMPT_RUBRICS)},
+          CAST(length(groundedness_prompt) AS VARCHAR) AS groundedness_reasoning
+        FROM (SELECT trace_id, {', '.join(_prompt(j) for j in V.PROMPT_RUBRICS)} FROM evc)""",
+        "evc",
+    ),
     "usage_by_model": statement(
         """SELECT agent_name, CASE WHEN i % 3 > 0 THEN 'm' || (i % 4) END AS model, count(*) AS events,
           CAST(sum(CASE WHEN i % 3 > 0 THEN (i * 7) % 1000 END) AS BIGINT) AS tokens,
