@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SF, WORD, by_id, documents, prose
 from tracewarden.llm import suffix_arrays as SA
 from tracewarden.llm import super_kmers as SK
+from tracewarden.llm.words import Texts, utf8
 
 
 def expected(rows, window):
@@ -50,7 +52,7 @@ def table(spark):
 
 
 @pytest.mark.parametrize("bucket_windows", [5, 400, 10**6])
-def test_super_kmers_equal_brute_force_with_and_without_hot_cells(spark, table, bucket_windows):
+def test_super_kmers_equal_brute_force_with_and_without_frequent_minimisers(spark, table, bucket_windows):
     found = SK.without_repeats(table, SK.repeated_windows(table, bucket_windows=bucket_windows), 13)
     rows = sorted((tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr)
     assert rows == expected(corpus(), 13)
@@ -83,13 +85,68 @@ def test_empty_table(spark):
         assert SK.without_repeats(empty, repeats(empty), window).collect() == []
 
 
-def test_buckets_are_even_and_large_cells_are_hot():
+def test_ordinary_texts_travel_packed_at_every_number_of_buckets(spark):
+    """No window is dealt apart without a frequent minimiser, however small buckets are against the corpus."""
+    rng = random.Random(9)
+    table = documents(spark, [(k, prose(rng, 300, 50_000)) for k in range(200)]).repartition(4)
+    rows = table.selectExpr("doc_id", "0L AS key", "text")
+    for bucket_windows in (300, 3_000, 10**6):
+        plan = SK.plan_of(rows, 13, bucket_windows)
+        assert not len(plan.frequent) and not len(plan.too_frequent)
+        assert plan.buckets == -(-200 * 288 // bucket_windows)
+        sizes = {r["bucket"]: r["n"] for r in SK.packed_super_kmers(rows, plan, 13).selectExpr("bucket", "length(packed) AS n").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+        assert len(sizes) == plan.buckets and max(sizes.values()) <= 2.5 * sum(sizes.values()) / len(sizes)
+
+
+def test_frequent_minimisers_are_dealt_by_longer_ones_and_still_packed(spark):
+    rng = random.Random(10)
+    # Three words in a row, in all texts, amid others: one minimiser (their hash is small), many different windows.
+    tried = [f"a{k} b{k} c{k}" for k in range(5_000)]
+    texts = Texts(*utf8(pa.array(tried)))
+    values = SK.RangeHashes(texts.word_hashes()).of(texts.first[:-1], texts.first[1:])
+    three = tried[int(values.argmin())]
+    rows = []
+    for k in range(300):
+        words = prose(rng, 40, 3_000).split()
+        rows.append((k, " ".join([*words[:20], three, *words[20:]])))
+    table = documents(spark, rows).selectExpr("doc_id", "0L AS key", "text").repartition(3)
+    plan = SK.plan_of(table, 13, 400)
+    assert len(plan.frequent) and not len(plan.too_frequent)
+    found = SK.without_repeats(table, SK.repeated_windows(table, bucket_windows=400), 13)
+    assert sorted((tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr) == expected(rows, 13)
+
+
+def test_frequent_values_are_counted_within_a_bound():
     import numpy as np
 
-    sizes = np.zeros(1 << SK.CELL_BITS, np.int64)
-    sizes[:1000] = 10
-    sizes[5] = 5000
-    plan, buckets = SK.bucket_plan(sizes, 1000)
-    assert plan[5] == SK.HOT and buckets == 10
-    load = np.bincount(plan[plan >= 0], weights=sizes[plan >= 0])
-    assert load.max() <= 1.1 * load.mean()
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.integers(0, 10**6, 20_000), np.repeat([7, 8], [3_000, 900])]).astype(np.uint64)
+    rng.shuffle(values)
+    found = SK.FrequentValues(50)
+    for part in np.array_split(values, 9):
+        found.add(part)
+    count = dict(zip(found.values.tolist(), found.counts.tolist()))
+    true = {7: (values == 7).sum(), 8: (values == 8).sum()}
+    assert len(count) <= 50 and found.lost <= len(values) / 50
+    assert all(true[v] - found.lost <= count[v] <= true[v] for v in (7, 8))
+
+
+def test_windows_with_equal_hashes_are_told_apart_by_their_words(spark, monkeypatch):
+    """With a hash that has two values only, the words decide."""
+    class Poor(SK.RangeHashes):
+        def of(self, starts, ends):
+            full = super().of(starts, ends)
+            return full & full.dtype.type(1) if len(starts) and (ends - starts)[0] == 13 else full
+
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 60, 40)) for k in range(12)]
+    rows += [(20 + k, rows[k][1] + " " + prose(rng, 5)) for k in range(4)]
+    table = documents(spark, rows).selectExpr("doc_id", "0L AS key", "text").coalesce(1)
+    packed = SK.packed_super_kmers(table, SK.Plan(1, *[SK.np.zeros(0, SK.np.uint64)] * 2), 13).toArrow()
+    monkeypatch.setattr(SK, "RangeHashes", Poor)
+    found = SK.repeated_in_bucket(packed, 13).to_pydict()
+    gone = {}
+    for doc, start, n in zip(found["doc_id"], found["start"], found["n"]):
+        gone.setdefault(doc, set()).update(range(start, start + n + 12))
+    want = {i: n for i, _, n, _ in expected(rows, 13) if n}
+    assert {i: len(g) for i, g in gone.items()} == want and want

@@ -5,15 +5,17 @@ windows that share a minimiser overlap in all but one word, so they travel as on
 packed string (a super-k-mer) to the bucket of their minimiser. Equal windows have equal
 minimisers and meet there, where sorting finds the first document of each.
 
-Minimisers fall into a fixed number of cells. A first pass counts the windows of each
-cell, so that buckets are of like size. A cell that is too large for a bucket (one
-passage in very many documents) does not travel: its windows are reduced to the first
+There are as many buckets as the counted windows need, and minimisers are spread over them by a
+hash, so buckets are even at every size of the corpus. Only a single minimiser can be too frequent
+for a bucket. Its windows are dealt by a second one of seven words, and travel packed all the same. What
+is still too frequent then (one passage in very many documents) is reduced to the first
 document per window before the shuffle and joined with that, which Spark can split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.llm.tables import read_table, stored
-from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, row_ranges
+from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, large_text, mixed, row_ranges
 
 WINDOW = 13
 MINIMISER_WORDS = 3
-CELL_BITS = 14
+LONGER_WORDS = 7
 BUCKET_WINDOWS = 2_000_000
-HOT = -1
+# Most minimisers that are dealt by their longer ones; those beyond only make buckets larger.
+MOST_FREQUENT = 1 << 20
+# Counters that a task keeps while it looks for frequent minimisers.
+COUNTERS = 1 << 17
+# Buckets beyond that share partitions, one after the other.
+MOST_PARTITIONS = 100_000
+_SECOND = np.uint64(0xA24BAED4963EE407)
 
 
 def minimisers(texts: Texts, hashes: np.ndarray, window: int, size: int = MINIMISER_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +55,6 @@ def minimisers(texts: Texts, hashes: np.ndarray, window: int, size: int = MINIMI
     return at, low[at]
 
 
-def cell_of(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
 def runs_of(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds (in ``at``) of runs of consecutive windows that share a value."""
     if not len(at):
@@ -59,37 +63,100 @@ def runs_of(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([[0], breaks]), np.concatenate([breaks, [len(at)]])
 
 
-def cell_sizes(rows: DataFrame, window: int) -> np.ndarray:
-    """Windows per cell over all texts."""
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How windows are dealt: the number of buckets, minimisers dealt by longer ones, and longer ones that are too frequent."""
+
+    buckets: int
+    frequent: np.ndarray
+    too_frequent: np.ndarray
+
+    def keys(self, texts: Texts, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words at which windows start, the value that each is dealt by, and whether it does not travel."""
+        at, low = minimisers(texts, hashes, window)
+        key, stays = mixed(low), np.zeros(len(at), bool)
+        often = among(low, self.frequent)
+        if often.any():
+            longer = minimisers(texts, hashes, window, min(LONGER_WORDS, window))[1]
+            key = np.where(often, mixed(longer ^ _SECOND), key)
+            stays = often & among(longer, self.too_frequent)
+        return at, key, stays
+
+
+class FrequentValues:
+    """Counts of the values that come most often, too low by no more than ``lost`` (a mergeable summary)."""
+
+    def __init__(self, counters: int):
+        self.counters, self.lost = counters, 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        new, n = np.unique(values, return_counts=True)
+        self.values, back = np.unique(np.concatenate([self.values, new]), return_inverse=True)
+        self.counts = np.bincount(back, weights=np.concatenate([self.counts, n]), minlength=len(self.values)).astype(np.int64)
+        if len(self.values) > self.counters:
+            cut = int(np.partition(self.counts, -self.counters - 1)[-self.counters - 1])
+            self.lost += cut
+            keep = self.counts > cut
+            self.values, self.counts = self.values[keep], self.counts[keep] - cut
+
+
+def frequent_values(
+    rows: DataFrame, window: int, bucket_windows: int, expected: int, plan: Plan | None = None
+) -> tuple[np.ndarray, int]:
+    """Minimisers of half a bucket of windows or more, and the number of all windows.
+
+    With a ``plan`` longer minimisers of the windows of its frequent ones are counted. Each task
+    reports what might matter: a value that it leaves out is so rare there that all tasks together leave out an
+    eighth of a bucket (by the ``expected`` number of windows).
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        found, total = FrequentValues(COUNTERS), 0
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
-                total += np.bincount(cell_of(minimisers(texts, texts.word_hashes(), window)[1]), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
-
-    sizes = np.zeros(1 << CELL_BITS, np.int64)
-    # A row per cell: bounded by 2 ** CELL_BITS whatever the corpus.
-    for cell, n in rows.select("text").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        sizes[cell] = n
-    return sizes
-
-
-def bucket_plan(sizes: np.ndarray, bucket_windows: int) -> tuple[np.ndarray, int]:
-    """The bucket of each cell (``HOT`` for one that is too large) and their number."""
-    plan = np.full(len(sizes), HOT, np.int32)
-    fits = np.flatnonzero(sizes <= bucket_windows)
-    buckets = max(1, int(-(-sizes[fits].sum() // bucket_windows)))
-    # Largest cells first, dealt there and back, which keeps buckets even.
-    order = fits[np.argsort(-sizes[fits], kind="stable")]
-    turn = np.arange(len(order)) % (2 * buckets)
-    plan[order] = np.minimum(turn, 2 * buckets - 1 - turn)
-    return plan, buckets
-
-
-def packed_super_kmers(rows: DataFrame, plan: np.ndarray, window: int) -> DataFrame:
+                hashes = texts.word_hashes()
+                low = minimisers(texts, hashes, window)[1]
+                total += len(low)
+                if plan is not None:
+                    often = among(low, plan.frequent)
+                    low = minimisers(texts, hashes, window, min(LONGER_WORDS, window))[1][often] if often.any() else low[:0]
+                found.add(low)
+        least = max(1, total * bucket_windows // (8 * max(expected, 1)))
+        keep = found.counts >= least
+        value = np.concatenate([found.values[keep].view(np.int64), [0]])
+        columns = [pa.array(value, mask=np.arange(len(value)) == len(value) - 1), pa.array(np.concatenate([found.counts[keep], [total]]))]
+        yield pa.RecordBatch.from_arrays(columns, ["value", "n"])
+
+    counts = rows.select("text").mapInArrow(counted, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    often = F.col("value").isNull() | (F.col("n") >= max(bucket_windows // 2, 1))
+    # Bounded by MOST_FREQUENT whatever the corpus; the row of null has all windows.
+    listed = counts.where(often).orderBy(F.col("value").isNotNull(), F.col("n").desc(), "value").limit(MOST_FREQUENT + 1).toPandas()
+    windows = int(listed["n"][listed["value"].isna()].sum())
+    values = listed["value"][listed["value"].notna()].astype("int64").to_numpy()
+    return np.sort(values.view(np.uint64)), windows
+
+
+def plan_of(rows: DataFrame, window: int, bucket_windows: int) -> Plan:
+    """Buckets for all windows of ``rows`` (text), and what is too frequent for one."""
+    # Words with the space behind them have some six bytes, windows start at nearly every word.
+    expected = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    none = np.zeros(0, np.uint64)
+    frequent, windows = frequent_values(rows, window, bucket_windows, expected)
+    plan = Plan(max(1, -(-windows // bucket_windows)), frequent, none)
+    if len(frequent):
+        plan = replace(plan, too_frequent=frequent_values(rows, window, bucket_windows, expected, plan)[0])
+    return plan
+
+
+def packed_super_kmers(rows: DataFrame, plan: Plan, window: int) -> DataFrame:
     """Per batch and bucket one row: documents, places and compressed strings of its super-k-mers."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +166,13 @@ def packed_super_kmers(rows: DataFrame, plan: np.ndarray, window: int) -> DataFr
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             held: dict[int, list] = {}
             for part, texts in chunks(batch.column(2)):
-                at, low = minimisers(texts, texts.word_hashes(), window)
-                first, end = runs_of(at, low)
-                bucket = plan[cell_of(low[first])] if len(first) else np.zeros(0, np.int32)
-                order = np.argsort(bucket, kind="stable")
-                order = order[bucket[order] != HOT]
-                if not len(order):
+                at, value, stays = plan.keys(texts, texts.word_hashes(), window)
+                at, value = at[~stays], value[~stays]
+                first, end = runs_of(at, value)
+                if not len(first):
                     continue
+                bucket = (value[first] % np.uint64(plan.buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
                 first, end, bucket = first[order], end[order], bucket[order]
                 owner = texts.text_of[at[first]]
                 data, places = gathered(texts.data, texts.starts[at[first]], texts.ends[at[end - 1] + window - 1])
@@ -116,48 +183,65 @@ def packed_super_kmers(rows: DataFrame, plan: np.ndarray, window: int) -> DataFr
             for number, parts in held.items():
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number], pa.int32()),
+                        pa.array([number], pa.int64()),
                         pa.array([packer.compress(np.hstack([w for w, _ in parts]).tobytes())]),
                         pa.array([packer.compress(np.concatenate([d for _, d in parts]).tobytes())]),
                     ],
                     ["bucket", "places", "packed"],
                 )
 
-    return rows.select("doc_id", "key", "text").mapInArrow(pack, "bucket int, places binary, packed binary")
+    return rows.select("doc_id", "key", "text").mapInArrow(pack, "bucket long, places binary, packed binary")
+
+
+def word_numbers(texts: Texts, at: np.ndarray, window: int) -> np.ndarray:
+    """A row per window: numbers of its words that are equal exactly where words are."""
+    word = (at[:, None] + np.arange(window)).ravel()
+    used, back = np.unique(word, return_inverse=True)
+    data, places = gathered(texts.data, texts.starts[used], texts.ends[used])
+    numbers = large_text(data, places, pa.binary()).dictionary_encode().indices.to_numpy()
+    return numbers[back].reshape(-1, window)
 
 
 def repeated_in_bucket(table: pa.Table, window: int) -> pa.Table:
-    """(doc_id, key, start, n): runs of windows whose words also start in a smaller document."""
+    """(doc_id, key, start, n): runs of windows whose words also start in a smaller document.
+
+    Sorting brings windows of equal hash together; their words are then compared.
+    """
     unpacker = zstandard.ZstdDecompressor()
-    values, docs, kmers, starts, wheres = [], [], [], [], []
-    seen = 0
+    wheres, strings = [], []
     for places, packed in zip(table.column("places"), table.column("packed")):
-        where = np.frombuffer(unpacker.decompress(places.as_py()), np.int64).reshape(4, -1)
-        offsets = np.concatenate([[0], np.cumsum(where[3])])
-        texts = Texts(np.frombuffer(unpacker.decompress(packed.as_py()), np.uint8), offsets)
-        at = texts.windows(window)
-        values.append(RangeHashes(texts.word_hashes()).of(at, at + window))
-        owner = texts.text_of[at]
-        docs.append(where[0][owner])
-        kmers.append(owner + seen)
-        starts.append((where[2][owner] + at - texts.first[owner]).astype(np.int64))
-        wheres.append(where)
-        seen += where.shape[1]
-    value, doc, kmer, start = (np.concatenate(x) for x in (values, docs, kmers, starts))
+        wheres.append(np.frombuffer(unpacker.decompress(places.as_py()), np.int64).reshape(4, -1))
+        strings.append(np.frombuffer(unpacker.decompress(packed.as_py()), np.uint8))
     where = np.hstack(wheres)
-    order = np.lexsort((doc, value))
-    new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
-    smallest = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    again = np.zeros(len(value), bool)
-    again[order] = doc[order] > smallest
-    hit = np.flatnonzero(again)
+    texts = Texts(np.concatenate(strings), np.concatenate([[0], np.cumsum(where[3])]))
+    del strings, wheres
+    at = texts.windows(window)
+    value = RangeHashes(texts.word_hashes()).of(at, at + window)
+    kmer = texts.text_of[at]
+    doc = where[0][kmer]
+    start = where[2][kmer] + at - texts.first[kmer]
+    order = np.argsort(value, kind="stable")
+    alike = value[order][1:] == value[order][:-1]
+    several = order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])]
+    if not len(several):
+        return pa.table({name: np.zeros(0, np.int64) for name in ("doc_id", "key", "start", "n")})
+    words = word_numbers(texts, at[several], window)
+    same = value[several][1:] == value[several][:-1]
+    if (same & (words[1:] != words[:-1]).any(1)).any():  # other words with an equal hash: sort by the words
+        again = np.lexsort(words.T)
+        several, words = several[again], words[again]
+        same = (words[1:] == words[:-1]).all(1)
+    group = np.concatenate([[0], np.cumsum(~same)])
+    smallest = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, doc[several])
+    hit = np.sort(several[doc[several] > smallest[group]])
     first, end = runs_of(start[hit], kmer[hit])
     owner = kmer[hit[first]]
     return pa.table({"doc_id": where[0][owner], "key": where[1][owner], "start": start[hit[first]], "n": end - first})
 
 
-def hot_repeats(rows: DataFrame, plan: np.ndarray, window: int) -> DataFrame:
-    """The same for cells without a bucket, one row per window."""
+def hot_repeats(rows: DataFrame, plan: Plan, window: int) -> DataFrame:
+    """The same for windows that do not travel, one row each."""
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +249,8 @@ def hot_repeats(rows: DataFrame, plan: np.ndarray, window: int) -> DataFrame:
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for part, texts in chunks(batch.column(2)):
                 hashes = texts.word_hashes()
-                at, low = minimisers(texts, hashes, window)
-                at = at[plan[cell_of(low)] == HOT]
+                at, _, stays = plan.keys(texts, hashes, window)
+                at = at[stays]
                 owner = texts.text_of[at]
                 value = RangeHashes(hashes).of(at, at + window).view(np.int64)
                 columns = [value, ids[part][owner], keys[part][owner], at - texts.first[owner]]
@@ -188,19 +272,19 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, bucket_windows:
     """(doc_id, key, start, n): runs of n windows from word ``start`` that occur in a document with a smaller id.
 
     ``key`` is the hash of the text, which tells rows apart that share an id. Rows with a
-    null id or text have no windows. Windows are compared by 64-bit hashes of their words.
+    null id or text have no windows. Words are compared, but for windows that do not travel (by 64-bit hashes).
     """
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"
     )
-    plan, buckets = bucket_plan(cell_sizes(rows, window), bucket_windows)
+    plan = plan_of(rows, window, bucket_windows)
     found = (
         packed_super_kmers(rows, plan, window)
-        .repartition(buckets, "bucket")
+        .repartition(min(plan.buckets, MOST_PARTITIONS), "bucket")
         .groupBy("bucket")
         .applyInArrow(lambda table: repeated_in_bucket(table, window), "doc_id long, key long, start long, n long")
     )
-    if (plan == HOT).any():
+    if len(plan.too_frequent):
         found = found.unionByName(hot_repeats(rows, plan, window))
     return found
 
