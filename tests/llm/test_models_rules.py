@@ -170,3 +170,33 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
 
     texts = ["a a a b", "", "Same line\nSame line!", "b"]
     assert np.allclose(of(texts), np.vstack([of([t]) for t in texts]))
+
+
+def test_counts_of_the_sample_are_those_of_its_texts(spark):
+    """What is learned from comes as bounded counts in the sample's order, with ties of languages and repeated rows."""
+    rows = [(k, f"das ist Text {k} " * (k % 4), "de" if k % 2 else "en", "s") for k in range(40)] + [(50, "é" * 200_000, "fr", "s"), (51, "", "fr", "s")]
+    sample = L.training_sample(documents(spark, [*rows, rows[3]]))
+    counts, langs = L.counted_sample(sample)
+    texts = sample.toPandas()
+    assert langs == texts["lang"].tolist() and len(counts) == len(rows) + 1
+    for (buckets, n), text in zip(counts, texts["text"]):
+        table = Counter(b for _, found in L.subwords([text]) for b in found.tolist())
+        assert dict(zip(buckets.tolist(), n.tolist())) == table
+    assert max(len(b) for b, _ in counts) <= L.BUCKETS
+    one, two = L.train_on_counts(counts, langs), L.train(texts["text"].tolist(), langs)
+    assert (one.table == two.table).all() and one.accept_from == two.accept_from
+    assert L.counted_sample(L.training_sample(documents(spark, []))) == ([], [])
+
+
+def test_a_model_scores_as_plain_python_does():
+    model = L.train(["the cat and the dog"] * 30 + ["der hund und die katze"] * 30, ["en"] * 30 + ["de"] * 30)
+    for text in ("the dog", "die katze!", "x", "hund hund dog"):
+        found = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            for _, buckets in L.subwords([word]):
+                found.update(buckets.tolist())
+        total = sum(found.values())
+        mean = sum((n / total) * model.table[b].astype(float) for b, n in found.items())
+        scores = np.exp((mean + model.bias) / model.temperature)
+        names, score, _ = model.predict([text])
+        assert names[0] == model.languages[int(np.argmax(scores))] and np.isclose(score[0], scores.max() / scores.sum())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,8 +88,10 @@ class LanguageModel:
             vectors = self.table[buckets]
             for k in range(sums.shape[1]):
                 sums[:, k] += np.bincount(rows, weights=vectors[:, k], minlength=len(texts))
-        means = sums / np.maximum(counts, 1)[:, None]
-        return (means if self.head is None else means @ self.head) + self.bias, counts
+        return self.class_scores(sums / np.maximum(counts, 1)[:, None]), counts
+
+    def class_scores(self, means: np.ndarray) -> np.ndarray:
+        return (means if self.head is None else means @ self.head) + self.bias
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, calibrated probability and whether that is too low to be trusted."""
@@ -103,12 +105,36 @@ class LanguageModel:
         return names, score, score < np.maximum(self.accept_from, 1e-12)
 
 
+def _mean(table: np.ndarray, counts: SparseCounts) -> np.ndarray:
+    buckets, n = counts
+    return (n / max(n.sum(), 1)) @ table[buckets].astype(float)
+
+
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
+SparseCounts = tuple[np.ndarray, np.ndarray]  # buckets in order, and how often each comes
+
+
+def counted(text: str) -> SparseCounts:
+    """The subword buckets of a text with their numbers, however long it is at most ``BUCKETS`` of them."""
+    total = np.zeros(BUCKETS, np.int64)
+    for _, buckets in subwords([text]):
+        total += np.bincount(buckets, minlength=BUCKETS)
+    present = np.flatnonzero(total)
+    return present, total[present]
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7, precision: float = 0.99) -> LanguageModel:
+    """:func:`train_on_counts` of texts at hand."""
+    return train_on_counts([counted(t) for t in texts], langs, seed, precision)
+
+
+def train_on_counts(
+    texts: Sequence[SparseCounts], langs: Sequence[str], seed: int = 7, precision: float = 0.99
+) -> LanguageModel:
     """Stochastic gradient descent over single texts; a tenth calibrates and is not learned from.
 
     The temperature minimises the log loss of the calibration texts, and scores below
@@ -126,14 +152,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7, precision: float =
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     head = np.zeros((DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
-    features = {}
-    for k in learned:
-        found = [b for _, b in subwords([texts[k]])]
-        features[k] = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int),) * 2
     steps, total = 0, EPOCHS * len(learned)
     for _ in range(EPOCHS):
         for k in rng.permutation(learned):
-            buckets, count = features[k]
+            buckets, count = texts[k]
             rate = 0.5 * (1 - steps / max(total, 1)) + 0.01
             steps += 1
             if not len(buckets):
@@ -151,7 +173,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, precision: float =
     else:
         model = LanguageModel(languages, embed, head, bias)
     if len(held):
-        logits, _ = model.logits([texts[k] for k in held])
+        logits = model.class_scores(np.array([_mean(model.table, texts[k]) for k in held]))
         truth = target[held]
         doubt = 1 / (len(held) + 2)  # so that few calibration texts, all right, do not give certainty
 
@@ -189,6 +211,25 @@ def training_sample(
     return sample.orderBy("doc_id", "lang", F.xxhash64("text")).limit(max_rows).select("text", "lang")
 
 
+def counted_sample(sample: DataFrame) -> tuple[list[SparseCounts], list[str]]:
+    """Counts and languages of rows (text, lang) in their order.
+
+    Executors count; what reaches the driver grows with the rows and not with the length of their texts.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int32())
+        for batch in batches:
+            for at, end in row_ranges(batch.column(0)):
+                found = [counted(t or "") for t in batch.column(0).slice(at, end - at).to_pylist()]
+                columns = [pa.array([f[k] for f in found], kind) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, end - at), *columns], ["lang", "buckets", "counts"])
+
+    rows = sample.select("text", "lang").mapInArrow(count, "lang string, buckets array<int>, counts array<int>").toPandas()
+    pairs = [(np.asarray(b, np.int64), np.asarray(n, np.int64)) for b, n in zip(rows["buckets"], rows["counts"])]
+    return pairs, rows["lang"].tolist()
+
+
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``rejected`` by the whole text.
 
@@ -218,7 +259,6 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows outside fold 0."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    sample = training_sample(documents.where(fold(F.col("doc_id")) != 0)).toPandas()
-    model = train(sample["text"].tolist(), sample["lang"].tolist())
+    model = train_on_counts(*counted_sample(training_sample(documents.where(fold(F.col("doc_id")) != 0))))
     found = identify(documents.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
