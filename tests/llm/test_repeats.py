@@ -150,3 +150,13 @@ def test_windows_with_equal_hashes_are_told_apart_by_their_words(spark, monkeypa
         gone.setdefault(doc, set()).update(range(start, start + n + 12))
     want = {i: n for i, _, n, _ in expected(rows, 13) if n}
     assert {i: len(g) for i, g in gone.items()} == want and want
+
+
+def test_anchors_spread_over_the_bitmap(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    found = SA.Suffixes(Texts(*utf8(pa.array([prose(rng, 20_000, 5_000)]))), 50, 8)
+    places = np.unique(SA.bit_places(found.value, 16))
+    # Of some 900 anchors, hardly any share a bit, and the lowest half of the places has half of them.
+    assert len(places) > 0.97 * len(np.unique(found.value)) and 0.4 < (places < 1 << 15).mean() < 0.6

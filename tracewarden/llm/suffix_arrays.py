@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from tracewarden.llm.bitmaps import bit_places, bitmap_of, has_bit
 from tracewarden.llm.super_kmers import repeats_oracle, runs_of, without_repeats
 from tracewarden.llm.tables import read_table, stored
-from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, large_text, utf8
+from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, large_text, mixed, utf8
 
 PASSAGE = 50
 ANCHOR_WORDS = 8
-# Positions in the bitmaps that tell which anchors are shared; 8 MB, whatever the corpus.
-FILTER_BITS = 26
+# The bitmap that tells which anchors are shared has 16 positions for each, between these powers of two (8 KB and
+# 32 MB). A fuller one lets lonely anchors through, and loses none.
+FILTER_BITS = (16, 28)
 LARGEST_GROUP = 20_000
 TASK_ROWS = 20_000
 
@@ -53,7 +54,8 @@ class Suffixes:
         chosen = place[windows]
         first, end = runs_of(windows, chosen)
         self.at, self.low, self.high = chosen[first], windows[first], windows[end - 1]
-        self.value = value[self.at].view(np.int64)
+        # Selected hashes are small ones: mixed, they spread over all bits (equal ones stay equal).
+        self.value = mixed(value[self.at]).view(np.int64)
 
     def owner(self) -> np.ndarray:
         return self.texts.text_of[self.at]
@@ -181,7 +183,7 @@ def repeated_passages(
     documents: DataFrame,
     passage: int = PASSAGE,
     anchor: int = ANCHOR_WORDS,
-    bits: int = FILTER_BITS,
+    bits: int | None = None,
     largest_group: int = LARGEST_GROUP,
 ) -> DataFrame:
     """(doc_id, key, start, n): n windows of ``passage`` words from ``start`` that a document with a smaller id has.
@@ -193,6 +195,8 @@ def repeated_passages(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text"
     )
     common = stored(anchors(rows, passage, anchor).where("first < last").select("value", "n"), "anchors")
+    if bits is None:
+        bits = int(np.clip((16 * common.count()).bit_length(), *FILTER_BITS))
     shared = bitmap_of(common, bits)
     hot = bitmap_of(common.where(F.col("n") > largest_group), bits)
     suffixes = shared_suffixes(rows, shared, hot, passage, anchor, bits)
