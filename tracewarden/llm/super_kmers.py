@@ -30,7 +30,7 @@ from tracewarden.llm.words import RangeHashes, Texts, chunks, gathered, large_te
 WINDOW = 13
 MINIMISER_WORDS = 3
 LONGER_WORDS = 7
-BUCKET_WINDOWS = 2_000_000
+BUCKET_WINDOWS = 1_500_000
 # Most minimisers that are dealt by their longer ones; those beyond only make buckets larger.
 MOST_FREQUENT = 1 << 20
 # Counters that a task keeps while it looks for frequent minimisers.
@@ -193,48 +193,56 @@ def packed_super_kmers(rows: DataFrame, plan: Plan, window: int) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(pack, "bucket long, places binary, packed binary")
 
 
-def word_numbers(texts: Texts, at: np.ndarray, window: int) -> np.ndarray:
-    """A row per window: numbers of its words that are equal exactly where words are."""
-    word = (at[:, None] + np.arange(window)).ravel()
-    used, back = np.unique(word, return_inverse=True)
-    data, places = gathered(texts.data, texts.starts[used], texts.ends[used])
-    numbers = large_text(data, places, pa.binary()).dictionary_encode().indices.to_numpy()
-    return numbers[back].reshape(-1, window)
+def opened(table: pa.Table) -> Iterator[tuple[np.ndarray, Texts]]:
+    """Places and texts of the super-k-mers of each packed row, one row at a time."""
+    unpacker = zstandard.ZstdDecompressor()
+    for places, packed in zip(table.column("places"), table.column("packed")):
+        where = np.frombuffer(unpacker.decompress(places.as_py()), np.int64).reshape(4, -1)
+        offsets = np.concatenate([[0], np.cumsum(where[3])])
+        yield where, Texts(np.frombuffer(unpacker.decompress(packed.as_py()), np.uint8), offsets)
 
 
 def repeated_in_bucket(table: pa.Table, window: int) -> pa.Table:
     """(doc_id, key, start, n): runs of windows whose words also start in a smaller document.
 
-    Sorting brings windows of equal hash together; their words are then compared.
+    Sorting hashes shows which windows may repeat; only their words are unpacked again, and compared.
     """
-    unpacker = zstandard.ZstdDecompressor()
-    wheres, strings = [], []
-    for places, packed in zip(table.column("places"), table.column("packed")):
-        wheres.append(np.frombuffer(unpacker.decompress(places.as_py()), np.int64).reshape(4, -1))
-        strings.append(np.frombuffer(unpacker.decompress(packed.as_py()), np.uint8))
-    where = np.hstack(wheres)
-    texts = Texts(np.concatenate(strings), np.concatenate([[0], np.cumsum(where[3])]))
-    del strings, wheres
-    at = texts.windows(window)
-    value = RangeHashes(texts.word_hashes()).of(at, at + window)
-    kmer = texts.text_of[at]
-    doc = where[0][kmer]
-    start = where[2][kmer] + at - texts.first[kmer]
+    values, docs, kmers, starts, wheres, sizes = [], [], [], [], [], []
+    seen = 0
+    for where, texts in opened(table):
+        at = texts.windows(window)
+        owner = texts.text_of[at]
+        values.append(RangeHashes(texts.word_hashes()).of(at, at + window))
+        docs.append(where[0][owner])
+        kmers.append(owner + seen)
+        starts.append((where[2][owner] + at - texts.first[owner]).astype(np.int64))
+        wheres.append(where)
+        sizes.append(len(at))
+        seen += where.shape[1]
+    value, doc, kmer, start = (np.concatenate(x) for x in (values, docs, kmers, starts))
+    del values, docs, kmers, starts
     order = np.argsort(value, kind="stable")
     alike = value[order][1:] == value[order][:-1]
-    several = order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])]
-    if not len(several):
+    again = np.sort(order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])])
+    del value, order, alike
+    if not len(again):
         return pa.table({name: np.zeros(0, np.int64) for name in ("doc_id", "key", "start", "n")})
-    words = word_numbers(texts, at[several], window)
-    same = value[several][1:] == value[several][:-1]
-    if (same & (words[1:] != words[:-1]).any(1)).any():  # other words with an equal hash: sort by the words
-        again = np.lexsort(words.T)
-        several, words = several[again], words[again]
-        same = (words[1:] == words[:-1]).all(1)
-    group = np.concatenate([[0], np.cumsum(~same)])
-    smallest = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, doc[several])
-    hit = np.sort(several[doc[several] > smallest[group]])
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    bounds = np.searchsorted(again, before)
+    words = []
+    for number, (_, texts) in enumerate(opened(table)):
+        mine = again[bounds[number] : bounds[number + 1]] - before[number]
+        if len(mine):
+            texts = texts.single_spaced()
+            at = texts.windows(window)[mine]
+            words.append(large_text(*gathered(texts.data, texts.starts[at], texts.ends[at + window - 1]), pa.large_binary()))
+    # Equal numbers for equal words.
+    group = np.concatenate([c.indices.to_numpy() for c in pa.chunked_array(words).dictionary_encode().chunks])
+    del words
+    smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(smallest, group, doc[again])
+    hit = again[doc[again] > smallest[group]]
+    where = np.hstack(wheres)
     first, end = runs_of(start[hit], kmer[hit])
     owner = kmer[hit[first]]
     return pa.table({"doc_id": where[0][owner], "key": where[1][owner], "start": start[hit[first]], "n": end - first})
