@@ -141,10 +141,10 @@ def test_pattern_table_equals_a_test_of_every_pair(spark):
     assert found == expected and len(expected) > 500
 
 
-def test_many_short_patterns_are_refused(spark):
-    table = spark.createDataFrame([("abc",)], "name string")
-    short = spark.range(pattern_table.MOST_SHORT_PATTERNS + 1).selectExpr("concat('%', lpad(id % 90, 2, 'x'), '%') AS pattern")
-    with pytest.raises(ValueError, match="literal characters"):
-        pattern_table.matched_patterns(table, "name", short)
+def test_short_patterns_and_none(spark):
+    table = spark.createDataFrame([("abc",), ("",), ("B",)], "name string")
+    short = spark.createDataFrame([(p,) for p in ("%", "_", "%b%", "ab%", "%__", "", "c", "___")], "pattern string")
+    found = {(r.name, r.pattern) for r in pattern_table.matched_patterns(table, "name", short).collect()}
+    assert found == {("abc", "%"), ("", "%"), ("B", "%"), ("B", "_"), ("abc", "%b%"), ("B", "%b%"), ("abc", "ab%"), ("abc", "%__"), ("", ""), ("abc", "___")}
     empty = spark.createDataFrame([], "pattern string")
     assert pattern_table.matched_patterns(table, "name", empty).collect() == []

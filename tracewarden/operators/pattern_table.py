@@ -1,9 +1,8 @@
 """Matching a text column against a table of LIKE patterns, without a test per row and pattern.
 
-Different texts are matched once each. A text meets the patterns with which it shares three
+Different texts are matched once each. A text meets the patterns with which it shares up to three
 letters: those that begin the longest literal stretch of a pattern, which every match must
-contain. Only these pairs are tested. Patterns without three literal letters in a row are tested
-against every different text; they are broadcast once their number is known to be small.
+contain. Only these pairs are tested. Patterns of wildcards alone meet every different text.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-MOST_SHORT_PATTERNS = 1_000
 
 
 def _longest_literal(pattern: Column) -> Column:
@@ -22,8 +20,13 @@ def _longest_literal(pattern: Column) -> Column:
 
 
 def _grams(text: Column) -> Column:
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda k: F.substring(text, k, GRAM)))
+    """All different runs of up to ``GRAM`` characters, the empty one too."""
+
+    def runs(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1)))
+        return F.transform(places, lambda k: F.substring(text, k, size))
+
+    return F.array_distinct(F.flatten(F.array(F.array(F.lit("")), *[runs(n) for n in range(1, GRAM + 1)])))
 
 
 def matched_patterns(texts: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
@@ -33,14 +36,7 @@ def matched_patterns(texts: DataFrame, column: str, patterns: DataFrame, pattern
     patterns match nothing. Join the result to what has the texts.
     """
     values = texts.where(F.col(column).isNotNull()).select(column).distinct()
-    known = patterns.where(F.col(pattern).isNotNull()).withColumn("_literal", _longest_literal(F.col(pattern)))
-    long = known.where(F.length("_literal") >= GRAM).withColumn("_gram", F.substring("_literal", 1, GRAM)).drop("_literal")
-    short = known.where(F.length("_literal") < GRAM).drop("_literal")
-    like = F.expr(f"`{column}` ILIKE `{pattern}`")
-    by_gram = values.withColumn("_gram", F.explode(_grams(F.lower(column)))).join(long, "_gram").where(like).drop("_gram")
-    few = short.limit(MOST_SHORT_PATTERNS + 1).count()
-    if few > MOST_SHORT_PATTERNS:
-        raise ValueError(f"more than {MOST_SHORT_PATTERNS} patterns without {GRAM} literal characters in a row")
-    if few:
-        by_gram = by_gram.unionByName(values.join(F.broadcast(short), like))
-    return by_gram
+    gram = F.substring(_longest_literal(F.col(pattern)), 1, GRAM)
+    known = patterns.where(F.col(pattern).isNotNull()).withColumn("_gram", gram)
+    met = values.withColumn("_gram", F.explode(_grams(F.lower(column)))).join(known, "_gram")
+    return met.where(F.expr(f"`{column}` ILIKE `{pattern}`")).drop("_gram")
