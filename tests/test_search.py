@@ -73,9 +73,9 @@ def test_query_without_terms(corpus):
 def test_index_gives_the_same_ranking(spark, corpus):
     path = new_folder(spark, "index")
     # Two batches, the second of which is written twice; its number of buckets is not asked for again.
-    SX.index_documents(corpus.where("parity = 'odd'"), "body", path, 0, buckets=4)
+    SX.index_documents(corpus.where("parity = 'odd'"), "body", path, buckets=4)
     for _ in range(2):
-        SX.index_documents(corpus.where("parity = 'even'"), "body", path, 1)
+        SX.index_documents(corpus.where("parity = 'even'"), "body", path)
     for query in ("data access security", "denied", "unknown access", "nowhere"):
         assert found(SX.search_index(spark, path, query, [], limit=10)) == brute_force(query)
     even = SX.search_index(spark, path, "data access", ["parity"], {"parity": "even"}, 10)
@@ -86,39 +86,58 @@ def test_index_follows_redelivered_changed_and_withdrawn_documents(spark, corpus
     path = new_folder(spark, "index")
     early = corpus.selectExpr("doc_id", "if(doc_id IN ('d1', 'd3'), 'access denied, denied', body) AS body", "parity")
     gone = spark.createDataFrame([("d9", "data data denied", "odd")], corpus.schema)
-    SX.index_documents(early.union(gone), "body", path, 0, buckets=4)
+    SX.index_documents(early.union(gone), "body", path, buckets=4)
     changed = corpus.where("doc_id IN ('d1', 'd3', 'd4')")
-    SX.index_documents(changed.union(changed), "body", path, 1, withdrawn=gone)
-    SX.index_documents(corpus.where("doc_id = 'd1'"), "body", path, 2)
-    for _ in range(2):
-        for query in ("data access security", "denied"):
-            assert found(SX.search_index(spark, path, query, [], limit=10)) == brute_force(query)
-        SX.compact_index(spark, path)
-    assert SX.Index(spark, path).generation == 2 and len(SX.Index(spark, path).commits()) == 1
+    SX.index_documents(changed.union(changed), "body", path, withdrawn=gone)
+    SX.index_documents(corpus.where("doc_id = 'd1'"), "body", path)
+    for query in ("data access security", "denied"):
+        assert found(SX.search_index(spark, path, query, [], limit=10)) == brute_force(query)
 
 
-def test_a_batch_without_its_commit_is_not_seen(spark, corpus, monkeypatch):
+def test_a_change_that_breaks_off_is_not_seen(spark, corpus, monkeypatch):
     path = new_folder(spark, "index")
-    SX.index_documents(corpus, "body", path, 0)
-    write = SX.Index.write
+    SX.index_documents(corpus, "body", path)
+    other = corpus.selectExpr("concat(doc_id, 'x') AS doc_id", "body", "parity")
 
-    def stopped(self, rows, name, *partitions):
-        if name == "commits":
-            raise RuntimeError("lost")
-        write(self, rows, name, *partitions)
+    def lost(*args):
+        raise RuntimeError("lost")
 
-    monkeypatch.setattr(SX.Index, "write", stopped)
+    monkeypatch.setattr(SX, "_switch", lost)
     with pytest.raises(RuntimeError):
-        SX.index_documents(corpus.selectExpr("concat(doc_id, 'x') AS doc_id", "body", "parity"), "body", path, 1)
+        SX.index_documents(other, "body", path)
     assert found(SX.search_index(spark, path, "data access", [], limit=10)) == brute_force("data access")
+    monkeypatch.undo()
+    SX.index_documents(other, "body", path)
+    assert SX.current(spark, path)["documents"] == 2 * len(DOCUMENTS)
+
+
+def test_a_search_under_way_keeps_its_folder(spark, corpus):
+    path = new_folder(spark, "index")
+    SX.index_documents(corpus, "body", path)
+    first = SX.current(spark, path)
+    rows = SX.search_index(spark, path, "data access", [], limit=10)
+    SX.index_documents(corpus.limit(1), "body", path)
+    assert found(rows) == brute_force("data access")
+    SX.index_documents(corpus.limit(1), "body", path)
+    file, system = SX._file(spark, first["folder"])
+    assert not system.exists(file)
+
+
+def test_empty_index(spark, corpus):
+    path = new_folder(spark, "index")
+    for _ in range(2):
+        SX.index_documents(corpus.limit(0), "body", path)
+        assert found(SX.search_index(spark, path, "data", [])) == []
+    SX.index_documents(corpus, "body", path)
+    assert found(SX.search_index(spark, path, "data", [])) == brute_force("data")
 
 
 def test_index_reads_only_the_buckets_it_needs(spark, corpus):
     path = new_folder(spark, "index")
     SX.index_documents(corpus, "body", path, buckets=64)
-    index = SX.Index(spark, path)
-    assert index.term_buckets == 64
-    plan = SX.postings_of(index, ["denied"], index.commits())._jdf.queryExecution().toString()
+    now = SX.current(spark, path)
+    assert now["term_buckets"] == 64
+    plan = SX.postings_of(spark, now, ["denied"])._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*term_bucket", plan)
     plan = SX.search_index(spark, path, "denied", [])._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*doc_bucket", plan)

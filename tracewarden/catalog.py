@@ -473,10 +473,9 @@ def _search_changed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     others = [c for c in corpus.columns if c != "note_text"]
     first = corpus.select("doc_id", stale, *[c for c in others if c != "doc_id"])
     withdrawn = first.limit(1).select(F.lit("GONE").alias("doc_id"), *[c for c in first.columns if c != "doc_id"])
-    SX.index_documents(first.union(withdrawn), "note_text", folder, 0, buckets=16)
+    SX.index_documents(first.union(withdrawn), "note_text", folder, buckets=16)
     again = corpus.where(third).select(*first.columns)
-    SX.index_documents(again.union(again), "note_text", folder, 1, withdrawn=withdrawn)
-    SX.compact_index(spark, folder)
+    SX.index_documents(again.union(again), "note_text", folder, withdrawn=withdrawn)
     return SX.search_index(spark, folder, NOTES_QUERY, ["auditor_name", "severity"], limit=10)
 
 

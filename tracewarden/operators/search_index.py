@@ -1,16 +1,19 @@
-"""A stored search index that grows by batches and follows its corpus.
-
-Layout, below ``path``: ``generations`` names the current generation with its settings; each
-generation has ``documents`` (the corpus and its words), ``postings`` by term,
-``dead`` (versions of documents that a later batch replaced or withdrew) and
-``commits`` (one row per finished batch with what it changed in the statistics). A batch
-counts once its commit is there, and a search reads committed batches only, so it never sees
-half of one. One writer at a time.
+"""A stored search index: documents and postings as Parquet by bucket.
+
+Each change writes both tables into a new folder below ``path`` and then replaces the one
+row of ``current``, which names the folder and holds the statistics. A search reads that row
+once, so it sees a change whole or not at all, and a change that breaks off leaves nothing
+behind that counts. The folder before the current one stays for searches that still read
+it; older ones go. One writer at a time.
+
+A change rewrites the index and cuts only new texts into words; let a batch gather what an
+hour or a day brings.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,156 +32,123 @@ from tracewarden.operators.search import (
 )
 
 DOCUMENT_BUCKETS = 64
-GENERATIONS = "generation bigint, term_buckets int, schema string"
-COMMITS = "documents bigint, tokens bigint, dead bigint, batch bigint"
-DEAD = "doc_id string, dead_batch bigint, doc_length bigint, batch bigint"
-POSTINGS = "doc_id string, doc_length bigint, term string, frequency bigint, batch bigint, term_bucket bigint"
+CURRENT = "folder string, before string, term_buckets int, documents bigint, words bigint, schema string"
+POSTINGS = "doc_id string, doc_length bigint, term string, frequency bigint, term_bucket bigint"
 
 
 def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(buckets))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file(spark: SparkSession, path: str):
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
-
-
-class Index:
-    """The current generation of the index at ``path``."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        rows = spark.read.schema(GENERATIONS).parquet(f"{path}/generations")
-        newest = rows.orderBy(F.col("generation").desc()).first()
-        self.generation, self.term_buckets = newest["generation"], newest["term_buckets"]
-        self.corpus_schema = T.StructType.fromJson(json.loads(newest["schema"]))
-
-    def table(self, name: str, schema: str | T.StructType) -> DataFrame:
-        folder = f"{self.path}/generation-{self.generation}/{name}"
-        if not _exists(self.spark, folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder)
-
-    def documents(self) -> DataFrame:
-        added = T.StructType().add("_words", T.ArrayType(T.StringType()))
-        for name in ("doc_length", "batch", "doc_bucket"):
-            added = added.add(name, T.LongType())
-        return self.table("documents", T.StructType(self.corpus_schema.fields + added.fields))
-
-    def commits(self) -> list:
-        """A row per batch since the last compaction."""
-        return self.table("commits", COMMITS).collect()
-
-    def live(self, rows: DataFrame, commits: list) -> DataFrame:
-        """``rows`` (doc_id, batch) of committed batches without replaced or withdrawn versions."""
-        batches = [c["batch"] for c in commits]
-        rows = rows.where(F.col("batch").isin(batches))
-        if not any(c["dead"] for c in commits):
-            return rows
-        dead = self.table("dead", DEAD).where(F.col("batch").isin(batches)).select("doc_id", F.col("dead_batch").alias("batch"))
-        return rows.join(dead, ["doc_id", "batch"], "left_anti")
-
-    def write(self, rows: DataFrame, name: str, *partitions: str) -> None:
-        writer = rows.write.mode("overwrite").partitionBy("batch", *partitions)
-        writer.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/generation-{self.generation}/{name}")
-
-    def add(self, corpus: DataFrame, batch: int, withdrawn: DataFrame | None = None) -> None:
-        """Writes a batch; ``corpus`` has the words of each document, each id once."""
-        number = F.lit(batch).cast("bigint").alias("batch")
-        rows = corpus.withColumn("doc_bucket", _bucket(F.col("doc_id"), DOCUMENT_BUCKETS)).withColumn("batch", number)
-        self.write(rows.hint("rebalance", "doc_bucket"), "documents", "doc_bucket")
-        mine = self.documents().where(F.col("batch") == batch)
-        postings = (
-            mine.select("doc_id", "doc_length", F.explode("_words").alias("term"))
-            .groupBy("doc_id", "doc_length", "term")
-            .agg(F.count(F.lit(1)).alias("frequency"))
-            .select("*", number, _bucket(F.col("term"), self.term_buckets).alias("term_bucket"))
-        )
-        # Rebalancing splits the bucket of a term that a third of the documents have.
-        self.write(postings.hint("rebalance", "term_bucket"), "postings", "term_bucket")
-        before = [c for c in self.commits() if c["batch"] < batch]
-        gone = mine.select("doc_id")
-        if withdrawn is not None:
-            gone = gone.union(withdrawn.select(F.col("doc_id").cast("string")))
-        earlier = self.live(self.documents().select("doc_id", "batch", "doc_length"), before)
-        dead = earlier.join(gone, "doc_id", "left_semi").select("doc_id", F.col("batch").alias("dead_batch"), "doc_length", number)
-        self.write(dead, "dead")
-        dead = self.table("dead", DEAD).where(F.col("batch") == batch)
-        sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_length"), F.lit(0)).alias("tokens")]
-        new, old = mine.agg(*sums).first(), dead.agg(*sums).first()
-        commit = [(new["n"] - old["n"], new["tokens"] - old["tokens"], old["n"], batch)]
-        self.write(self.spark.createDataFrame(commit, COMMITS), "commits")
-
-
-def _start(spark: SparkSession, path: str, generation: int, term_buckets: int, schema: T.StructType) -> Index:
-    row = spark.createDataFrame([(generation, term_buckets, schema.json())], GENERATIONS)
-    row.write.mode("append").parquet(f"{path}/generations")
-    return Index(spark, path)
-
-
-def index_documents(
-    corpus: DataFrame, text_column: str, path: str, batch: int = 0, buckets: int = TERM_BUCKETS, withdrawn: DataFrame | None = None
-) -> None:
-    """Add a batch of documents (string ``doc_id``) to the index, which is begun if it is not there.
-
-    A document of an earlier batch is replaced, and those of ``withdrawn`` are taken out. Of
-    rows that repeat an id within the batch one stays, the one with the largest text hash. A
-    repeated batch replaces itself. ``buckets`` counts for a new index only; it is stored.
-    Texts are cut into words once.
-    """
-    spark = corpus.sparkSession
-    fields = [f for f in corpus.schema.fields if f.name != "doc_id"]
-    if not _exists(spark, f"{path}/generations"):
-        _start(spark, path, 0, buckets, T.StructType([T.StructField("doc_id", T.StringType()), *fields]))
-    names = [f.name for f in fields]
-    one = (
-        corpus.groupBy(F.col("doc_id").cast("string").alias("doc_id"))
-        .agg(F.max_by(F.struct(*names), F.xxhash64(text_column)).alias("_row"))
-        .select("doc_id", "_row.*")
-    )
-    words = one.select("*", F.coalesce(tokens(F.col(text_column)), F.array()).alias("_words"))
-    rows = words.withColumn("doc_length", F.array_size("_words").cast("bigint"))
-    Index(spark, path).add(rows, batch, withdrawn)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def compact_index(spark: SparkSession, path: str) -> None:
-    """Rewrite the live documents as one batch of a new generation, and switch to it.
+def current(spark: SparkSession, path: str) -> T.Row | None:
+    """The row that names the index's folder, if there is an index at ``path``."""
+    file, system = _file(spark, f"{path}/current")
+    return spark.read.schema(CURRENT).json(f"{path}/current").first() if system.exists(file) else None
 
-    Searches use the old generation until the last step, which adds the new one's row.
-    """
-    old = Index(spark, path)
-    live = old.live(old.documents(), old.commits()).drop("batch", "doc_bucket")
-    new = Index(spark, path)
-    new.generation = old.generation + 1
-    new.add(live, 0)
-    _start(spark, path, new.generation, old.term_buckets, old.corpus_schema)
 
+def _switch(spark: SparkSession, path: str, row: dict) -> None:
+    """Replaces the row in one step: written beside it, then renamed over it."""
+    new, system = _file(spark, f"{path}/next-{uuid.uuid4().hex}")
+    out = system.create(new, True)
+    out.write(json.dumps(row).encode())
+    out.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    over[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(new, _file(spark, f"{path}/current")[0], over)
 
-def postings_of(index: Index, terms: Sequence[str], commits: list) -> DataFrame:
-    """Live postings of the terms, from the buckets that can hold them."""
+
+def documents_of(spark: SparkSession, now: T.Row) -> DataFrame:
+    """The corpus of an index, each id once, with ``doc_bucket``."""
+    schema = T.StructType.fromJson(json.loads(now["schema"])).add("doc_bucket", T.LongType())
+    return spark.read.schema(schema).parquet(f"{now['folder']}/documents")
+
+
+def postings_of(spark: SparkSession, now: T.Row, terms: Sequence[str] | None = None) -> DataFrame:
+    """All postings, or those of the terms, from the buckets that can hold them."""
+    rows = spark.read.schema(POSTINGS).parquet(f"{now['folder']}/postings")
+    if terms is None:
+        return rows
     in_buckets = F.lit(False)
     for term in terms:
-        in_buckets = in_buckets | (F.col("term_bucket") == _bucket(F.lit(term), index.term_buckets))
-    rows = index.table("postings", POSTINGS).where(in_buckets & F.col("term").isin(list(terms)))
-    return index.live(rows, commits)
+        in_buckets = in_buckets | (F.col("term_bucket") == _bucket(F.lit(term), now["term_buckets"]))
+    return rows.where(in_buckets & F.col("term").isin(list(terms)))
 
 
-def found_documents(index: Index, best: list, columns: Sequence[str]) -> DataFrame:
-    """Attributes of the few best documents, read from their buckets only."""
-    spark = index.spark
-    scores = spark.createDataFrame(
-        [(r["doc_id"], r["batch"], r["score"]) for r in best], "_doc_id string, _batch bigint, score double"
+def _write(rows: DataFrame, path: str, bucket: str, *order: str) -> None:
+    """By bucket, each file in order, so that a search for few values skips row groups.
+
+    Rebalancing splits the bucket of a term that a third of the documents have.
+    """
+    rows.hint("rebalance", bucket).sortWithinPartitions(bucket, *order).write.partitionBy(bucket).parquet(path)
+
+
+def index_documents(corpus: DataFrame, text_column: str, path: str, buckets: int = TERM_BUCKETS, withdrawn: DataFrame | None = None) -> None:
+    """Put documents (string ``doc_id``) into the index, which is begun if it is not there.
+
+    They replace documents with the same id, and those of ``withdrawn`` are taken out. Of
+    rows that repeat an id one stays, the one with the largest text hash. Doing a batch again
+    changes nothing. ``buckets`` counts for a new index only; it is stored.
+    """
+    spark = corpus.sparkSession
+    now = current(spark, path)
+    term_buckets = now["term_buckets"] if now else buckets
+    fields = [f for f in corpus.schema.fields if f.name != "doc_id"]
+    if now:  # Later batches take the columns of the index.
+        fields = T.StructType.fromJson(json.loads(now["schema"])).fields[1:]
+    names = [f.name for f in fields]
+    folder = f"{path}/{uuid.uuid4().hex}"
+    one = (
+        corpus.groupBy(F.col("doc_id").cast("string").alias("doc_id"))
+        .agg(F.max_by(F.struct(*names), F.xxhash64(text_column)).alias("_row"))
+        .select("doc_id", "_row.*")
+        .withColumn("doc_bucket", _bucket(F.col("doc_id"), DOCUMENT_BUCKETS))
     )
-    buckets = scores.select(_bucket(F.col("_doc_id"), DOCUMENT_BUCKETS).alias("b")).distinct().collect()
-    rows = index.documents().where(
-        F.col("batch").isin([r["batch"] for r in best])
-        & F.col("doc_bucket").isin([r["b"] for r in buckets])
-        & F.col("doc_id").isin([r["doc_id"] for r in best])
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), *fields])
+    row = {"folder": folder, "before": now["folder"] if now else None, "term_buckets": term_buckets, "schema": schema.json()}
+    written = T.Row(**row)
+    if now:
+        one.write.parquet(f"{folder}/batch")
+        batch = spark.read.schema(one.schema).parquet(f"{folder}/batch")
+        gone = batch.select("doc_id")
+        if withdrawn is not None:
+            gone = gone.union(withdrawn.select(F.col("doc_id").cast("string")))
+        _write(documents_of(spark, now).join(gone, "doc_id", "left_anti").unionByName(batch), f"{folder}/documents", "doc_bucket", "doc_id")
+    else:
+        _write(one, f"{folder}/documents", "doc_bucket", "doc_id")
+        batch = documents_of(spark, written)
+    words = batch.select("doc_id", F.coalesce(tokens(F.col(text_column)), F.array()).alias("_words"))
+    postings = (
+        words.select("doc_id", F.array_size("_words").cast("bigint").alias("doc_length"), F.explode("_words").alias("term"))
+        .groupBy("doc_id", "doc_length", "term")
+        .agg(F.count(F.lit(1)).alias("frequency"))
+        .withColumn("term_bucket", _bucket(F.col("term"), term_buckets))
+    )
+    if now:
+        postings = postings.unionByName(postings_of(spark, now).join(gone, "doc_id", "left_anti"))
+    _write(postings, f"{folder}/postings", "term_bucket", "term", "doc_id")
+    row["documents"] = documents_of(spark, written).count()
+    row["words"] = postings_of(spark, written).agg(F.coalesce(F.sum("frequency"), F.lit(0))).first()[0]
+    _switch(spark, path, row)
+    for old in [f"{folder}/batch", now["before"] if now else None]:
+        if old:
+            file, system = _file(spark, old)
+            system.delete(file, True)
+
+
+def found_documents(spark: SparkSession, now: T.Row, best: list, columns: Sequence[str]) -> DataFrame:
+    """Attributes of the few best documents, read from their buckets only."""
+    scores = spark.createDataFrame([(r["doc_id"], r["score"]) for r in best], "doc_id string, score double")
+    rows = documents_of(spark, now).where(
+        F.col("doc_bucket").isin(sorted({r["doc_bucket"] for r in best})) & F.col("doc_id").isin([r["doc_id"] for r in best])
     )
     # The ``limit`` best rows are broadcast.
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("batch") == F.col("_batch"))
-    return rows.join(F.broadcast(scores), same).select("doc_id", *columns, "score")
+    return rows.join(F.broadcast(scores), "doc_id").select("doc_id", *columns, "score")
 
 
 def search_index(
@@ -197,26 +167,22 @@ def search_index(
     terms = query_terms(query)
     if not terms:
         raise ValueError("the query has no searchable term")
-    index = Index(spark, path)
-    commits = index.commits()
-    documents, words = sum(c["documents"] for c in commits), sum(c["tokens"] for c in commits)
-    postings = postings_of(index, terms, commits)
+    now = current(spark, path)
+    if now is None:
+        raise ValueError(f"no index at {path}")
+    postings = postings_of(spark, now, terms)
     # One row per query term, a handful, whatever the size of the corpus.
     containing = postings.groupBy("term").agg(F.count(F.lit(1)).alias("containing"))
     score = term_score(
-        inverse_document_frequency(F.lit(documents), F.col("containing")),
+        inverse_document_frequency(F.lit(now["documents"]), F.col("containing")),
         F.col("frequency"),
         F.col("doc_length"),
-        F.lit(words / documents if documents else 1.0),
-    )
-    scores = (
-        postings.join(F.broadcast(containing), "term")
-        .groupBy("doc_id", "batch")
-        .agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
+        F.lit(now["words"] / now["documents"] if now["documents"] else 1.0),
     )
+    scores = postings.join(F.broadcast(containing), "term").groupBy("doc_id").agg(F.round(F.sum(score), SCORE_DIGITS).alias("score"))
     if filter:
-        allowed = index.documents().where(F.col("batch").isin([c["batch"] for c in commits]) & matching(filter))
-        scores = scores.join(allowed.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi")
+        scores = scores.join(documents_of(spark, now).where(matching(filter)).select("doc_id"), "doc_id", "left_semi")
     ranking = [F.col("score").desc(), ascending("doc_id")]
-    best = scores.orderBy(*ranking).limit(limit).collect()
-    return found_documents(index, best, columns).orderBy(*ranking)
+    ranked = scores.withColumn("doc_bucket", _bucket(F.col("doc_id"), DOCUMENT_BUCKETS))
+    best = ranked.orderBy(*ranking).limit(limit).collect()
+    return found_documents(spark, now, best, columns).orderBy(*ranking)

@@ -117,10 +117,10 @@ def refresh_index(
 ) -> StreamingQuery:
     """Add new and changed documents to a stored search index, a batch of it per micro-batch.
 
-    A document that comes again replaces its earlier version. Run ``compact_index`` now and then.
+    A document that comes again replaces its earlier version; a batch that is done again changes nothing.
     """
 
     def add(documents: DataFrame, batch_id: int) -> None:
-        index_documents(documents, text_column, path, batch_id, buckets)
+        index_documents(documents, text_column, path, buckets)
 
     return scheduled(corpus_stream.writeStream.foreachBatch(add), checkpoint, interval).start()
