@@ -42,6 +42,20 @@ def test_note_defaults_and_given_values(spark, as_of):
     assert (rows["second"].note_id, rows["second"].severity, rows["second"].created_date) == ("N2", "CRITICAL", at)
 
 
+def test_generated_ids_survive_retries_and_tell_equal_notes_apart(spark, as_of):
+    rows = [(f"text {k % 5}", None) for k in range(40)] + [("given", "N1"), (None, None)]
+    given = spark.createDataFrame(rows, "note_text string, note_id string")
+    first, again = (sorted(add_audit_notes(given.repartition(n), as_of).collect(), key=str) for n in (1, 7))
+    assert first == again and len(first) == len(rows)
+    assert len({r.note_id for r in first}) == len(rows) and "N1" in {r.note_id for r in first}
+    assert {r.note_text: 0 for r in first} == {r[0]: 0 for r in rows}
+    later = add_audit_notes(given, datetime(2024, 2, 1)).collect()
+    assert {r.note_id for r in later} & {r.note_id for r in first} == {"N1"}
+    without = add_audit_notes(given.select("note_text"), as_of)
+    assert without.columns == schemas.NOTES.names and without.select("note_id").distinct().count() == len(rows)
+    assert add_audit_notes(given.limit(0), as_of).collect() == []
+
+
 def test_checks(spark, as_of):
     policies = spark.createDataFrame(
         [("P1", "n"), ("P1", "n"), ("P2", None), ("P3", "n")], "policy_id string, policy_name string"

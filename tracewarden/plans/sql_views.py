@@ -116,26 +116,31 @@ SEARCHES = (
 def search_function(corpus: str, text_column: str, attributes: tuple[str, ...]) -> str:
     """A table function ``search_<corpus>(query)``: all documents that score, best first.
 
-    It ranks like ``search`` by a scan. Filters go into the WHERE and a number of rows into the
-    LIMIT of the query around it; neither changes a score.
+    It ranks like ``search`` by a scan: one aggregate of a row per term for the statistics, then
+    the documents that hold a term as plain text are cut into words and scored where they are, joined
+    with the one row of statistics. Filters
+    go into the WHERE and a number of rows into the LIMIT of the query around it; neither changes a score.
     """
     pattern = TOKEN_PATTERN.replace("\\", "\\\\")
+    asked = f"array_distinct(regexp_extract_all(lower(p_query), '{pattern}', 0))"
+    said = f"regexp_extract_all(lower({text_column}), '{pattern}', 0)"
     names = ", ".join(attributes)
     columns = ", ".join(f"{name} STRING" for name in attributes)
     return f"""
     CREATE OR REPLACE TEMPORARY FUNCTION search_{corpus}(p_query STRING)
     RETURNS TABLE (doc_id STRING, {columns}, {text_column} STRING, score DOUBLE)
-    RETURN WITH words AS (
-        SELECT doc_id, {names}, {text_column}, regexp_extract_all(lower({text_column}), '{pattern}', 0) AS said FROM {corpus}),
-      hits AS (SELECT doc_id, size(said) AS length, inline(transform(
-                 array_distinct(regexp_extract_all(lower(p_query), '{pattern}', 0)),
-                 t -> named_struct('term', t, 'frequency', size(filter(said, w -> w = t))))) FROM words),
-      counted AS (SELECT term, count(*) AS containing, (SELECT count(*) FROM {corpus}) AS documents,
-                    (SELECT avg(size(regexp_extract_all(lower({text_column}), '{pattern}', 0))) FROM {corpus}) AS mean_length
-                  FROM hits WHERE frequency > 0 GROUP BY term),
-      scores AS (SELECT doc_id, round(sum(ln(1 + (documents - containing + 0.5D) / (containing + 0.5D)) * frequency * {K1 + 1}D
-                   / (frequency + {K1}D * ({1 - B}D + {B}D * length / mean_length))), {SCORE_DIGITS}) AS score
-                 FROM hits JOIN counted USING (term) WHERE frequency > 0 GROUP BY doc_id)
-      SELECT doc_id, {names}, {text_column}, score FROM scores JOIN words USING (doc_id)
-      ORDER BY score DESC, doc_id
+    RETURN WITH found AS (SELECT size(said) AS length, explode(concat(array(''), array_intersect({asked}, said))) AS term
+                          FROM (SELECT {said} AS said FROM {corpus})),
+      counted AS (SELECT term, count(*) AS n, avg(length) AS mean_length FROM found GROUP BY term),
+      known AS (SELECT map_from_entries(collect_list(struct(term, n))) AS containing, max(mean_length) FILTER (WHERE term = '') AS mean_length
+                FROM counted),
+      words AS (SELECT doc_id, {names}, {text_column}, {said} AS said FROM {corpus}
+                WHERE exists({asked}, t -> contains(lower({text_column}), t))),
+      hits AS (SELECT doc_id, {names}, {text_column}, size(said) AS length,
+                 filter(transform({asked}, t -> named_struct('term', t, 'frequency', size(filter(said, w -> w = t)))), h -> h.frequency > 0) AS hits
+               FROM words)
+      SELECT doc_id, {names}, {text_column}, round(aggregate(hits, 0D, (total, h) -> total
+               + ln(1 + (containing[''] - containing[h.term] + 0.5D) / (containing[h.term] + 0.5D)) * h.frequency * {K1 + 1}D
+               / (h.frequency + {K1}D * ({1 - B}D + {B}D * length / mean_length))), {SCORE_DIGITS}) AS score
+      FROM hits JOIN known WHERE size(hits) > 0 ORDER BY score DESC, doc_id
     """

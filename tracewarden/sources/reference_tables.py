@@ -32,13 +32,28 @@ def add_policies(policies: DataFrame, as_of: datetime) -> DataFrame:
 def add_audit_notes(notes: DataFrame, as_of: datetime) -> DataFrame:
     """New notes in the table's shape: generated id, severity INFO, dated ``as_of``.
 
-    Store the result before using it twice: ids are drawn anew in each plan.
+    A generated id follows from the note, ``as_of`` and, for notes that are alike in every column, a
+    running number: a retried task or a second run of the same insert gives the same ids.
     """
-    return _in_shape(
-        notes,
-        schemas.NOTES,
-        {"note_id": F.uuid(), "severity": F.lit(V.DEFAULT_SEVERITY), "created_date": instant(as_of)},
+    rows = _in_shape(notes, schemas.NOTES, {"severity": F.lit(V.DEFAULT_SEVERITY), "created_date": instant(as_of)})
+    if "note_id" not in notes.columns:
+        return _with_ids(rows, as_of)
+    return rows.where("note_id IS NOT NULL").unionByName(_with_ids(rows.where("note_id IS NULL"), as_of))
+
+
+def _with_ids(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """Notes that are alike are counted before they are numbered, so that many of them burden no task."""
+    names = [f.name for f in schemas.NOTES.fields]
+    others = [name for name in names if name != "note_id"]
+    numbered = rows.groupBy(*others).agg(F.count(F.lit(1)).alias("_n")).select(
+        *others, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_n")
     )
+    content = F.to_json(F.struct(*others, "_n", instant(as_of).alias("_as_of")), {"ignoreNullFields": "false"})
+    digest = F.md5(content)
+    # The form of a UUID whose bits are its maker's own (version 8).
+    parts = [F.substr(digest, F.lit(at), F.lit(size)) for at, size in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    uuid = F.concat_ws("-", parts[0], parts[1], F.concat(F.lit("8"), parts[2]), F.concat(F.lit("8"), parts[3]), parts[4])
+    return numbered.withColumn("note_id", uuid).select(*names)
 
 
 def _in_shape(rows: DataFrame, schema, defaults: dict) -> DataFrame:
