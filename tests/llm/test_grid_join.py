@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import with_clashes
 from tracewarden.llm import grid_join as G
@@ -52,7 +53,7 @@ def expected(rows, cosine=0.98):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("settings", [{}, {"block_rows": 5, "fan_out": 2}, {"block_rows": 16, "leading": 2}])
+@pytest.mark.parametrize("settings", [{}, {"block_rows": 5, "fan_out": 2, "tile_blocks": 3}, {"block_rows": 40, "leading": 2, "tile_blocks": 1}])
 def test_equal_to_brute_force(spark, settings):
     ship_library(spark)
     table = with_clashes(spark.createDataFrame(corpus(), SCHEMA)).repartition(3)
@@ -69,6 +70,31 @@ def test_distant_blocks_are_skipped(spark):
     assert G.interval_pairs(blocks, 0.05, 3, 4).count() < n * (n + 1) / 4
 
 
+@pytest.mark.parametrize("kind", ["double", "smallint", "date", "boolean", "decimal(5,2)", "string", "void"])
+def test_labels_of_any_type(spark, kind):
+    ship_library(spark)
+    rows = [r for r in corpus() if r[2] != 2]
+    table = spark.createDataFrame(rows, SCHEMA)
+    label = {"date": "date_add(DATE '2024-01-01', label)", "void": "CAST(NULL AS INT)"}.get(kind, f"CAST(label AS {kind})")
+    found = G.near_duplicates(table.selectExpr("vec_id", "embedding", f"{label} AS label"), block_rows=32)
+    want = [(r[0], r[1], None) for r in rows] if kind == "void" else rows
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == expected(want)
+
+
+def test_nan_labels_are_equal(spark):
+    ship_library(spark)
+    rows = [(k, [1.0, 0.0], float("nan") if k < 4 else 1.0) for k in range(6)]
+    found = G.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 1, 4), (5, 1, 4)]
+
+
+def test_a_block_travels_once_per_tile(spark):
+    pairs = spark.range(40).selectExpr("id AS a").join(spark.range(40).selectExpr("id AS b"), F.col("a") <= F.col("b")).withColumn("dim", F.lit(8))
+    rows = G.tiled(pairs, 256, 8).collect()
+    assert len(rows) == 5 * 8 + 10 * 16 and len({r.tile for r in rows}) == 15
+    assert sum(len(r.partners) for r in rows) == 40 * 41 // 2
+
+
 def test_empty_table(spark):
     ship_library(spark)
     assert G.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
