@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import SF, WORD, by_id, documents, prose
 from tracewarden.llm import language_id as L
@@ -53,22 +55,65 @@ def test_rules_reject_outliers_and_keep_the_rest(spark):
     assert verdicts[2001] == verdicts[2002] == (False, True)
 
 
+def regularised(near, floor=0.1):
+    s = np.cov(near.T, bias=True)
+    cov = (1 - O.SHRINKAGE) * s + O.SHRINKAGE * np.diag(np.diag(s)) + floor**2 * np.eye(len(s))
+    return near.mean(0), cov, np.linalg.slogdet(cov)[1]
+
+
+def squared(x, centre, cov):
+    return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+
+
+def nearest(x, d, share):
+    return x[d <= np.sort(d)[int(np.ceil(share * len(d))) - 1]]
+
+
 def test_distances_equal_numpy(spark):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.5], [0.0, 0.7]])
-    x[:40] += 9
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, x_0 double, x_1 double")
-    found = {(r["x_0"], r["x_1"]): r["distance"] for r in O.robust_distances(rows, 2, [0.1, 0.1]).collect()}
-    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    centre, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + 0.01)
-    for _ in range(O.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-        near = x[d <= np.sort(d)[int(np.ceil(0.75 * len(d))) - 1]]
-        s = np.cov(near.T, bias=True)
-        centre, cov = near.mean(0), (1 - O.SHRINKAGE) * s + O.SHRINKAGE * np.diag(np.diag(s)) + 0.01 * np.eye(2)
-    want = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre) * O.CONSISTENCY
-    assert np.allclose([found[tuple(map(float, r))] for r in x], want, rtol=1e-6)
-    assert want[:40].min() > 4 * want[40:].max()
+    groups = {}
+    for g in range(3):
+        x = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.5], [0.0, 0.7]]) + g
+        x[: 40 + 10 * g] += 9
+        groups[f"g{g}"] = x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, x_0 double, x_1 double")
+    found = {(r["grp"], r["x_0"], r["x_1"]): r["distance"] for r in O.robust_distances(rows, 2, [0.1, 0.1]).collect()}
+    for g, x in groups.items():
+        q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        medians = (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + 0.01))
+        starts = [medians, regularised(x)[:2], regularised(nearest(x, squared(x, *medians), 0.5))[:2]]
+        ends = []
+        for centre, cov in starts:
+            least = np.inf
+            while True:
+                new = regularised(nearest(x, squared(x, centre, cov), O.KEPT_SHARE))
+                if new[2] >= least - 1e-9:
+                    break
+                centre, cov, least = new
+            ends.append((least, centre, cov))
+        least, centre, cov = min(ends, key=lambda e: e[0])
+        want = squared(x, centre, cov) * O.CONSISTENCY
+        assert np.allclose([found[g, float(a), float(b)] for a, b in x], want, rtol=1e-6)
+        assert want[:40].min() > 4 * want[70:].max()
+
+
+def test_smallest_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g in range(6):
+        x = rng.normal(size=(12, 2)) @ rng.normal(size=(2, 2))
+        x[:3] += rng.normal(size=2) * 2 + 12
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+        want[f"g{g}"] = min(regularised(x[list(kept)])[2] for kept in combinations(range(12), 9))
+    table = spark.createDataFrame(rows, "grp string, x_0 double, x_1 double")
+    found = {r["grp"]: r["log_det"] for r in O.minimum_determinants(table, 2, [0.1, 0.1]).collect()}
+    assert found == pytest.approx(want, abs=1e-9)
+
+
+def test_groups_of_one_row_and_of_equal_rows(spark):
+    rows = [("one", 1.0, 2.0)] + [("same", 3.0, 3.0)] * 40
+    found = O.robust_distances(spark.createDataFrame(rows, "grp string, x_0 double, x_1 double"), 2, [0.1, 0.1]).collect()
+    assert len(found) == 41 and all(abs(r["distance"]) < 1e-9 for r in found)
 
 
 def test_rules_use_no_python_and_take_an_empty_table(spark):

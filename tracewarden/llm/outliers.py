@@ -2,7 +2,8 @@
 
 Covariances are minimum-covariance-determinant estimates per language and source:
 concentration steps keep the three quarters of a group's rows that lie nearest to the
-current centre. Text statistics have many zeros, which would make covariances
+current centre. They begin at three starts, go on for as long as the determinant falls, and the
+smallest determinant stays. Text statistics have many zeros, which would make covariances
 singular, so each is shrunk towards a diagonal target (the regularised form of
 the estimator).
 """
@@ -29,7 +30,13 @@ MAX_REPEAT_PERCENT = 20
 KEPT_SHARE = 0.75
 # What the nearest three quarters of a normal sample of six dimensions spread, against all of it.
 CONSISTENCY = 0.73
-STEPS = 3
+# Steps from every start; the best one then goes on until its determinant falls no more, which takes a few.
+FIRST_STEPS = 2
+MOST_STEPS = 30
+# Relative accuracy of the share that a step keeps; groups of up to about so many rows get it exactly.
+ACCURACY = 2000
+# Rows of a fitted table, of about 300 bytes, up to which it is broadcast.
+BROADCAST_ROWS = 50_000
 SHRINKAGE = 0.25
 SMALLEST_GROUP = 100
 # Squared distance beyond which a row is rejected: one in a million of chi-square with
@@ -146,10 +153,18 @@ def _distance(n: int) -> Column:
     return solve(0, [])
 
 
+def _small(fit: DataFrame) -> DataFrame:
+    """A table with few rows by group, broadcast once its rows are counted, so that no hot group is shuffled."""
+    return F.broadcast(fit) if fit.count() <= BROADCAST_ROWS else fit
+
+
+def _values(n: int) -> list[str]:
+    return [*[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in _pairs(n)], "log_det"]
+
+
 def _fitted(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
-    """Centre and factor of the regularised covariance of each group's ``rows``."""
-    sums = rows.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"),
+    """Centre, factor and log-determinant of the regularised covariance of ``rows``, by group and start."""
+    sums = rows.groupBy("grp", "start").agg(
         *[F.avg(f"x_{i}").alias(f"m_{i}") for i in range(n)],
         *[F.covar_pop(f"x_{i}", f"x_{j}").alias(f"c_{i}_{j}") for i, j in _pairs(n)],
     )
@@ -159,36 +174,81 @@ def _fitted(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
     }
     for name, value in _factor(covariance, n):
         sums = sums.withColumn(name, value)
-    return sums.select("grp", *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in _pairs(n)])
+    log_det = F.lit(0.0)
+    for i in range(n):
+        log_det = log_det + 2 * F.ln(f"l_{i}_{i}")
+    return sums.withColumn("log_det", log_det).select("grp", "start", *_values(n))
 
 
-def robust_distances(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
-    """Adds ``distance`` to rows (grp, x_0 .. x_n-1, ...) by each group's estimate.
+def _nearest(rows: DataFrame, fit: DataFrame, n: int, share: float) -> DataFrame:
+    """The ``share`` of each group's rows that lie nearest to each fit's centre; equally near ones all count."""
+    near = rows.join(_small(fit), "grp").withColumn("distance", _distance(n)).select("grp", "start", "distance", *[f"x_{i}" for i in range(n)])
+    limits = stored(near.groupBy("grp", "start").agg(F.percentile_approx("distance", share, ACCURACY).alias("_limit")), "mcd")
+    return near.join(_small(limits), ["grp", "start"]).where("distance <= _limit")
+
 
-    The start is each group's medians with spreads from its quartiles; every step keeps
-    the nearest ``KEPT_SHARE`` of the rows and fits them again. The fitted tables
-    have a row per group.
+def _starts(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
+    """Three fits of each group: medians with spreads from the quartiles, all rows, and the half nearest to the first.
+
+    None of them is of a subset of the size wanted, so their determinants count as infinite.
     """
-    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f"x_{i}", [0.25, 0.5, 0.75], 2000).alias(f"q_{i}") for i in range(n)])
-    start = quartiles.select(
-        "grp",
-        *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(n)],
-        *[
-            (F.sqrt(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
-            for i, j in _pairs(n)
-        ],
+    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(f"x_{i}", [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{i}") for i in range(n)])
+    medians = stored(
+        quartiles.select(
+            "grp",
+            F.lit(0).alias("start"),
+            *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(n)],
+            *[
+                (F.sqrt(F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}")
+                for i, j in _pairs(n)
+            ],
+            F.lit(0.0).alias("log_det"),
+        ),
+        "mcd",
     )
-    fit = stored(start, "mcd")
-    for _ in range(STEPS):
-        near = rows.join(fit, "grp").withColumn("distance", _distance(n)).select("grp", "distance", *[f"x_{i}" for i in range(n)])
-        # A row per group, so that the join sees how small it is and no hot group is shuffled.
-        limits = stored(near.groupBy("grp").agg(F.percentile_approx("distance", KEPT_SHARE, 2000).alias("_limit")), "mcd")
-        fit = stored(_fitted(near.join(limits, "grp").where("distance <= _limit"), n, floors), "mcd")
-    return rows.join(fit, "grp").withColumn("distance", _distance(n) * CONSISTENCY).drop(
-        *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i, j in _pairs(n)]
+    half = _fitted(_nearest(rows, medians, n, 0.5), n, floors).withColumn("start", F.lit(2))
+    whole = _fitted(rows.withColumn("start", F.lit(1)), n, floors)
+    return medians.unionByName(whole).unionByName(half).withColumn("log_det", F.lit(float("inf")))
+
+
+def _step(rows: DataFrame, fit: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
+    """One concentration step; ``moved`` tells whether it lowered the determinant, without which the fit stays."""
+    new = _fitted(_nearest(rows, fit, n, KEPT_SHARE), n, floors).select("grp", "start", F.struct(*_values(n)).alias("_new"))
+    both = fit.select("grp", "start", F.struct(*_values(n)).alias("_old")).join(new, ["grp", "start"])
+    moved = F.col("_new.log_det") < F.col("_old.log_det") - 1e-9
+    return stored(both.select("grp", "start", F.when(moved, F.col("_new")).otherwise(F.col("_old")).alias("_fit"), moved.alias("moved")), "mcd").select(
+        "grp", "start", "_fit.*", "moved"
     )
 
 
+def minimum_determinants(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
+    """(grp, start, m_i, l_i_j, log_det): for each group, the fit with the smallest determinant that was reached.
+
+    A group of a single row has its own values and the floors. Of equal determinants the earlier start counts.
+    """
+    fit = stored(_starts(rows, n, floors), "mcd")
+    for _ in range(FIRST_STEPS):
+        fit = _step(rows, fit, n, floors)
+    best = fit.groupBy("grp").agg(F.min_by(F.struct(*fit.columns), F.struct("log_det", "start")).alias("_fit")).select("_fit.*")
+    best = stored(best, "mcd")
+    done = best.where("NOT moved")
+    for _ in range(MOST_STEPS):
+        going = best.where("moved")
+        if going.isEmpty():
+            break
+        best = _step(rows, going.drop("moved"), n, floors)
+        done = done.unionByName(best.where("NOT moved"))
+    else:
+        done = done.unionByName(best.where("moved"))
+    return done.drop("moved")
+
+
+def robust_distances(rows: DataFrame, n: int, floors: Sequence[float]) -> DataFrame:
+    """Adds ``distance`` to rows (grp, x_0 .. x_n-1, ...) by each group's estimate."""
+    fit = stored(minimum_determinants(rows, n, floors).drop("start"), "mcd")
+    return rows.join(_small(fit), "grp").withColumn("distance", _distance(n) * CONSISTENCY).drop(*_values(n))
+
+
 def quality_rules(documents: DataFrame) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document.
 
@@ -209,15 +269,16 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     small = F.col("n0") < SMALLEST_GROUP
     by_lang = sizes.where(small).groupBy("lang").agg(F.sum("n0").alias("n1"))
     few = small & (F.col("n1") < SMALLEST_GROUP)
-    groups = (
+    groups = stored(
         sizes.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left")
         .withColumn("grp", F.when(~small, level[0]).when(~few, level[1]).otherwise(level[2]))
-        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "grp")
+        .select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "grp"),
+        "groups",
     )
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     names = list(FEATURES)
     x = stored(
-        base.join(groups, same, "left").select(
+        base.join(_small(groups), same, "left").select(
             *base.columns, "grp", *[F.expr(FEATURES[name][0]).alias(f"x_{i}") for i, name in enumerate(names)]
         ),
         "features",
