@@ -7,6 +7,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import WORD, documents, prose
 from tracewarden.llm import jaccard_join as J
@@ -62,7 +63,10 @@ def table(spark):
     return documents(spark, corpus()).repartition(4).cache()
 
 
-@pytest.mark.parametrize("settings", [{}, {"block_documents": 7}, {"block_shingles": 300, "bits": 16}])
+@pytest.mark.parametrize(
+    "settings",
+    [{}, {"block_documents": 7}, {"block_shingles": 300, "bits": 16, "tile_blocks": 1, "cell_groups": 2}, {"block_documents": 3, "tile_blocks": 2, "cell_groups": 1}],
+)
 def test_equal_to_brute_force(spark, table, settings):
     found = J.near_duplicates(table, **settings)
     rows = [tuple(r) for r in found.collect()]
@@ -70,6 +74,24 @@ def test_equal_to_brute_force(spark, table, settings):
     assert [r for r in rows if r[0] is None] == [(None, None, 0, None, True)]
 
 
+def test_a_hot_bucket_is_paired_in_cells_of_bounded_size(spark):
+    """5,000 groups in one bucket and two in another: all pairs once, no cell with more than four times its mean."""
+    met = spark.range(5_000).selectExpr("7L AS band", "id AS group").unionByName(spark.range(2).selectExpr("8L AS band", "id AS group"))
+    cells = J.meeting_cells(met, 250).groupBy("band", "x", "y").agg(F.count("*").alias("n"), F.countDistinct("a", "b").alias("pairs")).collect()
+    hot = [r for r in cells if r["band"] == 7]
+    assert sum(r["n"] for r in hot) == sum(r["pairs"] for r in hot) == 5_000 * 5_001 // 2
+    assert max(r["n"] for r in hot) <= 4 * 250 * 250 and len(hot) == 20 * 21 // 2
+    assert [r["n"] for r in cells if r["band"] == 8] == [3]
+
+
+def test_texts_of_one_id_share_their_links(spark):
+    rng = random.Random(3)
+    one, other = prose(rng, 80), prose(rng, 80)
+    rows = [(1, one), (1, other), (2, one + " more"), (3, other + " more"), (4, prose(rng, 50))]
+    found = {(r["doc_id"], r["n_links"], r["component_id"]) for r in J.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {(1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)}
+
+
 def test_empty_table(spark):
     assert J.near_duplicates(documents(spark, [])).collect() == []
 

@@ -1,8 +1,10 @@
 """Near-duplicate documents by the Jaccard similarity of their five-word shingles.
 
 MinHash bands bring candidates together. Candidates that share a bucket with a common
-smallest document are cut into blocks, and only blocks that share a bucket are
-compared. Within a pair of blocks MinHash values are compared eight at a time; a pair of
+smallest document are cut into blocks, and a few blocks with the same smallest document
+make a group. Groups that share a bucket meet in a tile, so that a text travels once per
+tile, and only its blocks that share a bucket are compared. Within a pair of blocks
+MinHash values are compared eight at a time; a pair of
 documents is dropped once the posterior probability that it reaches the threshold falls
 below a tolerance, and what is left is verified on whole shingle sets. Counts
 and group roots leave the task, pairs do not.
@@ -34,8 +36,12 @@ BANDS, BAND_ROWS = 24, 4
 STEP = 8
 # Bounds the posterior at each look; over all 12 looks a pair at the threshold is pruned with probability 1.0e-8.
 TOLERANCE = 1e-9
-BLOCK_DOCUMENTS = 1024
-BLOCK_SHINGLES = 2_000_000
+BLOCK_DOCUMENTS = 512
+BLOCK_SHINGLES = 1_000_000
+# Blocks of a group: a tile compares at most the square of this number of pairs of blocks.
+TILE_BLOCKS = 4
+# Groups of a bucket are dealt over a square whose cells pair about this many with as many others.
+CELL_GROUPS = 128
 FILTER_BITS = 26
 
 _rng = np.random.default_rng(5)
@@ -141,41 +147,81 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return both[place[i], place[j]].astype(np.int64)
 
 
-def linked_in_blocks(rows: pa.Table, similarity: tuple[int, int], tolerance: float) -> pa.RecordBatch | None:
-    """(rep, links, root) of one pair of blocks: columns side, rep, copies, signature, packed."""
-    side, rep, copies = (rows.column(k).to_numpy() for k in ("side", "rep", "copies"))
-    _, one = np.unique(rep, return_index=True)  # rows that repeat an id are one text here
-    one = one[np.lexsort((rep[one], side[one]))]
-    side, rep, copies = side[one], rep[one], copies[one]
-    sign = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("signature").take(one).to_pylist()])
-    middle = int(np.searchsorted(side, 1))
-    own = middle == len(side)
-    threshold = similarity[0] / similarity[1]
-    if own:
-        i, j = surviving_pairs(sign, sign, True, threshold, tolerance)
-    else:
-        i, j = surviving_pairs(sign[:middle], sign[middle:], False, threshold, tolerance)
-        j = j + middle
-    if not len(i):
-        return None
-    used = np.unique(np.concatenate([i, j]))
-    unpack = zstandard.ZstdDecompressor().decompress
-    sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(rep)
-    packed = rows.column("packed").take(one[used]).to_pylist()
-    for k, data in zip(used, packed):
-        text = np.frombuffer(unpack(data), np.uint8)
-        sets[k] = np.unique(shingles(Texts(text, np.array([0, len(text)])))[1])
-    size = np.array([len(s) for s in sets])
-    common = common_counts(sets, i, j)
-    near = similarity[1] * common >= similarity[0] * (size[i] + size[j] - common)
-    i, j = i[near], j[near]
-    if not len(i):
-        return None
-    links = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
+class Tile:
+    """The texts of one or two groups of blocks, each text once, ordered by side and block."""
+
+    def __init__(self, rows: pa.Table):
+        side, part, value = (rows.column(k).to_numpy() for k in ("side", "part", "value"))
+        _, one = np.unique(value, return_index=True)  # rows that repeat an id and its text are one text here
+        one = one[np.lexsort((value[one], part[one], side[one]))]
+        side, part = side[one], part[one]
+        self.rep, self.copies = (rows.column(k).to_numpy()[one] for k in ("rep", "copies"))
+        self.sign = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("signature").take(one).to_pylist()])
+        self.packed = rows.column("packed").take(one).to_pylist()
+        cuts = np.flatnonzero((side[1:] != side[:-1]) | (part[1:] != part[:-1])) + 1
+        self.first = np.concatenate([[0], cuts, [len(side)]])
+        self.side = side[self.first[:-1]]
+        self.sets: dict[int, np.ndarray] = {}
+
+    def block_pairs(self) -> list[tuple[int, int]]:
+        """Pairs of blocks, one of each side (or of the only side), that share a bucket."""
+        keys = [np.unique(band_keys(self.sign[at:end])) for at, end in zip(self.first[:-1], self.first[1:])]
+        two = self.side[-1] != self.side[0]
+        pairs = [(x, y) for x in range(len(keys)) for y in range(x, len(keys)) if not two or self.side[x] != self.side[y]]
+        return [(x, y) for x, y in pairs if x == y or len(np.intersect1d(keys[x], keys[y], assume_unique=True))]
+
+    def shingles_of(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            text = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), np.uint8)
+            self.sets[k] = np.unique(shingles(Texts(text, np.array([0, len(text)])))[1])
+        return self.sets[k]
+
+    def links_of_blocks(self, x: int, y: int, similarity: tuple[int, int], tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places (i, j) of linked texts of blocks x and y."""
+        a, b = slice(*self.first[x : x + 2]), slice(*self.first[y : y + 2])
+        i, j = surviving_pairs(self.sign[a], self.sign[b], x == y, similarity[0] / similarity[1], tolerance)
+        i, j = i + a.start, j + b.start
+        if not len(i):
+            return i, j
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sets = [self.shingles_of(k) for k in used.tolist()]
+        size = np.array([len(s) for s in sets])
+        left, right = place[: len(i)], place[len(i) :]
+        common = common_counts(sets, left, right)
+        near = similarity[1] * common >= similarity[0] * (size[left] + size[right] - common)
+        return i[near], j[near]
+
+
+def linked_in_tile(rows: pa.Table, similarity: tuple[int, int], tolerance: float) -> pa.RecordBatch | None:
+    """(rep, links, root) of a tile: columns side, part, value, rep, copies, signature, packed."""
+    tile = Tile(rows)
+    size = len(tile.rep)
+    links, edges = np.zeros(size), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for x, y in tile.block_pairs():
+        i, j = tile.links_of_blocks(x, y, similarity, tolerance)
+        if len(i):
+            links += np.bincount(i, weights=tile.copies[j], minlength=size) + np.bincount(j, weights=tile.copies[i], minlength=size)
+            root = roots_of(size, i, j)
+            moved = np.flatnonzero(root != np.arange(size))  # at most one edge per text leaves a pair of blocks
+            edges.append((moved, root[moved]))
     some = np.flatnonzero(links)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(rep[roots_of(len(rep), i, j)[some]])], ["rep", "links", "root"]
-    )
+    if not len(some):
+        return None
+    root = roots_of(size, *(np.concatenate(ends) for ends in zip(*edges)))
+    return pa.RecordBatch.from_arrays([pa.array(tile.rep[some]), pa.array(links[some].astype(np.int64)), pa.array(tile.rep[root[some]])], ["rep", "links", "root"])
+
+
+def meeting_cells(met: DataFrame, cell_groups: int) -> DataFrame:
+    """(band, x, y, a, b): pairs of groups that share a bucket, by the cell of the bucket's square that makes them.
+
+    The groups of a bucket are dealt over so many places that about ``cell_groups`` share one; a group
+    is sent to the cells of its place's row and column, so no cell holds a whole large bucket.
+    """
+    counts = met.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / cell_groups).cast("int").alias("places"))
+    dealt = met.join(counts, "band").withColumn("place", F.pmod(F.xxhash64("group", F.lit("cell")), "places").cast("int"))
+    rows = dealt.select("band", F.col("place").alias("x"), F.explode(F.sequence("place", F.col("places") - 1)).alias("y"), F.col("group").alias("a"))
+    columns = dealt.select("band", F.explode(F.sequence(F.lit(0), "place")).alias("x"), F.col("place").alias("y"), F.col("group").alias("b"))
+    return rows.join(columns, ["band", "x", "y"]).where("x < y OR a <= b")
 
 
 def signature_rows(documents: DataFrame) -> DataFrame:
@@ -232,6 +278,8 @@ def near_duplicates(
     block_documents: int = BLOCK_DOCUMENTS,
     block_shingles: int = BLOCK_SHINGLES,
     bits: int = FILTER_BITS,
+    tile_blocks: int = TILE_BLOCKS,
+    cell_groups: int = CELL_GROUPS,
 ) -> DataFrame:
     """(doc_id, class_id, n_links, component_id, kept), one row per document.
 
@@ -257,26 +305,22 @@ def near_duplicates(
     candidates = stored(anchored.join(reps, "rep"), "candidates")
     sizes = candidates.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_shingles"))
     parts = F.greatest(F.ceil(F.col("_n") / block_documents), F.ceil(F.col("_shingles") / block_shingles))
+    part = F.pmod(F.xxhash64("rep"), parts).cast("long")
     blocked = stored(
-        candidates.join(sizes, "anchor").withColumn("block", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), parts))).drop("_n", "_shingles", "anchor"),
+        candidates.join(sizes, "anchor")
+        .withColumn("part", part)
+        .withColumn("group", F.xxhash64("anchor", F.floor(F.col("part") / tile_blocks)))
+        .drop("_n", "_shingles", "anchor"),
         "blocked",
     )
-    met = members.join(blocked.select("rep", "block"), "rep").select("band", "block").distinct()
-    pairs = (
-        met.alias("a")
-        .join(met.alias("b"), F.col("a.band") == F.col("b.band"))
-        .where("a.block <= b.block")
-        .select(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
-        .distinct()
+    met = stored(members.join(blocked.select("rep", "group"), "rep").select("band", "group").distinct(), "met")
+    pairs = meeting_cells(met, cell_groups).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tile = F.xxhash64("a", "b").alias("tile")
+    sides = pairs.select(tile, F.col("a").alias("group"), F.lit(0).alias("side")).unionByName(
+        pairs.where("a < b").select(tile, F.col("b").alias("group"), F.lit(1).alias("side"))
     )
-    sides = pairs.select(
-        F.xxhash64("a", "b").alias("pair"),
-        F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(
-            F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
-        )).alias("s"),
-    ).select("pair", "s.block", "s.side")
     wanted = bitmap_of(blocked.select(F.xxhash64("rep", "key").alias("value")), bits)
-    texts = stored(blocked.join(candidate_texts(documents, wanted, bits), ["rep", "key"]).drop("key", "n"), "texts")
+    texts = stored(blocked.join(candidate_texts(documents, wanted, bits), ["rep", "key"]).withColumn("value", F.xxhash64("rep", "key")).drop("key", "n"), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -285,15 +329,15 @@ def near_duplicates(
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
             for at, end in zip(cuts[:-1], cuts[1:]):
                 if held and held[-1].column(0)[0].as_py() != number[at]:
-                    yield from filter(None, [linked_in_blocks(pa.Table.from_batches(held), similarity, tolerance)])
+                    yield from filter(None, [linked_in_tile(pa.Table.from_batches(held), similarity, tolerance)])
                     held = []
                 if end > at:
                     held.append(batch.slice(at, end - at))
         if held:
-            yield from filter(None, [linked_in_blocks(pa.Table.from_batches(held), similarity, tolerance)])
+            yield from filter(None, [linked_in_tile(pa.Table.from_batches(held), similarity, tolerance)])
 
-    joined = sides.join(texts, "block").select("pair", "side", "rep", "copies", "signature", "packed")
-    links = stored(joined.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "rep long, links long, root long"), "links")
+    joined = sides.join(texts, "group").select("tile", "side", "part", "value", "rep", "copies", "signature", "packed")
+    links = stored(joined.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "rep long, links long, root long"), "links")
     linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     classes = reps.select("key", "rep", "copies").join(linked, "rep", "left").join(groups, "rep", "left")
@@ -316,7 +360,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-# Relations that the statement below and the pipeline's share: needs a relation ``docs`` (doc_id, text).
+# Needs a relation ``docs`` (doc_id, text).
 ORACLE_RELATIONS = """
 jw AS (
     SELECT doc_id, coalesce(text, '') AS text, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w
