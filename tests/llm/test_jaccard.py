@@ -118,6 +118,23 @@ def test_pruning_loss_over_all_looks(similarity, most):
     assert lost <= most
 
 
+@pytest.mark.parametrize("changed", [0.02, 0.2, 0.6])
+def test_pairs_are_pruned_alike_by_columns_and_one_by_one(changed):
+    rng = np.random.default_rng(2)
+    sign = np.tile(rng.integers(0, 1 << 32, 96, dtype=np.uint32), (70, 1))
+    other = rng.random(sign.shape) < changed
+    sign[other] = rng.integers(0, 1 << 32, other.sum(), dtype=np.uint32)
+    bounds = {n: J.least_matches(n, 0.8, 1e-3) for n in range(8, 97, 8)}
+
+    def stays(x, y):
+        same = np.cumsum(x == y)
+        return all(same[n - 1] >= least for n, least in bounds.items())
+
+    for a, b, own in ((sign, sign, True), (sign[:30], sign[30:], False)):
+        want = [(i, j) for i in range(len(a)) for j in range(len(b)) if (i < j or not own) and stays(a[i], b[j])]
+        assert list(zip(*(x.tolist() for x in J.surviving_pairs(a, b, own, 0.8, 1e-3)))) == want
+
+
 def test_both_ways_of_counting_agree():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 900, rng.integers(1, 700)).astype(np.uint64)) for _ in range(24)]

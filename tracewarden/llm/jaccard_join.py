@@ -37,9 +37,11 @@ STEP = 8
 # Bounds the posterior at each look; over all 12 looks a pair at the threshold is pruned with probability 1.0e-8.
 TOLERANCE = 1e-9
 BLOCK_DOCUMENTS = 512
-BLOCK_SHINGLES = 1_000_000
-# Blocks of a group: a tile compares at most the square of this number of pairs of blocks.
-TILE_BLOCKS = 4
+BLOCK_SHINGLES = 500_000
+# Blocks of a group. A tile compares at most the square of this number of pairs of blocks, and n texts
+# of one group of near copies travel n / (16 * 512) times each.
+TILE_BLOCKS = 16
+SETS_KEPT = 1 << 23  # shingles of unpacked texts that a tile holds on to
 # Groups of a bucket are dealt over a square whose cells pair about this many with as many others.
 CELL_GROUPS = 128
 FILTER_BITS = 26
@@ -97,23 +99,31 @@ def least_matches(compared: int, threshold: float, tolerance: float) -> int:
 
 
 def surviving_pairs(a: np.ndarray, b: np.ndarray, own: bool, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two signature tables (of one with itself, if ``own``) that are not pruned."""
-    found_i, found_j = [], []
-    for at in range(0, len(a), max(1, (1 << 20) // max(1, len(b)))):
-        end = min(len(a), at + max(1, (1 << 20) // max(1, len(b))))
-        i = np.repeat(np.arange(at, end), len(b))
-        j = np.tile(np.arange(len(b)), end - at)
-        if own:
-            i, j = i[i < j], j[i < j]
-        equal = np.zeros(len(i), np.int16)
-        for k in range(0, a.shape[1], STEP):
-            equal += (a[i, k : k + STEP] == b[j, k : k + STEP]).sum(1, dtype=np.int16)
-            alive = equal >= least_matches(k + STEP, threshold, tolerance)
-            if not alive.all():
-                i, j, equal = i[alive], j[alive], equal[alive]
-            if not len(i):
-                break
-        found_i.append(i)
+    """Pairs of rows of two signature tables (of one with itself, if ``own``) that are not pruned.
+
+    As long as many pairs are left, a look compares whole columns; afterwards only the values of those left.
+    """
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    columns = np.ascontiguousarray(b.T)
+    rows = max(1, (1 << 18) // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        part = np.ascontiguousarray(a[at : at + rows].T)
+        alive = np.arange(at, at + part.shape[1])[:, None] < np.arange(len(b)) if own else np.ones((part.shape[1], len(b)), bool)
+        equal = np.zeros(alive.shape, np.int16)
+        k = 0
+        while k < len(columns) and 8 * np.count_nonzero(alive) > alive.size:
+            for c in range(k, k + STEP):
+                equal += part[c][:, None] == columns[c]
+            k += STEP
+            alive &= equal >= least_matches(k, threshold, tolerance)
+        i, j = np.nonzero(alive)
+        equal = equal[i, j]
+        while k < len(columns) and len(i):
+            equal = equal + (a[at + i, k : k + STEP] == b[j, k : k + STEP]).sum(1, dtype=np.int16)
+            k += STEP
+            left = equal >= least_matches(k, threshold, tolerance)
+            i, j, equal = i[left], j[left], equal[left]
+        found_i.append(at + i)
         found_j.append(j)
     return np.concatenate(found_i), np.concatenate(found_j)
 
@@ -135,16 +145,17 @@ def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     order = np.argsort(column, kind="stable")
     order = order[np.searchsorted(column[order], 0) :]
     column, owner = column[order], owner[order]
-    both = np.zeros((len(used), len(used)), np.float32)
+    left, i = np.unique(i, return_inverse=True)
+    right, j = np.unique(j, return_inverse=True)
+    upper, lower = np.searchsorted(used, left), np.searchsorted(used, right)
+    both = np.zeros((len(left), len(right)), np.float32)
     step = 4096
     for at in range(0, int((times > 1).sum()), step):
         part = slice(*np.searchsorted(column, [at, at + step]))
         member = np.zeros((len(used), step), np.float32)
         member[owner[part], column[part] - at] = 1
-        both += member @ member.T
-    place = np.zeros(len(sets), np.int64)
-    place[used] = np.arange(len(used))
-    return both[place[i], place[j]].astype(np.int64)
+        both += member[upper] @ member[lower].T
+    return both[i, j].astype(np.int64)
 
 
 class Tile:
@@ -162,6 +173,7 @@ class Tile:
         self.first = np.concatenate([[0], cuts, [len(side)]])
         self.side = side[self.first[:-1]]
         self.sets: dict[int, np.ndarray] = {}
+        self.kept = 0
 
     def block_pairs(self) -> list[tuple[int, int]]:
         """Pairs of blocks, one of each side (or of the only side), that share a bucket."""
@@ -174,6 +186,7 @@ class Tile:
         if k not in self.sets:
             text = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed[k]), np.uint8)
             self.sets[k] = np.unique(shingles(Texts(text, np.array([0, len(text)])))[1])
+            self.kept += len(self.sets[k])
         return self.sets[k]
 
     def links_of_blocks(self, x: int, y: int, similarity: tuple[int, int], tolerance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +197,8 @@ class Tile:
         if not len(i):
             return i, j
         used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        if self.kept > SETS_KEPT:
+            self.sets, self.kept = {}, 0
         sets = [self.shingles_of(k) for k in used.tolist()]
         size = np.array([len(s) for s in sets])
         left, right = place[: len(i)], place[len(i) :]
