@@ -315,8 +315,11 @@ def near_duplicates(
     bands = stored(band_rows(reps), "bands")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     members = stored(bands.join(buckets.select("band", "first"), "band"), "members")
-    # A candidate's anchor is the smallest document that it shares a bucket with.
-    anchored = members.groupBy("rep").agg(F.min("first").alias("anchor"))
+    # A candidate's anchor is the smallest document that it or a text in one of its buckets shares a bucket with.
+    # Without this second step a large group of near copies has dozens of anchors, whose groups all meet.
+    near = stored(members.groupBy("rep").agg(F.min("first").alias("anchor")), "anchors")
+    least = members.join(near, "rep").groupBy("band").agg(F.min("anchor").alias("least"))
+    anchored = members.join(least, "band").groupBy("rep").agg(F.min("least").alias("anchor"))
     candidates = stored(anchored.join(reps, "rep"), "candidates")
     sizes = candidates.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_shingles"))
     parts = F.greatest(F.ceil(F.col("_n") / block_documents), F.ceil(F.col("_shingles") / block_shingles))
