@@ -169,3 +169,24 @@ def test_stored_index_is_built_again_once_its_table_changes(spark, tmp_path):
         path = index(spark, str(tmp_path))
         assert index(spark, str(tmp_path)) == path
         assert [r.body for r in SX.search_index(spark, path, "words", ["body"]).collect()] == [text]
+
+def test_copies_of_a_text_share_their_postings(spark, corpus):
+    """Logs repeat texts: words are kept once per text, and counts and scores are those of all documents."""
+    path = new_folder(spark, "index")
+    SX.index_documents(corpus, "body", path, buckets=4)
+    now = SX.current(spark, path)
+    postings = SX.postings_of(spark, now)
+    assert postings.where("term = 'access'").count() == 2  # d1 and d7 are equal
+    assert (now["documents"], now["words"]) == (7, sum(len(re.findall(r"[^\W_]+", v)) for v in DOCUMENTS.values()))
+    # A text stays as long as one document has it.
+    for gone, left in (("d1", 1), ("d7", 0)):
+        SX.index_documents(corpus.limit(0), "body", path, withdrawn=corpus.where(f"doc_id = '{gone}'"))
+        assert SX.postings_of(spark, SX.current(spark, path)).where("term = 'denied'").count() == left
+
+
+def test_words_are_counted_without_a_shuffle(spark, corpus):
+    texts = corpus.selectExpr("xxhash64(body) AS text_id", "body AS text")
+    plan = SX._postings(texts, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    counted = {(r.term, r.frequency) for r in SX._postings(texts.where("text LIKE 'Data about%'"), 4).collect()}
+    assert counted == {("data", 3), ("about", 1), ("and", 1), ("security", 1), ("of", 1)}
