@@ -138,3 +138,16 @@ def test_a_day_is_pruned_to_and_nothing_is_stored_of_no_events(spark, stored):
     count = days.partials.count()
     daily.refresh_days(events.where("false"), path)
     assert daily.read_days(spark, path).partials.count() == count
+
+
+def test_a_refresh_computes_its_events_once(spark):
+    rows = spark.createDataFrame(random_events(random.Random(5), 40), EVENTS)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    daily.refresh_days(rows.mapInPandas(counted, rows.schema), new_folder(spark, "days"))
+    assert seen.value == 40

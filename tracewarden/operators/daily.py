@@ -77,6 +77,11 @@ def refresh_days(events: DataFrame, path: str) -> None:
     Other days are not touched. A run that failed can be repeated: numbers that it gave stay.
     """
     spark = events.sparkSession
+    # The events are computed once, cut down to what is counted.
+    folder = new_folder(spark, "day-events")
+    used = events.select("event_date", *DIMENSIONS, "span_duration_ms", *SETS.values())
+    used.write.parquet(folder)
+    events = spark.read.schema(used.schema).parquet(folder)
     partials = events.groupBy("event_date", *DIMENSIONS).agg(
         F.count(F.lit(1)).alias("events"),
         F.count("span_duration_ms").alias("durations"),
