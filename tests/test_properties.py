@@ -110,3 +110,11 @@ def test_median_of_values_spread_over_fifteen_digits(spark):
     found = {r.k: r.median for r in exact_medians(source, ["k"], "v", "n", parts=8, smaller_parts=16).collect()}
     assert found == {k: statistics.median(v for key, v in rows if key == k) for k in "ab"}
     assert source.select(part_of(F.col("v"), 8)).distinct().count() <= 8 * 50
+
+
+def test_tasks_of_a_spread_table_do_not_grow_with_it(spark, monkeypatch):
+    from tracewarden.sources import sample_logs
+
+    monkeypatch.setattr(sample_logs, "ROWS_OF_A_TASK", 10)
+    assert sample_logs._spread(spark.range(995), "id").rdd.getNumPartitions() == 100
+    assert sample_logs._spread(spark.range(5), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
