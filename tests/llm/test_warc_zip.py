@@ -108,3 +108,12 @@ def test_damage_is_an_error(tmp_path):
     damaged = W.zlib.decompress(record(1, "payload"), 31).replace(b"payload\r\n", b"pay1oad\r\n")
     with pytest.raises(ValueError, match="damaged"):
         W.record_row(damaged)
+
+
+def test_payloads_are_handed_on_in_bounded_batches():
+    from tracewarden.llm.warc_zip import in_batches
+
+    rows = [{"payload": None if n % 5 == 0 else b"x" * 100} for n in range(50)]
+    batches = list(in_batches(iter(rows), most_bytes=300, most_rows=10))
+    assert [r for b in batches for r in b] == rows
+    assert all(sum(len(r["payload"] or b"") for r in b) <= 300 and len(b) <= 10 for b in batches) and len(batches) > 10

@@ -32,6 +32,7 @@ WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/data.cdxj"
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 HTTP_TYPE = "application/http; msgtype=response"
 
 # Fixed values of the ZIP format: signatures and layouts of its records.
@@ -215,8 +216,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 system, path = opened(row["archive"])
                 with system.open_input_file(path) as file:
-                    rows = [record_row(zlib.decompress(read_range(file, a, n), 31)) for a, n in zip(row["starts"], row["sizes"])]
-                yield pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
+                    records = (record_row(zlib.decompress(read_range(file, a, n), 31)) for a, n in zip(row["starts"], row["sizes"]))
+                    for rows in in_batches(records):
+                        yield pa.RecordBatch.from_pylist(rows, RECORD_SCHEMA)
 
     splits = archives.select("archive").mapInArrow(located, "archive string, starts array<long>, sizes array<long>")
     return splits.repartition("archive", F.get("starts", F.lit(0))).mapInArrow(
@@ -238,6 +240,19 @@ RECORD_SCHEMA = pa.schema(
 )
 
 
+def in_batches(rows: Iterable[dict], most_bytes: int = BATCH_BYTES, most_rows: int = 1024) -> Iterator[list[dict]]:
+    """Rows in lists of about ``most_bytes`` of payload: a split of pages that deflate well is many times its size."""
+    batch, size = [], 0
+    for row in rows:
+        batch.append(row)
+        size += len(row["payload"] or b"")
+        if size >= most_bytes or len(batch) >= most_rows:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
+
+
 def record_row(record: bytes) -> dict:
     fields, block = parsed_record(record)
     http, _, payload = block.partition(b"\r\n\r\n")
