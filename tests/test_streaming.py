@@ -130,3 +130,12 @@ def test_alert_windows_grow_and_late_results_count(spark):
     # Hours past the newest result, and still counted.
     assert run((0.3, ten)) == {ten: 4, noon: 1}
     assert told == [2, 1, 1, 1]
+
+
+def test_streamed_files_are_packed_by_zstd(spark):
+    folder = new_folder(spark, "packed")
+    sample_logs.raw_events(spark, "/root/testdata/sf0.001").write.parquet(f"{folder}/raw")
+    stream = stream_raw_events(spark, f"{folder}/raw")
+    refresh.refresh_agent_events(stream, f"{folder}/events", f"{folder}/checkpoint").awaitTermination()
+    files = spark.read.parquet(f"{folder}/events").inputFiles()
+    assert files and all(".zstd." in name for name in files)

@@ -31,7 +31,8 @@ def scheduled(writer: DataStreamWriter, checkpoint: str, interval: str | None) -
 def _append(
     rows: DataFrame, path: str, checkpoint: str, interval: str | None, partitions: tuple[str, ...] = ()
 ) -> StreamingQuery:
-    writer = rows.writeStream.format("parquet").outputMode("append")
+    # Events hold their texts several times (record, spans, input and output), which zstd packs better than snappy.
+    writer = rows.writeStream.format("parquet").outputMode("append").option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     return scheduled(writer, checkpoint, interval).start(path)
