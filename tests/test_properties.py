@@ -118,3 +118,11 @@ def test_tasks_of_a_spread_table_do_not_grow_with_it(spark, monkeypatch):
     monkeypatch.setattr(sample_logs, "ROWS_OF_A_TASK", 10)
     assert sample_logs._spread(spark.range(995), "id").rdd.getNumPartitions() == 100
     assert sample_logs._spread(spark.range(5), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_tasks_that_gather_accesses_do_not_grow_with_them(spark, monkeypatch):
+    from tracewarden.sources import sample_logs
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(sample_logs, "ROWS_OF_A_TASK", 100)
+    assert sample_logs.access_log(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // 100)

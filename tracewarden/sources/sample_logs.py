@@ -64,8 +64,11 @@ def _spread(table: DataFrame, key: str) -> DataFrame:
     to turn into JSON and parse alone. A number of partitions that is named is not
     coalesced, small as they are; it grows with the rows, so that a task's memory does not.
     """
-    parts = max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(table.count() / ROWS_OF_A_TASK))
-    return table.repartition(parts, key)
+    return table.repartition(_parts(table), key)
+
+
+def _parts(table: DataFrame) -> int:
+    return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(table.count() / ROWS_OF_A_TASK))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,10 +196,11 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    # Collecting reduces nothing before the shuffle, so rows are spread by order first.
-    lines = _table(spark, sf_dir, "lineitem").repartition("l_orderkey")
-    line = F.col("l_linenumber")
+    lines = _table(spark, sf_dir, "lineitem")
+    parts = _parts(lines)
+    # Collecting reduces nothing before the shuffle, so rows are spread by order first, and orders alike to meet them.
+    lines = lines.repartition(parts, "l_orderkey")
+    orders = _table(spark, sf_dir, "orders").repartition(parts, "o_orderkey")
 
     def columns(*names: str) -> Column:
         if not names:
@@ -206,24 +210,30 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     def accessed(name: Column, domain: Column, cols: Column) -> Column:
         return F.struct(name.alias("objectName"), domain.alias("objectDomain"), cols.alias("columns"))
 
-    base = accessed(
-        _pick(SOURCE_TABLES, F.col("l_partkey") % 5),
-        F.when(F.col("l_suppkey") % 2 == 0, "TABLE").otherwise("VIEW"),
-        F.when(line == 1, columns("ID", "NAME"))
-        .when(line == 2, columns("ID"))
-        .when(line == 3, columns())
-        .otherwise(columns("ID", "AMOUNT", "DOB")),
-    )
-    base_objects = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.collect_list(base).alias("base_objects_accessed")
+    def base(line: Column) -> Column:
+        return accessed(
+            _pick(SOURCE_TABLES, line["table"]),
+            F.when(line["is_table"], "TABLE").otherwise("VIEW"),
+            F.when(line["number"] == 1, columns("ID", "NAME"))
+            .when(line["number"] == 2, columns("ID"))
+            .when(line["number"] == 3, columns())
+            .otherwise(columns("ID", "AMOUNT", "DOB")),
+        )
+
+    # Numbers are gathered and turned into objects afterwards, which are several times as large.
+    numbers = F.struct(
+        (F.col("l_partkey") % 5).alias("table"),
+        (F.col("l_suppkey") % 2 == 0).alias("is_table"),
+        F.col("l_linenumber").alias("number"),
     )
+    base_objects = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(numbers).alias("lines"))
     direct = [
         accessed(_numbered("DB.APP.V", (F.col("o_custkey") + n) % 4), F.lit("VIEW"), columns()) for n in (0, 1)
     ]
     direct_count = F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(1 + F.col("o_orderkey") % 2).cast("int")
     return orders.join(base_objects, "o_orderkey", "left").select(
         _numbered("Q", F.col("o_orderkey")).alias("query_id"),
-        "base_objects_accessed",
+        F.transform("lines", base).alias("base_objects_accessed"),
         F.slice(F.array(*direct), 1, direct_count).alias("direct_objects_accessed"),
     )
 
