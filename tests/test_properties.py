@@ -126,3 +126,10 @@ def test_tasks_that_gather_accesses_do_not_grow_with_them(spark, monkeypatch):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     monkeypatch.setattr(sample_logs, "ROWS_OF_A_TASK", 100)
     assert sample_logs.access_log(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // 100)
+
+
+def test_tasks_of_events_with_usage_have_few_dates(spark):
+    from tracewarden.sources import sample_logs
+
+    rows = sample_logs.raw_events_with_usage(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("task"), F.to_date("timestamp").alias("date"))
+    assert rows.distinct().count() < rows.select("date").distinct().count() + rows.select("task").distinct().count()

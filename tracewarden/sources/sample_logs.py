@@ -71,8 +71,9 @@ def _parts(table: DataFrame) -> int:
     return max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(table.count() / ROWS_OF_A_TASK))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _spread(_table(spark, sf_dir, "events"), "event_id")
+def _events(spark: SparkSession, sf_dir: str, in_time_order: bool = False) -> DataFrame:
+    table = _table(spark, sf_dir, "events")
+    events = table.repartitionByRange(_parts(table), "ts", "event_id") if in_time_order else _spread(table, "event_id")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
@@ -89,12 +90,13 @@ def _first_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, in_time_order: bool = False) -> DataFrame:
+    """The event log; ``in_time_order`` gives a task the events of few dates, as log files have them."""
     i, u, k, kind = F.col("event_id"), F.col("user_id"), F.col("k"), F.col("event_type")
     turns = _table(spark, sf_dir, "conversations")
     conversation_count = turns.agg(F.max("conv_id") + 1).scalar()
     events = (
-        _events(spark, sf_dir)
+        _events(spark, sf_dir, in_time_order)
         .withColumn("conv_id", i % conversation_count)
         .join(_first_turns(turns), "conv_id", "left")
     )
@@ -152,11 +154,11 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_events_with_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a part of the record that the declared schema does not have; a third of the records lack it."""
+    """The same in time order, with a part of the record that the declared schema does not have; a third of the records lack it."""
     number = F.regexp_extract("record", r'"trace_id":"TR([0-9]+)"', 1).cast("bigint")
     usage = F.struct(_numbered("m", number % 4).alias("model"), ((number * 7) % 1000).alias("tokens"))
     more = F.concat(F.expr("left(record, length(record) - 1)"), F.lit(',"usage":'), F.to_json(usage), F.lit("}"))
-    return raw_events(spark, sf_dir).withColumn("record", F.when(number % 3 > 0, more).otherwise(F.col("record")))
+    return raw_events(spark, sf_dir, in_time_order=True).withColumn("record", F.when(number % 3 > 0, more).otherwise(F.col("record")))
 
 
 def watch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
