@@ -137,6 +137,22 @@ def test_unmatched_rows_are_evicted_and_late_ones_counted(spark):
     assert {r.split("query_id='")[1][:2] for r in logs.stored()} == {"Q2", "Q3"}
 
 
+def test_both_deliveries_of_lineage_come_from_one_access_log(spark, monkeypatch):
+    from tracewarden import catalog
+    from tracewarden.sources import sample_logs
+
+    folder, made, seen = "/root/testdata/sf0.001", sample_logs.access_log, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(sample_logs, "access_log", lambda *given: (rows := made(*given)).mapInArrow(counted, rows.schema))
+    catalog.QUERIES["lineage_refresh"](spark, folder)
+    assert seen.value == made(spark, folder).count()
+
+
 def result(n, at, score=0.1):
     verdict = f'{{"score": {score}}}'
     return ("t", "u", "A", "q", "r", None, at.date(), at, f"TR{n}", None, None, verdict, None, at)

@@ -344,7 +344,10 @@ def _lineage_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage out of two streams of which the accesses lag ten days behind and the joining one restarts."""
     folder = new_folder(spark, "lineage")
     queries = sample_logs.query_log(spark, sf_dir)
-    accesses = sample_logs.access_stream_log(spark, sf_dir)
+    # Gathered once for both deliveries, to which accesses without a time do not belong.
+    timed = sample_logs.access_stream_log(spark, sf_dir).where("query_start_time IS NOT NULL")
+    timed.write.parquet(f"{folder}/access-log")
+    accesses = spark.read.schema(timed.schema).parquet(f"{folder}/access-log")
     began, logged = F.col("start_time") < "2024-01-20", F.col("query_start_time") < "2024-01-10"
 
     def run() -> None:
