@@ -190,3 +190,19 @@ def test_words_are_counted_without_a_shuffle(spark, corpus):
     assert "Exchange" not in plan and "Aggregate" not in plan
     counted = {(r.term, r.frequency) for r in SX._postings(texts.where("text LIKE 'Data about%'"), 4).collect()}
     assert counted == {("data", 3), ("about", 1), ("and", 1), ("security", 1), ("of", 1)}
+
+
+def test_notes_of_a_changed_index_are_made_once(spark, as_of, monkeypatch):
+    from tracewarden import catalog
+    from tracewarden.sources import sample_logs
+
+    folder, made, seen = "/root/testdata/sf0.001", sample_logs.notes, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(sample_logs, "notes", lambda *given: (rows := made(*given)).mapInArrow(counted, rows.schema))
+    catalog.QUERIES["search_notes_changed"](spark, folder)
+    assert seen.value == made(spark, folder, as_of).count()

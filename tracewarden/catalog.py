@@ -469,8 +469,12 @@ def _search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search_changed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after every third note was another text at first, some came twice and one was withdrawn."""
-    folder = f"{new_folder(spark, 'notes-index')}/index"
-    corpus = SR.notes_corpus(_notes(spark, sf_dir))
+    stored = new_folder(spark, "notes-index")
+    folder = f"{stored}/index"
+    # Made once: the two batches and the withdrawn note read it five times.
+    notes = SR.notes_corpus(_notes(spark, sf_dir))
+    notes.write.parquet(f"{stored}/corpus")
+    corpus = spark.read.schema(notes.schema).parquet(f"{stored}/corpus")
     third = F.pmod(F.crc32("doc_id"), F.lit(3)) == 0
     stale = F.when(third, F.lit(NOTES_QUERY)).otherwise(F.col("note_text")).alias("note_text")
     others = [c for c in corpus.columns if c != "note_text"]
