@@ -73,6 +73,42 @@ def test_without_a_bound_everything_is_stored(spark):
     assert events.stored() == [("a", "U")] * 3
 
 
+def test_events_are_stored_from_where_they_lie(spark, monkeypatch):
+    """The state sees keys and places; blocks of 16 rows make several bitmaps a file, and names may need escapes."""
+    monkeypatch.setattr(refresh, "BITMAP_ROWS", 16)
+    events = Events(spark)
+    events.folder += "/a b%20"
+    rows = [event(DAY + timedelta(hours=n), f"t{n}", user=f"U{n}") for n in range(50)]
+    events.deliver(*rows[:40], *rows[10:30])
+    source = stream_raw_events(spark, f"{events.folder}/raw")
+    assert refresh._places_once(source, "2 days").columns == ["_file", "_row"]
+    events.deliver(*rows[20:], event(DAY + timedelta(hours=49), None, user=None), (DAY, "no JSON"))
+    batch = agent_events_flattened(spark.createDataFrame([*rows, event(DAY + timedelta(hours=49), None, user=None)], schemas.RAW_EVENTS))
+    stored = read_agent_events(spark, f"{events.folder}/events").select(batch.columns)
+    assert stored.exceptAll(batch).count() == batch.exceptAll(stored).count() == 0 and stored.count() == 51
+    assert spark.read.parquet(f"{events.folder}/checkpoint/places").columns == ["_file", "_block", "members"]
+
+
+def test_streams_that_are_not_plain_files_are_stored_once_too(spark):
+    events = Events(spark)
+    rows = [event(DAY, "a"), event(DAY, "b"), event(DAY, "a")]
+    spark.createDataFrame(rows, schemas.RAW_EVENTS).coalesce(1).write.parquet(f"{events.folder}/raw")
+    plain = stream_raw_events(spark, f"{events.folder}/raw")
+    other = plain.where("record IS NOT NULL")
+    assert refresh._is_plain_parquet(plain) and not refresh._is_plain_parquet(other)
+    assert not refresh._is_plain_parquet(stream_raw_events(spark, f"{events.folder}/raw", "json"))
+    refresh.refresh_agent_events(other, f"{events.folder}/events", f"{events.folder}/checkpoint").awaitTermination()
+    assert events.stored() == [("a", "U"), ("b", "U")]
+
+
+def test_a_batch_that_is_stored_again_changes_nothing(spark):
+    path = new_folder(spark, "sink")
+    events = agent_events_flattened(spark.createDataFrame([event(DAY, "a"), event(DAY, "b")], schemas.RAW_EVENTS))
+    for batch_id in (0, 0, 1, 1):
+        refresh._add_to_sink(events, batch_id, path)
+    assert read_agent_events(spark, path).count() == 4
+
+
 def query_row(n, at, status="SUCCESS"):
     return (f"Q{n}", "u", "r", "w", "SELECT 1", "SELECT", status, None, None, n, n, n, at, at)
 

@@ -23,8 +23,8 @@ def _first_span(field: str) -> Column:
     return F.get("r.spans", F.lit(0))[field]
 
 
-def agent_events_flattened(raw_events: DataFrame) -> DataFrame:
-    """One flat row per agent event; tool, input, output and duration of the first span."""
+def agent_events_flattened(raw_events: DataFrame, *more: str) -> DataFrame:
+    """One flat row per agent event; tool, input, output and duration of the first span, and ``more`` columns of the log."""
     name = F.col("r.name")
     positive = F.expr("try_cast(r.feedback.positive AS boolean)")
     is_feedback = name == V.EVENT_FEEDBACK
@@ -57,6 +57,7 @@ def agent_events_flattened(raw_events: DataFrame) -> DataFrame:
             F.to_date("timestamp").alias("event_date"),
             F.hour("timestamp").alias("event_hour"),
             F.col("record").alias("raw_record"),
+            *more,
         )
     )
 
