@@ -173,6 +173,34 @@ def test_unmatched_rows_are_evicted_and_late_ones_counted(spark):
     assert {r.split("query_id='")[1][:2] for r in logs.stored()} == {"Q2", "Q3"}
 
 
+def state_files(spark, checkpoint):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/state")
+    found, names = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), set()
+    while found.hasNext():
+        names.add(found.next().getPath().getName().rpartition(".")[2])
+    return names
+
+
+def test_lineage_state_is_kept_by_rocksdb(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    logs = Logs(spark)
+    logs.deliver([query_row(1, DAY)], [access_row(2, DAY)])
+    assert "zip" in state_files(spark, f"{logs.folder}/checkpoint") and "delta" not in state_files(spark, f"{logs.folder}/checkpoint")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    logs.deliver([query_row(2, DAY)], [access_row(1, DAY)])
+    assert logs.stored() == logs.batch() and len(logs.stored()) == 8
+
+
+def test_lineage_goes_on_from_a_checkpoint_of_another_store(spark, monkeypatch):
+    logs = Logs(spark)
+    with monkeypatch.context() as began:
+        began.setattr(lineage, "STATE", {})
+        logs.deliver([query_row(1, DAY)], [access_row(2, DAY)])
+    logs.deliver([query_row(2, DAY)], [access_row(1, DAY)])
+    assert "zip" not in state_files(spark, f"{logs.folder}/checkpoint")
+    assert logs.stored() == logs.batch() and len(logs.stored()) == 8
+
+
 def test_both_deliveries_of_lineage_come_from_one_access_log(spark, monkeypatch):
     from tracewarden import catalog
     from tracewarden.sources import sample_logs

@@ -11,12 +11,24 @@ from pyspark.sql.streaming import StreamingQuery
 from tracewarden.functions.clock import days_before, instant
 from tracewarden.operators.lineage import accessed_objects, lineage_rows, successful_queries
 from tracewarden.operators.query_log import HISTORY_DAYS
+from tracewarden.session import settings
+from tracewarden.streaming.alerts import ROCKSDB, STATE_STORE
 from tracewarden.streaming.refresh import scheduled
 
 # How late a row of either log may come, and how far apart the two logs may date one query.
 LATENESS = "1 day"
 APART = "1 hour"
 
+# Both logs wait for each other in the state, days of them if one lags: RocksDB keeps it on disk, packed, in one
+# store of a partition in place of four; all stores of an executor share a bound of memory.
+STATE = {
+    STATE_STORE: ROCKSDB,
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
+
 
 def lineage_stream(
     query_stream: DataFrame, access_stream: DataFrame, lateness: str = LATENESS, apart: str = APART
@@ -55,11 +67,15 @@ def refresh_lineage(
     lateness: str = LATENESS,
     apart: str = APART,
 ) -> StreamingQuery:
-    """Append new lineage rows to ``path``, stored by the date of access."""
+    """Append new lineage rows to ``path``, stored by the date of access.
+
+    The state is kept by RocksDB; a checkpoint that began with another store keeps that one.
+    """
     rows = lineage_stream(query_stream, access_stream, lateness, apart)
     dated = rows.withColumn("access_date", F.to_date("access_time"))
     writer = dated.writeStream.format("parquet").outputMode("append").option("path", path).partitionBy("access_date")
-    return scheduled(writer, checkpoint, interval).start()
+    with settings(query_stream.sparkSession, STATE):
+        return scheduled(writer, checkpoint, interval).start()
 
 
 def read_lineage(spark: SparkSession, path: str, as_of: datetime) -> DataFrame:
